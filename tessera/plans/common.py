@@ -33,3 +33,22 @@ def essay_oof(t: Tables, k: int = 5, seed: int = 42) -> DataFrame:
     """Long essay table with group folds on ``source`` and group-mean OOF by ``lang``."""
     long = group_kfold(essay_long(t), "source", k=k, seed=seed)
     return oof_group_mean(long, "lang")
+
+
+def cells_frame(t: Tables) -> DataFrame:
+    """Conversations as notebooks: id, 8-hex cell id, cell type (user turns are
+    markdown, others code), true position and source text."""
+    from tessera.functions.hashing import hash_hex
+    c = t.conversations
+    return c.select(F.col("conv_id").alias("id"),
+                    F.substring(hash_hex("cell", "conv_id", "turn"), 1, 8).alias("cell_id"),
+                    F.when(F.col("role") == "user", F.lit("markdown")).otherwise(F.lit("code")).alias("cell_type"),
+                    F.col("turn"), F.col("text").alias("source"))
+
+
+def orders_frame(t: Tables) -> DataFrame:
+    """(id, cell_order): the space-separated true order of each notebook."""
+    from tessera.operators.ordering import ordered_list
+    cells = cells_frame(t)
+    return ordered_list(cells, "id", "turn", "cell_id", "items") \
+        .select("id", F.array_join("items", " ").alias("cell_order"))

@@ -10,6 +10,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = [
     "tessera.plans.q_core",
+    "tessera.plans.q_order",
 ]
 
 

@@ -77,3 +77,24 @@ stats AS (
   FROM gf JOIN g USING (lang, target) JOIN f USING (kfold, target) JOIN a USING (target)),
 oof AS (SELECT long.*, stats.pred FROM long LEFT JOIN stats USING (lang, kfold, target))
 """
+
+
+CELLS = """
+SELECT conv_id AS id, substr(md5(concat_ws('|', 'cell', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), 1, 8) AS cell_id,
+       CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type, turn, text AS source
+FROM conversations
+"""
+
+# cells with their true rank and the predicted score: markdown = hashed model stand-in,
+# code = average-tie percentile rank of the true position inside (id, cell_type)
+PRED_CTES = f"""
+cells AS ({CELLS}),
+scored AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn, cell_id) - 1 AS rank,
+         CASE WHEN cell_type = 'markdown' THEN {u(1, 'cell_id')}
+              ELSE (rank() OVER (PARTITION BY id, cell_type ORDER BY turn)
+                    + (count(*) OVER (PARTITION BY id, cell_type, turn) - 1) / 2.0)
+                   / count(*) OVER (PARTITION BY id, cell_type) END AS pred
+  FROM cells),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pred, cell_id) - 1 AS pred_pos FROM scored)
+"""
