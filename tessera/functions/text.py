@@ -57,12 +57,17 @@ def word_tokens(c, stop_words=()) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Space-joined n-grams of a token array (empty when shorter than n)."""
+    """Space-joined n-grams of a token array (empty when shorter than n).
+
+    Built from ``n`` shifted slices zipped together: linear in the row length
+    (a per-element ``slice`` inside a lambda would re-evaluate the array).
+    """
     toks = _c(tokens)
-    cnt = F.size(toks) - F.lit(n) + F.lit(1)
-    idx = F.sequence(F.lit(1), F.greatest(cnt, F.lit(1)))
-    grams = F.transform(idx, lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(cnt >= 1, grams).otherwise(F.array().cast("array<string>"))
+    width = F.greatest(F.size(toks) - F.lit(n - 1), F.lit(0))
+    if n == 1:
+        return toks
+    shifted = [F.slice(toks, j + 1, width).alias(f"g{j}") for j in range(n)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[f"g{j}"] for j in range(n)]))
 
 
 def char_count(c) -> Column:

@@ -52,3 +52,31 @@ def orders_frame(t: Tables) -> DataFrame:
     cells = cells_frame(t)
     return ordered_list(cells, "id", "turn", "cell_id", "items") \
         .select("id", F.array_join("items", " ").alias("cell_order"))
+
+
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it",
+              "of", "on", "or", "that", "the", "this", "to", "was", "with")
+
+
+def doc_tokens(t: Tables) -> DataFrame:
+    """(doc_id, tokens): non-empty words of the cleaned text."""
+    return t.documents.select("doc_id", F.filter(F.split(clean_text("text"), " ", -1),
+                                                 lambda x: x != F.lit("")).alias("tokens"))
+
+
+def line_first_words(t: Tables) -> DataFrame:
+    """First cleaned word of every text line (the 'command' field of each instruction)."""
+    lines = t.documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    w = F.filter(F.split(clean_text("line"), " ", -1), lambda x: x != F.lit(""))
+    return lines.select(F.try_element_at(w, F.lit(1)).alias("token")).where(F.col("token").isNotNull())
+
+
+def vocab_frame(t: Tables, k: int = 2000) -> DataFrame:
+    from tessera.operators.vocab import build_vocab, top_tokens
+    return build_vocab(top_tokens(doc_tokens(t), "tokens", k), line_first_words(t))
+
+
+def encoded_docs(t: Tables) -> DataFrame:
+    """(doc_id, input_ids) with the fitted vocabulary (no specials yet)."""
+    from tessera.operators.vocab import encode
+    return encode(doc_tokens(t), "doc_id", "tokens", vocab_frame(t))

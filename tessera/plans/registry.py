@@ -11,6 +11,7 @@ ORACLES: dict[str, str] = {}
 MODULES = [
     "tessera.plans.q_core",
     "tessera.plans.q_order",
+    "tessera.plans.q_text",
 ]
 
 

@@ -98,3 +98,20 @@ scored AS (
   FROM cells),
 placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pred, cell_id) - 1 AS pred_pos FROM scored)
 """
+
+
+TOKENS = f"SELECT doc_id, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS tokens FROM documents"
+
+VOCAB_CTES = f"""
+toks AS ({TOKENS}),
+tok_cnt AS (SELECT tok AS token, count(*) AS cnt FROM (SELECT unnest(tokens) AS tok FROM toks) GROUP BY tok),
+top AS (SELECT token FROM tok_cnt ORDER BY cnt DESC, token LIMIT 2000),
+lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+ff AS (SELECT list_filter(string_split({clean('line')}, ' '), lambda x: x <> '')[1] AS token FROM lines),
+vocab AS (SELECT token, CAST(1000 + row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS id
+          FROM (SELECT token FROM top UNION SELECT token FROM ff WHERE token IS NOT NULL)),
+tok_pos AS (SELECT doc_id, unnest(tokens) AS token, unnest(generate_series(1, len(tokens))) AS pos FROM toks),
+enc0 AS (SELECT doc_id, list(CAST(coalesce(v.id, 100) AS INTEGER) ORDER BY pos) AS input_ids
+         FROM tok_pos LEFT JOIN vocab v USING (token) GROUP BY doc_id),
+enc AS (SELECT d.doc_id, coalesce(e.input_ids, []::INTEGER[]) AS input_ids FROM documents d LEFT JOIN enc0 e USING (doc_id))
+"""
