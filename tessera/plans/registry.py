@@ -12,6 +12,7 @@ MODULES = [
     "tessera.plans.q_core",
     "tessera.plans.q_order",
     "tessera.plans.q_text",
+    "tessera.plans.q_pairs",
 ]
 
 

@@ -115,3 +115,29 @@ enc0 AS (SELECT doc_id, list(CAST(coalesce(v.id, 100) AS INTEGER) ORDER BY pos)
          FROM tok_pos LEFT JOIN vocab v USING (token) GROUP BY doc_id),
 enc AS (SELECT d.doc_id, coalesce(e.input_ids, []::INTEGER[]) AS input_ids FROM documents d LEFT JOIN enc0 e USING (doc_id))
 """
+
+
+MEMBERS = "SELECT CAST(regexp_extract(p_brand, '#([0-9]+)', 1) AS BIGINT) AS gid, p_partkey AS fid FROM part"
+
+
+def ranked_sql(src, part, idc, seed, out):
+    return (f"SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {h(seed, idc)}, {idc}) - 1 AS {out}, "
+            f"count(*) OVER (PARTITION BY {part}) AS {out}_n FROM {src}")
+
+
+PAIR_CTES = f"""
+members AS ({MEMBERS}),
+gb AS (SELECT gid, CAST(floor((row_number() OVER (ORDER BY {h(42, 'gid')}, gid) - 1) * 5 / count(*) OVER ()) AS INTEGER) AS block
+       FROM (SELECT DISTINCT gid FROM members)),
+mb AS (SELECT m.*, gb.block FROM members m JOIN gb USING (gid)),
+pr AS ({ranked_sql('members', 'gid', 'fid', 42, 'r')}),
+pos AS (SELECT a.fid AS a, b.fid AS b, 1 AS label FROM pr a
+        JOIN (SELECT * FROM pr) b ON a.gid = b.gid AND b.r = (a.r + 1) % a.r_n WHERE a.r_n > 1),
+bs AS ({ranked_sql('mb', 'block', 'fid', 42, 's')}),
+dr AS (SELECT bs.block, bs.gid, bs.fid AS a, d.draw,
+              CAST(floor({u(43, 'bs.fid', 'd.draw')} * bs.s_n) AS BIGINT) AS s
+       FROM bs, (SELECT unnest(generate_series(0, 29)) AS draw) d),
+draws AS (SELECT dr.a, t.fid AS b, dr.draw FROM dr JOIN bs t ON dr.block = t.block AND dr.s = t.s WHERE t.gid <> dr.gid),
+firsts AS (SELECT a, b, min(draw) AS draw FROM draws GROUP BY a, b),
+neg AS (SELECT a, b, 0 AS label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY draw) AS k FROM firsts) WHERE k <= 10)
+"""
