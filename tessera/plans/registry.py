@@ -13,6 +13,7 @@ MODULES = [
     "tessera.plans.q_order",
     "tessera.plans.q_text",
     "tessera.plans.q_pairs",
+    "tessera.plans.q_profile",
 ]
 
 
