@@ -14,6 +14,7 @@ MODULES = [
     "tessera.plans.q_text",
     "tessera.plans.q_pairs",
     "tessera.plans.q_profile",
+    "tessera.plans.q_pool",
 ]
 
 
