@@ -38,3 +38,31 @@ def oof_select(preds: DataFrame, fold_col: str = "kfold", model_fold_col: str =
 def fold_average(preds: DataFrame, keys, pred_col: str = "pred", out: str = "pred") -> DataFrame:
     """Average of fold-model predictions per key (test-time inference)."""
     return preds.groupBy(*keys).agg(F.avg(pred_col).alias(out), F.count(F.lit(1)).alias("n_models"))
+
+
+def fold_model_predictions(long: DataFrame, group_col: str, k: int, fold_col: str = "kfold",
+                           target_col: str = "target", y_col: str = "y", model_col: str = "model_fold",
+                           out: str = "pred") -> DataFrame:
+    """Predictions of the ``k`` fold models of a group-mean regressor for every row.
+
+    Model ``m`` is fitted on folds other than ``m``: it predicts the mean of the
+    row's group over those folds, or the overall mean over those folds when the
+    group has no rows there.  Statistics are aggregates per (group, fold) crossed
+    with the ``k`` model ids (a bounded table), then joined back to the rows, so a
+    row gets ``k`` predictions without any row-to-row pairing.
+    """
+    spark = long.sparkSession
+    yd = F.col(y_col).cast("decimal(38,6)")
+    gf = long.groupBy(group_col, fold_col, target_col).agg(F.sum(yd).alias("_s"), F.count(y_col).alias("_n"))
+    models = F.broadcast(spark.range(k).select(F.col("id").cast("int").alias(model_col)))
+    gm = (gf.crossJoin(models).where(F.col(fold_col) != F.col(model_col))
+          .groupBy(group_col, target_col, model_col).agg(F.sum("_s").alias("_sg"), F.sum("_n").alias("_ng")))
+    am = (gf.crossJoin(models).where(F.col(fold_col) != F.col(model_col))
+          .groupBy(target_col, model_col).agg(F.sum("_s").alias("_sa"), F.sum("_n").alias("_na")))
+    grid = (long.select(group_col, target_col).distinct().crossJoin(models)
+            .join(gm, [group_col, target_col, model_col], "left")
+            .join(am, [target_col, model_col], "left")
+            .select(group_col, target_col, model_col,
+                    F.when(F.col("_ng") > 0, F.col("_sg").cast("double") / F.col("_ng"))
+                    .when(F.col("_na") > 0, F.col("_sa").cast("double") / F.col("_na")).alias(out)))
+    return long.join(grid, [group_col, target_col])

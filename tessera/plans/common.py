@@ -80,3 +80,49 @@ def encoded_docs(t: Tables) -> DataFrame:
     """(doc_id, input_ids) with the fitted vocabulary (no specials yet)."""
     from tessera.operators.vocab import encode
     return encode(doc_tokens(t), "doc_id", "tokens", vocab_frame(t))
+
+
+def essay_long_folds(t: Tables, k: int = 5, seed: int = 42) -> DataFrame:
+    """Long essay table (doc_id, lang, source, all_, target, y, kfold)."""
+    return group_kfold(essay_long(t), "source", k=k, seed=seed).withColumn("all_", F.lit("all"))
+
+
+RUNS = {"lang": "lang", "source": "source", "all": "all_"}
+
+
+def run_predictions(t: Tables, k: int = 5) -> DataFrame:
+    """Fold-model predictions of three group-mean regressors (runs): every row
+    (doc_id, target, y, kfold, run, model_fold, pred)."""
+    from tessera.operators.oof import fold_model_predictions
+    long = essay_long_folds(t, k)
+    out = None
+    for run, g in RUNS.items():
+        p = fold_model_predictions(long, g, k).select(
+            "doc_id", "target", "y", "kfold", F.lit(run).alias("run"), "model_fold", "pred")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def oof_runs(t: Tables, k: int = 5) -> DataFrame:
+    """Out-of-fold predictions of each run: the model that did not see the row."""
+    from tessera.operators.oof import oof_select
+    return oof_select(run_predictions(t, k)).select("run", "doc_id", "target", "y", "pred")
+
+
+def class_probs(t: Tables, k: int = 5) -> DataFrame:
+    """15 binary models (3 groupings x k folds) scoring ``quality`` on labelled docs:
+    (doc_id, y, run, grp, model_fold, p)."""
+    from tessera.operators.oof import fold_model_predictions
+    from tessera.operators.splits import group_fold_table
+    d = t.documents.select("doc_id", "lang", "source")
+    folds = group_fold_table(d, "source", k=k, seed=42)
+    lab = (d.join(t.labels, "doc_id").join(folds, "source", "left")
+           .select("doc_id", "lang", "source", F.lit("all").alias("all_"), F.lit("quality").alias("target"),
+                   F.col("quality").cast("double").alias("y"), "kfold"))
+    out = None
+    for i, (run, g) in enumerate(RUNS.items()):
+        p = fold_model_predictions(lab, g, k).select(
+            "doc_id", "y", F.concat(F.lit(run + "_"), F.col("model_fold").cast("string")).alias("run"),
+            F.lit(i).alias("grp"), "model_fold", F.col("pred").alias("p"))
+        out = p if out is None else out.unionByName(p)
+    return out

@@ -15,6 +15,7 @@ MODULES = [
     "tessera.plans.q_pairs",
     "tessera.plans.q_profile",
     "tessera.plans.q_pool",
+    "tessera.plans.q_ensemble",
 ]
 
 

@@ -141,3 +141,53 @@ draws AS (SELECT dr.a, t.fid AS b, dr.draw FROM dr JOIN bs t ON dr.block = t.blo
 firsts AS (SELECT a, b, min(draw) AS draw FROM draws GROUP BY a, b),
 neg AS (SELECT a, b, 0 AS label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY draw) AS k FROM firsts) WHERE k <= 10)
 """
+
+
+LONG_CTES = f"""
+essay AS ({ESSAY}),
+folds AS ({group_folds('essay', 'source')}),
+long AS (SELECT l.*, 'all' AS all_, f.kfold FROM ({ESSAY_LONG}) l LEFT JOIN folds f USING (source)),
+fm_m AS (SELECT CAST(unnest(generate_series(0, 4)) AS INTEGER) AS model_fold)
+"""
+
+
+def fold_models(src: str, g: str, y: str = "y", target: str = "target", name: str | None = None) -> str:
+    """CTEs ``fm_<name>``: every row of ``src`` with the 5 fold-model group-mean predictions."""
+    n = name or g
+    return f"""
+fm_gf_{n} AS (SELECT {g}, kfold, {target}, sum(CAST({y} AS DECIMAL(38,6))) AS s, count({y}) AS n FROM {src} GROUP BY {g}, kfold, {target}),
+fm_gm_{n} AS (SELECT {g}, {target}, model_fold, sum(s) AS sg, sum(n) AS ng FROM fm_gf_{n}, fm_m WHERE kfold <> model_fold GROUP BY {g}, {target}, model_fold),
+fm_am_{n} AS (SELECT {target}, model_fold, sum(s) AS sa, sum(n) AS na FROM fm_gf_{n}, fm_m WHERE kfold <> model_fold GROUP BY {target}, model_fold),
+fm_grid_{n} AS (
+  SELECT d.{g}, d.{target}, fm_m.model_fold,
+         CASE WHEN gm.ng > 0 THEN CAST(gm.sg AS DOUBLE) / gm.ng WHEN am.na > 0 THEN CAST(am.sa AS DOUBLE) / am.na END AS pred
+  FROM (SELECT DISTINCT {g}, {target} FROM {src}) d CROSS JOIN fm_m
+  LEFT JOIN fm_gm_{n} gm ON gm.{g} = d.{g} AND gm.{target} = d.{target} AND gm.model_fold = fm_m.model_fold
+  LEFT JOIN fm_am_{n} am ON am.{target} = d.{target} AND am.model_fold = fm_m.model_fold),
+fm_{n} AS (SELECT s.*, gr.model_fold, gr.pred FROM {src} s JOIN fm_grid_{n} gr ON gr.{g} = s.{g} AND gr.{target} = s.{target})
+"""
+
+
+RUNS = ["lang", "source", "all_"]
+RUN_CTES = LONG_CTES + "," + ",".join(fold_models("long", g) for g in RUNS) + """,
+oof_runs AS (
+  SELECT 'lang' AS run, doc_id, target, y, pred FROM fm_lang WHERE model_fold = kfold
+  UNION ALL SELECT 'source', doc_id, target, y, pred FROM fm_source WHERE model_fold = kfold
+  UNION ALL SELECT 'all', doc_id, target, y, pred FROM fm_all_ WHERE model_fold = kfold)
+"""
+
+# binary labels (quality) with group folds; 15 models = 3 groupings x 5 folds
+CLS_BODY = f"""
+lab AS (SELECT d.doc_id, d.lang, d.source, 'all' AS all_, 'quality' AS target, CAST(l.quality AS DOUBLE) AS y
+        FROM documents d JOIN labels l USING (doc_id)),
+cfolds AS ({group_folds('documents', 'source')}),
+clab AS (SELECT lab.*, f.kfold FROM lab LEFT JOIN cfolds f USING (source)),
+{fold_models('clab', 'lang', name='c_lang')}, {fold_models('clab', 'source', name='c_source')}, {fold_models('clab', 'all_', name='c_all')},
+probs AS (
+  SELECT 'lang_' || model_fold AS run, 0 AS grp, model_fold, doc_id, y, pred AS p FROM fm_c_lang
+  UNION ALL SELECT 'source_' || model_fold, 1, model_fold, doc_id, y, pred FROM fm_c_source
+  UNION ALL SELECT 'all_' || model_fold, 2, model_fold, doc_id, y, pred FROM fm_c_all),
+votes AS (SELECT doc_id, y, sum(CASE WHEN grp = 0 THEN 0.2 ELSE 0.07 END * CAST(p >= 0.5 AS INTEGER)) AS score FROM probs GROUP BY doc_id, y)
+"""
+
+CLS_CTES = "fm_m AS (SELECT CAST(unnest(generate_series(0, 4)) AS INTEGER) AS model_fold),\n" + CLS_BODY
