@@ -16,6 +16,7 @@ MODULES = [
     "tessera.plans.q_profile",
     "tessera.plans.q_pool",
     "tessera.plans.q_ensemble",
+    "tessera.plans.q_io",
 ]
 
 

@@ -62,8 +62,17 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, sep: str = "\t") ->
 
 # ---- JSON lines -------------------------------------------------------------------------
 
+TS_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+              "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """JSON lines with a declared schema; timestamps keep microseconds."""
+    return spark.read.schema(schema).options(**TS_FORMATS).json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").options(**TS_FORMATS).json(path)
 
 
 # ---- notebook JSON documents, one per id ------------------------------------------------
