@@ -17,6 +17,7 @@ MODULES = [
     "tessera.plans.q_pool",
     "tessera.plans.q_ensemble",
     "tessera.plans.q_io",
+    "tessera.plans.q_windows",
 ]
 
 
