@@ -18,6 +18,7 @@ MODULES = [
     "tessera.plans.q_ensemble",
     "tessera.plans.q_io",
     "tessera.plans.q_windows",
+    "tessera.plans.q_stream",
 ]
 
 
