@@ -19,6 +19,7 @@ MODULES = [
     "tessera.plans.q_io",
     "tessera.plans.q_windows",
     "tessera.plans.q_stream",
+    "tessera.plans.q_ml",
 ]
 
 

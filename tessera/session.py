@@ -64,3 +64,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera-scratch/{uuid.uuid4().hex}/{name}"
+
+
+def materialize(df):
+    """Cut lineage before a loop that re-reads ``df`` (model fits, search trials):
+    a reliable checkpoint into the shared checkpoint folder, so a lost executor
+    re-reads files instead of recomputing the whole upstream plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
