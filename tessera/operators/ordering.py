@@ -23,10 +23,11 @@ def attach_rank(cells: DataFrame, orders: DataFrame, id_col="id", item_col="cell
                 order_col="cell_order") -> DataFrame:
     """Rank of each cell in its notebook's true order and rank / cell count.
 
-    The count per id is a partial aggregate joined back (no per-group window).
+    Orders are right-joined to the cells (a cell missing from its order string
+    keeps a null rank); the count per id is a partial aggregate joined back.
     """
     pos = explode_order(orders, id_col, order_col, item_col, "rank")
-    ranked = cells.join(pos, [id_col, item_col], "inner")
+    ranked = pos.join(cells, [id_col, item_col], "right")
     n = cells.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     return ranked.join(n, id_col).withColumn("pct_rank", F.col("rank") / F.col("_n")).drop("_n")
 

@@ -30,3 +30,25 @@ def hashed_rank(df: DataFrame, order_col: str, tie_cols=(), partition_cols=(),
     return (ranked.join(offsets, keys)
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
             .drop("_bkt", "_rn", "_off"))
+
+
+def sort_with_position(df: DataFrame, order_cols, out: str = "position") -> DataFrame:
+    """Distributed sort plus a consecutive 0-based position column.
+
+    The sort is range-partitioned (no single partition); the sorted rows are
+    materialized once so partition ids are fixed, each partition's row count
+    (a table of #partitions rows) gives its offset, and a row's position is
+    its partition offset plus its index inside the partition.
+    """
+    from tessera.session import materialize
+    s = df.orderBy(*order_cols).select("*", F.spark_partition_id().alias("_pid"),
+                                       F.monotonically_increasing_id().alias("_mid"))
+    s = materialize(s)
+    cnt = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offs = cnt.select("_pid", F.coalesce(F.sum("_c").over(Window.orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    within = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    # one row per partition: a proven bound
+    return (s.join(F.broadcast(offs), "_pid")
+            .withColumn(out, (F.col("_off") + within).cast("bigint"))
+            .drop("_pid", "_mid", "_off"))

@@ -31,7 +31,8 @@ def essay_long(t: Tables) -> DataFrame:
 
 def essay_oof(t: Tables, k: int = 5, seed: int = 42) -> DataFrame:
     """Long essay table with group folds on ``source`` and group-mean OOF by ``lang``."""
-    long = group_kfold(essay_long(t), "source", k=k, seed=seed)
+    from tessera.session import materialize
+    long = materialize(group_kfold(essay_long(t), "source", k=k, seed=seed), "essay_long")
     return oof_group_mean(long, "lang")
 
 
@@ -78,13 +79,18 @@ def vocab_frame(t: Tables, k: int = 2000) -> DataFrame:
 
 def encoded_docs(t: Tables) -> DataFrame:
     """(doc_id, input_ids) with the fitted vocabulary (no specials yet)."""
-    from tessera.operators.vocab import encode
-    return encode(doc_tokens(t), "doc_id", "tokens", vocab_frame(t))
+    from tessera.operators.vocab import build_vocab, encode, top_tokens
+    from tessera.session import materialize
+    toks = materialize(doc_tokens(t), "doc_tokens")
+    vocab = build_vocab(top_tokens(toks, "tokens", 2000), line_first_words(t))
+    return encode(toks, "doc_id", "tokens", vocab)
 
 
 def essay_long_folds(t: Tables, k: int = 5, seed: int = 42) -> DataFrame:
     """Long essay table (doc_id, lang, source, all_, target, y, kfold)."""
-    return group_kfold(essay_long(t), "source", k=k, seed=seed).withColumn("all_", F.lit("all"))
+    from tessera.session import materialize
+    long = group_kfold(essay_long(t), "source", k=k, seed=seed).withColumn("all_", F.lit("all"))
+    return materialize(long, "essay_long_folds")
 
 
 RUNS = {"lang": "lang", "source": "source", "all": "all_"}

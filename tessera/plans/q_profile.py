@@ -177,3 +177,12 @@ def q_head_half(spark, sf):
     r = hashed_rank(d.withColumn("_h", hash_hex(11, "doc_id")), "_h", ["doc_id"], out="_r")
     n = F.broadcast(d.agg(F.count(F.lit(1)).alias("_n")))
     return r.crossJoin(n).where(F.col("_r") < F.floor(F.col("_n") / 2)).select("doc_id")
+
+
+@query("stable_sort", """
+SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY lang, n_chars DESC, doc_id) - 1 AS position FROM documents""")
+def q_stable_sort(spark, sf):
+    """Sort with a tie-break key and an explicit position column."""
+    from tessera.operators.ranking import sort_with_position
+    d = Tables(spark, sf).documents.select("doc_id", "lang", "n_chars")
+    return sort_with_position(d, [F.asc("lang"), F.desc("n_chars"), F.asc("doc_id")])

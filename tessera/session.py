@@ -66,9 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tessera-scratch/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df):
-    """Cut lineage before a loop that re-reads ``df`` (model fits, search trials):
-    a reliable checkpoint into the shared checkpoint folder, so a lost executor
-    re-reads files instead of recomputing the whole upstream plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "materialized"):
+    """Cut lineage before a plan that re-reads ``df`` (model fits, search trials,
+    several aggregates of one derived table): the rows are written once as
+    parquet under the shared checkpoint folder and read back, so a lost executor
+    re-reads files instead of recomputing the upstream plan, and later scans get
+    column pruning and filter pushdown."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
