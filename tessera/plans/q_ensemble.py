@@ -91,12 +91,13 @@ def _grid_scores(spark, t):
 @query("weight_grid", f"""
 WITH {_GRID_CTES}
 SELECT c.cand_id, c.w0, c.w1, c.w2, round(score, 6) AS score,
-       c.cand_id = (SELECT arg_min(cand_id, (score, cand_id)) FROM sc) AS is_best
+       c.cand_id = (SELECT arg_min(cand_id, (round(score, 9), cand_id)) FROM sc) AS is_best
 FROM sc JOIN {_C_SQL} c USING (cand_id)""")
 def q_weight_grid(spark, sf):
     """Exact clipped MCRMSE of every simplex-grid weight vector over the OOF table."""
     g = _grid_scores(spark, Tables(spark, sf))
-    best = g.agg(F.min_by("cand_id", F.struct("score", "cand_id")).alias("_best"))
+    # ties (to 1e-9) go to the lowest candidate id, whatever the summation order
+    best = g.agg(F.min_by("cand_id", F.struct(F.round("score", 9), F.col("cand_id"))).alias("_best"))
     return (g.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("cand_id") == F.col("_best"))
             .select("cand_id", "w0", "w1", "w2", F.round("score", 6).alias("score"), "is_best"))
 
