@@ -60,8 +60,10 @@ def classification_report(df: DataFrame, y_col="y", pred_col="pred", by=()) -> D
     0/0 is 0.  Output: one row per class, plus rows ``class='macro avg'`` and
     ``class='accuracy'`` (accuracy in every metric column of its row).
     """
+    from tessera.session import materialize
     by = list(by)
-    cm = df.groupBy(*by, y_col, pred_col).agg(F.count(F.lit(1)).alias("c"))
+    # the confusion table (|classes|^2 rows per group) feeds four aggregates: write it once
+    cm = materialize(df.groupBy(*by, y_col, pred_col).agg(F.count(F.lit(1)).alias("c")), "confusion")
     tp = cm.where(F.col(y_col) == F.col(pred_col)).groupBy(*by, F.col(y_col).alias("cls")) \
         .agg(F.sum("c").alias("tp"))
     sup = cm.groupBy(*by, F.col(y_col).alias("cls")).agg(F.sum("c").alias("support"))

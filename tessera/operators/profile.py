@@ -36,6 +36,8 @@ def describe_numeric(df: DataFrame, cols, exact: bool = True) -> DataFrame:
 
     Exact quartiles use linear interpolation (``percentile``), which buffers the
     distinct values of a column; ``exact=False`` switches to ``percentile_approx``.
+    One aggregate per column (a combined pass holding every column's percentile
+    buffer at once measured slower).
     """
     out = None
     for c in cols:
@@ -96,7 +98,7 @@ def category_means(df: DataFrame, cat: str, measure: str, z: float = 1.96) -> Da
     return g.withColumn("ci_lo", F.col("mean") - half).withColumn("ci_hi", F.col("mean") + half)
 
 
-def kde_grid(df: DataFrame, x: str, hue: str, points: int = 50) -> DataFrame:
+def kde_grid(df: DataFrame, x: str, hue: str, points: int = 50, max_hues: int = 1000) -> DataFrame:
     """Gaussian density of ``x`` per hue on a grid of ``points`` between the hue's
     min and max, Scott bandwidth ``std * n^(-1/5)``.
 
@@ -109,8 +111,15 @@ def kde_grid(df: DataFrame, x: str, hue: str, points: int = 50) -> DataFrame:
     grid = st.select(hue, "_bw", "_n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("gi"),
                      "_lo", "_hi")
     grid = grid.withColumn("g", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("gi") / (points - 1))
-    rows = df.select(hue, F.col(x).alias("_x")).where(F.col("_x").isNotNull())
-    k = rows.join(grid.select(hue, "gi", "g", "_bw", "_n"), hue)
+    from tessera.sources.tables import spread
+    # each row meets ``points`` grid values: spread a narrow scan before the fan-out
+    rows = spread(df.select(hue, F.col(x).alias("_x")).where(F.col("_x").isNotNull()))
+    # the grid has ``points`` rows per hue level; the level count is checked first,
+    # so the broadcast is bounded and the rows never shuffle by (few, skewed) hues
+    n_levels = df.select(hue).distinct().limit(max_hues + 1).count()
+    if n_levels > max_hues:
+        raise ValueError(f"{hue} has more than {max_hues} levels")
+    k = rows.join(F.broadcast(grid.select(hue, "gi", "g", "_bw", "_n")), hue)
     u = (F.col("g") - F.col("_x")) / F.col("_bw")
     dens = k.groupBy(hue, "gi", "g", "_bw", "_n").agg(F.sum(F.exp(-0.5 * u * u)).alias("_s"))
     return dens.select(hue, "gi", "g", (F.col("_s") / (F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))))

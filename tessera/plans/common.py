@@ -122,9 +122,11 @@ def class_probs(t: Tables, k: int = 5) -> DataFrame:
     from tessera.operators.splits import group_fold_table
     d = t.documents.select("doc_id", "lang", "source")
     folds = group_fold_table(d, "source", k=k, seed=42)
+    from tessera.session import materialize
     lab = (d.join(t.labels, "doc_id").join(folds, "source", "left")
            .select("doc_id", "lang", "source", F.lit("all").alias("all_"), F.lit("quality").alias("target"),
                    F.col("quality").cast("double").alias("y"), "kfold"))
+    lab = materialize(lab, "labelled_folds")
     out = None
     for i, (run, g) in enumerate(RUNS.items()):
         p = fold_model_predictions(lab, g, k).select(
