@@ -42,14 +42,16 @@ def fold_average(preds: DataFrame, keys, pred_col: str = "pred", out: str = "pre
 
 def fold_model_predictions(long: DataFrame, group_col: str, k: int, fold_col: str = "kfold",
                            target_col: str = "target", y_col: str = "y", model_col: str = "model_fold",
-                           out: str = "pred") -> DataFrame:
+                           out: str = "pred", own_fold_only: bool = False) -> DataFrame:
     """Predictions of the ``k`` fold models of a group-mean regressor for every row.
 
     Model ``m`` is fitted on folds other than ``m``: it predicts the mean of the
     row's group over those folds, or the overall mean over those folds when the
     group has no rows there.  Statistics are aggregates per (group, fold) crossed
     with the ``k`` model ids (a bounded table), then joined back to the rows, so a
-    row gets ``k`` predictions without any row-to-row pairing.
+    row gets ``k`` predictions without any row-to-row pairing.  With
+    ``own_fold_only`` each row is joined only to the model of its own fold (the
+    out-of-fold prediction), one row out per row in.
     """
     spark = long.sparkSession
     yd = F.col(y_col).cast("decimal(38,6)")
@@ -65,4 +67,7 @@ def fold_model_predictions(long: DataFrame, group_col: str, k: int, fold_col: st
             .select(group_col, target_col, model_col,
                     F.when(F.col("_ng") > 0, F.col("_sg").cast("double") / F.col("_ng"))
                     .when(F.col("_na") > 0, F.col("_sa").cast("double") / F.col("_na")).alias(out)))
+    if own_fold_only:
+        g = grid.withColumnRenamed(model_col, fold_col)
+        return long.join(g, [group_col, target_col, fold_col]).withColumn(model_col, F.col(fold_col))
     return long.join(grid, [group_col, target_col])

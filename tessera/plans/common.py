@@ -96,14 +96,14 @@ def essay_long_folds(t: Tables, k: int = 5, seed: int = 42) -> DataFrame:
 RUNS = {"lang": "lang", "source": "source", "all": "all_"}
 
 
-def run_predictions(t: Tables, k: int = 5) -> DataFrame:
+def run_predictions(t: Tables, k: int = 5, own_fold_only: bool = False) -> DataFrame:
     """Fold-model predictions of three group-mean regressors (runs): every row
     (doc_id, target, y, kfold, run, model_fold, pred)."""
     from tessera.operators.oof import fold_model_predictions
     long = essay_long_folds(t, k)
     out = None
     for run, g in RUNS.items():
-        p = fold_model_predictions(long, g, k).select(
+        p = fold_model_predictions(long, g, k, own_fold_only=own_fold_only).select(
             "doc_id", "target", "y", "kfold", F.lit(run).alias("run"), "model_fold", "pred")
         out = p if out is None else out.unionByName(p)
     return out
@@ -112,7 +112,9 @@ def run_predictions(t: Tables, k: int = 5) -> DataFrame:
 def oof_runs(t: Tables, k: int = 5) -> DataFrame:
     """Out-of-fold predictions of each run: the model that did not see the row."""
     from tessera.operators.oof import oof_select
-    return oof_select(run_predictions(t, k)).select("run", "doc_id", "target", "y", "pred")
+    from tessera.session import materialize
+    o = oof_select(run_predictions(t, k, own_fold_only=True)).select("run", "doc_id", "target", "y", "pred")
+    return materialize(o, "oof_runs")
 
 
 def class_probs(t: Tables, k: int = 5) -> DataFrame:

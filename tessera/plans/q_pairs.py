@@ -20,7 +20,8 @@ def members_frame(t):
 
 
 def blocked(t):
-    return group_blocks(members_frame(t), "gid", n_blocks=5, seed=42)
+    from tessera.session import materialize
+    return materialize(group_blocks(members_frame(t), "gid", n_blocks=5, seed=42), "blocked_members")
 
 
 @query("src_ragged_groups", f"SELECT gid, fid FROM ({S.MEMBERS})")
