@@ -60,14 +60,17 @@ def simplex_grid(n_runs: int, step: float = 0.1):
     return out
 
 
-def score_candidates(wide: DataFrame, candidates: DataFrame, pred_cols, target_col="target", y_col="y",
-                     lo=None, hi=None, clip_cols=None) -> DataFrame:
+def score_candidates(wide: DataFrame, candidates, pred_cols, target_col="target", y_col="y",
+                     clip_cols=None) -> DataFrame:
     """Exact clipped MCRMSE of every candidate weight vector over an OOF table.
 
-    ``candidates`` (cand_id, w0..wR) is small and bounded: it is broadcast and
-    crossed with the rows, and every candidate's loss is one grouped aggregate.
+    ``candidates`` is a bounded list of weight vectors (a grid or a population);
+    each row fans out to every candidate by ``explode`` of a literal array (no
+    join), and every candidate's loss is one grouped aggregate.
     """
-    j = wide.crossJoin(F.broadcast(candidates))
+    cands = F.array(*[F.struct(F.lit(i).alias("cand_id"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws)])
+                      for i, ws in enumerate(candidates)])
+    j = wide.select("*", F.explode(cands).alias("_c")).select("*", "_c.*").drop("_c")
     p = sum((F.col(f"w{i}") * F.col(c) for i, c in enumerate(pred_cols)), F.lit(0.0))
     if clip_cols is not None:
         p = clip(p, F.col(clip_cols[0]), F.col(clip_cols[1]))
@@ -82,7 +85,7 @@ def roulette_cumshare(cands: DataFrame, obj_col: str = "score", id_col: str = "c
     The candidate table is bounded (a population), so one ordered window is fine."""
     st = cands.agg(F.min(obj_col).alias("_mn"), F.max(obj_col).alias("_mx"))
     shift = F.when(F.col("_mn") < 0, -F.col("_mn")).otherwise(F.lit(0.0))
-    f = cands.crossJoin(st).withColumn("fitness", (F.col("_mx") + shift) - (F.col(obj_col) + shift) + 1)
+    f = cands.crossJoin(F.broadcast(st)).withColumn("fitness", (F.col("_mx") + shift) - (F.col(obj_col) + shift) + 1)
     w = Window.orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy()
     return f.select(id_col, obj_col, "fitness",

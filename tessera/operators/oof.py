@@ -49,19 +49,18 @@ def fold_model_predictions(long: DataFrame, group_col: str, k: int, fold_col: st
     row's group over those folds, or the overall mean over those folds when the
     group has no rows there.  Statistics are aggregates per (group, fold) crossed
     with the ``k`` model ids (a bounded table), then joined back to the rows, so a
-    row gets ``k`` predictions without any row-to-row pairing.  With
+    row gets ``k`` predictions without any row-to-row pairing.  The k model ids
+    fan out by ``explode`` of a literal sequence (a bounded multiplier, no join).  With
     ``own_fold_only`` each row is joined only to the model of its own fold (the
     out-of-fold prediction), one row out per row in.
     """
-    spark = long.sparkSession
     yd = F.col(y_col).cast("decimal(38,6)")
     gf = long.groupBy(group_col, fold_col, target_col).agg(F.sum(yd).alias("_s"), F.count(y_col).alias("_n"))
-    models = F.broadcast(spark.range(k).select(F.col("id").cast("int").alias(model_col)))
-    gm = (gf.crossJoin(models).where(F.col(fold_col) != F.col(model_col))
-          .groupBy(group_col, target_col, model_col).agg(F.sum("_s").alias("_sg"), F.sum("_n").alias("_ng")))
-    am = (gf.crossJoin(models).where(F.col(fold_col) != F.col(model_col))
-          .groupBy(target_col, model_col).agg(F.sum("_s").alias("_sa"), F.sum("_n").alias("_na")))
-    grid = (long.select(group_col, target_col).distinct().crossJoin(models)
+    model_ids = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(model_col)
+    per_model = gf.select("*", model_ids).where(F.col(fold_col) != F.col(model_col))
+    gm = per_model.groupBy(group_col, target_col, model_col).agg(F.sum("_s").alias("_sg"), F.sum("_n").alias("_ng"))
+    am = per_model.groupBy(target_col, model_col).agg(F.sum("_s").alias("_sa"), F.sum("_n").alias("_na"))
+    grid = (long.select(group_col, target_col).distinct().select("*", model_ids)
             .join(gm, [group_col, target_col, model_col], "left")
             .join(am, [target_col, model_col], "left")
             .select(group_col, target_col, model_col,

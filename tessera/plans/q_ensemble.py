@@ -84,8 +84,8 @@ def _wide(t):
 
 def _grid_scores(spark, t):
     cands = spark.createDataFrame([(i, *w) for i, w in enumerate(CANDS)], "cand_id int, w0 double, w1 double, w2 double")
-    sc = EN.score_candidates(_wide(t), cands, ["p0", "p1", "p2"], clip_cols=("lo", "hi"))
-    return cands.join(sc, "cand_id")
+    sc = EN.score_candidates(_wide(t), CANDS, ["p0", "p1", "p2"], clip_cols=("lo", "hi"))
+    return F.broadcast(cands).join(sc, "cand_id")
 
 
 @query("weight_grid", f"""
@@ -147,8 +147,8 @@ def _class_scores(t):
     from tessera.operators.oof import fold_model_predictions
     from tessera.plans.common import essay_long_folds
     e = essay_long_folds(t).select("doc_id", "lang", "source", "kfold").distinct()
-    levels = t.spark.createDataFrame([(x,) for x in LANGS], "target string")
-    c = e.crossJoin(F.broadcast(levels)).withColumn("y", (F.col("lang") == F.col("target")).cast("double"))
+    c = (e.select("*", F.explode(F.array(*[F.lit(x) for x in LANGS])).alias("target"))
+         .withColumn("y", (F.col("lang") == F.col("target")).cast("double")))
     return fold_model_predictions(c, "source", 5).select("doc_id", F.col("target").alias("cls"), "model_fold",
                                                           F.col("pred").alias("score"))
 

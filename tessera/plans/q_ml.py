@@ -99,8 +99,7 @@ def q_evolve_weights(spark, sf):
     wide = materialize(_wide(Tables(spark, sf)))
 
     def score_fn(pop):
-        cands = spark.createDataFrame([(i, *w) for i, w in enumerate(pop)], "cand_id int, w0 double, w1 double, w2 double")
-        sc = score_candidates(wide, cands, ["p0", "p1", "p2"], clip_cols=("lo", "hi")).collect()
+        sc = score_candidates(wide, pop, ["p0", "p1", "p2"], clip_cols=("lo", "hi")).collect()
         return {r["cand_id"]: r["score"] for r in sc}
     hist = ML.evolve_weights(score_fn, 3, population=20, generations=4)
     rows = [(g, i, float(w[0]), float(w[1]), float(w[2]), float(s)) for g, i, w, s in hist]

@@ -19,6 +19,7 @@ L = 64
 SPECIALS_SQL = "[" + ", ".join(str(s) for s in A.SPECIAL_IDS) + "]"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 CORE_SQL = f"[{A.CLS_ID}] || list_slice(input_ids, 1, {L - 2}) || [{A.SEP_ID}]"
+FULL_SQL = f"[{A.CLS_ID}] || input_ids || [{A.SEP_ID}]"
 
 
 @query("top_tokens", r"""
@@ -119,20 +120,20 @@ def q_batch_pad(spark, sf):
 @query("label_suffix", f"""
 WITH {S.VOCAB_CTES}
 SELECT doc_id,
-       {CORE_SQL} || [{A.SEP_ID}, CAST(round_even(2.0 * quality, 0) + 1 AS INTEGER), {A.SEP_ID}, CAST(round_even(2.0 * toxic, 0) + 1 AS INTEGER)] AS input_ids,
-       list_transform({CORE_SQL}, lambda x: 1) || [1, 1, 1, 1] AS attention_mask
+       {FULL_SQL} || [{A.SEP_ID}, CAST(round_even(2.0 * quality, 0) + 1 AS INTEGER), {A.SEP_ID}, CAST(round_even(2.0 * toxic, 0) + 1 AS INTEGER)] AS input_ids,
+       list_transform({FULL_SQL}, lambda x: 1) || [1, 1, 1, 1] AS attention_mask
 FROM enc JOIN labels USING (doc_id)""")
 def q_label_suffix(spark, sf):
     t = Tables(spark, sf)
     e = encoded_docs(t).join(t.labels, "doc_id")
-    core = A.with_specials("input_ids", L)
+    core = A.with_specials("input_ids")
     ids, mask = A.label_suffix(core, A.ones_mask(core), ["quality", "toxic"])
     return e.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 @query("mask_tokens", f"""
 WITH {S.VOCAB_CTES},
-c AS (SELECT doc_id, {CORE_SQL} AS core FROM enc)
+c AS (SELECT doc_id, {FULL_SQL} AS core FROM enc)
 SELECT doc_id,
   list_transform(core, lambda x, i: CASE WHEN (('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), CAST(i - 1 AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0) < 0.15
                                       AND NOT list_contains({SPECIALS_SQL}, x) THEN {A.MASK_ID} ELSE x END) AS input_ids,
@@ -141,7 +142,7 @@ SELECT doc_id,
 FROM c""")
 def q_mask_tokens(spark, sf):
     e = encoded_docs(Tables(spark, sf))
-    masked, labels = A.mask_tokens(A.with_specials("input_ids", L), "doc_id", p=0.15, seed=42)
+    masked, labels = A.mask_tokens(A.with_specials("input_ids"), "doc_id", p=0.15, seed=42)
     return e.select("doc_id", masked.alias("input_ids"), labels.alias("labels"))
 
 
@@ -151,7 +152,7 @@ def q_mask_ngrams(spark, sf):
     t = Tables(spark, sf)
     e = encoded_docs(t)
     v = vocab_frame(t).agg(F.max("id").alias("m")).first()["m"] or A.VOCAB_BASE
-    m = A.mask_ngrams(A.with_specials("input_ids", L), "doc_id", vocab_size=int(v) + 1)
+    m = A.mask_ngrams(A.with_specials("input_ids"), "doc_id", vocab_size=int(v) + 1)
     return e.select("doc_id", m.alias("m")).select("doc_id", "m.input_ids", "m.labels")
 
 
