@@ -61,9 +61,11 @@ def ordered_list(df: DataFrame, id_col: str, pos_col: str, item_col: str, out: s
 
 def predicted_position(df: DataFrame, id_col: str, score_col: str, item_col: str,
                        out: str = "pred_pos") -> DataFrame:
-    """0-based position of each item when its id's items are sorted by score (ties by item)."""
-    w = Window.partitionBy(id_col).orderBy(score_col, item_col)
-    return df.withColumn(out, F.row_number().over(w) - 1)
+    """0-based position of each item when its id's items are sorted by score (ties by
+    item); a segmented count, so a huge notebook is not sorted in one task."""
+    from tessera.operators.ranking import segmented_cumsum
+    r = segmented_cumsum(df, [id_col], [score_col, item_col], F.lit(1), "_pos")
+    return r.withColumn(out, (F.col("_pos") - 1).cast("int")).drop("_pos")
 
 
 def inversion_counts(df: DataFrame, id_col: str, true_pos: str, pred_pos: str) -> DataFrame:
@@ -73,8 +75,11 @@ def inversion_counts(df: DataFrame, id_col: str, true_pos: str, pred_pos: str) -
     L of the positions: there ``i`` has bit 1, ``j`` bit 0 and both share the
     prefix above L.  So per (id, L, prefix) a running count of bit-1 items in true
     order, read at each bit-0 item, counts every inversion exactly once:
-    O(n log n) rows, all sorts per (id, level, prefix).
+    O(n log n) rows; the running counts are segmented (see ``segmented_cumsum``).
     """
+    from tessera.operators.ranking import segmented_cumsum
+    from tessera.session import materialize
+    df = materialize(df.select(id_col, true_pos, pred_pos), "positions")
     n = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("_n"))).cast("int") - 1, F.lit(0)))
     x = (df.join(n, id_col)
@@ -83,9 +88,20 @@ def inversion_counts(df: DataFrame, id_col: str, true_pos: str, pred_pos: str) -
     x = x.select(id_col, "_t", "_L",
                  F.expr("shiftright(_p, _L + 1)").alias("_node"),
                  F.expr("shiftright(_p, _L) & 1").alias("_bit"))
+    # running count per (id, level, prefix).  A node at level L holds at most
+    # 2^(L+1) items: when the largest id is small (checked on the one-row max)
+    # plain windows are bounded; otherwise levels >= 15 are segmented, so the top
+    # levels (a whole notebook) are never sorted by one task
     w = (Window.partitionBy(id_col, "_L", "_node").orderBy("_t")
          .rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_ones_before", F.coalesce(F.sum("_bit").over(w), F.lit(0)))
+    biggest = n.agg(F.max("_n")).first()[0] or 0
+    if biggest <= 1 << 16:
+        x = x.withColumn("_ones_before", F.coalesce(F.sum("_bit").over(w), F.lit(0)))
+    else:
+        low = x.where(F.col("_L") < 15).withColumn("_ones_before", F.coalesce(F.sum("_bit").over(w), F.lit(0)))
+        high = segmented_cumsum(x.where(F.col("_L") >= 15), [id_col, "_L", "_node"], ["_t"], "_bit",
+                                "_ones_before", inclusive=False)
+        x = low.unionByName(high)
     inv = (x.where(F.col("_bit") == 0).groupBy(id_col)
            .agg(F.sum("_ones_before").cast("bigint").alias("inversions")))
     return n.join(inv, id_col, "left").select(

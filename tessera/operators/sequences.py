@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 
 
 def step_log(df: DataFrame, run_col: str, order_cols, score_col: str, per_epoch: int = 3) -> DataFrame:
-    """Rows of each run numbered in order: step (0-based) and epoch = step // per_epoch."""
-    w = Window.partitionBy(run_col).orderBy(*order_cols)
-    return (df.withColumn("step", F.row_number().over(w) - 1)
+    """Rows of each run numbered in order: step (0-based) and epoch = step // per_epoch.
+
+    Numbering is a segmented count over the first order key (microseconds for
+    timestamps), so one very long run is not numbered by a single task."""
+    from tessera.operators.ranking import segmented_cumsum
+    first = order_cols[0]
+    key = "_okey"
+    d = df.withColumn(key, F.unix_micros(F.col(first).cast("timestamp"))
+                      if dict(df.dtypes).get(first, "").startswith("timestamp") else F.col(first))
+    d = segmented_cumsum(d, [run_col], [key, *order_cols[1:]], F.lit(1), "_n").drop(key)
+    return (d.withColumn("step", F.col("_n") - 1).drop("_n")
             .withColumn("epoch", F.floor(F.col("step") / per_epoch).cast("bigint"))
             .withColumn("score", F.col(score_col).cast("double")))
 
 
 def running_mean(df: DataFrame, run_col: str, order_col: str, val_col: str, n_col: str) -> DataFrame:
-    """Running (val, sum, count, avg) with weights n, as an online average meter does."""
-    w = Window.partitionBy(run_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", F.sum(F.col(val_col) * F.col(n_col)).over(w).alias("run_sum"),
-                     F.sum(n_col).over(w).alias("run_count")) \
-        .withColumn("run_avg", F.col("run_sum") / F.col("run_count"))
+    """Running (val, sum, count, avg) with weights n, as an online average meter does
+    (segmented running sums: a long run is not summed by one task)."""
+    from tessera.operators.ranking import segmented_cumsums
+    d = segmented_cumsums(df, [run_col], [order_col],
+                          {"run_sum": F.col(val_col) * F.col(n_col), "run_count": F.col(n_col)})
+    return d.withColumn("run_avg", F.col("run_sum") / F.col("run_count"))
 
 
 def moving_mean(df: DataFrame, run_col: str, order_col: str, val_col: str, width: int = 1000) -> DataFrame:
