@@ -32,19 +32,21 @@ def attach_rank(cells: DataFrame, orders: DataFrame, id_col="id", item_col="cell
     return ranked.join(n, id_col).withColumn("pct_rank", F.col("rank") / F.col("_n")).drop("_n")
 
 
-def pct_rank_avg(df: DataFrame, partition_cols, value_col: str, out: str = "pct_rank") -> DataFrame:
+def pct_rank_avg(df: DataFrame, partition_cols, value_col: str, out: str = "pct_rank",
+                 largest_group: int | None = None) -> DataFrame:
     """Percentile rank with average ties, 1-based, divided by group size.
 
     Ranks are computed on the distinct values of each group (pre-aggregated),
-    then joined back: ties collapse before the window sorts anything.
+    then joined back: ties collapse before anything is ordered.
     """
+    from tessera.operators.ranking import segmented_cumsum
     p = list(partition_cols)
     vals = df.groupBy(*p, value_col).agg(F.count(F.lit(1)).alias("_t"))
-    w = Window.partitionBy(*p).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    wn = Window.partitionBy(*p)
-    vals = vals.select(*p, value_col,
-                       (F.coalesce(F.sum("_t").over(w), F.lit(0)) + (F.col("_t") + 1) / 2.0).alias("_avg"),
-                       F.sum("_t").over(wn).alias("_n"))
+    # rows before each distinct value: a segmented running count over the distinct
+    # values, so a huge group is not ranked by one task
+    vals = segmented_cumsum(vals, p, [value_col], "_t", "_before", inclusive=False, largest_group=largest_group)
+    n = vals.groupBy(*p).agg(F.sum("_t").alias("_n"))
+    vals = vals.join(n, p).select(*p, value_col, (F.col("_before") + (F.col("_t") + 1) / 2.0).alias("_avg"), "_n")
     keys = p + [value_col]
     cond = [df[k].eqNullSafe(vals[k]) for k in keys]
     j = df.join(vals, cond, "left")
@@ -60,11 +62,11 @@ def ordered_list(df: DataFrame, id_col: str, pos_col: str, item_col: str, out: s
 
 
 def predicted_position(df: DataFrame, id_col: str, score_col: str, item_col: str,
-                       out: str = "pred_pos") -> DataFrame:
+                       out: str = "pred_pos", largest_group: int | None = None) -> DataFrame:
     """0-based position of each item when its id's items are sorted by score (ties by
     item); a segmented count, so a huge notebook is not sorted in one task."""
     from tessera.operators.ranking import segmented_cumsum
-    r = segmented_cumsum(df, [id_col], [score_col, item_col], F.lit(1), "_pos")
+    r = segmented_cumsum(df, [id_col], [score_col, item_col], F.lit(1), "_pos", largest_group=largest_group)
     return r.withColumn(out, (F.col("_pos") - 1).cast("int")).drop("_pos")
 
 
@@ -127,13 +129,19 @@ def md_ratio(cells: DataFrame, id_col: str = "id", type_col: str = "cell_type",
 
 
 def order_masks(cells: DataFrame, id_col="id", item_col="cell_id", pos_col="rank",
-                type_col="cell_type", md_value="markdown", seed: int = 42) -> DataFrame:
+                type_col="cell_type", md_value="markdown", seed: int = 42,
+                largest_group: int | None = None) -> DataFrame:
     """Per id: markdown mask in true order, a skeleton with code cells in place and
     the markdown cells dealt into the markdown slots in hashed order, the
     permutation used, and the markdown count."""
+    from tessera.operators.ranking import hashed_rank, segmented_cumsum
     md = cells.where(F.col(type_col) == md_value).withColumn("_h", hash_hex(seed, item_col))
-    slot = md.withColumn("_slot", F.row_number().over(Window.partitionBy(id_col).orderBy(pos_col, item_col)) - 1)
-    deal = md.withColumn("_slot", F.row_number().over(Window.partitionBy(id_col).orderBy("_h", item_col)) - 1)
+    # slot = markdown index in true order (segmented count); deal = index in hashed
+    # order (bucketed rank): neither sorts a whole notebook in one task
+    slot = segmented_cumsum(md, [id_col], [pos_col, item_col], F.lit(1), "_slot",
+                            largest_group=largest_group).withColumn(
+        "_slot", F.col("_slot") - 1)
+    deal = hashed_rank(md, "_h", [item_col], partition_cols=[id_col], out="_slot")
     fill = (slot.select(id_col, F.col(item_col).alias("_slot_item"), "_slot")
             .join(deal.select(id_col, "_slot", F.col(item_col).alias("_dealt")), [id_col, "_slot"])
             .join(slot.select(id_col, F.col(item_col).alias("_dealt"), F.col("_slot").alias("_src")),

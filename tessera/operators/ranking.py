@@ -54,15 +54,23 @@ def sort_with_position(df: DataFrame, order_cols, out: str = "position") -> Data
             .drop("_pid", "_mid", "_off"))
 
 
+def largest_group(df: DataFrame, group_cols) -> int:
+    """Rows in the largest group (one partial aggregate; a single number to the driver)."""
+    r = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    return int(r or 0)
+
+
 def segmented_cumsum(df: DataFrame, group_cols, order_cols, value, out: str, n_sub: int = 256,
-                     inclusive: bool = True) -> DataFrame:
+                     inclusive: bool = True, largest_group: int | None = None) -> DataFrame:
     """Running sum of ``value`` within each group in ``order_cols`` order (see
     :func:`segmented_cumsums`)."""
-    return segmented_cumsums(df, group_cols, order_cols, {out: value}, n_sub, inclusive)
+    return segmented_cumsums(df, group_cols, order_cols, {out: value}, n_sub, inclusive,
+                             largest_group=largest_group)
 
 
 def segmented_cumsums(df: DataFrame, group_cols, order_cols, values: dict, n_sub: int = 256,
-                      inclusive: bool = True) -> DataFrame:
+                      inclusive: bool = True, agg: str = "sum", largest_group: int | None = None,
+                      plain_max: int = 1 << 20) -> DataFrame:
     """Running sums of several values within each group in ``order_cols`` order,
     without sorting a whole group in one task.
 
@@ -71,13 +79,29 @@ def segmented_cumsums(df: DataFrame, group_cols, order_cols, values: dict, n_sub
     parallel and shifted by the totals of the earlier sub-ranges (a table of at
     most ``n_sub`` rows per group).  The sub-range is monotone in the key, so ties
     stay together and the result equals the plain per-group window.  A group
-    holding a third of all rows is spread over ``n_sub`` tasks.
+    holding a third of all rows is spread over ``n_sub`` tasks.  ``agg='max'``
+    gives running maxima instead (null until a non-null value is seen).
+
+    When the caller has checked the group sizes (``largest_group``, e.g. from
+    :func:`largest_group` on the source table) and no group exceeds ``plain_max``
+    rows, a plain per-group window is used; without a check the plan is segmented.
     """
+    fn = {"sum": F.sum, "max": F.max}[agg]
+    zero = F.lit(0) if agg == "sum" else F.lit(None)
     g = list(group_cols)
     key = order_cols[0]
     if not isinstance(key, str):
         raise ValueError("first order column must be a column name")
     names = list(values)
+    if largest_group is not None and largest_group <= plain_max:
+        # the caller checked the group sizes: no task sorts more than plain_max rows
+        w = Window.partitionBy(*g).orderBy(*order_cols).rowsBetween(
+            Window.unboundedPreceding, 0 if inclusive else -1)
+        x = df
+        for n in names:
+            v = values[n]
+            x = x.withColumn(n, F.coalesce(fn(F.col(v) if isinstance(v, str) else v).over(w), zero))
+        return x
     st = df.groupBy(*g).agg(F.min(key).cast("double").alias("_lo"), F.max(key).cast("double").alias("_hi"))
     x = df.join(st, g) if g else df.crossJoin(F.broadcast(st))
     span = F.col("_hi") - F.col("_lo")
@@ -90,12 +114,13 @@ def segmented_cumsums(df: DataFrame, group_cols, order_cols, values: dict, n_sub
     w = Window.partitionBy(*g, "_sub").orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     for i in range(len(names)):
-        x = x.withColumn(f"_l{i}", F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)))
-    tot = x.groupBy(*g, "_sub").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
+        x = x.withColumn(f"_l{i}", F.coalesce(fn(f"_v{i}").over(w), zero))
+    tot = x.groupBy(*g, "_sub").agg(*[fn(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
     before = Window.partitionBy(*g).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*g, "_sub", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}")
+    offs = tot.select(*g, "_sub", *[F.coalesce(fn(f"_s{i}").over(before), zero).alias(f"_o{i}")
                                     for i in range(len(names))])
     x = x.join(offs, g + ["_sub"])
     for i, n in enumerate(names):
-        x = x.withColumn(n, F.col(f"_o{i}") + F.col(f"_l{i}"))
+        comb = (F.col(f"_o{i}") + F.col(f"_l{i}")) if agg == "sum" else F.greatest(f"_o{i}", f"_l{i}")
+        x = x.withColumn(n, comb)
     return x.drop("_sub", *[f"_{p}{i}" for p in "vlo" for i in range(len(names))])

@@ -15,11 +15,17 @@ from tessera.sources import files
 from tessera.sources.tables import Tables
 
 
-def scored_cells(t):
+def notebook_bound(t):
+    """Cells in the largest notebook (checked on the source table)."""
+    from tessera.operators.ranking import largest_group
+    return largest_group(t.conversations, ["conv_id"])
+
+
+def scored_cells(t, bound=None):
     """Cells with true rank and a predicted score (markdown: hashed stand-in for a
     model output; code: average-tie percentile rank of the true position)."""
     cells = O.attach_rank(cells_frame(t), orders_frame(t))
-    code_pct = O.pct_rank_avg(cells, ["id", "cell_type"], "turn", out="_pct")
+    code_pct = O.pct_rank_avg(cells, ["id", "cell_type"], "turn", out="_pct", largest_group=bound)
     return code_pct.withColumn(
         "pred", F.when(F.col("cell_type") == "markdown", uniform(1, "cell_id")).otherwise(F.col("_pct"))).drop("_pct")
 
@@ -50,8 +56,9 @@ SELECT id, cell_id, cell_type, len_bin,
              / count(*) OVER (PARTITION BY id, cell_type), 6) AS pct_rank
 FROM cells""")
 def q_pct_rank_avg(spark, sf):
-    c = cells_frame(Tables(spark, sf)).withColumn("len_bin", F.floor(F.char_length("source") / 40))
-    r = O.pct_rank_avg(c, ["id", "cell_type"], "len_bin")
+    t = Tables(spark, sf)
+    c = cells_frame(t).withColumn("len_bin", F.floor(F.char_length("source") / 40))
+    r = O.pct_rank_avg(c, ["id", "cell_type"], "len_bin", largest_group=notebook_bound(t))
     return r.select("id", "cell_id", "cell_type", "len_bin", F.round("pct_rank", 6).alias("pct_rank"))
 
 
@@ -59,7 +66,8 @@ def q_pct_rank_avg(spark, sf):
 WITH {S.PRED_CTES}
 SELECT id, string_agg(cell_id, ' ' ORDER BY pred, cell_id) AS pred_order FROM placed GROUP BY id""")
 def q_predicted_order(spark, sf):
-    s = scored_cells(Tables(spark, sf))
+    t = Tables(spark, sf)
+    s = scored_cells(t, notebook_bound(t))
     lst = O.ordered_list(s.withColumn("_k", F.struct("pred", "cell_id")), "id", "_k", "cell_id", "items")
     return lst.select("id", F.array_join("items", " ").alias("pred_order"))
 
@@ -71,7 +79,9 @@ tot AS (SELECT sum(n * (n - 1)) AS total_2max FROM (SELECT id, count(*) AS n FRO
 SELECT CAST(inversions AS BIGINT) AS inversions, CAST(total_2max AS BIGINT) AS total_2max,
        round(1 - 4 * inversions / total_2max, 6) AS kendall_tau FROM inv, tot""")
 def q_kendall_tau(spark, sf):
-    s = O.predicted_position(scored_cells(Tables(spark, sf)), "id", "pred", "cell_id")
+    t = Tables(spark, sf)
+    b = notebook_bound(t)
+    s = O.predicted_position(scored_cells(t, b), "id", "pred", "cell_id", largest_group=b)
     k = O.kendall_tau(s, "id", "rank", "pred_pos")
     return k.select(F.col("inversions").cast("bigint").alias("inversions"),
                     F.col("total_2max").cast("bigint").alias("total_2max"),
@@ -116,7 +126,7 @@ SELECT id, list(shown ORDER BY turn) AS cell_shuffle,
 FROM x GROUP BY id""")
 def q_order_masks(spark, sf):
     t = Tables(spark, sf)
-    return O.order_masks(cells_frame(t), pos_col="turn")
+    return O.order_masks(cells_frame(t), pos_col="turn", largest_group=notebook_bound(t))
 
 
 _SPLIT_IDS = f"""

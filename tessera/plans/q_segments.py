@@ -23,8 +23,11 @@ def sampled_cells(t, n: int = N_SAMPLE, cell_type: str = "code"):
     ``rint(j * len / n)`` below len, the last cell forced in); when ``n >= len`` every
     cell, cut to 200 characters.  Positions come from per-notebook counts: no
     notebook's cells are collected to choose them."""
+    from tessera.operators.ranking import segmented_cumsum
+    from tessera.plans.q_order import notebook_bound
     c = cells_frame(t).where(F.col("cell_type") == cell_type)
-    c = c.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("turn", "cell_id")) - 1)
+    c = segmented_cumsum(c, ["id"], ["turn", "cell_id"], F.lit(1), "pos", largest_group=notebook_bound(t)) \
+        .withColumn("pos", F.col("pos") - 1)
     cnt = c.groupBy("id").agg(F.count(F.lit(1)).alias("len"))
     idx = A.sample_positions(F.col("len"), n)
     last = F.col("len") - 1
@@ -74,9 +77,13 @@ def q_concat_segments(spark, sf):
     """Each markdown cell's words (cut) followed by the notebook's first 20 code cells'
     leading words (last of each dropped), clipped.  The side list per notebook is
     bounded (20 cells x a few tokens)."""
-    c = cells_frame(Tables(spark, sf)).withColumn("w", _words("source"))
-    code = c.where(F.col("cell_type") == "code").withColumn(
-        "k", F.row_number().over(Window.partitionBy("id").orderBy("turn", "cell_id"))).where(F.col("k") <= MAX_SIDE)
+    from tessera.plans.q_order import notebook_bound
+    t = Tables(spark, sf)
+    c = cells_frame(t).withColumn("w", _words("source"))
+    from tessera.operators.ranking import segmented_cumsum
+    code = segmented_cumsum(c.where(F.col("cell_type") == "code"), ["id"], ["turn", "cell_id"], F.lit(1), "k",
+                            largest_group=notebook_bound(t)) \
+        .where(F.col("k") <= MAX_SIDE)
     side = code.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.slice("w", 1, SIDE_TOK - 1).alias("t"))))
                                   .alias("_s"))
     side = side.select("id", F.flatten(F.transform("_s", lambda x: x["t"])).alias("s"))

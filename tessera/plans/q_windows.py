@@ -15,9 +15,15 @@ e AS (SELECT *, step // 3 AS epoch FROM s)
 """
 
 
-def steps(t):
+def run_bound(t):
+    """Rows in the longest run (checked on the source table)."""
+    from tessera.operators.ranking import largest_group
+    return largest_group(t.events, ["user_id"])
+
+
+def steps(t, bound=None):
     e = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    return SQ.step_log(e, "user_id", ["ts", "event_id"], "value")
+    return SQ.step_log(e, "user_id", ["ts", "event_id"], "value", largest_group=bound)
 
 
 def _avg6(cents, n):
@@ -33,9 +39,11 @@ r AS (SELECT event_id, user_id, step, n, sum(cents * n) OVER w AS sc, sum(n) OVE
 SELECT event_id, user_id, step, n, CAST(sc AS DOUBLE) / 100 AS run_sum, run_count, {_avg6('sc', 'run_count')} AS run_avg FROM r""")
 def q_running_mean(spark, sf):
     """Running weighted mean of 2-decimal scores in exact decimal arithmetic."""
-    s = steps(Tables(spark, sf)).withColumn("n", 1 + F.col("k") % 4) \
+    t = Tables(spark, sf)
+    b = run_bound(t)
+    s = steps(t, b).withColumn("n", 1 + F.col("k") % 4) \
         .withColumn("score", F.col("score").cast("decimal(18,2)"))
-    r = SQ.running_mean(s, "user_id", "step", "score", "n")
+    r = SQ.running_mean(s, "user_id", "step", "score", "n", largest_group=b)
     return r.select("event_id", "user_id", "step", "n", F.col("run_sum").cast("double").alias("run_sum"), "run_count",
                     F.round("run_avg", 6).cast("double").alias("run_avg"))
 
@@ -47,8 +55,10 @@ m AS (SELECT event_id, user_id, sum(cents) OVER w AS sc, count(*) OVER w AS n
       FROM c WINDOW w AS (PARTITION BY user_id ORDER BY step ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
 SELECT event_id, user_id, {_avg6('sc', 'n')} AS moving_avg FROM m""")
 def q_moving_mean(spark, sf):
-    s = steps(Tables(spark, sf)).withColumn("score", F.col("score").cast("decimal(18,2)"))
-    m = SQ.moving_mean(s, "user_id", "step", "score", 1000)
+    t = Tables(spark, sf)
+    b = run_bound(t)
+    s = steps(t, b).withColumn("score", F.col("score").cast("decimal(18,2)"))
+    m = SQ.moving_mean(s, "user_id", "step", "score", 1000, largest_group=b)
     return m.select("event_id", "user_id", F.round("moving_avg", 6).cast("double").alias("moving_avg"))
 
 
@@ -72,7 +82,9 @@ WITH {EARLY_SQL}
 SELECT event_id, user_id, step, CAST(epoch AS BIGINT) AS epoch, improved, best, CAST(best_epoch AS BIGINT) AS best_epoch,
        CAST(counter AS BIGINT) AS counter, stop_now, stopped FROM g""")
 def q_early_stop(spark, sf):
-    e = SQ.early_stopping(steps(Tables(spark, sf)), run_col="user_id", patience=6)
+    t = Tables(spark, sf)
+    b = run_bound(t)
+    e = SQ.early_stopping(steps(t, b), run_col="user_id", patience=6, largest_group=b)
     return e.select("event_id", "user_id", "step", "epoch", "improved", "best",
                     F.col("best_epoch").cast("bigint").alias("best_epoch"), F.col("counter").cast("bigint").alias("counter"),
                     "stop_now", "stopped")
