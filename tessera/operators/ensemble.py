@@ -90,3 +90,37 @@ def roulette_cumshare(cands: DataFrame, obj_col: str = "score", id_col: str = "c
     tot = Window.partitionBy()
     return f.select(id_col, obj_col, "fitness",
                     (F.sum("fitness").over(w) / F.sum("fitness").over(tot)).alias("cum_share"))
+
+
+def refine_grid(best, step: float = 0.02, radius: float = 0.1):
+    """Simplex points within ``radius`` of ``best`` (per weight) on a finer ``step``;
+    the last weight closes the sum to one.  A bounded candidate list."""
+    m = int(round(radius / step))
+    offsets = [k * step for k in range(-m, m + 1)]
+    out = []
+
+    def rec(prefix, i):
+        if i == len(best) - 1:
+            last = 1.0 - sum(prefix)
+            if last >= -1e-12 and abs(last - best[-1]) <= radius + 1e-12:
+                out.append([round(x, 10) for x in prefix] + [round(max(last, 0.0), 10)])
+            return
+        for o in offsets:
+            w = best[i] + o
+            if w >= -1e-12:
+                rec(prefix + [max(w, 0.0)], i + 1)
+    rec([], 0)
+    return out
+
+
+def weight_search(wide: DataFrame, pred_cols, coarse_step: float = 0.1, fine_step: float = 0.02,
+                  radius: float = 0.1, **kw):
+    """Two-stage exact search: a coarse simplex grid, then a finer grid around the
+    best point.  Each stage is one Spark job over the whole OOF table; only the
+    best weight vector (one row) returns to the driver between stages.
+    Returns (scored fine candidates DataFrame, fine candidate list)."""
+    coarse = simplex_grid(len(pred_cols), coarse_step)
+    sc = score_candidates(wide, coarse, pred_cols, **kw)
+    best_id = sc.agg(F.min_by("cand_id", F.struct(F.round("score", 9), F.col("cand_id")))).first()[0]
+    fine = refine_grid(coarse[best_id], fine_step, radius)
+    return score_candidates(wide, fine, pred_cols, **kw), fine

@@ -31,22 +31,58 @@ def column_levels(df: DataFrame, approx: bool = False) -> DataFrame:
     return one.selectExpr(f"stack({len(df.columns)}, {', '.join(parts)}) AS (`column`, levels, dtype)")
 
 
-def describe_numeric(df: DataFrame, cols, exact: bool = True) -> DataFrame:
+def sorted_quantiles(df: DataFrame, col: str, probs) -> DataFrame:
+    """Exact linear-interpolation quantiles from one distributed sort: the rows at
+    ranks ``floor(q (n-1))`` and ``ceil(q (n-1))`` are picked by their positions
+    (range-partitioned sort + per-partition offsets); nothing is buffered per value.
+    One row: ``q0, q1, ...``."""
+    from tessera.operators.ranking import sort_with_position
+    v = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    pos = sort_with_position(v, [F.asc("_x")], out="_pos")
+    n = pos.agg(F.count(F.lit(1)).alias("_n"))
+    picks = []
+    for i, q in enumerate(probs):
+        r = F.lit(float(q)) * (F.col("_n") - 1)
+        picks.append((i, F.floor(r).cast("bigint"), F.ceil(r).cast("bigint"), r - F.floor(r)))
+    want = n.select(*[c.alias(f"_{k}{i}") for i, lo, hi, fr in picks for k, c in (("lo", lo), ("hi", hi), ("fr", fr))])
+    j = pos.crossJoin(F.broadcast(want))
+    aggs = []
+    for i, _, _, _ in picks:
+        aggs += [F.max(F.when(F.col("_pos") == F.col(f"_lo{i}"), F.col("_x"))).alias(f"_a{i}"),
+                 F.max(F.when(F.col("_pos") == F.col(f"_hi{i}"), F.col("_x"))).alias(f"_b{i}"),
+                 F.first(f"_fr{i}").alias(f"_f{i}")]
+    one = j.agg(*aggs)
+    return one.select(*[(F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(f"q{i}")
+                        for i, _, _, _ in picks])
+
+
+def describe_numeric(df: DataFrame, cols, exact: bool = True, max_buffered: int = 1_000_000) -> DataFrame:
     """count / mean / std / min / 25 % / 50 % / 75 % / max per column, long form.
 
-    Exact quartiles use linear interpolation (``percentile``), which buffers the
-    distinct values of a column; ``exact=False`` switches to ``percentile_approx``.
-    One aggregate per column (a combined pass holding every column's percentile
-    buffer at once measured slower).
+    Quartiles interpolate linearly.  Exact ``percentile`` buffers a column's
+    distinct values in one task, so it is used only when a first pass of
+    ``approx_count_distinct`` shows at most ``max_buffered`` values; otherwise the
+    quartiles come from one distributed sort (:func:`sorted_quantiles`).
+    ``exact=False`` uses ``percentile_approx``.
     """
+    distinct = (df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
+                if exact else {})
     out = None
     for c in cols:
         x = F.col(c)
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
-        row = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                     F.min(x).cast("double").alias("min"), q.alias("_q"), F.max(x).cast("double").alias("max"))
-        row = row.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                         F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                      F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+        if not exact:
+            q = df.agg(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias("_q"))
+            q = q.select(*[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+        elif (distinct.get(c) or 0) <= max_buffered:
+            q = df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
+            q = q.select(*[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+        else:
+            q = sorted_quantiles(df, c, [0.25, 0.5, 0.75])
+        row = base.crossJoin(q).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
+                                       F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"),
+                                       "max")
         out = row if out is None else out.unionByName(row)
     return out
 

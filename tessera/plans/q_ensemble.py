@@ -227,3 +227,17 @@ def q_loss_metrics(spark, sf):
     cl = lg.agg(F.avg(bce_with_logits(x, y)).alias("bce"), F.avg(cross_entropy_binary(zero, x, y)).alias("ce"),
                 F.avg(fl).alias("focal_mean"), F.sum(fl).alias("focal_sum"))
     return _r6(reg.crossJoin(cl), ["smooth_l1", "mae", "bce", "ce", "focal_mean", "focal_sum"])
+
+
+@query("weight_refine")
+def q_weight_refine(spark, sf):
+    """Coarse simplex grid, then a finer grid around its best point (rows-only check:
+    the second grid depends on the first stage's winner)."""
+    from tessera.session import materialize
+    wide = materialize(_wide(Tables(spark, sf)), "oof_wide")
+    sc, fine = EN.weight_search(wide, ["p0", "p1", "p2"], clip_cols=("lo", "hi"))
+    cands = spark.createDataFrame([(i, *w) for i, w in enumerate(fine)], "cand_id int, w0 double, w1 double, w2 double")
+    g = F.broadcast(cands).join(sc, "cand_id")
+    best = g.agg(F.min_by("cand_id", F.struct(F.round("score", 9), F.col("cand_id"))).alias("_best"))
+    return (g.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("cand_id") == F.col("_best"))
+            .select("cand_id", "w0", "w1", "w2", F.round("score", 6).alias("score"), "is_best"))

@@ -205,3 +205,37 @@ def test_segmented_kendall_path(spark):
                 out.append(right[j]); j += 1; inv += len(left) - i
         return out + left[i:] + right[j:], inv
     assert got == count(perm)[1]
+
+
+def test_refine_grid_on_simplex():
+    from tessera.operators.ensemble import refine_grid, simplex_grid
+    assert len(simplex_grid(3, 0.1)) == 66
+    pts = refine_grid([0.2, 0.5, 0.3], step=0.05, radius=0.1)
+    assert [0.2, 0.5, 0.3] in pts
+    for p in pts:
+        assert abs(sum(p) - 1) < 1e-9 and min(p) >= 0
+        assert all(abs(a - b) <= 0.1 + 1e-9 for a, b in zip(p, [0.2, 0.5, 0.3]))
+
+
+def test_sorted_quantiles_match_percentile(spark):
+    import random
+
+    from tessera.operators.profile import sorted_quantiles
+    rng = random.Random(2)
+    df = spark.createDataFrame([(float(rng.randint(0, 300)),) for _ in range(2001)] + [(None,)], "x double")
+    got = sorted_quantiles(df, "x", [0.25, 0.5, 0.75, 0.9]).first()
+    want = df.agg(F.percentile("x", [0.25, 0.5, 0.75, 0.9]).alias("p")).first().p
+    assert [round(v, 9) for v in got] == [round(v, 9) for v in want]
+    tiny = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
+    assert sorted_quantiles(tiny, "x", [0.25]).first()[0] == 1.75
+
+
+def test_describe_sort_path_equals_buffered_path(spark):
+    from tessera.operators.profile import describe_numeric
+    from tessera.sources.tables import table
+    li = table(spark, "/root/testdata/sf0.001", "lineitem")
+    cols = ["l_quantity", "l_extendedprice"]
+    a = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in describe_numeric(li, cols).collect())
+    b = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+               for r in describe_numeric(li, cols, max_buffered=0).collect())
+    assert a == b
