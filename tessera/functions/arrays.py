@@ -82,21 +82,32 @@ def label_suffix(ids, mask, targets, sep: int = SEP_ID):
     return F.concat(_c(ids), F.array(*extra)), F.concat(_c(mask), F.array(*[F.lit(1)] * (2 * len(targets))))
 
 
-def mask_tokens(ids, key, p: float = 0.15, seed: int = 42):
-    """Independent masking: position i of row ``key`` is masked when
-    ``u(seed, key, i) < p`` and the id is not special.  Returns (masked ids, labels)
-    with labels = original id at masked positions, -100 elsewhere."""
+def mask_hits(ids, key, p: float = 0.15, seed: int = 42) -> Column:
+    """Per position i of row ``key``: masked when ``u(seed, key, i) < p`` and the id
+    is not special (an array of booleans, one hash per token)."""
     specials = F.array(*[F.lit(s) for s in SPECIAL_IDS])
 
     def hit(x, i):
         h = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), i.cast("string")))
         u = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
         return (u < p) & ~F.array_contains(specials, x)
-    masked = F.transform(_c(ids), lambda x, i: F.when(hit(x, i), F.lit(MASK_ID)).otherwise(x))
-    labels = F.transform(_c(ids), lambda x, i: F.when(hit(x, i), x).otherwise(F.lit(IGNORE_LABEL)))
+    return F.transform(_c(ids), hit)
+
+
+def apply_mask(ids, hits):
+    """(masked ids, labels) from a hit array: labels = original id at masked
+    positions, -100 elsewhere."""
+    masked = F.zip_with(_c(ids), _c(hits), lambda x, h: F.when(h, F.lit(MASK_ID)).otherwise(x))
+    labels = F.zip_with(_c(ids), _c(hits), lambda x, h: F.when(h, x).otherwise(F.lit(IGNORE_LABEL)))
     return masked, labels
 
 
+def mask_tokens(ids, key, p: float = 0.15, seed: int = 42):
+    """Independent masking: (masked ids, labels).  Select :func:`mask_hits` into a
+    column first and use :func:`apply_mask` to hash each token only once."""
+    return apply_mask(ids, mask_hits(ids, key, p, seed))
+
+
 def _mask_ngrams_row(ids: np.ndarray, seed: int, vocab_size: int, budget_frac=0.15,
                      max_n: int = 3, protect=(CLS_ID, SEP_ID)):
     """Greedy n-gram masking of one row (sequential by nature)."""

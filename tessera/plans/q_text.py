@@ -141,9 +141,10 @@ SELECT doc_id,
                                       AND NOT list_contains({SPECIALS_SQL}, x) THEN x ELSE {A.IGNORE_LABEL} END) AS labels
 FROM c""")
 def q_mask_tokens(spark, sf):
-    e = encoded_docs(Tables(spark, sf))
-    masked, labels = A.mask_tokens(A.with_specials("input_ids"), "doc_id", p=0.15, seed=42)
-    return e.select("doc_id", masked.alias("input_ids"), labels.alias("labels"))
+    e = encoded_docs(Tables(spark, sf)).select("doc_id", A.with_specials("input_ids").alias("ids"))
+    h = e.select("doc_id", "ids", A.mask_hits("ids", "doc_id", p=0.15, seed=42).alias("hits"))
+    masked, labels = A.apply_mask("ids", "hits")
+    return h.select("doc_id", masked.alias("input_ids"), labels.alias("labels"))
 
 
 @query("mask_ngrams")
