@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import documents
+from . import language_id, packing, secret_scan
+from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
 from .registry import query
 
 
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    """Learned from the documents that are not held out; every document predicted."""
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = language_id.train(docs, ~held_out)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+                        F.col("lang_rejected").alias("rejected"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
 @query("op8_line_dedup", sql=r"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw,
