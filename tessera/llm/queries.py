@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, packing, secret_scan
+from . import language_id, near_dedup, packing, secret_scan
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
@@ -27,6 +27,11 @@ def op3_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.components(documents(spark, sf_dir), words=4, percent=80)
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
