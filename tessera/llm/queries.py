@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, secret_scan
+from . import decontaminate, language_id, near_dedup, packing, secret_scan
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
@@ -58,6 +58,12 @@ def op8_line_dedup(spark, sf_dir):
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, exact or edited."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     return judge_documents(documents(spark, sf_dir))
