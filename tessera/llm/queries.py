@@ -9,6 +9,7 @@ from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
 from .registry import query
+from .substring_dedup import remove_repeats
 
 
 @query("op1_language_id")
@@ -22,6 +23,11 @@ def op1_language_id(spark, sf_dir):
                         F.col("lang_rejected").alias("rejected"))
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir), window=50)
+
+
 @query("op3_secret_scan")
 def op3_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
