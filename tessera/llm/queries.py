@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, secret_scan
+from . import decontaminate, language_id, near_dedup, packing, secret_scan, suffix_dedup
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
@@ -43,6 +43,11 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=200)
+
+
 @query("op8_line_dedup", sql=r"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw,
