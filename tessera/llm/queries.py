@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, secret_scan, suffix_dedup
+from . import decontaminate, language_id, lm_score, near_dedup, packing, secret_scan, suffix_dedup
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
@@ -33,6 +33,14 @@ def op3_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark, sf_dir):
+    """Learned from the documents that are not held out; every document scored."""
+    scored = lm_score.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_dedup.components(documents(spark, sf_dir), words=4, percent=80)
