@@ -21,16 +21,16 @@ from tessera.session import materialize
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with enough calibrated probability."""
     model = language_id.train(docs, remainder(F.col("doc_id"), 5) != 0)
-    return language_id.predict(docs, model).filter("NOT lang_rejected").select(*docs.columns)
+    return language_id.keep_recognised(docs, model)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the later occurrences of lines that many sites carry."""
     out = line_dedup.remove_boilerplate(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text"))
-                             .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,10 +19,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_rows, small_batches
 from .common import spread
 
 BITS, DIM, CHUNK = 12, 16, 1 << 20
@@ -149,24 +150,37 @@ def train(docs: DataFrame, learn: Column | None = None, max_rows: int = 2400) ->
             "least": least}
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of ``docs``, and ``lang_pred``, ``lang_score`` (calibrated), ``lang_rejected``."""
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+def _classify(texts: list[str | None], model: dict | None) -> list[tuple[str, float, bool]]:
+    out = []
+    for text in texts:
+        c = None if model is None else subword_counts(text)
+        if c is None:
+            out.append(("und", 0.0, True))
+            continue
+        p = _softmax(c @ model["weights"] / c.sum() + model["bias"])
+        k = int(p.argmax())
+        out.append((model["langs"][k], float(p[k]), bool(p[k] < model["least"])))
+    return out
 
-    more = [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()),
-            StructField("lang_rejected", BooleanType())]
-    schema = StructType([f for f in docs.schema if f.name not in {m.name for m in more}] + more)
+
+def predict(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, lang_pred, lang_score (calibrated), lang_rejected: a row for each row of ``docs``."""
+    names = ("lang_pred", "lang_score", "lang_rejected")
 
     def run(texts):
-        out = []
-        for text in texts:
-            c = None if model is None else subword_counts(text)
-            if c is None:
-                out.append(("und", 0.0, True))
-                continue
-            p = _softmax(c @ model["weights"] / c.sum() + model["bias"])
-            k = int(p.argmax())
-            out.append((model["langs"][k], float(p[k]), bool(p[k] < model["least"])))
-        return {m.name: [o[i] for o in out] for i, m in enumerate(more)}
-
-    return map_rows(spread(docs), run, ["text"], schema)
+        out = _classify(texts, model)
+        return {n: [o[i] for o in out] for i, n in enumerate(names)}
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return map_rows(spread(docs.select("doc_id", "text")), run, ["text"],
+                    f"doc_id {kind}, lang_pred string, lang_score double, lang_rejected boolean")
+
+
+def keep_recognised(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of ``docs`` whose prediction is not rejected."""
+    def run(batches):
+        for batch in batches:
+            out = _classify(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
+            yield batch.filter(pa.array([not o[2] for o in out], pa.bool_()))
+
+    return small_batches(spread(docs)).mapInArrow(run, docs.schema)

@@ -51,20 +51,23 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 5, min_chars: int = 16,
         spreads.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "first")), "line-boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 16, lg_k: int = 8) -> DataFrame:
-    """All columns of ``docs``, ``text`` without boilerplate lines (null stays null), and
-    ``n_lines``, ``n_removed_lines``."""
+def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 16, lg_k: int = 8,
+                       counts: bool = False) -> DataFrame:
+    """The columns of ``docs``, ``text`` without boilerplate lines (null stays null); or,
+    for ``counts``, doc_id, text, n_lines, n_removed_lines."""
     docs = spread(docs)
     boiler = boilerplate_lines(docs, min_sites, min_chars, lg_k)
     hits = _lines(keyed(docs, "source"), min_chars).join(boiler, ["h1", "h2"])
     gone = (hits.filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.idx") == F.col("idx"))))
             .groupBy("doc_id", "text_key").agg(F.collect_set("idx").alias("gone")))
-    left = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = left.join(gone, same_document(left, gone), "left").select(
-        *[left[c] for c in docs.columns], gone["gone"])
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text",
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    out = left.join(gone, same_document(left, gone), "left")
+    text = F.expr(r"CASE WHEN gone IS NULL THEN text ELSE array_join(filter(split(text, '\n', -1), "
+                  r"(l, i) -> NOT array_contains(gone, i)), '\n') END").alias("text")
+    if not counts:
+        return out.select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
     return out.select(
-        *[c for c in docs.columns if c != "text"],
-        F.expr(r"CASE WHEN gone IS NULL THEN text ELSE array_join(filter(split(text, '\n', -1), "
-               r"(l, i) -> NOT array_contains(gone, i)), '\n') END").alias("text"),
+        left["doc_id"], text,
         F.expr(r"CASE WHEN text IS NULL THEN 0 ELSE size(split(text, '\n', -1)) END").cast("long").alias("n_lines"),
         F.greatest(F.lit(0), F.size("gone")).cast("long").alias("n_removed_lines"))

@@ -6,20 +6,24 @@ intersection of their sets is ``percent`` % of the union or more; the result is
 connected components of the links.
 
 1. One map over whole texts gives each document the size and a 128-bit fingerprint of its
-   set, 128 MinHash samples, cut into 32 bands of 4, and an odd sketch: the samples
-   hashed into a bitmap of 512 parities.
+   set, 128 MinHash samples, cut into 32 bands of 4, and an odd sketch: one-permutation
+   MinHash samples (the least hash in each of 1024 ranges) folded into 2048 parities.
 2. Equal sets are one class, found by one aggregation, with its smallest doc_id.  From here
    on only classes are compared, so copies by the thousand weigh as much as one document.
 3. Classes that share a band are candidates (a pair at 0.8 is missed with probability
    5e-8).  A bucket is not expanded into pairs: each member meets the bucket's smallest
-   and largest id.  The XOR of two odd sketches estimates a pair's similarity; estimates
-   far below the limit (over five standard errors) are dropped, and each class has its two
-   likeliest pairs confirmed on full sets.
-4. The confirmed links give components.  Buckets in which several components still meet
-   then yield all pairs between members of different components, less those that were
-   confirmed or refuted before; their sketches are compared and the likely ones
-   confirmed.  Every candidate pair is thus inside one component or checked: nothing is
-   capped.
+   and largest id.  The XOR of two odd sketches estimates a pair's similarity; pairs
+   whose estimate lies six standard errors below the limit are dropped, and each class has its
+   likeliest pair confirmed on full sets.
+4. The confirmed links give components.  Where several still meet in a bucket, each class
+   gets the number of its shingles that other components have too: a link to another
+   component needs that many at least, which rules out most classes.  The class with the
+   largest such share is nearest to what the bucket's members were copied from; all of
+   other components meet it, and links are confirmed and components joined again.
+5. The buckets that are still mixed then yield all pairs between members of different
+   components, less those that their shared shingles, their sizes or their sketches rule
+   out and those confirmed or refuted before.  Every candidate pair is thus inside one
+   component or checked: nothing is capped.
 
 Only texts of candidate documents are kept for confirmation.  Nulls: a null text is
 empty; empty sets are linked with nothing; a null doc_id is linked with nothing and kept.
@@ -43,10 +47,11 @@ from .arrow import arrow_schema, map_rows, record_batch, small_batches
 from .common import keyed, spread
 from .components import connected
 
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: estimates this far below the limit are not confirmed: over five standard errors of 128 samples
-SLACK = 0.2
+BINS, BITS = 1024, 2048
+#: pairs whose estimate is so many standard errors below the limit are not confirmed
+ERRORS = 6
 
 
 @lru_cache(1)
@@ -70,10 +75,15 @@ def min_hashes(x: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Parities of the samples' places, as 8 integers."""
-    place = shingle.mix(low + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BITS)
-    return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS) & 1).view(np.int64)
+def odd_sketch(x: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash (the least hash of each of BINS equal ranges) folded into
+    BITS parities, then which ranges have a hash; as integers of 64 bits."""
+    bins = (x >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))  # x is sorted
+    place = (shingle.mix(x[first]) % np.uint64(BITS)).astype(np.int64)
+    some = np.zeros(BINS, dtype=np.int64)
+    some[bins[first]] = 1
+    return np.packbits(np.concatenate([np.bincount(place, minlength=BITS) & 1, some])).view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -91,7 +101,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             band = shingle.mix(shingle.windows(low, ROWS)[::ROWS] + step)
             out.append((len(x), int(shingle.signed(np.sum(shingle.mix(x), keepdims=True))[0]),
                         int(shingle.signed(np.sum(shingle.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keepdims=True))[0]),
-                        shingle.signed(band), odd_sketch(low)))
+                        shingle.signed(band), odd_sketch(x)))
         names = ("n_shingles", "set_a", "set_b", "bands", "odd")
         return {n: [r[i] for r in out] for i, n in enumerate(names)}
 
@@ -100,10 +110,27 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>")
 
 
-def estimate(x: str, y: str):
-    """Similarity from the XOR of two odd sketches."""
-    odd = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64))
-    return F.expr(f"1 + {BITS / 4 / SAMPLES}D * ln(greatest(1e-9D, 1 - 2D * ({odd}) / {BITS}))")
+def _bits(x: str, op: str, y: str, first: int, end: int) -> str:
+    return "(" + " + ".join(f"bit_count({x}[{i}] {op} {y}[{i}])" for i in range(first // 64, end // 64)) + ")"
+
+
+def estimate(x: str, y: str) -> str:
+    """Similarity: samples that agree, by the XOR of the parities, of the ranges that either
+    set fills."""
+    differ = f"(-{BITS / 2}D * ln(greatest(1e-9D, 1 - 2D * {_bits(x, '^', y, 0, BITS)} / {BITS})))"
+    either, both = (_bits(x, op, y, BITS, BITS + BINS) for op in "|&")
+    return f"(({either} + {both} - {differ}) / 2D / {either})"
+
+
+def may_reach(x: str, y: str, size: str, percent: int) -> str:
+    """Whether the estimate leaves the limit possible.  ``size`` is the sum of the set sizes:
+    few ranges of a large set are a sample, nearly all of a small one are the set; and
+    parities collide."""
+    t, either = percent / 100, _bits(x, "|", y, BITS, BITS + BINS)
+    differ = f"({2 * (1 - t)}D * {either})"
+    variance = (f"({t * (1 - t)}D / {either} * greatest(0D, 1 - {either} * {1 + t}D / {size}) "
+                f"+ pow({differ} / {either}, 2) / {2 * BITS}D)")
+    return f"{estimate(x, y)} >= {t}D - 0.01D - {ERRORS}D * sqrt({variance})"
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -112,8 +139,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             for n in "ab"]
     return (pairs.join(side[0], "a").join(side[1], "b")
             .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-            .withColumn("like", estimate("odd_a", "odd_b")).filter(F.col("like") >= percent / 100 - SLACK)
-            .select("a", "b", "like"))
+            .filter(may_reach("odd_a", "odd_b", "(n_a + n_b)", percent))
+            .select("a", "b", F.expr(estimate("odd_a", "odd_b")).alias("like")))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,6 +162,49 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return small_batches(pairs.select("a", "b").join(side[0], "a").join(side[1], "b")).mapInArrow(run, schema)
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (bucket, doc) with their components, of the buckets that hold several."""
+    now = members.join(found, members["doc"] == found["node"], "left").select(
+        *members.columns, F.coalesce("component", "doc").alias("component"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return now.join(materialize(several.select("bucket"), "near-several"), "bucket", "left_semi")
+
+
+def _shared(now: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc, size, shared: of the documents of ``now`` whose shingles that other components
+    have too would do for a link."""
+    def run(ids, groups, rows):
+        sets = [shingle_set(t, words) for t in rows]
+        sizes = [len(x) for x in sets]
+        return {"doc": np.repeat(np.array(ids, dtype=np.int64), sizes), "own": np.repeat(np.array(groups, dtype=np.int64), sizes),
+                "size": np.repeat(np.array(sizes, dtype=np.int64), sizes),
+                "h": shingle.signed(np.concatenate([np.zeros(0, np.uint64), *sets]))}
+
+    docs = now.select("doc", "component").distinct()
+    rows = map_rows(texts.join(docs, texts["doc_id"] == docs["doc"]).select("doc", "component", "text"), run,
+                    ["doc", "component", "text"], "doc long, own long, size long, h long", rows=64)
+    among = rows.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x < y").select("h")
+    among = materialize(among, "near-among")
+    return (rows.join(among, "h", "left_semi").groupBy("doc").agg(F.max("size").alias("size"), F.count("*").alias("shared"))
+            .filter(f"100 * shared >= {percent} * size"))
+
+
+def _possible(x: str, y: str, percent: int) -> str:
+    """The fewer shared shingles of two sets against what a link between their sizes takes."""
+    return f"{100 + percent} * least({x}shared, {y}shared) >= {percent} * ({x}size + {y}size)"
+
+
+def _further(pairs: DataFrame, checked: DataFrame, links: DataFrame, found: DataFrame, classes: DataFrame,
+             texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirms the likely ones of some more pairs and joins components."""
+    new = _likely(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), classes, percent)
+    new = materialize(_confirm(new, texts, words, percent), "near-checked")
+    more = new.filter("linked").select("a", "b")
+    if more.isEmpty():
+        return checked.unionByName(new), links, found
+    return checked.unionByName(new), links.unionByName(more), connected(links.unionByName(more))
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), kept: a row a row."""
     made = materialize(sketches(docs, words), "near-sketches")
@@ -144,7 +214,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         .agg(F.min("doc_id").cast("long").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
         "near-classes")
     members = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    ends = materialize(members.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+                       .filter("low < high"), "near-ends")
     members = materialize(members.join(ends, "bucket"), "near-buckets")
 
     def pairs(x, y):
@@ -160,21 +231,32 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = checked.filter("linked").select("a", "b")
     found = connected(links)
 
-    now = members.join(found, members["doc"] == found["node"], "left").select(
-        "bucket", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    now = materialize(now.join(mixed.select("bucket"), "bucket", "left_semi"), "near-mixed")
-    largest = (now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
-               .agg(F.max(F.struct("n", "component")).alias("x")).select("bucket", F.col("x.component").alias("main")))
-    minor = now.join(largest, "bucket").filter("component <> main").select(
-        "bucket", F.col("doc").alias("p"), F.col("component").alias("own"))
-    rest = (minor.join(now, "bucket").filter("own <> component")
-            .select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-            .join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    rest = materialize(_likely(rest, classes, percent), "near-rest")
-    if not rest.isEmpty():
-        more = materialize(_confirm(rest, texts, words, percent).filter("linked").select("a", "b"), "near-links")
-        found = connected(links.union(more))
+    now = _mixed(members.select("bucket", "doc"), found)
+    now = materialize(now.join(_shared(now, texts, words, percent), "doc"), "near-mixed")
+    hub = materialize(now.groupBy("bucket").agg(
+        F.max(F.struct(F.col("shared") / F.col("size"), "doc", "shared", "size", "component")).alias("hub")), "near-hubs")
+    near = now.join(hub, "bucket").filter("component <> hub.component").select(
+        "doc", "shared", "size", F.col("hub.doc").alias("to"), F.col("hub.shared").alias("to_shared"),
+        F.col("hub.size").alias("to_size"))
+    pairs = near.filter(_possible("", "to_", percent)).select(F.least("doc", "to").alias("a"), F.greatest("doc", "to").alias("b"))
+    checked, links, found = _further(pairs, checked, links, found, classes, texts, words, percent)
+
+    now = materialize(_mixed(now.drop("component"), found), "near-mixed")
+    now = materialize(now.join(classes.select(F.col("rep").alias("doc"), "odd", "bands"), "doc"), "near-mixed-sketches")
+    largest = materialize(
+        now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
+        .agg(F.max(F.struct("n", "component")).alias("x")).select("bucket", F.col("x.component").alias("main")), "near-main")
+    minor = materialize(now.join(largest, "bucket").filter("component <> main").select(
+        F.col("bucket").alias("p_bucket"), F.col("doc").alias("p"), F.col("component").alias("own"),
+        F.col("shared").alias("p_shared"), F.col("size").alias("p_size"), F.col("odd").alias("p_odd"),
+        F.col("bands").alias("p_bands")), "near-minor")
+    # a pair that shares several buckets is made in the first of them
+    first = "size(array_intersect(slice(p_bands, 1, int(array_position(p_bands, p_bucket)) - 1), bands)) = 0"
+    cross = minor.join(now, (F.col("p_bucket") == F.col("bucket")) & (F.col("own") != F.col("component"))
+                       & F.expr(_possible("p_", "", percent)) & F.expr(may_reach("p_odd", "odd", "(p_size + size)", percent))
+                       & F.expr(first))
+    pairs = cross.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b"))
+    checked, links, found = _further(pairs, checked, links, found, classes, texts, words, percent)
 
     named = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"))
     named = materialize(named.join(found, named["rep"] == found["node"], "left").select(

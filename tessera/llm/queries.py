@@ -18,7 +18,7 @@ def op1_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = language_id.train(docs, ~held_out)
-    found = language_id.predict(docs.select("doc_id", "text"), model)
+    found = language_id.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
                         F.col("lang_rejected").alias("rejected"))
 
@@ -72,7 +72,7 @@ UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """)
 def op8_line_dedup(spark, sf_dir):
     """Every document: its lines, how many went as cross-site boilerplate, sha256 of the rest."""
-    kept = remove_boilerplate(documents(spark, sf_dir))
+    kept = remove_boilerplate(documents(spark, sf_dir), counts=True)
     return kept.select("doc_id", "n_lines", "n_removed_lines",
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -87,6 +87,7 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
                   (F.min("before") == F.max("before")).alias("one_before"),
                   (F.min("after") == F.max("after")).alias("one_after"))
              .filter("least < most").drop("most"))
+    edges = materialize(edges, "substring-edges")  # both sides of the join are then exchanges that AQE can split
     repeated = materialize(found.select("h1", "h2", "doc", "text_key", "i", "at").join(edges, ["h1", "h2"])
                            .drop("h1", "h2"), "substring-occurrences")
     along = Window.partitionBy("doc", "text_key").orderBy("i")  # the k-mers of one document
@@ -165,6 +166,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     opened = state.select("doc_id", "text_key", F.explode("open").alias("w")).select("doc_id", "text_key", "w.*")
     least = (opened.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
              .filter("least < most").drop("most"))
+    least = materialize(least, "substring-least")
     hits = materialize(opened.join(least, ["h1", "h2"]).filter("least < doc_id").select("doc_id", "text_key", "at"),
                        "substring-hits")
     hits = hits.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("hits"))

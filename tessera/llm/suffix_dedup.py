@@ -166,7 +166,8 @@ def _hashed_strings(distinct: DataFrame, length: int) -> DataFrame:
 
     strings = map_rows(distinct.select("h", "s1", "s2", "snippet"), run, ["h", "s1", "s2", "snippet"],
                        "h long, s1 long, s2 long, at int, w1 long, w2 long")
-    twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    twice = materialize(strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"),
+                        "suffix-strings")
     return (strings.join(twice, ["w1", "w2"], "left_semi").groupBy("h", "s1", "s2")
             .agg(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("at") + length).cast("int").alias("end")))
                  .alias("ranges")))
@@ -180,6 +181,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_snippets: int = 4000
     found = _anchors(whole.select("key", "text_key", "text"), length)
     twice = (found.groupBy("h").agg(F.count("*").alias("n"), (F.min("s") == F.max("s")).alias("alike"))
              .filter("n > 1").drop("n"))
+    twice = materialize(twice, "suffix-anchors")  # both sides of the join are then exchanges that AQE can split
     lists = (found.select("h", "key", "text_key", "i").join(twice, "h")
              .groupBy("key", "text_key").agg(F.collect_set(F.struct("i", "alike")).alias("known")))
     state = whole.join(lists, ["key", "text_key"], "left").select("doc_id", "key", "text_key", "text", "known")
