@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import join_null_safe
+
 
 def oof_group_mean(long: DataFrame, group_col: str, fold_col: str = "kfold",
                    target_col: str = "target", y_col: str = "y", out: str = "pred") -> DataFrame:
@@ -20,14 +22,15 @@ def oof_group_mean(long: DataFrame, group_col: str, fold_col: str = "kfold",
     g = gf.groupBy(group_col, target_col).agg(F.sum("_sgf").alias("_sg"), F.sum("_ngf").alias("_ng"))
     f = gf.groupBy(fold_col, target_col).agg(F.sum("_sgf").alias("_sf"), F.sum("_ngf").alias("_nf"))
     a = gf.groupBy(target_col).agg(F.sum("_sgf").alias("_s"), F.sum("_ngf").alias("_n"))
-    stats = (gf.join(g, [group_col, target_col]).join(f, [fold_col, target_col]).join(a, [target_col])
+    stats = (join_null_safe(join_null_safe(join_null_safe(gf, g, [group_col, target_col]), f, [fold_col, target_col]),
+                            a, [target_col])
              .select(group_col, fold_col, target_col,
                      F.when(F.col("_ng") > F.col("_ngf"),
                             (F.col("_sg") - F.col("_sgf")).cast("double") / (F.col("_ng") - F.col("_ngf")))
                      .when(F.col("_n") > F.col("_nf"),
                            (F.col("_s") - F.col("_sf")).cast("double") / (F.col("_n") - F.col("_nf")))
                      .alias(out)))
-    return long.join(stats, [group_col, fold_col, target_col], "left")
+    return join_null_safe(long, stats, [group_col, fold_col, target_col], "left")
 
 
 def oof_select(preds: DataFrame, fold_col: str = "kfold", model_fold_col: str = "model_fold") -> DataFrame:
@@ -60,13 +63,13 @@ def fold_model_predictions(long: DataFrame, group_col: str, k: int, fold_col: st
     per_model = gf.select("*", model_ids).where(F.col(fold_col) != F.col(model_col))
     gm = per_model.groupBy(group_col, target_col, model_col).agg(F.sum("_s").alias("_sg"), F.sum("_n").alias("_ng"))
     am = per_model.groupBy(target_col, model_col).agg(F.sum("_s").alias("_sa"), F.sum("_n").alias("_na"))
-    grid = (long.select(group_col, target_col).distinct().select("*", model_ids)
-            .join(gm, [group_col, target_col, model_col], "left")
-            .join(am, [target_col, model_col], "left")
+    grid = long.select(group_col, target_col).distinct().select("*", model_ids)
+    grid = join_null_safe(grid, gm, [group_col, target_col, model_col], "left")
+    grid = (join_null_safe(grid, am, [target_col, model_col], "left")
             .select(group_col, target_col, model_col,
                     F.when(F.col("_ng") > 0, F.col("_sg").cast("double") / F.col("_ng"))
                     .when(F.col("_na") > 0, F.col("_sa").cast("double") / F.col("_na")).alias(out)))
     if own_fold_only:
         g = grid.withColumnRenamed(model_col, fold_col)
-        return long.join(g, [group_col, target_col, fold_col]).withColumn(model_col, F.col(fold_col))
-    return long.join(grid, [group_col, target_col])
+        return join_null_safe(long, g, [group_col, target_col, fold_col]).withColumn(model_col, F.col(fold_col))
+    return join_null_safe(long, grid, [group_col, target_col])

@@ -29,7 +29,8 @@ def attach_rank(cells: DataFrame, orders: DataFrame, id_col="id", item_col="cell
     pos = explode_order(orders, id_col, order_col, item_col, "rank")
     ranked = pos.join(cells, [id_col, item_col], "right")
     n = cells.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(n, id_col).withColumn("pct_rank", F.col("rank") / F.col("_n")).drop("_n")
+    from tessera.operators.ranking import join_null_safe
+    return join_null_safe(ranked, n, [id_col]).withColumn("pct_rank", F.col("rank") / F.col("_n")).drop("_n")
 
 
 def pct_rank_avg(df: DataFrame, partition_cols, value_col: str, out: str = "pct_rank",
@@ -39,14 +40,14 @@ def pct_rank_avg(df: DataFrame, partition_cols, value_col: str, out: str = "pct_
     Ranks are computed on the distinct values of each group (pre-aggregated),
     then joined back: ties collapse before anything is ordered.
     """
-    from tessera.operators.ranking import segmented_cumsum
+    from tessera.operators.ranking import join_null_safe, segmented_cumsum
     p = list(partition_cols)
     vals = df.groupBy(*p, value_col).agg(F.count(F.lit(1)).alias("_t"))
     # rows before each distinct value: a segmented running count over the distinct
     # values, so a huge group is not ranked by one task
     vals = segmented_cumsum(vals, p, [value_col], "_t", "_before", inclusive=False, largest_group=largest_group)
     n = vals.groupBy(*p).agg(F.sum("_t").alias("_n"))
-    vals = vals.join(n, p).select(*p, value_col, (F.col("_before") + (F.col("_t") + 1) / 2.0).alias("_avg"), "_n")
+    vals = join_null_safe(vals, n, p).select(*p, value_col, (F.col("_before") + (F.col("_t") + 1) / 2.0).alias("_avg"), "_n")
     keys = p + [value_col]
     cond = [df[k].eqNullSafe(vals[k]) for k in keys]
     j = df.join(vals, cond, "left")
@@ -70,7 +71,8 @@ def predicted_position(df: DataFrame, id_col: str, score_col: str, item_col: str
     return r.withColumn(out, (F.col("_pos") - 1).cast("int")).drop("_pos")
 
 
-def inversion_counts(df: DataFrame, id_col: str, true_pos: str, pred_pos: str) -> DataFrame:
+def inversion_counts(df: DataFrame, id_col: str, true_pos: str, pred_pos: str,
+                     plain_max: int = 1 << 16, top_level: int = 15) -> DataFrame:
     """Per id: number of pairs ordered one way by ``true_pos`` and the other by ``pred_pos``.
 
     No pairs are formed.  A pair with ``pred_i > pred_j`` differs first at some bit
@@ -79,41 +81,44 @@ def inversion_counts(df: DataFrame, id_col: str, true_pos: str, pred_pos: str) -
     order, read at each bit-0 item, counts every inversion exactly once:
     O(n log n) rows; the running counts are segmented (see ``segmented_cumsum``).
     """
-    from tessera.operators.ranking import segmented_cumsum
+    from tessera.operators.ranking import join_null_safe, segmented_cumsum
     from tessera.session import materialize
     df = materialize(df.select(id_col, true_pos, pred_pos), "positions")
     n = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("_n"))).cast("int") - 1, F.lit(0)))
-    x = (df.join(n, id_col)
+    x = (join_null_safe(df, n, [id_col])
          .select(id_col, F.col(true_pos).alias("_t"), F.col(pred_pos).cast("bigint").alias("_p"),
                  F.explode(levels).alias("_L")))
     x = x.select(id_col, "_t", "_L",
                  F.expr("shiftright(_p, _L + 1)").alias("_node"),
                  F.expr("shiftright(_p, _L) & 1").alias("_bit"))
+    # dealt by all three keys, else every level of a notebook stays in the task of its id
+    x = x.repartition(id_col, "_L", "_node")
     # running count per (id, level, prefix).  A node at level L holds at most
     # 2^(L+1) items: when the largest id is small (checked on the one-row max)
-    # plain windows are bounded; otherwise levels >= 15 are segmented, so the top
+    # plain windows are bounded; otherwise levels >= top_level are segmented, so the top
     # levels (a whole notebook) are never sorted by one task
     w = (Window.partitionBy(id_col, "_L", "_node").orderBy("_t")
          .rowsBetween(Window.unboundedPreceding, -1))
     biggest = n.agg(F.max("_n")).first()[0] or 0
-    if biggest <= 1 << 16:
+    if biggest <= plain_max:
         x = x.withColumn("_ones_before", F.coalesce(F.sum("_bit").over(w), F.lit(0)))
     else:
-        low = x.where(F.col("_L") < 15).withColumn("_ones_before", F.coalesce(F.sum("_bit").over(w), F.lit(0)))
-        high = segmented_cumsum(x.where(F.col("_L") >= 15), [id_col, "_L", "_node"], ["_t"], "_bit",
+        low = x.where(F.col("_L") < top_level).withColumn("_ones_before", F.coalesce(F.sum("_bit").over(w), F.lit(0)))
+        high = segmented_cumsum(x.where(F.col("_L") >= top_level), [id_col, "_L", "_node"], ["_t"], "_bit",
                                 "_ones_before", inclusive=False)
         x = low.unionByName(high)
     inv = (x.where(F.col("_bit") == 0).groupBy(id_col)
            .agg(F.sum("_ones_before").cast("bigint").alias("inversions")))
-    return n.join(inv, id_col, "left").select(
+    return join_null_safe(n, inv, [id_col], "left").select(
         id_col, F.coalesce("inversions", F.lit(0)).cast("bigint").alias("inversions"),
         F.col("_n").cast("bigint").alias("n"))
 
 
-def kendall_tau(df: DataFrame, id_col: str, true_pos: str, pred_pos: str) -> DataFrame:
+def kendall_tau(df: DataFrame, id_col: str, true_pos: str, pred_pos: str, plain_max: int = 1 << 16,
+                top_level: int = 15) -> DataFrame:
     """``1 - 4 * sum(inversions) / sum(n (n - 1))`` over all ids (one row)."""
-    inv = inversion_counts(df, id_col, true_pos, pred_pos)
+    inv = inversion_counts(df, id_col, true_pos, pred_pos, plain_max, top_level)
     return inv.agg(F.sum("inversions").alias("inversions"),
                    F.sum(F.col("n") * (F.col("n") - 1)).alias("total_2max")) \
         .withColumn("kendall_tau", 1 - 4 * F.col("inversions") / F.col("total_2max"))

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_hex
-from tessera.operators.ranking import hashed_rank
+from tessera.operators.ranking import hashed_rank, join_null_safe
 
 
 def _ranked(df: DataFrame, part_col: str, id_col: str, seed: int, out: str) -> DataFrame:
     h = df.withColumn("_h", hash_hex(seed, id_col))
     r = hashed_rank(h, "_h", [id_col], partition_cols=[part_col], out=out)
     n = df.groupBy(part_col).agg(F.count(F.lit(1)).alias(f"{out}_n"))
-    return r.drop("_h").join(n, part_col)
+    return join_null_safe(r.drop("_h"), n, [part_col])
 
 
 def positive_pairs(members: DataFrame, gid: str = "gid", fid: str = "fid", n_pos: int = 1,

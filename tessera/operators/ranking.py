@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal keys where null equals null, keeping the left side's key columns.
+    ``small`` broadcasts the right side: only for tables with a proven bound."""
+    keys = list(keys)
+    r = right.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(F.broadcast(r) if small else r, cond, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def hashed_rank(df: DataFrame, order_col: str, tie_cols=(), partition_cols=(),
                 out: str = "rank0", bucket_chars: int = 4) -> DataFrame:
     pcols = list(partition_cols)
@@ -24,10 +33,8 @@ def hashed_rank(df: DataFrame, order_col: str, tie_cols=(), partition_cols=(),
     counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     prefix = Window.partitionBy(*pcols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_cnt").over(prefix), F.lit(0)).alias("_off"))
-    if not pcols:
-        # at most 16**bucket_chars rows: a proven bound, safe to broadcast
-        offsets = F.broadcast(offsets)
-    return (ranked.join(offsets, keys)
+    # without partition keys at most 16**bucket_chars rows: a proven bound, safe to broadcast
+    return (join_null_safe(ranked, offsets, keys, small=not pcols)
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
             .drop("_bkt", "_rn", "_off"))
 
@@ -77,7 +84,7 @@ def segmented_cumsums(df: DataFrame, group_cols, order_cols, values: dict, n_sub
     Each group's range of the first (numeric) order key is cut into ``n_sub``
     equal-width sub-ranges; running sums are computed per (group, sub-range) in
     parallel and shifted by the totals of the earlier sub-ranges (a table of at
-    most ``n_sub`` rows per group).  The sub-range is monotone in the key, so ties
+    most ``n_sub + 1`` rows per group).  The sub-range is monotone in the key, so ties
     stay together and the result equals the plain per-group window.  A group
     holding a third of all rows is spread over ``n_sub`` tasks.  ``agg='max'``
     gives running maxima instead (null until a non-null value is seen).
@@ -103,11 +110,14 @@ def segmented_cumsums(df: DataFrame, group_cols, order_cols, values: dict, n_sub
             x = x.withColumn(n, F.coalesce(fn(F.col(v) if isinstance(v, str) else v).over(w), zero))
         return x
     st = df.groupBy(*g).agg(F.min(key).cast("double").alias("_lo"), F.max(key).cast("double").alias("_hi"))
-    x = df.join(st, g) if g else df.crossJoin(F.broadcast(st))
+    x = join_null_safe(df, st, g) if g else df.crossJoin(F.broadcast(st))
     span = F.col("_hi") - F.col("_lo")
-    sub = F.when(span > 0, F.least(F.floor((F.col(key).cast("double") - F.col("_lo")) / span * n_sub),
+    # a null key sorts first, as in the plain window
+    sub = F.when(F.col(key).isNull(), F.lit(-1)).when(span > 0, F.least(F.floor((F.col(key).cast("double") - F.col("_lo")) / span * n_sub),
                                    F.lit(n_sub - 1))).otherwise(F.lit(0)).cast("int")
-    x = x.withColumn("_sub", sub).drop("_lo", "_hi")
+    # dealt by all keys: partitioned by the group alone, the window would be satisfied and
+    # every sub-range of a group would stay in one task
+    x = x.withColumn("_sub", sub).drop("_lo", "_hi").repartition(*g, "_sub")
     for i, n in enumerate(names):
         v = values[n]
         x = x.withColumn(f"_v{i}", F.col(v) if isinstance(v, str) else v)
@@ -119,7 +129,7 @@ def segmented_cumsums(df: DataFrame, group_cols, order_cols, values: dict, n_sub
     before = Window.partitionBy(*g).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*g, "_sub", *[F.coalesce(fn(f"_s{i}").over(before), zero).alias(f"_o{i}")
                                     for i in range(len(names))])
-    x = x.join(offs, g + ["_sub"])
+    x = join_null_safe(x, offs, g + ["_sub"])
     for i, n in enumerate(names):
         comb = (F.col(f"_o{i}") + F.col(f"_l{i}")) if agg == "sum" else F.greatest(f"_o{i}", f"_l{i}")
         x = x.withColumn(n, comb)

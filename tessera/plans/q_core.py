@@ -52,6 +52,16 @@ def q_stratified_kfold(spark, sf):
     return splits.stratified_kfold(d, "doc_id", "lang", k=5, seed=42).select("doc_id", "lang", "kfold")
 
 
+@query("stratified_kfold_nulls", f"""
+SELECT doc_id, quality, CAST((row_number() OVER (ORDER BY quality NULLS FIRST, {S.h(42, 'doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS kfold
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def q_stratified_kfold_nulls(spark, sf):
+    """Most documents have no label: null is a stratum like the others."""
+    t = Tables(spark, sf)
+    d = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return splits.stratified_kfold(d, "doc_id", "quality", k=5, seed=42).select("doc_id", "quality", "kfold")
+
+
 @query("multilabel_kfold", f"""
 WITH d AS (
   SELECT doc_id, concat_ws('|', coalesce(CAST(l.quality AS VARCHAR), '∅'), coalesce(CAST(l.toxic AS VARCHAR), '∅'),

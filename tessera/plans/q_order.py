@@ -10,7 +10,7 @@ from tessera.operators import ordering as O
 from tessera.operators.splits import group_holdout
 from tessera.plans import sql as S
 from tessera.plans.common import cells_frame, orders_frame
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 from tessera.sources import files
 from tessera.sources.tables import Tables
 
@@ -88,6 +88,25 @@ def q_kendall_tau(spark, sf):
                     F.round("kendall_tau", 6).alias("kendall_tau"))
 
 
+@query("pct_rank_avg_segmented", ORACLES["pct_rank_avg"])
+def q_pct_rank_avg_segmented(spark, sf):
+    """The same without a size check: every group in sub-ranges."""
+    c = cells_frame(Tables(spark, sf)).withColumn("len_bin", F.floor(F.char_length("source") / 40))
+    r = O.pct_rank_avg(c, ["id", "cell_type"], "len_bin")
+    return r.select("id", "cell_id", "cell_type", "len_bin", F.round("pct_rank", 6).alias("pct_rank"))
+
+
+@query("kendall_tau_segmented", ORACLES["kendall_tau"])
+def q_kendall_tau_segmented(spark, sf):
+    """The same with every level of the count in sub-ranges."""
+    t = Tables(spark, sf)
+    s = O.predicted_position(scored_cells(t), "id", "pred", "cell_id")
+    k = O.kendall_tau(s, "id", "rank", "pred_pos", plain_max=0, top_level=1)
+    return k.select(F.col("inversions").cast("bigint").alias("inversions"),
+                    F.col("total_2max").cast("bigint").alias("total_2max"),
+                    F.round("kendall_tau", 6).alias("kendall_tau"))
+
+
 @query("md_ratio", f"""
 WITH cells AS ({S.CELLS})
 SELECT id, count_if(cell_type <> 'markdown') AS total_code, count_if(cell_type = 'markdown') AS total_md,

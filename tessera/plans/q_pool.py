@@ -80,6 +80,33 @@ def q_pool_layers(spark, sf):
     return e.select("vec_id", _round_arr(PO.layer_pool("embedding", 4, 1, LAYER_WEIGHTS)).alias("pooled"))
 
 
+def _masked_groups(t):
+    """The same vectors grouped so that some groups are masked as a whole."""
+    e = t.embeddings
+    return e.select((F.col("vec_id") % 97).alias("grp"), "embedding",
+                    ((F.col("vec_id") % 97 % 7 != 3) & (uniform(9, "vec_id") >= 0.2)).cast("int").alias("mask"))
+
+
+GROUPED = f"""
+g AS (SELECT vec_id % 97 AS grp, CAST(vec_id % 97 % 7 <> 3 AND {S.u(9, 'vec_id')} >= 0.2 AS INTEGER) AS mask, embedding FROM embeddings),
+lng AS (SELECT grp, mask, unnest(generate_series(1, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM g)
+"""
+
+
+@query("pool_masked_groups", f"""
+WITH {GROUPED},
+d AS (SELECT grp, dim, sum(mask * v) / greatest(sum(mask), 1e-9) AS mn, max(v) FILTER (WHERE mask = 1) AS mx,
+             min(v) FILTER (WHERE mask = 1) AS lo FROM lng GROUP BY grp, dim)
+SELECT grp, list(round(mn, 6) ORDER BY dim) AS mean, CASE WHEN count(mx) > 0 THEN list(round(mx, 6) ORDER BY dim) END AS most,
+       CASE WHEN count(lo) > 0 THEN list(round(lo, 6) ORDER BY dim) END AS least FROM d GROUP BY grp""")
+def q_pool_masked_groups(spark, sf):
+    """Mean, max and min where a seventh of the groups has no unmasked row."""
+    d = _masked_groups(Tables(spark, sf))
+    out = [PO.masked_pool(d, "grp", "embedding", "mask", how).select("grp", _round_arr("pooled").alias(name))
+           for how, name in (("mean", "mean"), ("max", "most"), ("min", "least"))]
+    return out[0].join(out[1], "grp").join(out[2], "grp")
+
+
 def _att_sql():
     heads = []
     for h, a in enumerate(HEADS):
@@ -100,3 +127,22 @@ FROM (SELECT DISTINCT label FROM embeddings) g LEFT JOIN r0 USING (label) LEFT J
 def q_pool_attention(spark, sf):
     p = PO.attention_pool(tokens(Tables(spark, sf)), "label", "embedding", "mask", HEADS)
     return p.select("label", _round_arr("pooled").alias("pooled"))
+
+
+LAYER_HEAD = [((j % 5) - 2) / 10.0 for j in range(16)]
+
+
+@query("pool_layer_attention", f"""
+WITH tok AS (SELECT vec_id, label, embedding FROM embeddings WHERE {S.u(9, 'vec_id')} >= 0.2),
+lng AS (SELECT vec_id, label, unnest(generate_series(1, 16)) AS d, embedding FROM tok),
+v AS (SELECT vec_id, label, d, (2.0 / 9) * CAST(embedding[16 + d] AS DOUBLE) + (3.0 / 9) * CAST(embedding[32 + d] AS DOUBLE)
+             + (4.0 / 9) * CAST(embedding[48 + d] AS DOUBLE) AS x FROM lng),
+s AS (SELECT vec_id, label, sum(x * ([{', '.join(map(repr, LAYER_HEAD))}]::DOUBLE[])[d]) AS s FROM v GROUP BY vec_id, label),
+w AS (SELECT vec_id, exp(s - max(s) OVER (PARTITION BY label)) AS w FROM s),
+p AS (SELECT label, d, sum(w * x) / sum(w) AS m FROM v JOIN w USING (vec_id) GROUP BY label, d),
+r AS (SELECT label, list(round(m, 6) ORDER BY d) AS pooled FROM p GROUP BY label)
+SELECT g.label, pooled FROM (SELECT DISTINCT label FROM embeddings) g LEFT JOIN r USING (label)""")
+def q_pool_layer_attention(spark, sf):
+    """Attention over the weighted average of layers 1..3 (4 layers x 16)."""
+    p = PO.layer_attention_pool(tokens(Tables(spark, sf)), "label", "embedding", "mask", [LAYER_HEAD], 4, 1, LAYER_WEIGHTS)
+    return p.select("label", _round_arr("pooled").alias("pooled"))

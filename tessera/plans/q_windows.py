@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import sequences as SQ
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 from tessera.sources.tables import Tables
 
 STEPS_SQL = """
@@ -62,6 +62,23 @@ def q_moving_mean(spark, sf):
     return m.select("event_id", "user_id", F.round("moving_avg", 6).cast("double").alias("moving_avg"))
 
 
+@query("running_mean_segmented", ORACLES["running_mean"])
+def q_running_mean_segmented(spark, sf):
+    """The same without a size check: every run in sub-ranges."""
+    s = steps(Tables(spark, sf)).withColumn("n", 1 + F.col("k") % 4).withColumn("score", F.col("score").cast("decimal(18,2)"))
+    r = SQ.running_mean(s, "user_id", "step", "score", "n")
+    return r.select("event_id", "user_id", "step", "n", F.col("run_sum").cast("double").alias("run_sum"), "run_count",
+                    F.round("run_avg", 6).cast("double").alias("run_avg"))
+
+
+@query("moving_mean_10", ORACLES["moving_mean"].replace("999 PRECEDING", "9 PRECEDING"))
+def q_moving_mean_10(spark, sf):
+    """A width that runs exceed, in sub-ranges."""
+    s = steps(Tables(spark, sf)).withColumn("score", F.col("score").cast("decimal(18,2)"))
+    m = SQ.moving_mean(s, "user_id", "step", "score", 10)
+    return m.select("event_id", "user_id", F.round("moving_avg", 6).cast("double").alias("moving_avg"))
+
+
 EARLY_SQL = f"""
 {STEPS_SQL},
 b AS (SELECT *, max(CASE WHEN isnan(score) THEN NULL ELSE score END) OVER p AS best_before FROM e
@@ -90,6 +107,15 @@ def q_early_stop(spark, sf):
                     "stop_now", "stopped")
 
 
+@query("early_stop_segmented", ORACLES["early_stop"])
+def q_early_stop_segmented(spark, sf):
+    """The same without a size check: every run in sub-ranges."""
+    e = SQ.early_stopping(steps(Tables(spark, sf)), run_col="user_id", patience=6)
+    return e.select("event_id", "user_id", "step", "epoch", "improved", "best",
+                    F.col("best_epoch").cast("bigint").alias("best_epoch"), F.col("counter").cast("bigint").alias("counter"),
+                    "stop_now", "stopped")
+
+
 @query("leaderboard", """
 WITH top AS (SELECT event_id, value, event_type || '|' || CAST(user_id AS VARCHAR) AS description FROM events
              WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 100),
