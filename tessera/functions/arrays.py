@@ -169,3 +169,15 @@ def sample_positions(n: Column, k: int) -> Column:
     idx = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: F.rint(j * step).cast("int"))
     return F.when(n <= k, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))) \
         .otherwise(F.array_distinct(F.filter(idx, lambda x: x < n)))
+
+
+def sigmoid(c) -> Column:
+    x = F.col(c) if isinstance(c, str) else c
+    return 1 / (1 + F.exp(-x))
+
+
+def softmax(c) -> Column:
+    """Softmax of an array column, shifted by its maximum so that no exponential overflows."""
+    x = F.transform((F.col(c) if isinstance(c, str) else c).cast("array<double>"), lambda v: v)
+    e = F.transform(F.array(F.array_max(x)), lambda m: F.transform(x, lambda v: F.exp(v - m)))[0]
+    return F.transform(F.array(e), lambda y: F.transform(y, lambda v: v / F.aggregate(y, F.lit(0.0), lambda a, z: a + z)))[0]

@@ -112,5 +112,6 @@ def ticket_prefix(c, default: str = "XXX") -> Column:
 
 
 def file_stem(c) -> Column:
-    """Path without its last extension."""
-    return F.regexp_replace(_c(c), r"\.[^./]*$", "")
+    """Name without its last extension, the parts before it joined by ``_``."""
+    parts = F.split(_c(c), r"\.", -1)
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "_")).otherwise(_c(c))

@@ -28,7 +28,7 @@ def column_levels(df: DataFrame, approx: bool = False) -> DataFrame:
     parts = []
     for i, c in enumerate(df.columns):
         parts += [f"'{c}'", f"CAST(l{i} AS BIGINT)", f"'{types[c]}'"]
-    return one.selectExpr(f"stack({len(df.columns)}, {', '.join(parts)}) AS (`column`, levels, dtype)")
+    return one.selectExpr(f"stack({len(df.columns)}, {', '.join(parts)}) AS (`column`, levels, dtype)").orderBy("levels", "column")
 
 
 def sorted_quantiles(df: DataFrame, col: str, probs) -> DataFrame:

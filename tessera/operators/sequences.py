@@ -1,7 +1,7 @@
 """Step-log windows: running weighted mean, moving mean, early stopping, leaderboard.
 
-Every window is partitioned by run; the leaderboard ranks only after a top-N
-(``TakeOrderedAndProject``), never over a whole table in one partition.
+Every window is partitioned by run; the leaderboard's places come from a distributed
+sort, never from a window over a whole table in one partition.
 """
 
 from __future__ import annotations
@@ -94,13 +94,16 @@ def early_stopping(log: DataFrame, run_col: str = "run", step_col: str = "step",
     return x.drop("_s", "_clean", "_best_before", "_imp_epoch", "_best_epoch_before", "_stop_i", "_stopped")
 
 
-def leaderboard(df: DataFrame, score_col: str, desc_col: str, key_col: str, top_n: int = 100,
-                sep: str = "|") -> DataFrame:
-    """Top-N scored rows ranked by score, grouped by description prefix."""
-    top = df.where(F.col(score_col).isNotNull()).orderBy(F.desc(score_col), F.asc(key_col)).limit(top_n)
-    # at most top_n rows: ranking them in one window is bounded by construction
-    ranked = top.withColumn("rank", F.rank().over(Window.orderBy(F.desc(score_col))))
+def leaderboard(df: DataFrame, score_col: str, desc_col: str, key_col: str, sep: str = "|",
+                only: str | None = None) -> DataFrame:
+    """Every scored row in order of score (ties by key), its place from 1, by description
+    prefix: rows, best, mean and worst place.  ``only`` keeps descriptions that match it;
+    places are those among all rows.  The order is a distributed sort."""
+    from tessera.operators.ranking import sort_with_position
     pre = F.split(F.col(desc_col), "\\" + sep if sep in "|.*+?^$()[]{}\\" else sep).getItem(0)
-    return ranked.groupBy(pre.alias("prefix")).agg(
-        F.min("rank").alias("best_rank"), F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.collect_list("rank")).alias("ranks"))
+    rows = df.where(F.col(score_col).isNotNull()).select(score_col, key_col, F.col(desc_col), pre.alias("prefix"))
+    ranked = sort_with_position(rows, [F.desc(score_col), F.asc(key_col)], "_place")
+    ranked = ranked if only is None else ranked.where(F.col(desc_col).rlike(only))
+    place = F.col("_place") + 1
+    return ranked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("best_rank"),
+                                        F.avg(place).alias("mean_rank"), F.max(place).alias("worst_rank"))

@@ -26,9 +26,7 @@ def q_src_essay_csv(spark, sf):
     d = t.documents.join(e, "doc_id").select(F.col("doc_id").cast("string").alias("text_id"),
                                              F.col("text").alias("full_text"), *ESSAY_TARGETS)
     path = scratch_path(spark, "essays_csv")
-    (d.write.mode("overwrite")
-     .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-     .csv(path))
+    files.write_essays(d, path)
     return files.read_essays(spark, path, ESSAY_TARGETS)
 
 
@@ -79,8 +77,10 @@ SELECT d.doc_id, r.kfold FROM documents d JOIN r USING (source) WHERE r.kfold =
 def q_fold_cache(spark, sf):
     """Folds computed once and stored by fold; reading one fold prunes partitions."""
     d = Tables(spark, sf).documents.select("doc_id", "source")
-    path = scratch_path(spark, "folds")
-    cached = files.fold_cache(group_kfold(d, "source", k=5, seed=42).select("doc_id", "kfold"), path)
+    path = files.fold_cache_path(scratch_path(spark, "folds"), seed=42, k=5)
+    files.fold_cache(group_kfold(d, "source", k=5, seed=42).select("doc_id", "kfold"), path)
+    # the second call reuses what the first has written
+    cached = files.fold_cache(d.limit(0).select("doc_id", F.lit(0).alias("kfold")), path)
     return cached.where(F.col("kfold") == 1).select("doc_id", "kfold")
 
 

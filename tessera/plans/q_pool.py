@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
+from tessera.functions import arrays as A
 from tessera.operators import pooling as PO
 from tessera.plans import sql as S
 from tessera.plans.registry import query
@@ -146,3 +147,16 @@ def q_pool_layer_attention(spark, sf):
     """Attention over the weighted average of layers 1..3 (4 layers x 16)."""
     p = PO.layer_attention_pool(tokens(Tables(spark, sf)), "label", "embedding", "mask", [LAYER_HEAD], 4, 1, LAYER_WEIGHTS)
     return p.select("label", _round_arr("pooled").alias("pooled"))
+
+
+@query("sigmoid_softmax", """
+WITH e AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS x FROM embeddings),
+w AS (SELECT vec_id, x, list_transform(x, lambda v: exp(v - list_max(x))) AS w FROM e)
+SELECT vec_id, list_transform(x, lambda v: round(1 / (1 + exp(-v)), 6)) AS sigmoid,
+       list_transform(w, lambda v: round(v / list_sum(w), 6)) AS softmax FROM w""")
+def q_sigmoid_softmax(spark, sf):
+    """Both over the first eight numbers of each vector."""
+    x = F.slice("embedding", 1, 8).cast("array<double>")
+    e = Tables(spark, sf).embeddings.select("vec_id", x.alias("x"))
+    return e.select("vec_id", F.transform("x", lambda v: F.round(A.sigmoid(v), 6)).alias("sigmoid"),
+                    _round_arr(A.softmax("x")).alias("softmax"))

@@ -114,16 +114,20 @@ def q_encode_pairs(spark, sf):
 
 
 def _py_quote(c):
-    """A Python-style single-quoted literal of a string column."""
+    """A string column as Python writes it: double quotes if it has single ones only."""
     t = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
-    t = F.replace(t, F.lit("'"), F.lit("\\'"))
-    t = F.replace(t, F.lit("\n"), F.lit("\\n"))
-    return F.concat(F.lit("'"), t, F.lit("'"))
+    for raw, written in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\x07", "\\x07")):
+        t = F.replace(t, F.lit(raw), F.lit(written))
+    double = F.contains(F.col(c), F.lit("'")) & ~F.contains(F.col(c), F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-# third element of each ('a', 'b', 'c')-style tuple; possessive loops keep Java's
-# regex engine from recursing on long literals
-THIRD_FIELD = r"\(\s*[0-9]+\s*,\s*'[^'\\]*+(?:\\.[^'\\]*+)*+'\s*,\s*'([^'\\]*+(?:\\.[^'\\]*+)*+)'\s*\)"
+# a tuple's third element with its quotes; the others are strings of either quote or bare
+# values; possessive loops keep Java's regex engine from recursing on long literals
+_SINGLE, _DOUBLE = (rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in "'\"")
+_ANY = rf"(?:{_SINGLE}|{_DOUBLE}|[^,'\"()]++)"
+THIRD_FIELD = rf"(?s)\(\s*{_ANY}\s*,\s*{_ANY}\s*,\s*({_SINGLE}|{_DOUBLE})\s*,?\s*\)"
 
 
 def code_text(lit_col):
@@ -131,20 +135,32 @@ def code_text(lit_col):
     parts = F.regexp_extract_all(F.col(lit_col), F.lit(THIRD_FIELD), 1)
 
     def unescape(x):
-        x = F.replace(x, F.lit("\\\\"), F.lit("\u0000"))
-        x = F.replace(x, F.lit("\\'"), F.lit("'"))
-        x = F.replace(x, F.lit("\\n"), F.lit("\n"))
-        return F.replace(x, F.lit("\u0000"), F.lit("\\"))
+        x = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("\\\\"), F.lit("\u0000"))
+        for written, raw in (("\\'", "'"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
+            x = F.replace(x, F.lit(written), F.lit(raw))
+        # what follows each \x begins with two hexadecimal digits
+        cut = F.split(x, r"\\x", -1)
+        rest = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda p: F.concat(
+            F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), F.substring(p, F.lit(3), F.length(p))))
+        return F.replace(F.array_join(F.concat(F.slice(cut, 1, 1), rest), ""), F.lit("\u0000"), F.lit("\\"))
     return F.array_join(F.transform(parts, unescape), " ")
 
 
-@query("code_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS code FROM conversations GROUP BY conv_id")
+# quotes of both kinds, tabs, backslashes and an unprintable character, by turn
+_SPICED = ("text || CASE turn % 4 WHEN 0 THEN ' it''s' || chr(9) || 'x' WHEN 1 THEN ' \"quoted\" \\n' || chr(13) "
+           "WHEN 2 THEN ' ''both\"' || chr(7) ELSE '' END")
+
+
+@query("code_text", f"SELECT conv_id, string_agg({_SPICED}, ' ' ORDER BY turn) AS code FROM conversations GROUP BY conv_id")
 def q_code_text(spark, sf):
-    """Round trip: each conversation rendered as a literal list of (turn, role, text)
+    """Round trip: each conversation rendered as a literal list of (turn or name, role, text)
     tuples, then parsed back to its instruction text."""
-    c = Tables(spark, sf).conversations
-    tup = F.concat(F.lit("("), F.col("turn").cast("string"), F.lit(", "), _py_quote("role"), F.lit(", "),
-                   _py_quote("text"), F.lit(")"))
+    spice = F.create_map(*[x for k, v in enumerate([" it's\tx", ' "quoted" \\n\r', " 'both\"\x07", ""]) for x in (F.lit(k), F.lit(v))])
+    c = Tables(spark, sf).conversations.select(
+        "conv_id", "turn", "role", F.concat("text", F.element_at(spice, (F.col("turn") % 4).cast("int"))).alias("text"))
+    c = c.withColumn("name", F.concat(F.lit("0x"), F.col("turn").cast("string")))
+    first = F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")).otherwise(_py_quote("name"))
+    tup = F.concat(F.lit("("), first, F.lit(", "), _py_quote("role"), F.lit(", "), _py_quote("text"), F.lit(")"))
     lits = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", tup.alias("s")))).alias("_l"))
     lits = lits.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["s"]), ", "),
                                            F.lit("]")).alias("code_literal"))

@@ -52,16 +52,18 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value", "c_mktsegment")
 
 
+# values of more than two decimals
+_THIRD = "CAST(value AS decimal(18,2)) * CAST('0.123' AS decimal(4,3))"
 _WIN_SQL = """
 SELECT CAST(user_id AS VARCHAR) || '_' || CAST(e AS VARCHAR) AS row_id, user_id, e AS window_end, count(*) AS n,
-       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum
+       CAST(sum(CAST(value AS DECIMAL(18,2)) * 0.123) AS DOUBLE) AS value_sum
 FROM (SELECT *, CAST((epoch_us(ts) // 5000000 + 1) * 5 AS BIGINT) AS e FROM events) GROUP BY user_id, e"""
 
 
 @query("tumbling_5s", _WIN_SQL)
 def q_tumbling_5s(spark, sf):
     _utc(spark)
-    return J.window_5s(Tables(spark, sf).events, "ts", "user_id", "value")
+    return J.window_5s(Tables(spark, sf).events.withColumn("value", F.expr(_THIRD)), "ts", "user_id", "value")
 
 
 @query("stream_tumbling_5s", _WIN_SQL)
@@ -70,7 +72,7 @@ def q_stream_tumbling_5s(spark, sf):
     _utc(spark)
     src = _event_chunks(spark, sf)
     out, ckpt = scratch_path(spark, "win_out"), scratch_path(spark, "win_ckpt")
-    J.stream_window_5s(J.read_chunks(spark, src, EVENT_SCHEMA), "ts", "user_id", "value", out, ckpt)
+    J.stream_window_5s(J.read_chunks(spark, src, EVENT_SCHEMA).withColumn("value", F.expr(_THIRD)), "ts", "user_id", "value", out, ckpt)
     return J.read_latest(spark, out, ["row_id"]).select("row_id", "user_id", "window_end", "n", "value_sum")
 
 
@@ -82,7 +84,8 @@ SELECT user_id, CAST(sc AS DOUBLE) / 100 AS run_sum, CAST(run_count AS BIGINT) A
 def q_stream_running_mean(spark, sf):
     src = _step_chunks(spark, sf)
     out, ckpt = scratch_path(spark, "rm_out"), scratch_path(spark, "rm_ckpt")
-    J.stream_running_mean(J.read_chunks(spark, src, STEP_SCHEMA), "user_id", "score", "n", out, ckpt)
+    log = J.read_chunks(spark, src, STEP_SCHEMA).withColumn("score", F.col("score").cast("decimal(18,2)"))
+    J.stream_running_mean(log, "user_id", "score", "n", out, ckpt)
     r = J.read_latest(spark, out, ["user_id"])
     return r.select("user_id", F.col("run_sum").cast("double").alias("run_sum"),
                     F.col("run_count").cast("bigint").alias("run_count"),

@@ -12,6 +12,7 @@ from tessera.operators.ranking import hashed_rank
 from tessera.operators.vocab import top_tokens
 from tessera.plans import sql as S
 from tessera.plans.common import STOP_WORDS, doc_tokens, encoded_docs, vocab_frame
+from tessera.operators.features import map_values
 from tessera.plans.registry import query
 from tessera.sources.tables import Tables
 
@@ -45,11 +46,11 @@ def q_encode_tokens(spark, sf):
 WITH t AS (SELECT list_filter(string_split(lower(text), ' '), lambda x: x <> '' AND NOT list_contains({STOP_SQL}, x)) AS toks
            FROM documents),
 g AS (SELECT unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS ngram FROM t)
-SELECT ngram, count(*) AS cnt FROM g GROUP BY ngram ORDER BY cnt DESC, ngram LIMIT 100""")
+SELECT ngram, count(*) AS cnt FROM g GROUP BY ngram""")
 def q_ngram_counts(spark, sf):
     d = Tables(spark, sf).documents
     g = d.select(F.explode(X.ngrams(X.word_tokens("text", STOP_WORDS), 2)).alias("ngram"))
-    return g.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "ngram").limit(100)
+    return g.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("token_length_stats", f"""
@@ -182,6 +183,14 @@ def q_title_map(spark, sf):
     return d.select("doc_id", "title", F.try_element_at(m, F.col("title")).alias("title_class"))
 
 
+@query("role_map", """
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'markdown' WHEN 'assistant' THEN 'code' END AS cell_type FROM conversations""")
+def q_role_map(spark, sf):
+    """Dictionary map of a column whose values are keys."""
+    c = Tables(spark, sf).conversations
+    return c.select("conv_id", "turn", map_values("role", {"user": "markdown", "assistant": "code"}).alias("cell_type"))
+
+
 @query("cabin_letter", """
 SELECT d.doc_id, substr(coalesce(CAST(l.quality AS VARCHAR), 'U'), 1, 1) AS cabin FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q_cabin_letter(spark, sf):
@@ -203,6 +212,8 @@ def q_ticket_prefix(spark, sf):
                     X.ticket_prefix(F.col("p_size").cast("string")).alias("size_prefix"))
 
 
-@query("file_stem", r"SELECT page_id, regexp_replace(url, '\.[^./]*$', '') AS stem FROM pages")
+@query("file_stem", r"""
+SELECT page_id, CASE WHEN contains(url, '.') THEN array_to_string(list_slice(string_split(url, '.'), 1, -2), '_') ELSE url END AS stem
+FROM pages""")
 def q_file_stem(spark, sf):
     return Tables(spark, sf).pages.select("page_id", X.file_stem("url").alias("stem"))

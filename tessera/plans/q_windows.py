@@ -116,13 +116,25 @@ def q_early_stop_segmented(spark, sf):
                     "stop_now", "stopped")
 
 
-@query("leaderboard", """
-WITH top AS (SELECT event_id, value, event_type || '|' || CAST(user_id AS VARCHAR) AS description FROM events
-             WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 100),
-r AS (SELECT *, rank() OVER (ORDER BY value DESC) AS rank FROM top)
-SELECT split_part(description, '|', 1) AS prefix, CAST(min(rank) AS INTEGER) AS best_rank, count(*) AS n,
-       list(CAST(rank AS INTEGER) ORDER BY rank) AS ranks FROM r GROUP BY prefix""")
-def q_leaderboard(spark, sf):
+_BOARD = """
+WITH r AS (SELECT event_type AS prefix, event_type || '|' || CAST(user_id AS VARCHAR) AS description,
+                  row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events WHERE value IS NOT NULL)
+SELECT prefix, count(*) AS n, min(place) AS best_rank, round(avg(place), 6) AS mean_rank, max(place) AS worst_rank
+FROM r {0} GROUP BY prefix"""
+
+
+def _board(spark, sf, only=None):
     e = Tables(spark, sf).events.select(
         "event_id", "value", F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("description"))
-    return SQ.leaderboard(e, "value", "description", "event_id", top_n=100)
+    return SQ.leaderboard(e, "value", "description", "event_id", only=only).withColumn("mean_rank", F.round("mean_rank", 6))
+
+
+@query("leaderboard", _BOARD.format(""))
+def q_leaderboard(spark, sf):
+    return _board(spark, sf)
+
+
+@query("leaderboard_filtered", _BOARD.format("WHERE regexp_matches(description, '[|]1[0-9]*$')"))
+def q_leaderboard_filtered(spark, sf):
+    """Only descriptions that match; places among all rows."""
+    return _board(spark, sf, "[|]1[0-9]*$")

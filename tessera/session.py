@@ -24,12 +24,17 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "tessera", extra: dict | None = None) -> SparkSession:
-    master = master or os.environ.get("TESSERA_MASTER", "local[8]")
-    b = SparkSession.builder.master(master).appName(app)
+    """A session with the defaults of the library; master and shuffle partitions are left
+    to the submission unless given."""
+    master = master or os.environ.get("TESSERA_MASTER")
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
     for k, v in conf.items():
@@ -78,4 +83,4 @@ def materialize(df, name: str = "materialized"):
     column pruning and filter pushdown."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

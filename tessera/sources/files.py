@@ -33,7 +33,8 @@ def read_essays(spark: SparkSession, path: str, targets=()) -> DataFrame:
 
 
 def write_essays(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    (df.write.mode("overwrite")
+     .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
 
 
 # ---- lenient TSV ------------------------------------------------------------------------
@@ -149,13 +150,20 @@ def read_group(spark: SparkSession, path: str, group_col: str, value, n_buckets:
 
 
 def fold_cache(df: DataFrame, path: str, fold_col: str = "kfold") -> DataFrame:
-    """Materialize a fold table once, partitioned by fold; later reads prune by fold."""
+    """Materialize a fold table once, partitioned by fold; later reads prune by fold.
+
+    Only a table whose write was finished (``_SUCCESS``) is reused; errors of reading one
+    are the caller's.  Folds of another seed or count belong in another path
+    (``fold_cache_path``)."""
     spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not written yet
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         df.write.mode("overwrite").partitionBy(fold_col).parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def fold_cache_path(base: str, seed: int, k: int) -> str:
+    return f"{base.rstrip('/')}/seed={seed}/k={k}"
 
 
 # ---- submissions, labels, run logs, features --------------------------------------------

@@ -3,8 +3,8 @@
 Sinks are idempotent: stateful results leave in ``update`` mode through
 ``foreachBatch``, each micro-batch overwriting its own ``_batch=<id>`` folder (a
 retried batch rewrites the same folder); readers keep the latest row per key.
-State stays bounded: window state is evicted by the watermark, per-run state
-is a handful of numbers.
+Window state is evicted by the watermark.  Per-run state is a handful of numbers; it is
+kept for the life of the job, as a run may go on at any time.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ def write_time_chunks(df: DataFrame, path: str, ts_col: str, n_chunks: int = 4)
         cond = F.col(ts_col) >= F.lit(a)
         if i < n_chunks - 1:
             cond = cond & (F.col(ts_col) < F.lit(a + span))
+        else:
+            cond = cond | F.col(ts_col).isNull()  # rows without a time arrive last
         df.where(cond).coalesce(1).write.mode("append").options(**TS_FORMATS).json(path)
 
 
@@ -83,9 +85,10 @@ def ingest(stream: DataFrame, lookup: DataFrame, key: str, lookup_key: str, out_
 # ---- T2: five-second windows --------------------------------------------------------------
 
 def window_5s(df: DataFrame, ts_col: str, series_col: str, value_col: str, seconds: int = 5) -> DataFrame:
-    """Tumbling windows per series; id ``<series>_<window end, epoch seconds>``."""
+    """Tumbling windows per series; id ``<series>_<window end, epoch seconds>``.  Values are
+    summed in the caller's type (decimals for sums that do not depend on the order)."""
     g = df.groupBy(series_col, F.window(ts_col, f"{seconds} seconds").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(value_col).cast("decimal(18,2)")).alias("_vs"))
+        F.count(F.lit(1)).alias("n"), F.sum(value_col).alias("_vs"))
     end = F.unix_seconds(F.col("w.end").cast("timestamp"))
     return g.select(F.concat_ws("_", F.col(series_col).cast("string"), end.cast("string")).alias("row_id"),
                     series_col, end.alias("window_end"), "n", F.col("_vs").cast("double").alias("value_sum"))
@@ -104,7 +107,7 @@ def stream_window_5s(stream: DataFrame, ts_col: str, series_col: str, value_col:
 
 def stream_running_mean(stream: DataFrame, run_col: str, val_col: str, n_col: str, out_path: str, ckpt: str):
     agg = stream.groupBy(run_col).agg(
-        F.sum(F.col(val_col).cast("decimal(18,2)") * F.col(n_col)).alias("run_sum"),
+        F.sum(F.col(val_col) * F.col(n_col)).alias("run_sum"),
         F.sum(n_col).alias("run_count"))
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", ckpt)
          .foreachBatch(batch_folder_sink(out_path)))

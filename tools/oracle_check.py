@@ -72,7 +72,7 @@ def main():
     from tessera.plans import load_all
     from tessera.session import get_spark
     queries, oracles = load_all()
-    spark = get_spark()
+    spark = get_spark(master="local[8]", shuffle_partitions=8)
     con = duck(a.sf)
     results = {}
     names = [n for n in queries if not a.names or any(s in n for s in a.names)]
