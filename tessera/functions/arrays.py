@@ -55,14 +55,25 @@ def side_truncate_pad(ids, max_len: int, u: Column, u2: Column, pad: int = PAD_I
     """Truncate/pad by side chosen by ``u``: <=.33 head (pad right), >=.66 tail (pad
     left), otherwise a window starting at ``floor(u2 * (n - max + 1))`` (pad split at
     ``floor(u2 * (missing + 1))`` on the left).  Returns (ids, mask)."""
+    return side_pad(side_cut(ids, max_len, u, u2), max_len, u, u2, pad)
+
+
+def side_cut(ids, max_len: int, u: Column, u2: Column) -> Column:
+    """The part of :func:`side_truncate_pad` that is kept (of ids, or of tokens before
+    they are looked up)."""
     a = _c(ids)
     n = F.size(a)
     over = n - F.lit(max_len)
     start = F.floor(u2 * (over + 1)).cast("int") + 1
-    cut = (F.when(n <= max_len, a)
-           .when(u <= 0.33, F.slice(a, 1, max_len))
-           .when(u >= 0.66, F.slice(a, n - max_len + 1, max_len))
-           .otherwise(F.slice(a, start, max_len)))
+    return (F.when(n <= max_len, a)
+            .when(u <= 0.33, F.slice(a, 1, max_len))
+            .when(u >= 0.66, F.slice(a, n - max_len + 1, max_len))
+            .otherwise(F.slice(a, start, max_len)))
+
+
+def side_pad(cut, max_len: int, u: Column, u2: Column, pad: int = PAD_ID):
+    """Pads a part to ``max_len`` on the side that ``u`` chooses; (ids, mask)."""
+    cut = _c(cut)
     m = F.transform(cut, lambda x: F.lit(1))
     missing = F.greatest(F.lit(max_len) - F.size(cut), F.lit(0))
     left = (F.when(u <= 0.33, F.lit(0)).when(u >= 0.66, missing)
@@ -84,14 +95,18 @@ def label_suffix(ids, mask, targets, sep: int = SEP_ID):
 
 def mask_hits(ids, key, p: float = 0.15, seed: int = 42) -> Column:
     """Per position i of row ``key``: masked when ``u(seed, key, i) < p`` and the id
-    is not special (an array of booleans, one hash per token)."""
-    specials = F.array(*[F.lit(s) for s in SPECIAL_IDS])
-
-    def hit(x, i):
-        h = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), i.cast("string")))
-        u = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-        return (u < p) & ~F.array_contains(specials, x)
-    return F.transform(_c(ids), hit)
+    is not special (an array of booleans).  One hash of 32 digits serves four positions:
+    position i takes digits ``8 (i % 4) ..`` of ``md5(seed|key|i // 4)``."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(_c(ids)) / 4).cast("int")), lambda b: F.md5(
+        F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), b.cast("string"))))
+
+    def hits(h):
+        def hit(x, i):
+            digits = F.substring(F.get(h, F.floor(i / 4).cast("int")), F.lit(8) * (i % 4) + 1, F.lit(8))
+            u = F.conv(digits, 16, 10).cast("bigint") / F.lit(4294967296.0)
+            return (u < p) & ~x.isin(*SPECIAL_IDS)
+        return F.transform(_c(ids), hit)
+    return F.transform(F.array(blocks), hits)[0]  # binds the hashes: they are worked out once
 
 
 def apply_mask(ids, hits):

@@ -60,23 +60,30 @@ def simplex_grid(n_runs: int, step: float = 0.1):
     return out
 
 
+#: candidates scored by one aggregate
+BLOCK = 40
+
+
 def score_candidates(wide: DataFrame, candidates, pred_cols, target_col="target", y_col="y",
                      clip_cols=None) -> DataFrame:
     """Exact clipped MCRMSE of every candidate weight vector over an OOF table.
 
-    ``candidates`` is a bounded list of weight vectors (a grid or a population);
-    each row fans out to every candidate by ``explode`` of a literal array (no
-    join), and every candidate's loss is one grouped aggregate.
+    ``candidates`` is a bounded list of weight vectors (a grid or a population); a block
+    of them is one aggregate with an average per candidate, so rows do not multiply.
     """
-    cands = F.array(*[F.struct(F.lit(i).alias("cand_id"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws)])
-                      for i, ws in enumerate(candidates)])
-    j = wide.select("*", F.explode(cands).alias("_c")).select("*", "_c.*").drop("_c")
-    p = sum((F.col(f"w{i}") * F.col(c) for i, c in enumerate(pred_cols)), F.lit(0.0))
-    if clip_cols is not None:
-        p = clip(p, F.col(clip_cols[0]), F.col(clip_cols[1]))
-    per = (j.groupBy("cand_id", target_col)
-           .agg(F.sqrt(F.avg(F.pow(p - F.col(y_col), 2))).alias("_rmse")))
-    return per.groupBy("cand_id").agg(F.avg("_rmse").alias("score"))
+    def loss(ws):
+        p = sum((F.lit(float(w)) * F.col(c) for w, c in zip(ws, pred_cols)), F.lit(0.0))
+        if clip_cols is not None:
+            p = clip(p, F.col(clip_cols[0]), F.col(clip_cols[1]))
+        return F.avg(F.pow(p - F.col(y_col), 2))
+    per = None
+    for at in range(0, len(candidates), BLOCK):
+        block = candidates[at:at + BLOCK]
+        one = wide.groupBy(target_col).agg(*[loss(ws).alias(f"_{i}") for i, ws in enumerate(block)])
+        one = one.select(target_col, F.explode(F.array(*[
+            F.struct(F.lit(at + i).alias("cand_id"), F.sqrt(f"_{i}").alias("_rmse")) for i in range(len(block))])).alias("_c"))
+        per = one if per is None else per.unionByName(one)
+    return per.select(target_col, "_c.*").groupBy("cand_id").agg(F.avg("_rmse").alias("score"))
 
 
 def roulette_cumshare(cands: DataFrame, obj_col: str = "score", id_col: str = "cand_id") -> DataFrame:

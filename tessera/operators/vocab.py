@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import UNK_ID, VOCAB_BASE
-from tessera.operators.ranking import hashed_rank
+from tessera.operators.ranking import sort_with_position
 
 
 def token_counts(df: DataFrame, tokens_col: str, out: str = "token") -> DataFrame:
@@ -20,23 +20,27 @@ def top_tokens(df: DataFrame, tokens_col: str, k: int = 2000, out: str = "token"
 
 
 def build_vocab(*token_frames: DataFrame, token_col: str = "token", base: int = VOCAB_BASE) -> DataFrame:
-    """Union of token sets, ids ``base + rank`` in token order (bucketed rank: the
-    vocabulary may be large, so no one-partition window)."""
+    """Union of token sets, ids ``base + rank`` in token order (positions of a distributed
+    sort: the vocabulary may be large, so no one-partition window)."""
     u = token_frames[0].select(token_col)
     for f in token_frames[1:]:
         u = u.unionByName(f.select(token_col))
     u = u.where(F.col(token_col).isNotNull()).distinct()
-    r = hashed_rank(u, token_col, out="_r", bucket_chars=2)
+    r = sort_with_position(u, [token_col], "_r")
     return r.select(token_col, (F.lit(base) + F.col("_r")).cast("int").alias("id"))
 
 
 def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, token_col: str = "token",
-           out: str = "input_ids", unk: int = UNK_ID) -> DataFrame:
+           out: str = "input_ids", unk: int = UNK_ID, specials: dict | None = None) -> DataFrame:
     """Tokens -> ids by joining the vocabulary (AQE broadcasts it when its runtime size
-    is small, otherwise a shuffle join), then re-collected in token order per row."""
-    ex = df.select(key, F.posexplode(tokens_col).alias("_pos", token_col))
-    j = ex.join(vocab, token_col, "left").select(key, "_pos", F.coalesce("id", F.lit(unk)).alias("_id"))
-    enc = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
-    enc = enc.select(key, F.transform("_s", lambda s: s["_id"]).alias(out))
-    return df.select(key).join(enc, key, "left").select(
-        key, F.coalesce(out, F.array().cast("array<int>")).alias(out))
+    is small, otherwise a shuffle join), then re-collected in token order per row; a row
+    without tokens keeps an empty array.  ``specials`` maps marker tokens to their ids."""
+    ex = df.select(key, F.posexplode_outer(tokens_col).alias("_pos", token_col))
+    known = [F.col("id")]
+    if specials:
+        m = F.create_map(*[F.lit(x) for kv in specials.items() for x in kv])
+        known.append(F.try_element_at(m, F.col(token_col)))
+    j = ex.join(vocab, token_col, "left").select(key, "_pos", F.coalesce(*known, F.lit(unk)).alias("_id"))
+    one = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))  # nulls are not collected
+    enc = j.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("_s"))
+    return enc.select(key, F.transform("_s", lambda s: s["_id"]).alias(out))

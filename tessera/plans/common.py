@@ -77,13 +77,16 @@ def vocab_frame(t: Tables, k: int = 2000) -> DataFrame:
     return build_vocab(top_tokens(doc_tokens(t), "tokens", k), line_first_words(t))
 
 
-def encoded_docs(t: Tables) -> DataFrame:
-    """(doc_id, input_ids) with the fitted vocabulary (no specials yet)."""
+def encoded_docs(t: Tables, cut=None, specials: dict | None = None, with_vocab: bool = False):
+    """(doc_id, input_ids) with the fitted vocabulary (no specials yet).  ``cut`` maps the
+    token array to the part that is wanted, before anything is looked up."""
     from tessera.operators.vocab import build_vocab, encode, top_tokens
     from tessera.session import materialize
     toks = materialize(doc_tokens(t), "doc_tokens")
     vocab = build_vocab(top_tokens(toks, "tokens", 2000), line_first_words(t))
-    return encode(toks, "doc_id", "tokens", vocab)
+    part = toks if cut is None else toks.select("doc_id", cut(F.col("tokens")).alias("tokens"))
+    enc = encode(part, "doc_id", "tokens", vocab, specials=specials)
+    return (enc, vocab) if with_vocab else enc
 
 
 def essay_long_folds(t: Tables, k: int = 5, seed: int = 42) -> DataFrame:

@@ -74,7 +74,7 @@ WITH {S.VOCAB_CTES}
 SELECT doc_id, list_resize({CORE_SQL}, {L}, 0) AS input_ids,
        list_resize(list_transform({CORE_SQL}, lambda x: 1), {L}, 0) AS attention_mask FROM enc""")
 def q_truncate_pad(spark, sf):
-    e = encoded_docs(Tables(spark, sf))
+    e = encoded_docs(Tables(spark, sf), lambda x: F.slice(x, 1, L - 2))
     ids, mask = A.truncate_pad("input_ids", L)
     return e.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
 
@@ -94,8 +94,11 @@ SELECT doc_id,
        list_resize([]::INTEGER[], lft, 0) || list_transform(cut, lambda x: 1) || list_resize([]::INTEGER[], missing - lft, 0) AS attention_mask
 FROM q""")
 def q_random_truncate(spark, sf):
-    e = encoded_docs(Tables(spark, sf))
-    ids, mask = A.side_truncate_pad(A.with_specials("input_ids"), L, uniform(3, "doc_id"), uniform(4, "doc_id"))
+    u, u2 = uniform(3, "doc_id"), uniform(4, "doc_id")
+    markers = {"[CLS]": A.CLS_ID, "[SEP]": A.SEP_ID}  # cleaned words have no brackets
+    first, last = (F.array(F.lit(m)) for m in markers)
+    e = encoded_docs(Tables(spark, sf), lambda x: A.side_cut(F.concat(first, x, last), L, u, u2), markers)
+    ids, mask = A.side_pad("input_ids", L, u, u2)
     return e.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
@@ -107,7 +110,7 @@ m AS (SELECT *, max(len(core)) OVER (PARTITION BY batch) AS blen FROM c)
 SELECT doc_id, batch, list_resize(core, blen, 0) AS input_ids,
        list_resize(list_transform(core, lambda x: 1), blen, 0) AS attention_mask FROM m""")
 def q_batch_pad(spark, sf):
-    e = encoded_docs(Tables(spark, sf)).withColumn("core", A.with_specials("input_ids", L))
+    e = encoded_docs(Tables(spark, sf), lambda x: F.slice(x, 1, L - 2)).withColumn("core", A.with_specials("input_ids", L))
     r = hashed_rank(e.withColumn("_h", hash_hex(5, "doc_id")), "_h", ["doc_id"], out="_r")
     b = r.withColumn("batch", F.floor(F.col("_r") / 8).cast("bigint"))
     # a batch holds at most 8 rows: the window is bounded by construction
@@ -136,9 +139,9 @@ def q_label_suffix(spark, sf):
 WITH {S.VOCAB_CTES},
 c AS (SELECT doc_id, {FULL_SQL} AS core FROM enc)
 SELECT doc_id,
-  list_transform(core, lambda x, i: CASE WHEN (('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), CAST(i - 1 AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0) < 0.15
+  list_transform(core, lambda x, i: CASE WHEN (('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), CAST((i - 1) // 4 AS VARCHAR))), (i - 1) % 4 * 8 + 1, 8))::BIGINT / 4294967296.0) < 0.15
                                       AND NOT list_contains({SPECIALS_SQL}, x) THEN {A.MASK_ID} ELSE x END) AS input_ids,
-  list_transform(core, lambda x, i: CASE WHEN (('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), CAST(i - 1 AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0) < 0.15
+  list_transform(core, lambda x, i: CASE WHEN (('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), CAST((i - 1) // 4 AS VARCHAR))), (i - 1) % 4 * 8 + 1, 8))::BIGINT / 4294967296.0) < 0.15
                                       AND NOT list_contains({SPECIALS_SQL}, x) THEN x ELSE {A.IGNORE_LABEL} END) AS labels
 FROM c""")
 def q_mask_tokens(spark, sf):
@@ -151,9 +154,8 @@ def q_mask_tokens(spark, sf):
 @query("mask_ngrams")
 def q_mask_ngrams(spark, sf):
     """N-gram masking (row-sequential greedy cover) as an Arrow UDF; rows-only check."""
-    t = Tables(spark, sf)
-    e = encoded_docs(t)
-    v = vocab_frame(t).agg(F.max("id").alias("m")).first()["m"] or A.VOCAB_BASE
+    e, vocab = encoded_docs(Tables(spark, sf), with_vocab=True)
+    v = vocab.agg(F.max("id").alias("m")).first()["m"] or A.VOCAB_BASE
     m = A.mask_ngrams(A.with_specials("input_ids"), "doc_id", vocab_size=int(v) + 1)
     return e.select("doc_id", m.alias("m")).select("doc_id", "m.input_ids", "m.labels")
 
