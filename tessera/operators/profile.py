@@ -67,24 +67,25 @@ def describe_numeric(df: DataFrame, cols, exact: bool = True, max_buffered: int
     """
     distinct = (df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
                 if exact else {})
-    out = None
-    for c in cols:
+    # one aggregate for all columns; only columns of very many distinct values are sorted
+    sort = [c for c in cols if exact and (distinct.get(c) or 0) > max_buffered]
+    aggs = []
+    for i, c in enumerate(cols):
         x = F.col(c)
-        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                      F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
-        if not exact:
-            q = df.agg(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias("_q"))
-            q = q.select(*[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
-        elif (distinct.get(c) or 0) <= max_buffered:
-            q = df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
-            q = q.select(*[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
-        else:
-            q = sorted_quantiles(df, c, [0.25, 0.5, 0.75])
-        row = base.crossJoin(q).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                       F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"),
-                                       "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).cast("double").alias(f"a{i}"), F.max(x).cast("double").alias(f"b{i}")]
+        if c not in sort:
+            q = F.percentile(x, [0.25, 0.5, 0.75]) if exact else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+            aggs.append(q.cast("array<double>").alias(f"q{i}"))
+    one = df.agg(*aggs)
+    for i, c in enumerate(cols):
+        if c in sort:
+            q = sorted_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.array("q0", "q1", "q2").alias(f"q{i}"))
+            one = one.crossJoin(q)  # one row on either side
+    parts = [x for i, c in enumerate(cols) for x in
+             (f"'{c}'", f"n{i}", f"m{i}", f"s{i}", f"a{i}", f"q{i}[0]", f"q{i}[1]", f"q{i}[2]", f"b{i}")]
+    return one.selectExpr(f"stack({len(cols)}, {', '.join(parts)}) AS "
+                          "(`column`, count, mean, std, min, p25, p50, p75, max)")
 
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
@@ -102,13 +103,11 @@ def corr_matrix(df: DataFrame, cols) -> DataFrame:
 
 def skew_adjusted(df: DataFrame, cols) -> DataFrame:
     """Bias-adjusted sample skewness ``g1 * sqrt(n (n - 1)) / (n - 2)`` per column."""
-    out = None
-    for c in cols:
-        r = df.agg(F.count(c).alias("n"), F.skewness(c).alias("g1")).select(
-            F.lit(c).alias("column"), "n",
-            F.when(F.col("n") > 2, F.col("g1") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2)).alias("skew"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    one = df.agg(*[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.skewness(c).alias(f"g{i}"))])
+    parts = [x for i, c in enumerate(cols) for x in (f"'{c}'", f"n{i}", f"g{i}")]
+    long = one.selectExpr(f"stack({len(cols)}, {', '.join(parts)}) AS (`column`, n, g1)")
+    return long.select("column", "n", F.when(F.col("n") > 2, F.col("g1") * F.sqrt(F.col("n") * (F.col("n") - 1))
+                                             / (F.col("n") - 2)).alias("skew"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
