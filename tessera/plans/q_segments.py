@@ -38,16 +38,22 @@ def sampled_cells(t, n: int = N_SAMPLE, cell_type: str = "code"):
     return j.select("id", "sample_rank", "cell_id", src.alias("source"))
 
 
-@query("sample_cells", f"""
-WITH cells AS ({S.CELLS}),
+def _sample_ctes(n: int) -> str:
+    """``p``: id, len, pos, sample_rank of the sampled code cells; ``c``: all code cells with pos."""
+    return f"""
+cells AS ({S.CELLS}),
 c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn, cell_id) - 1 AS pos FROM cells WHERE cell_type = 'code'),
 n AS (SELECT id, count(*) AS len FROM c GROUP BY id),
-ix AS (SELECT id, len, CASE WHEN len <= {N_SAMPLE} THEN range(0, len)
-                            ELSE list_distinct(list_filter(list_transform(range(0, {N_SAMPLE} + 1),
-                                                lambda j: CAST(round_even(j * len / {N_SAMPLE}, 0) AS BIGINT)), lambda x: x < len)) END AS raw FROM n),
+ix AS (SELECT id, len, CASE WHEN len <= {n} THEN range(0, len)
+                            ELSE list_distinct(list_filter(list_transform(range(0, {n} + 1),
+                                                lambda j: CAST(round_even(j * len / {n}, 0) AS BIGINT)), lambda x: x < len)) END AS raw FROM n),
 ix2 AS (SELECT id, len, CASE WHEN list_contains(list_sort(raw), len - 1) THEN list_sort(raw)
                              ELSE list_slice(list_sort(raw), 1, len(raw) - 1) || [len - 1] END AS idx FROM ix),
-p AS (SELECT id, len, unnest(idx) AS pos, unnest(range(0, len(idx))) AS sample_rank FROM ix2)
+p AS (SELECT id, len, unnest(idx) AS pos, unnest(range(0, len(idx))) AS sample_rank FROM ix2)"""
+
+
+@query("sample_cells", f"""
+WITH {_sample_ctes(N_SAMPLE)}
 SELECT p.id, CAST(p.sample_rank AS INTEGER) AS sample_rank, c.cell_id,
        CASE WHEN p.len <= {N_SAMPLE} THEN substr(c.source, 1, {CUT}) ELSE c.source END AS source
 FROM p JOIN c ON p.id = c.id AND p.pos = c.pos""")
@@ -62,33 +68,44 @@ def _words(col):
     return F.filter(F.split(clean_text(col), " ", -1), lambda x: x != F.lit(""))
 
 
-@query("concat_segments", f"""
-WITH cells AS ({S.CELLS}),
-c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn, cell_id) AS k,
-             list_filter(string_split({S.clean('source')}, ' '), lambda x: x <> '') AS w FROM cells),
-side20 AS (SELECT id, flatten(list(list_slice(w, 1, {SIDE_TOK} - 1) ORDER BY k2)) AS s FROM (
-             SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS k2 FROM c WHERE cell_type = 'code')
-           WHERE k2 <= {MAX_SIDE} GROUP BY id)
-SELECT m.id, m.cell_id,
-       list_slice(list_slice(m.w, 1, {MAIN_MAX}) || coalesce(s.s, []::VARCHAR[]), 1, {TOTAL_MAX}) AS tokens
-FROM c m LEFT JOIN side20 s USING (id) WHERE m.cell_type = 'markdown'""")
-def q_concat_segments(spark, sf):
-    """Each markdown cell's words (cut) followed by the notebook's first 20 code cells'
-    leading words (last of each dropped), clipped.  The side list per notebook is
-    bounded (20 cells x a few tokens)."""
-    from tessera.plans.q_order import notebook_bound
-    t = Tables(spark, sf)
-    c = cells_frame(t).withColumn("w", _words("source"))
-    from tessera.operators.ranking import segmented_cumsum
-    code = segmented_cumsum(c.where(F.col("cell_type") == "code"), ["id"], ["turn", "cell_id"], F.lit(1), "k",
-                            largest_group=notebook_bound(t)) \
-        .where(F.col("k") <= MAX_SIDE)
-    side = code.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.slice("w", 1, SIDE_TOK - 1).alias("t"))))
-                                  .alias("_s"))
+def _concat_sql(n: int) -> str:
+    return f"""
+WITH {_sample_ctes(n)},
+w AS (SELECT *, list_filter(string_split({S.clean('source')}, ' '), lambda x: x <> '') AS w FROM (
+        SELECT p.id, p.sample_rank, CASE WHEN p.len <= {n} THEN substr(c.source, 1, {CUT}) ELSE c.source END AS source
+        FROM p JOIN c ON p.id = c.id AND p.pos = c.pos)),
+side AS (SELECT id, flatten(list(list_slice(w, 1, {SIDE_TOK} - 1) ORDER BY sample_rank)) AS s FROM w GROUP BY id),
+md AS (SELECT *, list_filter(string_split({S.clean('source')}, ' '), lambda x: x <> '') AS w FROM cells WHERE cell_type = 'markdown'),
+t AS (SELECT m.id, m.cell_id, list_slice(list_slice(m.w, 1, {MAIN_MAX}) || coalesce(s.s, []::VARCHAR[]), 1, {TOTAL_MAX}) AS t
+      FROM md m LEFT JOIN side s USING (id))
+SELECT id, cell_id, list_resize(t, {TOTAL_MAX}, '[PAD]') AS tokens,
+       list_resize(list_transform(t, lambda x: 1), {TOTAL_MAX}, 0) AS attention_mask FROM t"""
+
+
+def _concat(t, n: int):
+    """Each markdown cell's words (cut) followed by the leading words (last of each
+    dropped) of ``n`` evenly spaced code cells of its notebook, clipped, padded, with
+    mask.  The side list of a notebook is bounded (n cells x a few tokens)."""
+    code = sampled_cells(t, n).withColumn("w", _words("source"))
+    side = code.groupBy("id").agg(F.sort_array(F.collect_list(
+        F.struct("sample_rank", F.slice("w", 1, SIDE_TOK - 1).alias("t")))).alias("_s"))
     side = side.select("id", F.flatten(F.transform("_s", lambda x: x["t"])).alias("s"))
-    md = c.where(F.col("cell_type") == "markdown").join(side, "id", "left")
+    md = cells_frame(t).where(F.col("cell_type") == "markdown").withColumn("w", _words("source")).join(side, "id", "left")
     tok = F.slice(F.concat(F.slice("w", 1, MAIN_MAX), F.coalesce("s", F.array().cast("array<string>"))), 1, TOTAL_MAX)
-    return md.select("id", "cell_id", tok.alias("tokens"))
+    md = md.select("id", "cell_id", tok.alias("t"))
+    return md.select("id", "cell_id", A.pad_right("t", TOTAL_MAX, "[PAD]").alias("tokens"),
+                     A.ones_mask("t", TOTAL_MAX).alias("attention_mask"))
+
+
+@query("concat_segments", _concat_sql(MAX_SIDE))
+def q_concat_segments(spark, sf):
+    return _concat(Tables(spark, sf), MAX_SIDE)
+
+
+@query("concat_segments_2", _concat_sql(2))
+def q_concat_segments_2(spark, sf):
+    """Two code cells a notebook: fewer than most notebooks have."""
+    return _concat(Tables(spark, sf), 2)
 
 
 PAIR_SIDE, PAIR_LEN = 4, 10
