@@ -138,19 +138,22 @@ def q_fold_vote(spark, sf):
 _CLASS_CTES = f"""
 {S.LONG_CTES},
 cls AS (SELECT e.doc_id, e.source, c.cls AS target, CAST(e.lang = c.cls AS DOUBLE) AS y, f.kfold
-        FROM essay e JOIN folds f USING (source), (SELECT unnest(['de', 'en', 'es', 'fr']) AS cls) c),
+        FROM essay e JOIN folds f USING (source), (SELECT DISTINCT lang AS cls FROM documents WHERE lang IS NOT NULL) c),
 {S.fold_models('cls', 'source', name='cls')}
 """
 
 
 def _class_scores(t):
+    """Share of each language of the data in a document's source, by fold model."""
     from tessera.operators.oof import fold_model_predictions
-    from tessera.plans.common import essay_long_folds
-    e = essay_long_folds(t).select("doc_id", "lang", "source", "kfold").distinct()
-    c = (e.select("*", F.explode(F.array(*[F.lit(x) for x in LANGS])).alias("target"))
+    from tessera.operators.splits import group_kfold
+    from tessera.session import materialize
+    d = group_kfold(t.documents.select("doc_id", "lang", "source"), "source", k=5, seed=42)
+    classes = F.broadcast(d.agg(F.collect_set("lang").alias("classes")))  # one row
+    c = (d.crossJoin(classes).select("doc_id", "source", "kfold", "lang", F.explode("classes").alias("target"))
          .withColumn("y", (F.col("lang") == F.col("target")).cast("double")))
-    return fold_model_predictions(c, "source", 5).select("doc_id", F.col("target").alias("cls"), "model_fold",
-                                                          F.col("pred").alias("score"))
+    return fold_model_predictions(materialize(c, "class_rows"), "source", 5).select(
+        "doc_id", F.col("target").alias("cls"), "model_fold", F.col("pred").alias("score"))
 
 
 @query("fold_argmax", f"""
