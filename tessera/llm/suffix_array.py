@@ -1,8 +1,7 @@
 """Two-stage suffix sorting and adjacent common prefixes, vectorised in numpy.
 
 Suffixes are of two kinds: smaller than their successor (the suffix one place on), or
-larger.  Only the smaller ones are sorted directly, eight bytes at a time and only while
-they tie.  The larger ones are induced: buckets of first characters are scanned in
+larger.  Only the smaller ones are sorted directly.  The larger ones are induced: buckets of first characters are scanned in
 order, and each suffix found puts its predecessor, if that is of the larger kind, next in
 the bucket of the predecessor's first character.
 """
@@ -32,42 +31,36 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     return less[decides]
 
 
-def _sort_directly(idx: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
-    """``idx`` by the ``depth`` bytes that begin there; further ties stay in order."""
+def _sort_directly(idx: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
+    """``idx`` by the ``depth`` bytes that begin there (zeros beyond the end); ties stay in order."""
     if not len(idx):
         return idx
-    idx = idx[np.argsort(keys[idx], kind="stable")]
-    k = keys[idx]
-    group = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-    places = np.arange(len(idx))
-    for at in range(8, depth, 8):
-        tied = np.zeros(len(places), dtype=bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        places, group = places[tied], group[tied]
-        if not len(places):
-            break
-        sub = idx[places]
-        far = sub + at
-        key = np.where(far < len(keys), keys[np.minimum(far, len(keys) - 1)], np.uint64(0))
-        order = np.lexsort((key, group))
-        idx[places] = sub[order]
-        key, group = key[order], group[order]
-        group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (key[1:] != key[:-1]))])
-    return idx
+    padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[idx]
+    return idx[np.argsort(rows.view(f"S{depth}").ravel(), kind="stable")]
 
 
-def two_stage_sort(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes in the order of their first ``depth`` bytes."""
+def two_stage_sort(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of all suffixes in the order of their first ``depth`` bytes; or of the
+    ``wanted`` ones and those that induce them: what follows a larger suffix up to the
+    next smaller one."""
     n = len(text)
     if not n:
         return np.zeros(0, dtype=np.int64)
     small = smaller_than_successor(text)
-    direct = _sort_directly(np.flatnonzero(small), eight_bytes(text), depth + 8)
+    need = np.ones(n, dtype=bool)
+    if wanted is not None:
+        place = np.where(small, np.arange(n), n - 1)
+        end = np.minimum.accumulate(place[::-1])[::-1] + 1  # of the chain that begins here
+        step = np.zeros(n + 1, dtype=np.int64)
+        step[:-1] += wanted
+        step -= np.bincount(end[wanted], minlength=n + 1)
+        need = np.cumsum(step)[:n] > 0
+    direct = _sort_directly(np.flatnonzero(small & need), text, depth + 8)
+    larger = ~small & need
     heads = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if not small[n - 1]:
+    if larger[n - 1]:
         induced[text[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, before all
     out = []
     for c in range(256):
@@ -75,11 +68,11 @@ def two_stage_sort(text: np.ndarray, depth: int) -> np.ndarray:
         while len(wave):  # predecessors in the same bucket come after what induced them
             waves.append(wave)
             before = wave[wave > 0] - 1
-            wave = before[(text[before] == c) & ~small[before]]
+            wave = before[(text[before] == c) & larger[before]]
         bucket = np.concatenate([*waves, direct[heads[c]:heads[c + 1]]])
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[~small[before] & (text[before] > c)]
+        before = before[larger[before] & (text[before] > c)]
         first = text[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]

@@ -111,7 +111,7 @@ def repeated_in(parts: list[bytes], length: int) -> list[np.ndarray]:
     whole = np.zeros(len(text), dtype=bool)  # a string of that length fits in its snippet
     for a, b in zip(starts, starts[1:]):
         whole[a:max(a, b - length + 1)] = True
-    order = two_stage_sort(text, length)
+    order = two_stage_sort(text, length, whole)
     order = order[whole[order]]
     equal = common_prefixes(text, order, length) >= length
     found = np.zeros(len(text), dtype=bool)

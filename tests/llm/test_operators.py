@@ -200,6 +200,9 @@ def test_two_stage_sort():
         assert list(suffix_array.smaller_than_successor(a)) == [text[i:] < text[i + 1:] for i in range(len(text))]
         order = suffix_array.two_stage_sort(a, 1000)
         assert list(order) == sorted(range(len(text)), key=lambda i: text[i:])
+        wanted = np.array([rng.random() < 0.3 for _ in text], dtype=bool)
+        some = suffix_array.two_stage_sort(a, 1000, wanted)
+        assert set(np.flatnonzero(wanted)) <= set(some) and list(some) == [x for x in order if x in set(some)]
         for x, y, n in zip(order, order[1:], suffix_array.common_prefixes(a, order, 20)):
             assert n == next((k for k in range(20) if text[x + k:x + k + 1] != text[y + k:y + k + 1] or
                               max(x, y) + k >= len(text)), 20)
