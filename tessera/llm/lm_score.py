@@ -11,7 +11,7 @@ so token probabilities are normalised over all words, unseen ones included.
 Training is numpy in the tasks: from a common start (fitted in the driver on a bounded
 sample of ``start_rows`` texts) every task runs minibatch noise-contrastive estimation
 over all its training texts, and Spark averages the parameters, weighted by tokens.
-Scoring multiplies batches of predicted embeddings with all class embeddings.
+Scoring multiplies the predicted embeddings of all contexts with all class embeddings.
 
 Word counts reach the texts in two ways at every size: words above a frequency at which
 at most ``KNOWN`` remain are broadcast; the others, a small share of the tokens, are
@@ -25,6 +25,7 @@ same smoothed probability.  An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +35,13 @@ from . import shingle
 from .arrow import arrow_schema, map_rows, record_batch, small_batches
 from .common import keyed, same_document, spread
 
-TOP, SUFFIXES, CONTEXT, DIM = 127, 128, 3, 24
+TOP, SUFFIXES, CONTEXT, DIM = 127, 128, 2, 16
 CLASSES = 1 + TOP + SUFFIXES  # class 0 is the end
 PAD = CLASSES  # before the first token; context only
 KNOWN = 400_000
 SMOOTH = 0.1
 END = np.uint64(1)
-BATCH, NOISE = 4096, 128
+BATCH, NOISE = 4096, 32
 ROWS = 64  # texts whose tokens are held at a time
 
 
@@ -48,18 +49,22 @@ ROWS = 64  # texts whose tokens are held at a time
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """Both hashes and the suffix number of all tokens of some texts, and tokens a text."""
-    cols, sizes = ([], [], []), []
-    for text in texts:
-        raw = shingle.lower(text or "")
-        data = np.frombuffer(raw, dtype=np.uint8)
-        starts, ends = shingle.word_bounds(data)
-        last = data[ends - 1].astype(np.int64)
-        before = np.where(ends - starts > 1, data[ends - 2], 0).astype(np.int64)
-        for col, words, end in zip(cols, (*shingle.word_hashes(raw, both=True), (last * 31 + before * 7) % SUFFIXES),
-                                   (END, END, 0)):
-            col += [words, np.array([end], dtype=words.dtype)]
-        sizes.append(len(starts) + 1)
-    return *(np.concatenate(c) for c in cols), np.array(sizes)
+    raws = [shingle.lower(t or "") for t in texts]
+    raw = b"\n".join(raws)  # words end there
+    data = np.frombuffer(raw, dtype=np.uint8)
+    starts, ends = shingle.word_bounds(data)
+    begins = np.cumsum([0] + [len(r) + 1 for r in raws])
+    sizes = np.diff(np.searchsorted(starts, begins)) + 1
+    before = np.where(ends - starts > 1, data[ends - 2], 0).astype(np.int64)
+    suffix = (data[ends - 1].astype(np.int64) * 31 + before * 7) % SUFFIXES
+    end = np.zeros(int(sizes.sum()), dtype=bool)
+    end[np.cumsum(sizes) - 1] = True
+    out = []
+    for words, last in zip((*shingle.word_hashes(raw, both=True, bounds=(starts, ends)), suffix), (END, END, 0)):
+        col = np.full(len(end), last, dtype=words.dtype)
+        col[~end] = words
+        out.append(col)
+    return *out, sizes
 
 
 def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -140,18 +145,29 @@ class Trainer:
             m[name] -= self.rate * g / np.sqrt(self.squares[name])
 
 
+_TABLES: dict[bytes, np.ndarray] = {}  # of the last model, kept between the tasks of a worker
+
+
+def probability_table(model: dict) -> np.ndarray:
+    """Normalised log10 probability of every class in every context, by batched matrix
+    products: context rows (all pairs of classes) times class embeddings."""
+    key = flat(model).tobytes()
+    if key not in _TABLES:
+        context, weight = model["context"].astype(np.float32), model["weight"].astype(np.float32)
+        to, bias = model["target"].T.astype(np.float32), model["bias"].astype(np.float32)
+        out = np.empty((CLASSES + 1, CLASSES + 1, CLASSES), dtype=np.float32)
+        for c in range(CLASSES + 1):
+            logits = (context[c] * weight[0] + context * weight[1]) @ to + bias
+            logits -= logits.max(axis=1, keepdims=True)
+            out[c] = (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.float32(np.log(10))
+        _TABLES.clear()
+        _TABLES[key] = out
+    return _TABLES[key]
+
+
 def log_probabilities(model: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each class in its context."""
-    out = np.empty(len(target))
-    context, to = model["context"].astype(np.float32), model["target"].T.astype(np.float32)
-    weight, bias = model["weight"].astype(np.float32), model["bias"].astype(np.float32)
-    for at in range(0, len(target), BATCH):
-        c, t = ctx[at:at + BATCH], target[at:at + BATCH]
-        logits = sum(context[c[:, k]] * weight[k] for k in range(CONTEXT)) @ to + bias
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(t)), t]
-        out[at:at + BATCH] = own - np.log(np.exp(logits).sum(axis=1))
-    return out / np.log(10)
+    return probability_table(model)[ctx[:, 0], ctx[:, 1], target].astype(np.float64)
 
 
 # -- counts -------------------------------------------------------------------
@@ -210,6 +226,15 @@ class Counts:
         end = (h1 == END) & (h2 == END)
         return np.where(end, 0, classes), np.where(end, self.ends, n), known | end
 
+    def classify(self, h1: np.ndarray, h2: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Class of each token: only the words that are classes of their own are looked up."""
+        classes = np.where((h1 == END) & (h2 == END), 0, 1 + TOP + suffix)
+        if len(self.top):
+            order = np.sort(self.top)  # places in h1, so in order of h1
+            at = order[np.minimum(np.searchsorted(self.h1[order], h1), len(order) - 1)]
+            classes = np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.classes[at], classes)
+        return classes
+
     def noise(self) -> np.ndarray:
         p = self.class_n + 1
         return p / p.sum()
@@ -223,7 +248,7 @@ def fit(train: DataFrame, counts: Counts, start_rows: int = 200) -> dict[str, np
 
     def classes_of(texts):
         h1, h2, suffix, sizes = tokens(texts)
-        return counts.find(h1, h2, suffix)[0], sizes
+        return counts.classify(h1, h2, suffix), sizes
 
     first = train.select("doc_id", "text").orderBy(F.xxhash64(F.lit("start"), "doc_id"), "doc_id", "text").limit(start_rows)
 
@@ -287,30 +312,30 @@ def score(docs: DataFrame, learn: Column, known: int = KNOWN) -> DataFrame:
         whole_p = (log_probabilities(model, contexts(classes, sizes), classes) - class_below[classes]
                    + np.where(single[classes], 0, own))
         total = lambda x: np.add.reduceat(x, ends - sizes) if len(sizes) else x
-        return {"n_tokens": sizes, "n_known": total((found & (n > 0)).astype(np.int64)),
-                "base": total(base), "model": total(whole_p)}
-
-    def rare(ids, keys, texts):
-        h1, h2, suffix, sizes = tokens(texts)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        keep = ~counts.find(h1, h2, suffix)[2]
-        h1, h2, row = h1[keep], h2[keep], row[keep]
-        order = np.lexsort((h2, h1, row))
-        h1, h2, row = h1[order], h2[order], row[order]
+        # the other words of each text, each with how often it stands there
+        row = np.repeat(np.arange(len(sizes)), sizes)[~found]
+        a, b = h1[~found], h2[~found]
+        order = np.lexsort((b, a, row))
+        a, b, row = a[order], b[order], row[order]
         new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        new[1:] = (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
-        return {"h1": shingle.signed(h1[at]), "h2": shingle.signed(h2[at]), "doc_id": [ids[i] for i in row[at]],
-                "text_key": [keys[i] for i in row[at]], "times": np.diff(np.append(at, len(row)))}
+        word = pa.StructArray.from_arrays(
+            [pa.array(shingle.signed(a[at])), pa.array(shingle.signed(b[at])), pa.array(np.diff(np.append(at, len(row))))],
+            names=["h1", "h2", "times"])
+        cuts = pa.array(np.searchsorted(row[at], np.arange(len(sizes) + 1)), pa.int32())
+        return {"n_tokens": sizes, "n_known": total((found & (n > 0)).astype(np.int64)), "base": total(base),
+                "model": total(whole_p), "others": pa.ListArray.from_arrays(cuts, word)}
 
     kind = dict(whole.dtypes)["doc_id"]
-    scored = map_rows(whole.select("doc_id", "text_key", "text"), by_text, ["text"],
-                      f"doc_id {kind}, text_key long, n_tokens long, n_known long, base double, model double", rows=ROWS)
+    state = materialize(map_rows(
+        whole.select("doc_id", "text_key", "text"), by_text, ["text"],
+        f"doc_id {kind}, text_key long, n_tokens long, n_known long, base double, model double, "
+        "others array<struct<h1: long, h2: long, times: long>>", rows=ROWS), "lm-state")
     # rows given several times are added up once and given back as often
-    scored = scored.groupBy("doc_id", "text_key").agg(
+    scored = state.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
-    others = map_rows(whole.select("doc_id", "text_key", "text"), rare, ["doc_id", "text_key", "text"],
-                      f"h1 long, h2 long, doc_id {kind}, text_key long, times long", rows=ROWS)
+    others = state.select("doc_id", "text_key", F.explode("others").alias("w")).select("doc_id", "text_key", "w.*")
     others = (others.join(counted.select("h1", "h2", "n"), ["h1", "h2"], "left")
               .groupBy("doc_id", "text_key").agg(
                   F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("more"),

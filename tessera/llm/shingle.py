@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 BASES = (0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95)
-CHUNK = 1 << 20
+CHUNK = 1 << 15  # values worked on at a time: the intermediate arrays then stay in the cache
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,10 +73,10 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(text: bytes, both: bool = False) -> tuple[np.ndarray, ...]:
+def word_hashes(text: bytes, both: bool = False, bounds=None) -> tuple[np.ndarray, ...]:
     """Hashes of the words of a text (one array for each base that is wanted)."""
     data = np.frombuffer(text, dtype=np.uint8)
-    starts, ends = word_bounds(data)
+    starts, ends = word_bounds(data) if bounds is None else bounds
     out = [np.empty(len(starts), dtype=np.uint64) for _ in range(2 if both else 1)]
     first = 0
     while first < len(starts):  # whole words of about a chunk of bytes at a time
