@@ -31,7 +31,7 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-def spread(df: DataFrame, least_bytes_a_task: int = 0) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """A round-robin exchange where a scan gives fewer tasks than the cluster has cores
     (a small file is one task); larger inputs keep their splits and get no exchange."""
     want = df.sparkSession.sparkContext.defaultParallelism

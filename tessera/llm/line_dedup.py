@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-from .common import keyed, same_document, spread
+from .common import keyed, same_document
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -55,7 +55,6 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 16,
                        counts: bool = False) -> DataFrame:
     """The columns of ``docs``, ``text`` without boilerplate lines (null stays null); or,
     for ``counts``, doc_id, text, n_lines, n_removed_lines."""
-    docs = spread(docs)
     boiler = boilerplate_lines(docs, min_sites, min_chars, lg_k)
     hits = _lines(keyed(docs, "source"), min_chars).join(boiler, ["h1", "h2"])
     gone = (hits.filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.idx") == F.col("idx"))))

@@ -262,7 +262,6 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = materialize(named.join(found, named["rep"] == found["node"], "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component")), "near-named")
     out = made.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    # a document of several rows takes the least component of its rows
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id").cast("long")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

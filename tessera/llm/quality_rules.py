@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-from .common import SEPARATORS, spread
+from .common import SEPARATORS
 
 # Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = [
@@ -63,7 +63,7 @@ transform(array(CASE WHEN size(words) < 8 THEN CAST(array() AS array<bigint>)
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts and both histograms of every whole text."""
-    df = spread(docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")))
+    df = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     left = "text"
     # each class is taken out of what the earlier ones left
     for name, pattern in [("lower", "[a-z]+"), ("space", SEPARATORS), ("upper", "[A-Z]+"), ("digit", "[0-9]+"),

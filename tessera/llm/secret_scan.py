@@ -14,7 +14,6 @@ that start together are ordered by kind; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import lru_cache
 
