@@ -41,7 +41,7 @@ PAD = CLASSES  # before the first token; context only
 KNOWN = 400_000
 SMOOTH = 0.1
 END = np.uint64(1)
-BATCH, NOISE = 4096, 32
+BATCH, NOISE = 4096, 64
 ROWS = 64  # texts whose tokens are held at a time
 
 
