@@ -134,15 +134,18 @@ def train(docs: DataFrame, learn: Column | None = None, max_rows: int = 2400) ->
                 "at": [a.astype(np.int32) for a in at],
                 "n": [(found[i][a] / found[i].sum()).astype(np.float32) for i, a in zip(keep, at)]}
 
-    sample = sorted(map_rows(picked, counts, ["doc_id", "text", "lang"],
-                             "doc_id string, lang string, at array<int>, n array<float>").collect(),
-                    key=lambda r: (r["doc_id"], r["lang"]))
-    if not sample:
+    # as an Arrow table: rows of Python numbers would take ten times the memory
+    sample = map_rows(picked, counts, ["doc_id", "text", "lang"],
+                      "doc_id string, lang string, at array<int>, n array<float>").toArrow().combine_chunks()
+    if not sample.num_rows:
         return None
-    langs = sorted({r["lang"] for r in sample})
-    x, y = np.zeros((len(sample), BUCKETS), np.float32), np.array([langs.index(r["lang"]) for r in sample])
-    for i, r in enumerate(sample):
-        x[i, r["at"]] = r["n"]
+    label = sample.column("lang").to_pylist()
+    langs = sorted(set(label))
+    order = sorted(range(len(label)), key=lambda i: (sample.column("doc_id")[i].as_py(), label[i]))
+    x, y = np.zeros((len(label), BUCKETS), np.float32), np.array([langs.index(label[i]) for i in order])
+    at, n = sample.column("at"), sample.column("n")
+    for row, i in enumerate(order):
+        x[row, at[i].values.to_numpy()] = n[i].values.to_numpy()
     held = np.arange(len(y)) % 5 == 0
     weights, bias = fit(x[~held], y[~held], len(langs))
     heat, least = calibrate(x[held] @ weights + bias, y[held])

@@ -198,11 +198,11 @@ class Counts:
             self.least = at
         end = (F.col("h1") == int(END)) & (F.col("h2") == int(END))
         self.ends = sum(r["n"] for r in counts.filter(end).collect())
-        rows = counts.filter((level >= F.lit(self.least if self.least is not None else 1 << 30)) & ~end).toPandas()
-        self.h1, self.h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
+        rows = counts.filter((level >= F.lit(self.least if self.least is not None else 1 << 30)) & ~end).toArrow()
+        self.h1, self.h2 = (rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
         order = np.lexsort((self.h2, self.h1))
         self.h1, self.h2 = self.h1[order], self.h2[order]
-        self.n, suffix = (rows[c].to_numpy(np.int64)[order] for c in ("n", "suffix"))
+        self.n, suffix = (rows[c].to_numpy().astype(np.int64)[order] for c in ("n", "suffix"))
         self.top = np.lexsort((self.h2, self.h1, -self.n))[:TOP]
         self.classes = 1 + TOP + suffix
         self.classes[self.top] = 1 + np.arange(len(self.top))
@@ -260,10 +260,11 @@ def fit(train: DataFrame, counts: Counts, start_rows: int = 200) -> dict[str, np
         return {"target": classes[at], "ctx": list(ctx[at])}
 
     warm = start(noise)
-    rows = map_rows(first, sample, ["text"], "target int, ctx array<int>", rows=ROWS).toPandas()
-    if not len(rows):
+    rows = map_rows(first, sample, ["text"], "target int, ctx array<int>", rows=ROWS).toArrow()
+    if not rows.num_rows:
         return warm
-    ctx, target = np.stack(rows["ctx"].to_numpy()).astype(np.int64), rows["target"].to_numpy(np.int64)
+    ctx = np.concatenate([c.flatten().to_numpy() for c in rows["ctx"].chunks]).reshape(-1, CONTEXT).astype(np.int64)
+    target = rows["target"].to_numpy().astype(np.int64)
     order = np.lexsort((*ctx.T, target))  # the sample's rows come in any order
     trainer = Trainer(warm, noise, seed=1, rate=0.2)
     for _ in range(max(1, min(40, 2_000_000 // len(target)))):
