@@ -1,17 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The seeds of a benchmark item are its lower-cased runs of ``seed_words`` words.  A first
-pass over all documents counts how often each seed stands in the corpus; the rarer half
-of an item's seeds is kept, by rank within the item, so an item that was copied a
-thousand times keeps its seeds.  A second pass finds kept seeds in every whole text; where
-two or more of an item's seeds (one, for an item of few) stand within an item's length of
-each other, item and passage are aligned locally on words (match +2, mismatch and gap -1).
+The seeds of a benchmark item are its lower-cased runs of ``seed_words`` words, all of them:
+how often a seed stands in the corpus says nothing about the copies that are still to be
+found.  One pass finds the seeds in every whole text; around each, where enough words of the
+item stand for the least score, item and passage are aligned locally on words (match +2,
+mismatch and gap -1).
 The score is the alignment's share of the item's best possible one; substitutions,
 insertions and deletions lower it only a little.
 
 The benchmark is taken in blocks of ``block_words`` words, so what is broadcast has a
-bound whatever the benchmark's size.  Both passes are maps over the documents; only seed
-counts are shuffled.
+bound whatever the benchmark's size.  Each block is one map over the documents, without a
+shuffle.
 
 Nulls: documents or items without text have no seeds; a null doc_id or item_id passes
 through.  Items shorter than ``seed_words`` words are searched by all their words.  On a
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
@@ -61,55 +59,56 @@ class Items:
         owners = [np.full(len(s), i) for s, i in zip(seeds, (i for i, w in enumerate(self.words) if len(w)))]
         self.seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        self._index()
-
-    def _index(self):
         order = np.argsort(self.seeds, kind="stable")
         self.seeds, self.owners = self.seeds[order], self.owners[order]
+        self.vocabulary = [np.unique(w) for w in self.words]
         self.seen = np.zeros(1 << 16, dtype=bool)  # by the upper bits: most windows stop here
         self.seen[(self.seeds >> np.uint64(48)).astype(np.int64)] = True
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """The rarer half of each item's seeds, and all as rare as the last of them."""
-        n = np.array([counts.get(int(s), 0) for s in shingle.signed(self.seeds)], dtype=np.int64)
-        keep = np.zeros(len(n), dtype=bool)
-        for i in np.unique(self.owners):
-            own = self.owners == i
-            keep |= own & (n <= np.median(n[own]))
-        self.seeds, self.owners = self.seeds[keep], self.owners[keep]
-        self._index()
-
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the text and seed number of every seed that stands there."""
-        at, what = [], []
+        """Place in the text and item of every seed that stands there."""
+        at, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in self.sizes:
             h = shingle.windows(words, size)
             some = np.flatnonzero(self.seen[(h >> np.uint64(48)).astype(np.int64)])
             a, b = (np.searchsorted(self.seeds, h[some], side=s) for s in ("left", "right"))
-            for step in range(int((b - a).max(initial=0))):  # as often as one seed has owners
-                more = a + step < b
-                at.append(some[more])
-                what.append((a + step)[more])
-        return (np.concatenate(at), np.concatenate(what)) if at else (np.zeros(0, int), np.zeros(0, int))
+            n = b - a  # owners of each
+            at.append(np.repeat(some, n))
+            what.append(np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n))
+        return np.concatenate(at), self.owners[np.concatenate(what)]
+
+    def may_reach(self, i: int, passage: np.ndarray, least: float) -> bool:
+        """Whether enough words of the item stand close enough for the least score: at a
+        match for +2 it takes ``least`` of the item's length, and the errors that the score
+        allows bound how far apart they stand."""
+        length, known = len(self.words[i]), self.vocabulary[i]
+        same = known[np.minimum(np.searchsorted(known, passage), len(known) - 1)] == passage
+        if same.sum() < least * length:
+            return False
+        total = np.concatenate([[0], np.cumsum(same)])
+        span = min(len(passage), int(np.ceil((3 - 2 * least) * length)))
+        if (total[span:] - total[:len(total) - span]).max() < least * length:
+            return False
+        return bool(np.isin(self.words[i], passage[same]).sum() >= least * length)
 
     def matches(self, text: str, least: float) -> list[tuple]:
         """(item id, score, first word, end word) of the items found in a text."""
         words = shingle.word_hashes(shingle.lower(text))[0]
         at, what = self.hits(words)
+        order = np.lexsort((at, what))
+        at, what = at[order], what[order]
         out = []
-        for i in np.unique(self.owners[what]):
-            own = self.owners[what] == i
-            places, length = np.sort(at[own]), len(self.words[i])
-            need = min(2, int((self.owners == i).sum()))
-            best = (0, 0, 0)
+        for places in np.split(np.arange(len(what)), np.flatnonzero(np.diff(what)) + 1) if len(what) else []:
+            i, places = int(what[places[0]]), at[places]
+            length, best = len(self.words[i]), (0, 0, 0)
             # runs of hits no further apart than the item is long share one passage
             for run in np.split(places, np.flatnonzero(np.diff(places) > length) + 1):
-                if len(run) < need:
-                    continue
                 a, b = max(0, run[0] - length), min(len(words), run[-1] + 2 * length)
                 for c in range(a, b, 8 * length):  # long runs in overlapping parts
-                    score, end = align(self.words[i], words[c:min(b, c + 10 * length)])
-                    best = max(best, (score, -(c + end), -a))
+                    passage = words[c:min(b, c + 10 * length)]
+                    if self.may_reach(i, passage, least):
+                        score, end = align(self.words[i], passage)
+                        best = max(best, (score, -(c + end), -a))
             score = best[0] / (MATCH * length)
             if score >= least:
                 out.append((self.ids[i], round(score, 6), max(0, -best[1] - length), -best[1]))
@@ -139,22 +138,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed_w
     for rows in _blocks(benchmark, block_words):
         items = Items(rows, seed_words)
 
-        def count(texts, items=items):
-            total = np.zeros(len(items.seeds), dtype=np.int64)
-            for text in texts:
-                total += np.bincount(items.hits(shingle.word_hashes(shingle.lower(text or ""))[0])[1],
-                                     minlength=len(total))
-            some = np.flatnonzero(total)
-            return {"seed": shingle.signed(items.seeds[some]), "n": total[some]}
-
         def match(ids, texts, items=items):
             out = [(d, *m) for d, t in zip(ids, texts) if t for m in items.matches(t, least)]
             names = ("doc_id", "item_id", "score", "first_word", "end_word")
             return {n: [r[i] for r in out] for i, n in enumerate(names)}
 
-        counts = map_rows(docs, count, ["text"], "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        # as many rows as the block has seeds at most
-        items.keep_rare({r["seed"]: r["n"] for r in counts.collect()})
         part = map_rows(docs, match, ["doc_id", "text"], schema)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -247,6 +247,33 @@ def test_decontamination(spark):
     assert got == {i: [x] for i, x in planted.items()}
 
 
+@pytest.mark.parametrize("exact", [0, 1, 5])
+def test_decontamination_of_much_edited_copies(spark, exact):
+    """A fifth to a third of the words edited, alone and beside exact copies."""
+    rng = random.Random(12)
+    items, rows = [], []
+    for i, (n, at) in enumerate([(16, [3, 8, 13]), (40, range(3, 40, 6)), (12, [2, 6, 10]), (12, [2, 5, 8]),
+                                 *[(n, rng.sample(range(n), n * share // 100)) for n in (30, 60) for share in (20, 25, 30)]]):
+        item = [f"i{i}w{k}" for k in range(n)]
+        edited = [f"edit{k}" if k in at else w for k, w in enumerate(item)]
+        items.append((i, " ".join(item)))
+        for k, copy in enumerate([edited] + [item] * exact):
+            rows.append((100 * i + k, " ".join([*words(rng, 50), *copy, *words(rng, 50)])))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == sorted((i, i // 100) for i, _ in rows)
+
+
+def test_items_are_aligned_wherever_the_score_can_be_reached():
+    rng = random.Random(13)
+    for _ in range(300):
+        text = [rng.choice("abcdefgh") for _ in range(rng.randrange(60))]
+        items = decontaminate.Items([(0, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12))))], 3)
+        passage = shingle.word_hashes(" ".join(text).encode())[0]
+        score = decontaminate.align(items.words[0], passage)[0] / (2 * len(items.words[0]))
+        assert all(items.may_reach(0, passage, least) for least in (0.3, 0.5, 0.8) if score >= least)
+
+
 def test_alignment_is_smith_waterman():
     rng = random.Random(8)
     for _ in range(60):
