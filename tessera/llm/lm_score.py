@@ -4,14 +4,16 @@ Tokens are lower-cased words and one end a text.  A count pass over all training
 gives every word's frequency.  The model predicts a token's class from the classes of the
 ``CONTEXT`` tokens before it: context embeddings, weighted by position, add up to a
 predicted embedding, whose products with the class embeddings go through a softmax.  The
-``TOP`` most frequent words are classes of their own, other words share ``SUFFIXES``
-classes by their last two bytes, and within a class the smoothed word frequencies hold;
-so token probabilities are normalised over all words, unseen ones included.
+most frequent words are classes of their own, ``TOP`` or as many as the square root of the
+number of distinct words if that is more; other words share ``SUFFIXES`` classes by their
+last two bytes, and within a class the smoothed word frequencies hold; so token
+probabilities are normalised over all words, unseen ones included.
 
 Training is numpy in the tasks: from a common start (fitted in the driver on a bounded
 sample of ``start_rows`` texts) every task runs minibatch noise-contrastive estimation
 over all its training texts, and Spark averages the parameters, weighted by tokens.
-Scoring multiplies the predicted embeddings of all contexts with all class embeddings.
+Scoring multiplies the predicted embeddings of the distinct contexts of some texts with all
+class embeddings.  Both make these products in float32; parameters are float64.
 
 Word counts reach the texts in two ways at every size: words above a frequency at which
 at most ``KNOWN`` remain are broadcast; the others, a small share of the tokens, are
@@ -35,13 +37,14 @@ from . import shingle
 from .arrow import arrow_schema, map_rows, record_batch, small_batches
 from .common import keyed, same_document, spread
 
-TOP, SUFFIXES, CONTEXT, DIM = 127, 128, 2, 16
-CLASSES = 1 + TOP + SUFFIXES  # class 0 is the end
-PAD = CLASSES  # before the first token; context only
+TOP, SUFFIXES, CONTEXT, DIM = 127, 128, 3, 24
+CLASSES = 1 + SUFFIXES + TOP  # of a small vocabulary: the end, shared classes, words of their own
+PAD = -1  # before the first token; context only
 KNOWN = 400_000
 SMOOTH = 0.1
 END = np.uint64(1)
-BATCH, NOISE = 4096, 64
+BATCH, NOISE = 4096, 128
+CELLS = 1 << 18  # products of contexts and classes held at a time
 ROWS = 64  # texts whose tokens are held at a time
 
 
@@ -80,19 +83,20 @@ def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # -- model --------------------------------------------------------------------
 
 def start(noise: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return {"context": rng.normal(0, 0.3, (CLASSES + 1, DIM)), "weight": np.ones((CONTEXT, DIM)) / CONTEXT,
-            "target": rng.normal(0, 0.1, (CLASSES, DIM)), "bias": np.log(noise)}
+    rng, classes = np.random.default_rng(seed), len(noise)
+    # the first row of the context embeddings is that of PAD
+    return {"context": rng.normal(0, 0.3, (classes + 1, DIM)), "weight": np.ones((CONTEXT, DIM)) / CONTEXT,
+            "target": rng.normal(0, 0.1, (classes, DIM)), "bias": np.log(noise)}
 
 
 def flat(model: dict) -> np.ndarray:
     return np.concatenate([model[k].ravel() for k in ("context", "weight", "target", "bias")])
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(x: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in (("context", (CLASSES + 1, DIM)), ("weight", (CONTEXT, DIM)), ("target", (CLASSES, DIM)),
-                        ("bias", (CLASSES,))):
+    for name, shape in (("context", (classes + 1, DIM)), ("weight", (CONTEXT, DIM)), ("target", (classes, DIM)),
+                        ("bias", (classes,))):
         size = int(np.prod(shape))
         out[name] = x[at:at + size].reshape(shape).copy()
         at += size
@@ -122,52 +126,51 @@ class Trainer:
         self.seen += len(target)
 
     def _step(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.model, len(target)
-        drawn = self.rng.choice(CLASSES, NOISE, p=self.noise)  # shared by the batch
-        given = m["context"][ctx]
-        guess = np.einsum("bkd,kd->bd", given, m["weight"])
+        m, n, classes = {k: v.astype(np.float32) for k, v in self.model.items()}, len(target), len(self.noise)
+        drawn = self.rng.choice(classes, NOISE, p=self.noise)  # shared by the batch
+        given = [m["context"][ctx[:, k] + 1] for k in range(CONTEXT)]
+        guess = sum(given[k] * m["weight"][k] for k in range(CONTEXT))
         hit, wrong = m["target"][target], m["target"][drawn]
-        data = (guess * hit).sum(axis=1) + m["bias"][target] - self.log_noise[target]
-        fake = guess @ wrong.T + m["bias"][drawn] - self.log_noise[drawn]
+        level = (self.model["bias"] - self.log_noise).astype(np.float32)
+        data = (guess * hit).sum(axis=1) + level[target]
+        fake = guess @ wrong.T + level[drawn]
         up = 1 / (1 + np.exp(-np.clip(data, -30, 30))) - 1
         down = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
         back = up[:, None] * hit + down @ wrong
         grads = {
-            "target": _rows_sum(target, up[:, None] * guess, CLASSES) + _rows_sum(drawn, down.T @ guess, CLASSES),
-            "bias": np.bincount(target, weights=up, minlength=CLASSES)
-            + np.bincount(drawn, weights=down.sum(axis=0), minlength=CLASSES),
-            "weight": np.einsum("bd,bkd->kd", back, given),
-            "context": sum(_rows_sum(ctx[:, k], back * m["weight"][k], CLASSES + 1) for k in range(CONTEXT)),
+            "target": _rows_sum(target, up[:, None] * guess, classes) + _rows_sum(drawn, down.T @ guess, classes),
+            "bias": np.bincount(target, weights=up, minlength=classes)
+            + np.bincount(drawn, weights=down.sum(axis=0), minlength=classes),
+            "weight": np.stack([(back * g).sum(axis=0, dtype=np.float64) for g in given]),
+            "context": sum(_rows_sum(ctx[:, k] + 1, back * m["weight"][k], classes + 1) for k in range(CONTEXT)),
         }
         for name, g in grads.items():
-            g = g / n * CLASSES ** 0.5
+            g = g / n * classes ** 0.5
             self.squares[name] += g * g
-            m[name] -= self.rate * g / np.sqrt(self.squares[name])
-
-
-_TABLES: dict[bytes, np.ndarray] = {}  # of the last model, kept between the tasks of a worker
-
-
-def probability_table(model: dict) -> np.ndarray:
-    """Normalised log10 probability of every class in every context, by batched matrix
-    products: context rows (all pairs of classes) times class embeddings."""
-    key = flat(model).tobytes()
-    if key not in _TABLES:
-        context, weight = model["context"].astype(np.float32), model["weight"].astype(np.float32)
-        to, bias = model["target"].T.astype(np.float32), model["bias"].astype(np.float32)
-        out = np.empty((CLASSES + 1, CLASSES + 1, CLASSES), dtype=np.float32)
-        for c in range(CLASSES + 1):
-            logits = (context[c] * weight[0] + context * weight[1]) @ to + bias
-            logits -= logits.max(axis=1, keepdims=True)
-            out[c] = (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / np.float32(np.log(10))
-        _TABLES.clear()
-        _TABLES[key] = out
-    return _TABLES[key]
+            self.model[name] -= self.rate * g / np.sqrt(self.squares[name])
 
 
 def log_probabilities(model: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Normalised log10 probability of each class in its context."""
-    return probability_table(model)[ctx[:, 0], ctx[:, 1], target].astype(np.float64)
+    """Normalised log10 probability of each class in its context, by batched matrix products:
+    the distinct contexts times the class embeddings."""
+    context, weight = model["context"].astype(np.float32), model["weight"].astype(np.float32)
+    to, bias = model["target"].astype(np.float32), model["bias"].astype(np.float32)
+    key = np.zeros(len(ctx), dtype=np.int64)
+    for k in range(ctx.shape[1]):
+        key = key * len(context) + ctx[:, k] + 1
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    guess = np.zeros((len(first), DIM), dtype=np.float32)
+    for k in range(ctx.shape[1]):
+        guess += context[ctx[first, k] + 1] * weight[k]
+    whole, step, across = np.empty(len(first)), max(1, CELLS // len(to)), np.ascontiguousarray(to.T)
+    for at in range(0, len(first), step):
+        logits = guess[at:at + step] @ across
+        logits += bias
+        most = logits.max(axis=1)
+        logits -= most[:, None]
+        whole[at:at + step] = most + np.log(np.exp(logits, out=logits).sum(axis=1))
+    own = np.einsum("bd,bd->b", guess[which], to[target]) + bias[target]
+    return (own - whole[which]) / np.log(10)
 
 
 # -- counts -------------------------------------------------------------------
@@ -203,22 +206,25 @@ class Counts:
         order = np.lexsort((self.h2, self.h1))
         self.h1, self.h2 = self.h1[order], self.h2[order]
         self.n, suffix = (rows[c].to_numpy().astype(np.int64)[order] for c in ("n", "suffix"))
-        self.top = np.lexsort((self.h2, self.h1, -self.n))[:TOP]
-        self.classes = 1 + TOP + suffix
-        self.classes[self.top] = 1 + np.arange(len(self.top))
+        self.top = np.lexsort((self.h2, self.h1, -self.n))[:max(TOP, int(self.distinct ** 0.5))]
+        self.n_classes, own = 1 + SUFFIXES + len(self.top), slice(1 + SUFFIXES, None)
+        self.classes = 1 + suffix
+        self.classes[self.top] = np.arange(self.n_classes)[own]
         # tokens and words of each class
-        self.class_n, self.class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+        self.class_n, self.class_words = np.zeros(self.n_classes), np.zeros(self.n_classes)
         for r in steps:
-            self.class_n[1 + TOP + r["suffix"]] += r["n"]
-            self.class_words[1 + TOP + r["suffix"]] += r["words"]
-        for n, at in [(self.ends, 1 + TOP), *zip(self.n[self.top], 1 + TOP + suffix[self.top])]:  # the end has suffix 0
+            self.class_n[1 + r["suffix"]] += r["n"]
+            self.class_words[1 + r["suffix"]] += r["words"]
+        for n, at in [(self.ends, 1), *zip(self.n[self.top], 1 + suffix[self.top])]:  # the end has suffix 0
             self.class_n[at] -= n
             self.class_words[at] -= n > 0
-        self.class_n[:1 + len(self.top)] = [self.ends, *self.n[self.top]]
+        self.class_n[0], self.class_n[own] = self.ends, self.n[self.top]
+        self.single = np.zeros(self.n_classes, dtype=bool)
+        self.single[0] = self.single[own] = True
 
     def find(self, h1: np.ndarray, h2: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, ...]:
         """Class of each token, its count, and whether that is known here (ends are)."""
-        classes, n, known = 1 + TOP + suffix, np.zeros(len(h1)), np.zeros(len(h1), dtype=bool)
+        classes, n, known = 1 + suffix, np.zeros(len(h1)), np.zeros(len(h1), dtype=bool)
         if len(self.h1):
             at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
             known = (self.h1[at] == h1) & (self.h2[at] == h2)
@@ -228,7 +234,7 @@ class Counts:
 
     def classify(self, h1: np.ndarray, h2: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         """Class of each token: only the words that are classes of their own are looked up."""
-        classes = np.where((h1 == END) & (h2 == END), 0, 1 + TOP + suffix)
+        classes = np.where((h1 == END) & (h2 == END), 0, 1 + suffix)
         if len(self.top):
             order = np.sort(self.top)  # places in h1, so in order of h1
             at = order[np.minimum(np.searchsorted(self.h1[order], h1), len(order) - 1)]
@@ -288,7 +294,7 @@ def fit(train: DataFrame, counts: Counts, start_rows: int = 200) -> dict[str, np
     parts = small_batches(train.select("text")).mapInArrow(run, schema)
     mean = (parts.groupBy("place").agg((F.sum("part") / F.sum("weight")).alias("x")).toPandas()
             .sort_values("place")["x"].to_numpy())  # as many rows as the model has parameters
-    return unflat(mean)
+    return unflat(mean, counts.n_classes)
 
 
 def score(docs: DataFrame, learn: Column, known: int = KNOWN) -> DataFrame:
@@ -299,8 +305,7 @@ def score(docs: DataFrame, learn: Column, known: int = KNOWN) -> DataFrame:
     counts = Counts(counted, known)
     model = fit(whole.filter(learn), counts)
     below = float(np.log10(counts.total + SMOOTH * (counts.distinct + 1)))
-    single = np.zeros(CLASSES, dtype=bool)
-    single[:1 + len(counts.top)] = True
+    single = counts.single
     class_below = np.where(single, 0, np.log10(counts.class_n + SMOOTH * (counts.class_words + 1)))
 
     def by_text(texts):

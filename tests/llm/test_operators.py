@@ -115,6 +115,37 @@ def test_lm_learns_order():
     assert lm_score.log_probabilities(trainer.model, ctx, classes).mean() > -0.3
 
 
+def test_lm_learns_from_the_third_token_before():
+    rng, noise = np.random.default_rng(1), np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
+    which = rng.integers(0, 2, 8000)
+    classes = np.stack([5 + which, np.full(8000, 9), np.full(8000, 20), 40 + which], axis=1).ravel()
+    ctx = lm_score.contexts(classes, np.array([len(classes)]))
+    trainer = lm_score.Trainer(lm_score.start(noise), noise, seed=1)
+    for _ in range(4):
+        trainer.learn(ctx, classes)
+    assert lm_score.log_probabilities(trainer.model, ctx[3::4], classes[3::4]).mean() > -0.15  # an even guess: -0.3
+
+
+def test_lm_model_is_not_shrunk_and_grows_with_the_vocabulary(spark):
+    assert (lm_score.CONTEXT, lm_score.DIM, lm_score.NOISE) == (3, 24, 128)
+    for distinct, own in ((1000, 127), (40_000, 200), (90_000, 300)):
+        counts = lm_score.Counts(spark.range(distinct).selectExpr(
+            "id + 2 AS h1", "id AS h2", "CAST(id % 128 AS int) AS suffix", "id + 1 AS n"), 400_000)
+        assert counts.n_classes == 1 + lm_score.SUFFIXES + own and counts.single.sum() == 1 + own
+        assert counts.class_n.sum() == counts.total and counts.class_words[~counts.single].sum() == distinct - own
+        h1 = np.array([distinct + 1, 2], dtype=np.uint64)  # the most and the least frequent word
+        suffix = np.array([(distinct - 1) % 128, 0])
+        for classes in (counts.classify(h1, h1 - np.uint64(2), suffix), counts.find(h1, h1 - np.uint64(2), suffix)[0]):
+            assert list(classes) == [1 + lm_score.SUFFIXES, 1]
+        model = lm_score.start(counts.noise())
+        ctx = np.random.default_rng(3).integers(-1, counts.n_classes, (50, 3)).repeat(2, axis=0)
+        p = [lm_score.log_probabilities(model, ctx, np.full(100, c)) for c in range(counts.n_classes)]
+        assert (10 ** np.array(p)).sum(axis=0) == pytest.approx(1, abs=1e-4)
+        plain = (model["context"][ctx + 1] * model["weight"]).sum(axis=1) @ model["target"].T + model["bias"]
+        plain = np.log10(np.exp(plain) / np.exp(plain).sum(axis=1, keepdims=True))
+        assert np.array(p).T == pytest.approx(plain, abs=1e-4)
+
+
 def test_near_dedup(docs, corpus):
     for k, percent in ((4, 80), (5, 80), (3, 50)):
         got = by_id(near_dedup.components(docs, k, percent), "n_shingles", "component_id", "kept")
