@@ -5,7 +5,8 @@ a sensitive word within 48 characters on its line.  Its novelty is what it adds
 compressed size of the surrounding text, by a compressor primed with a dictionary of code
 keywords, identifiers and usual placeholders: text of the document, names and
 placeholders match what was seen before and add little, random strings add most of their
-entropy.  At ``least`` bytes a character or more the candidate is reported as ``novel``.
+entropy.  Other occurrences of the candidate, and of a value it assigns, are cut out of the
+surrounding text, so a secret that is given twice is as novel as one given once.  At ``least`` bytes a character or more the candidate is reported as ``novel``.
 
 A map over whole texts without a shuffle.  Positions are code points, ends exclusive.  A
 null text is empty; empty texts have no spans; repeated rows give repeated results; spans
@@ -63,6 +64,21 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (size(before + after + candidate) - size(before + after)) / len(candidate)
 
 
+def without(text: str, start: int, end: int, parts: list[str]) -> str:
+    """``text[start:end]`` less the occurrences of ``parts``, those cut by its ends too."""
+    gone = []
+    for part in parts:
+        at = text.find(part, max(0, start - len(part) + 1), end + len(part) - 1)
+        while at >= 0:
+            gone.append((at, at + len(part)))
+            at = text.find(part, at + 1, end + len(part) - 1)
+    out = []
+    for a, b in sorted(gone):
+        out.append(text[start:max(start, min(a, end))])
+        start = max(start, b)
+    return "".join(out) + text[start:end]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the three base kinds."""
     spans = []
@@ -88,7 +104,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], least: float) -> li
         line = text.rfind("\n", 0, at) + 1
         if not SENSITIVE.search(text, max(line, at - REACH), at) or any(a < end and at < b for a, _, b in base):
             continue
-        if novelty(text[max(0, at - CONTEXT):at], c, text[end:end + CONTEXT]) >= least:
+        parts = [c, *(x for x in c.split("=") if 16 <= len(x) < len(c))]
+        before = without(text, max(0, at - CONTEXT), at, parts)
+        if novelty(before, c, without(text, end, min(len(text), end + CONTEXT), parts)) >= least:
             spans.append((at, 3, end))
     return spans
 

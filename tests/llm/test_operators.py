@@ -79,6 +79,20 @@ def test_secret_spans():
     assert secret_scan.base_spans("paſſword = abcdefgh to\u212aen=abcdefg") == []  # other letters that fold to s and k
 
 
+def test_secret_given_twice_is_novel():
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCDEFGHKMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(40)) + "7x"
+    line, filler = f"Authorization: Bearer {key}\n", "some words of text " * 40
+    for text in (line, line * 2, line * 5, line + filler[:300] + line, f"auth {key} then private {key}",
+                 *[line + filler[:n] + line for n in range(440, 520, 7)], f"auth x={key} then access {key}"):
+        got = [text[a:b] for a, _, b in secret_scan.novel_spans(text, [], 0.45)]
+        assert [x.split("=")[-1] for x in got] == [key] * text.count(key), text
+    assert secret_scan.novel_spans("auth xxxxxxxxxxxxxxxxxxxx1\n" * 2, [], 0.45) == []
+    text = "abcXYabcXYab--"
+    assert [secret_scan.without(text, a, b, ["abcXY"]) for a, b in ((0, 14), (2, 14), (0, 7), (10, 14))] == [
+        "ab--", "ab--", "", "ab--"]
+
+
 def test_secret_digest(spark):
     docs = spark.createDataFrame([(1, "api_key=abcdef12"), (2, None), (3, "")], "doc_id long, text string")
     got = by_id(secret_scan.digest(secret_scan.find_secrets(docs)), "n_assign", "n_access", "n_hex", "spans")
