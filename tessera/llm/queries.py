@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, lm_score, near_dedup, packing, secret_scan, suffix_dedup
+from .collocations import collocations
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
 from .quality_rules import judge_documents
@@ -86,3 +87,37 @@ def op9_decontamination(spark, sf_dir):
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     return judge_documents(documents(spark, sf_dir))
+
+
+@query("op11_phrase_mining", sql=r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS no
+  FROM (SELECT lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+          FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k))
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2),
+cut AS (
+  SELECT lang, phrase, a, words, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT cut.lang, cut.phrase, a, cut, x.f AS l, y.f AS r, t.n,
+         (1000::HUGEINT * a * t.n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(words[1:cut], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')
+  JOIN t ON t.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+g AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND y.k > x.k
+      AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= 100 * x.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM b WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM g))
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+""")
+def op11_phrase_mining(spark, sf_dir):
+    """Each language's best 2000 collocations."""
+    return collocations(documents(spark, sf_dir))
