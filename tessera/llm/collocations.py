@@ -43,37 +43,20 @@ from . import shingle
 from .arrow import arrow_schema, record_batch, small_batches
 from .common import spread
 from .hat_trie import HatTrie, pack, phrase_numbers
+from .word_lists import LOWER, UPPER, folded, numbered
 
 ROWS = 1024  # texts of a batch
 
 # The characters that end a piece; blank and tab separate words.
 CUTS = b".,;:!?\n\x0b\x0c\r"
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + CUTS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(CUTS))
+_FOLD = bytes.maketrans(UPPER + b"\t" + CUTS, LOWER + b" " + b"\n" * len(CUTS))
 
 
 # -- words --------------------------------------------------------------------
 
-def folded(texts: pa.StringArray) -> pa.StringArray:
-    """Lower-cased, every tab a blank and every cut a line end: single bytes all."""
-    texts = pc.fill_null(texts, "")
-    texts = pa.concat_arrays([texts])  # own buffers, offset 0
-    _, offsets, data = texts.buffers()
-    data = data.to_pybytes().translate(_FOLD) if data is not None else b""
-    return type(texts).from_buffers(len(texts), offsets, pa.py_buffer(data))
-
-
 def words_of(texts: pa.StringArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Word numbers, the distinct words, and the piece of each word."""
-    by_piece = pc.split_pattern(pc.split_pattern(folded(texts), "\n").flatten(), " ")
-    coded = by_piece.flatten().dictionary_encode()
-    numbers, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    sizes = np.diff(by_piece.offsets.to_numpy())
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    some = np.ones(len(distinct) + 1, dtype=bool)
-    blank = pc.index(distinct, "").as_py()
-    some[blank] = blank < 0  # at -1 the spare place
-    kept = some[numbers]
-    return numbers[kept], distinct, piece[kept]
+    return numbered(pc.split_pattern(folded(texts, _FOLD), "\n").flatten())
 
 
 def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.StringArray]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_score, near_dedup, packing, secret_scan, suffix_dedup
+from . import decontaminate, language_id, lm_score, near_dedup, packing, ranked_search, secret_scan, suffix_dedup
 from .collocations import collocations
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
@@ -121,3 +121,23 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
 def op11_phrase_mining(spark, sf_dir):
     """Each language's best 2000 collocations."""
     return collocations(documents(spark, sf_dir))
+
+
+@query("op12_ranked_search", sql=r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM d),
+v AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM v, c GROUP BY term, c.n),
+m AS (SELECT doc_id, (100 - 50 + (50 * d.n * c.n) // c.l)::BIGINT AS m FROM d, c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN v USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+""")
+def op12_ranked_search(spark, sf_dir):
+    """The 50 documents that answer each benchmark item best."""
+    return ranked_search.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
