@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_score, near_dedup, packing, ranked_search, secret_scan, suffix_dedup
+from . import (decontaminate, language_id, lm_score, near_dedup, packing, ranked_search, secret_scan, suffix_dedup,
+               toxicity)
 from .collocations import collocations
 from .common import documents, remainder
 from .line_dedup import remove_boilerplate
@@ -141,3 +142,13 @@ FROM s WHERE score > 0 QUALIFY rank <= 50
 def op12_ranked_search(spark, sf_dir):
     """The 50 documents that answer each benchmark item best."""
     return ranked_search.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark, sf_dir):
+    """Learned from the labels of documents that are not held out; every document scored."""
+    docs, held_out = documents(spark, sf_dir), remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score",
+                        (F.col("score") >= toxicity.LIMIT).cast("int").alias("predicted"), "n_windows")
