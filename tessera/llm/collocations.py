@@ -12,8 +12,8 @@ them best, ``floor(1000 * a * n / (l * r))``, in decimals.
    the corpus; it lets some infrequent ones through, which are counted and then dropped.
    Each task counts in a HAT-trie for each language, under word ids of its own.  When the
    tries hold ``trie_phrases`` phrases, their largest subtrees are spilled whole as
-   sorted runs, cut by prefix partition (the first two words); the runs of a partition
-   are merged by Spark.
+   sorted runs, cut by prefix partition (the first word, in eight parts by the second); the
+   runs of a partition are merged by Spark.
 4. Frequent phrases meet their parts through joins by language and phrase.
 
 A phrase is dropped if a longer frequent phrase that contains it has ``within`` % of its
@@ -42,7 +42,7 @@ from tessera.session import materialize
 from . import shingle
 from .arrow import arrow_schema, record_batch, small_batches
 from .common import spread
-from .hat_trie import HatTrie, pack, phrase_numbers
+from .hat_trie import HatTrie, columns, pack, phrase_numbers
 from .word_lists import LOWER, UPPER, folded, numbered
 
 ROWS = 1024  # texts of a batch
@@ -159,35 +159,41 @@ class PhraseCounter:
         if pairs is not None:
             at = np.flatnonzero(ok)
             ok[at] = pairs.has(lang, hashes[numbers[at]], hashes[numbers[at + 1]])
-        trie, new = self.tries.setdefault(lang, HatTrie()), 0
-        for length, at, count in phrase_numbers(ids, ok, self.longest):
-            if pairs is not None and length == 2:
+        trie, new = self.tries.setdefault(lang, HatTrie(levels=min(3, self.longest - 1))), 0
+        for places, count in phrase_numbers(ids, ok, self.longest):
+            if pairs is not None and len(places) == 2:
                 continue
-            if length == 2:
-                for first, rest, n in zip(ids[at].tolist(), ids[at + 1].tolist(), count.tolist()):
-                    new += trie.add(first, rest, n)
-                continue
-            rest = np.stack([ids[at + k] for k in range(1, length)], axis=1).tolist()
-            for first, more, n in zip(ids[at].tolist(), rest, count.tolist()):
-                new += trie.add(first, pack(more), n)
+            first, rests, count = places[0], pack(places[1:]), count.tolist()
+            cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
+            for a, b, word in zip(cuts, cuts[1:], first[cuts[:-1]].tolist()):
+                new += trie.add(word, rests[a:b], count[a:b])
         return new
 
     def spill(self, leave: int = 0) -> Iterator[pa.RecordBatch]:
         """Sorted runs, by prefix partition, of the largest subtrees of each language."""
-        share = leave // max(1, len(self.tries))
+        share, names, hashes = leave // max(1, len(self.tries)), pa.array(self.names, pa.string()), _hashes(self.names)
         for lang, trie in self.tries.items():
-            rows = []
-            for path, n in trie.take(share):
-                names = [self.names[i] for i in path]
-                rows.append((zlib.crc32(f"{lang} {names[0]} {names[1]}".encode()) % self.prefixes, " ".join(names), n))
-            rows.sort()
-            prefix, phrases, counts = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-            cuts = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist(), len(rows)] if rows else [0]
-            offsets = pa.array(cuts, pa.int32())
-            yield record_batch(self.kind, {
-                "lang": [lang] * (len(cuts) - 1), "prefix": [prefix[a] for a in cuts[:-1]],
-                "phrases": pa.ListArray.from_arrays(offsets, pa.array(phrases, pa.string())),
-                "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))})
+            paths, rests, counts = trie.take(share)
+            if not counts:
+                continue
+            prefix, phrases = np.empty(len(counts), dtype=np.int32), []
+            at = []
+            for some, ids in columns(paths, rests):
+                # subtrees of a first word in eight parts, by the second
+                own = shingle.mix(hashes[ids[0]] + np.uint64(zlib.crc32(lang.encode()))) + (hashes[ids[1]] & np.uint64(7))
+                prefix[some] = (shingle.mix(own) % np.uint64(self.prefixes)).astype(np.int32)
+                phrases.append(pc.binary_join_element_wise(*[names.take(pa.array(x)) for x in ids], " "))
+                at.append(some)
+            at = np.concatenate(at)
+            rows = pa.table({"prefix": prefix[at], "phrase": pa.concat_arrays(phrases),
+                             "n": np.array(counts, dtype=np.int64)[at]})
+            rows = rows.take(pc.sort_indices(rows, [("prefix", "ascending"), ("phrase", "ascending")])).combine_chunks()
+            prefix = rows["prefix"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(prefix)) + 1, [len(prefix)]])
+            phrases, counts = (pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.concat_arrays(rows[c].chunks))
+                               for c in ("phrase", "n"))
+            yield record_batch(self.kind, {"lang": [lang] * (len(cuts) - 1), "prefix": prefix[cuts[:-1]],
+                                           "phrases": phrases, "counts": counts})
         if not leave:
             self.ids, self.names, self.tries = {}, [""], {}
 
@@ -224,7 +230,7 @@ def phrase_counts(docs: DataFrame, words: Filter, pairs: Filter | None, least: i
 
 # -- operator -----------------------------------------------------------------
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, trie_phrases: int = 400_000,
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, trie_phrases: int = 800_000,
                      filter_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k words, f) of all phrases of 1 to ``longest`` words that stand ``least``
     times or more, and (lang, n) of all words."""
@@ -250,7 +256,7 @@ def _part(first: str, n: str) -> str:
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, within: int = 100, top: int = 2000,
-                 trie_phrases: int = 400_000, filter_bits: int = 1 << 28) -> DataFrame:
+                 trie_phrases: int = 800_000, filter_bits: int = 1 << 28) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
     phrases, totals = frequent_phrases(docs, least, longest, trie_phrases, filter_bits)
     candidates = phrases.filter("k >= 2").select("lang", "phrase", "k", F.col("f").alias("a"))

@@ -14,19 +14,12 @@ import numpy as np
 WORD = 32
 
 
-def unpack(rest: int) -> tuple[int, ...]:
-    out = []
-    while rest:
-        out.append(rest & (1 << WORD) - 1)
-        rest >>= WORD
-    return tuple(reversed(out))
-
-
-def pack(ids) -> int:
-    rest = 0
-    for i in ids:
-        rest = rest << WORD | int(i)
-    return rest
+def pack(ids: list[np.ndarray]) -> list[int]:
+    """Packed ids of each place."""
+    out = ids[0].tolist()
+    for col in ids[1:]:
+        out = [x << WORD | y for x, y in zip(out, col.tolist())]
+    return out
 
 
 class Node:
@@ -37,7 +30,7 @@ class Node:
 
 
 class HatTrie:
-    """Counts of phrases of two or more words."""
+    """Counts of phrases of two or more words; with ``levels`` 1 no container bursts."""
 
     def __init__(self, burst: int = 4096, levels: int = 3):
         self.burst, self.levels = burst, levels
@@ -48,79 +41,97 @@ class HatTrie:
     def size(self) -> int:
         return sum(self.sizes.values())
 
-    def add(self, first: int, rest: int, n: int) -> int:
-        """Counts the phrase of ``first`` and ``rest`` n times more; 1 if it is new."""
-        new = self._put(self.root, first, rest, n, 1)
-        if new:
-            self.sizes[first] = self.sizes.get(first, 0) + 1
+    def add(self, first: int, rests: list[int], counts: list[int]) -> int:
+        """Counts phrases that begin with ``first``; how many of them are new."""
+        new = self._put(self.root, first, rests, counts, 1)
+        self.sizes[first] = self.sizes.get(first, 0) + new
         return new
 
-    def _put(self, children: dict, word: int, rest: int, n: int, level: int) -> int:
-        while True:
-            below = children.get(word)
-            if below is None:
-                below = children[word] = {}
-            if type(below) is dict:
-                old = below.get(rest)
-                below[rest] = n if old is None else old + n
-                if old is None and len(below) > self.burst and level < self.levels:
-                    self._burst(children, word, level)
-                return int(old is None)
-            if not rest:
-                new = below.ends == 0
-                below.ends += n
-                return int(new)
-            shift = (rest.bit_length() - 1) // WORD * WORD
-            word, rest = rest >> shift, rest & (1 << shift) - 1
-            children, level = below.children, level + 1
+    def _put(self, children: dict, word: int, rests: list[int], counts: list[int], level: int) -> int:
+        below = children.get(word)
+        if below is None:
+            below = children[word] = {}
+        if type(below) is Node:
+            return self._put_below(below, rests, counts, level)
+        old, get = len(below), below.get
+        for rest, n in zip(rests, counts):
+            below[rest] = get(rest, 0) + n
+        new = len(below) - old
+        if len(below) > self.burst and level < self.levels:
+            node = children[word] = Node()
+            self._put_below(node, list(below), list(below.values()), level)
+        return new
 
-    def _burst(self, children: dict, word: int, level: int) -> None:
-        node = Node()
-        for rest, n in children[word].items():
+    def _put_below(self, node: Node, rests: list[int], counts: list[int], level: int) -> int:
+        new = 0
+        for rest, n in zip(rests, counts):
             if not rest:
-                node.ends = n
+                new += node.ends == 0
+                node.ends += n
                 continue
             shift = (rest.bit_length() - 1) // WORD * WORD
-            self._put(node.children, rest >> shift, rest & (1 << shift) - 1, n, level + 1)
-        children[word] = node
+            new += self._put(node.children, rest >> shift, [rest & (1 << shift) - 1], [n], level + 1)
+        return new
 
-    def _phrases(self, path: tuple[int, ...], below) -> Iterator[tuple[tuple[int, ...], int]]:
+    def _phrases(self, path: int, below, paths: list[int], rests: list[int], counts: list[int]) -> None:
         if type(below) is dict:
-            for rest, n in below.items():
-                yield path + unpack(rest), n
+            paths += [path] * len(below)
+            rests += below
+            counts += below.values()
             return
         if below.ends:
-            yield path, below.ends
+            paths.append(path)
+            rests.append(0)
+            counts.append(below.ends)
         for word, child in below.children.items():
-            yield from self._phrases((*path, word), child)
+            self._phrases(path << WORD | word, child, paths, rests, counts)
 
-    def take(self, leave: int = 0) -> Iterator[tuple[tuple[int, ...], int]]:
+    def take(self, leave: int = 0) -> tuple[list[int], list[int], list[int]]:
         """Removes whole subtrees of first words, the largest first, until ``leave`` phrases
-        are left at most; gives their phrases and counts."""
-        have = self.size
+        are left at most; their packed paths, packed rests and counts."""
+        have, out = self.size, ([], [], [])
         for first in sorted(self.sizes, key=lambda w: (-self.sizes[w], w)):
             if have <= leave:
-                return
+                break
             have -= self.sizes.pop(first)
-            yield from self._phrases((first,), self.root.pop(first))
-
-
-def phrase_numbers(ids: np.ndarray, ok: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """length, place of the first word, and count of every distinct phrase of 2 to
-    ``longest`` words of a sequence; ``ok[i]``: places i and i+1 may stand in one phrase."""
-    number, start = ids.astype(np.int64), np.arange(len(ids))
-    run = np.ones(len(ids), dtype=bool)
+            self._phrases(first, self.root.pop(first), *out)
+        return out
+
+
+def columns(paths: list[int], rests: list[int]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Phrases by their number of words: which they are, and the ids of each place."""
+    if max(paths) >> WORD == max(rests) >> WORD == 0 and min(rests):
+        yield np.arange(len(rests)), [np.array(paths, dtype=np.int64), np.array(rests, dtype=np.int64)]  # pairs
+        return
+    whole = [p << (r.bit_length() + WORD - 1) // WORD * WORD | r for p, r in zip(paths, rests)]
+    length = np.fromiter(((x.bit_length() + WORD - 1) // WORD for x in whole), np.int64, len(whole))
+    for k in np.unique(length).tolist():
+        at = np.flatnonzero(length == k)
+        raw = b"".join([whole[i].to_bytes(WORD // 8 * k) for i in at.tolist()])
+        ids = np.frombuffer(raw, dtype=">u4").reshape(-1, k).astype(np.int64)
+        yield at, [ids[:, i] for i in range(k)]
+
+
+def phrase_numbers(ids: np.ndarray, ok: np.ndarray, longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The ids of each place, and the count, of every distinct phrase of 2 words, of 3 and so on
+    to ``longest``, in the order of the first ids; ``ok[i]``: places i and i+1 may stand in
+    one phrase."""
+    number, place = ids.astype(np.int64), np.flatnonzero(ok)
     for length in range(2, longest + 1):
-        if len(number) < 2:
-            return
-        n = len(ids) - length + 1
-        run = run[:n] & ok[length - 2:length - 2 + n]
-        at = start[:n][run]
-        if not len(at):
+        if not len(place):
             return
         # a phrase is the number of its first part and its last word: exact, not a hash
-        _, first, which, count = np.unique(number[:n][run] << np.int64(WORD) | ids[at + length - 1].astype(np.int64),
-                                           return_index=True, return_inverse=True, return_counts=True)
-        yield length, at[first], count
-        number = np.zeros(n, dtype=np.int64)
-        number[run] = which + 1
+        key = number[place] << np.int64(WORD) | ids[place + length - 1]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = place[order[first]]
+        yield [ids[at + k] for k in range(length)], np.diff(np.append(first, len(key)))
+        if length == longest:
+            return
+        number = np.zeros(len(ids), dtype=np.int64)
+        which = np.empty(len(key), dtype=np.int64)
+        which[order] = np.repeat(np.arange(1, len(first) + 1), np.diff(np.append(first, len(key))))
+        number[place] = which
+        place = place[place + length < len(ids)]
+        place = place[ok[place + length - 1]]
