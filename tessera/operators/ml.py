@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, StandardScaler, VectorAssembler
@@ -33,16 +33,17 @@ def cv_regression(df: DataFrame, key: str, targets, tokens_col: str, numeric_col
                   fold_col: str = "kfold", reg: float = 0.1, max_folds: int | None = None):
     """Train one regressor per fold and target; return the long OOF table
     (key, kfold, target, y, pred).  ``max_folds`` stops early after n folds."""
-    stages = text_feature_pipeline(tokens_col, numeric_cols)
     df = materialize(df.select(key, fold_col, tokens_col, *numeric_cols, *targets))
     outs = []
     for f in range(k if max_folds is None else min(k, max_folds)):
         train, valid = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+        # the text features of a fold are fitted once, for all targets
+        text = Pipeline(stages=text_feature_pipeline(tokens_col, numeric_cols)).fit(train)
+        train, valid = materialize(text.transform(train).select("features", *targets)), text.transform(valid)
         for t in targets:
             lr = LinearRegression(featuresCol="features", labelCol=t, predictionCol="pred", regParam=reg,
                                   solver="normal")
-            model = Pipeline(stages=stages + [lr]).fit(train)
-            outs.append(model.transform(valid).select(
+            outs.append(lr.fit(train).transform(valid).select(
                 key, fold_col, F.lit(t).alias("target"), F.col(t).cast("double").alias("y"), "pred"))
     out = outs[0]
     for o in outs[1:]:
@@ -53,15 +54,16 @@ def cv_regression(df: DataFrame, key: str, targets, tokens_col: str, numeric_col
 def fit_fold_models(df: DataFrame, targets, tokens_col: str, numeric_cols, k: int = 5, fold_col: str = "kfold",
                     reg: float = 0.1):
     """{(fold, target): PipelineModel} trained on the other folds."""
-    stages = text_feature_pipeline(tokens_col, numeric_cols)
     df = materialize(df.select(fold_col, tokens_col, *numeric_cols, *targets))
     models = {}
     for f in range(k):
         train = df.where(F.col(fold_col) != f)
+        text = Pipeline(stages=text_feature_pipeline(tokens_col, numeric_cols)).fit(train)
+        train = materialize(text.transform(train).select("features", *targets))
         for t in targets:
             lr = LinearRegression(featuresCol="features", labelCol=t, predictionCol="pred", regParam=reg,
                                   solver="normal")
-            models[(f, t)] = Pipeline(stages=stages + [lr]).fit(train)
+            models[(f, t)] = PipelineModel(stages=[*text.stages, lr.fit(train)])
     return models
 
 

@@ -36,21 +36,21 @@ def _oof(spark, sf):
     return ML.cv_regression(essay_ml(Tables(spark, sf)), "doc_id", ESSAY_TARGETS, "tokens", NUMERIC, k=5)
 
 
-@query("cv_regression")
-def q_cv_regression(spark, sf):
+@query("cv_regression_text")
+def q_cv_regression_text(spark, sf):
     """One linear regressor per fold and target on hashed TF-IDF + numeric features."""
     return _oof(spark, sf).withColumn("pred", F.round("pred", 6))
 
 
-@query("oof_score")
-def q_oof_score(spark, sf):
+@query("oof_score_text")
+def q_oof_score_text(spark, sf):
     per = rmse_per_target(_oof(spark, sf))
     tot = per.agg(F.lit("MCRMSE").alias("target"), F.avg("rmse").alias("rmse"), F.sum("n").alias("n"))
     return per.unionByName(tot).withColumn("rmse", F.round("rmse", 6))
 
 
-@query("test_inference")
-def q_test_inference(spark, sf):
+@query("test_inference_text")
+def q_test_inference_text(spark, sf):
     """Fold models trained on the train share score the held-out rows; fold-averaged."""
     t = Tables(spark, sf)
     e = holdout_split(essay_ml(t, k=3).drop("kfold"), "doc_id", frac=0.7, seed=7)

@@ -20,6 +20,7 @@ MODULES = [
     "tessera.plans.q_windows",
     "tessera.plans.q_stream",
     "tessera.plans.q_ml",
+    "tessera.plans.q_foldreg",
     "tessera.plans.q_segments",
 ]
 
