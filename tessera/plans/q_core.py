@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import clean_text, readability_ari
 from tessera.operators import splits
 from tessera.operators.metrics import cv_scores, mcrmse, rmse_per_target
+from tessera.operators.multilabel import iterative_kfold
 from tessera.plans import sql as S
 from tessera.plans.common import essay_frame, essay_oof
 from tessera.plans.registry import query
@@ -143,3 +144,34 @@ fs AS (SELECT CAST(kfold AS INTEGER) AS kfold, round(avg(rmse), 4) AS score FROM
 SELECT kfold, score FROM fs UNION ALL SELECT CAST(NULL AS INTEGER), round(avg(score), 4) FROM fs""")
 def q_cv_scores(spark, sf):
     return cv_scores(essay_oof(Tables(spark, sf)))
+
+
+def _steps(expr: str) -> str:
+    return f"CAST(greatest(0, least(8, {expr})) AS INT)"
+
+
+#: six targets of nine steps each, in SQL that both engines read alike
+TARGETS = {
+    "t_chars": _steps("floor(log2(n_chars + 1)) - 4"), "t_lines": _steps("length(text) - length(replace(text, chr(10), ''))"),
+    "t_commas": _steps("floor((length(text) - length(replace(text, ',', ''))) / 4.0)"),
+    "t_stops": _steps("floor(sqrt(length(text) - length(replace(text, '.', ''))))"),
+    "t_site": _steps("CAST(substr(source, 4) AS INT) % 9"), "t_shape": _steps("length(text) % 13"),
+}
+
+
+@query("multilabel_shares", f"""
+WITH d AS (SELECT doc_id, {', '.join(f'{x} AS {c}' for c, x in TARGETS.items())} FROM documents),
+l AS ({' UNION ALL '.join(f"SELECT '{c}' AS target, {c} AS step FROM d" for c in TARGETS)})
+SELECT target, step, count(*) AS n, TRUE AS even FROM l GROUP BY target, step""")
+def q_multilabel_shares(spark, sf):
+    """Six targets of nine steps dealt to five folds at once: rows of every label, and whether each
+    fold has a fifth of them, to two rows and two hundredths."""
+    d = Tables(spark, sf).documents.selectExpr("doc_id", *[f"{x} AS {c}" for c, x in TARGETS.items()])
+    folds = iterative_kfold(d, "doc_id", list(TARGETS), k=5)
+    long = folds.selectExpr("kfold", f"stack({len(TARGETS)}, {', '.join(f'{chr(39)}{c}{chr(39)}, {c}' for c in TARGETS)}) AS (target, step)")
+    per = long.groupBy("target", "step").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum((F.col("kfold") == f).cast("long")).alias(f"n{f}") for f in range(5)])
+    even = F.lit(True)
+    for f in range(5):
+        even = even & (F.abs(F.col(f"n{f}") - F.col("n") / 5) <= 2 + 0.02 * F.col("n"))
+    return per.select("target", "step", "n", even.alias("even"))

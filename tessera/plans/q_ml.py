@@ -9,7 +9,9 @@ from tessera.operators import ml as ML
 from tessera.operators.ensemble import score_candidates
 from tessera.operators.features import one_hot
 from tessera.operators.metrics import rmse_per_target
+from tessera.operators.neighbors import knn, vote
 from tessera.operators.splits import group_kfold, holdout_split, random_kfold
+from tessera.plans import sql as S
 from tessera.plans.common import ESSAY_TARGETS, essay_frame
 from tessera.plans.registry import query
 from tessera.sources.tables import Tables
@@ -104,3 +106,24 @@ def q_evolve_weights(spark, sf):
     hist = ML.evolve_weights(score_fn, 3, population=20, generations=4)
     rows = [(g, i, float(w[0]), float(w[1]), float(w[2]), float(s)) for g, i, w, s in hist]
     return spark.createDataFrame(rows, "generation int, cand int, w0 double, w1 double, w2 double, score double")
+
+
+@query("knn_exact", f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, {S.u(21, 'vec_id')} AS u FROM embeddings),
+p AS (SELECT q.vec_id, q.label, r.vec_id AS rid, r.label AS rlabel, list_distance(q.v, r.v) AS dist
+      FROM e q, e r WHERE q.u < 0.3 AND r.u >= 0.3),
+n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, rid) AS nth FROM p QUALIFY nth <= 3),
+v AS (SELECT vec_id, rlabel, count(*) AS c FROM n GROUP BY ALL),
+w AS (SELECT vec_id, rlabel AS pred FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, rlabel) = 1)
+SELECT n.vec_id, any_value(label) AS label, any_value(w.pred) AS pred,
+       string_agg(CAST(rid AS VARCHAR), ' ' ORDER BY nth) AS nearest, round(max(dist), 6) AS farthest
+FROM n JOIN w USING (vec_id) GROUP BY n.vec_id""")
+def q_knn_exact(spark, sf):
+    """Exact 3-NN of the same 30 % of the vectors, with the vote of the labels."""
+    e = Tables(spark, sf).embeddings.withColumn("_u", uniform(21, "vec_id"))
+    q, r = e.where(F.col("_u") < 0.3), e.where(F.col("_u") >= 0.3)
+    near, _ = knn(q, r, "vec_id", "embedding", "label", k=3)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("nth", "rid"))), lambda x: x["rid"].cast("string"))
+    rows = near.groupBy("id").agg(F.array_join(ids, " ").alias("nearest"), F.round(F.max("dist"), 6).alias("farthest"))
+    return (rows.join(vote(near), "id").join(q.select(F.col("vec_id").alias("id"), "label"), "id")
+            .select(F.col("id").alias("vec_id"), "label", "pred", "nearest", "farthest"))
