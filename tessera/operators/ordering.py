@@ -139,7 +139,7 @@ def order_masks(cells: DataFrame, id_col="id", item_col="cell_id", pos_col="rank
     """Per id: markdown mask in true order, a skeleton with code cells in place and
     the markdown cells dealt into the markdown slots in hashed order, the
     permutation used, and the markdown count."""
-    from tessera.operators.ranking import hashed_rank, segmented_cumsum
+    from tessera.operators.ranking import hashed_rank, join_null_safe, segmented_cumsum
     md = cells.where(F.col(type_col) == md_value).withColumn("_h", hash_hex(seed, item_col))
     # slot = markdown index in true order (segmented count); deal = index in hashed
     # order (bucketed rank): neither sorts a whole notebook in one task
@@ -147,12 +147,12 @@ def order_masks(cells: DataFrame, id_col="id", item_col="cell_id", pos_col="rank
                             largest_group=largest_group).withColumn(
         "_slot", F.col("_slot") - 1)
     deal = hashed_rank(md, "_h", [item_col], partition_cols=[id_col], out="_slot")
-    fill = (slot.select(id_col, F.col(item_col).alias("_slot_item"), "_slot")
-            .join(deal.select(id_col, "_slot", F.col(item_col).alias("_dealt")), [id_col, "_slot"])
-            .join(slot.select(id_col, F.col(item_col).alias("_dealt"), F.col("_slot").alias("_src")),
-                  [id_col, "_dealt"]))
-    x = (cells.join(fill.select(id_col, F.col("_slot_item").alias(item_col), "_dealt", "_slot", "_src"),
-                    [id_col, item_col], "left")
+    dealt = join_null_safe(slot.select(id_col, F.col(item_col).alias("_slot_item"), "_slot"),
+                           deal.select(id_col, "_slot", F.col(item_col).alias("_dealt")), [id_col, "_slot"])
+    fill = join_null_safe(dealt, slot.select(id_col, F.col(item_col).alias("_dealt"), F.col("_slot").alias("_src")),
+                          [id_col, "_dealt"])
+    x = (join_null_safe(cells, fill.select(id_col, F.col("_slot_item").alias(item_col), "_dealt", "_slot", "_src"),
+                        [id_col, item_col], "left")
          .withColumn("_is_md", (F.col(type_col) == md_value).cast("int"))
          .withColumn("_shown", F.coalesce("_dealt", item_col)))
     lists = x.groupBy(id_col).agg(

@@ -42,12 +42,12 @@ def moving_mean(df: DataFrame, run_col: str, order_col: str, val_col: str, width
                 largest_group: int | None = None) -> DataFrame:
     """Mean of the last ``width`` values of each run: prefix sums (segmented) and
     the prefix ``width`` steps back, matched by an equi-join on (run, position),
-    so a long run is never windowed in one task."""
-    from tessera.operators.ranking import segmented_cumsums
+    so a long run is never windowed in one task.  Rows without a run are one run."""
+    from tessera.operators.ranking import join_null_safe, segmented_cumsums
     d = segmented_cumsums(df, [run_col], [order_col], {"_cs": F.col(val_col), "_pos": F.lit(1)},
                           largest_group=largest_group)
     back = d.select(run_col, (F.col("_pos") + width).alias("_pos"), F.col("_cs").alias("_cs_back"))
-    j = d.join(back, [run_col, "_pos"], "left")
+    j = join_null_safe(d, back, [run_col, "_pos"], "left")
     n = F.least(F.col("_pos"), F.lit(width))
     return j.withColumn("moving_avg", (F.col("_cs") - F.coalesce("_cs_back", F.lit(0))) / n).drop(
         "_cs", "_pos", "_cs_back")

@@ -104,3 +104,39 @@ def q_stream_early_stop(spark, sf):
     out, ckpt = scratch_path(spark, "es_out"), scratch_path(spark, "es_ckpt")
     J.stream_early_stop(J.read_chunks(spark, src, STEP_SCHEMA), "user_id", out, ckpt, patience=6)
     return J.read_latest(spark, out, ["run"]).select("run", "best", "best_epoch", "stopped", "stop_step")
+
+
+# 124 windows of six hours from 2024-01-01, for every user; values in thousandths
+GRID = dict(start_s=1704067200, n_windows=124, seconds=21600)
+_MILLS = "CAST(round(CAST(value AS decimal(18,2)) * 1000) AS BIGINT)"
+_GRID_SQL = f"""
+WITH e AS (SELECT user_id, CAST(floor((epoch_us(ts) - {GRID['start_s'] * 1000000}) / CAST({GRID['seconds'] * 1000000} AS DOUBLE)) AS INT) AS w,
+                  {_MILLS} AS v FROM events),
+g AS (SELECT user_id, unnest(range({GRID['n_windows']})) AS w FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)),
+a AS (SELECT user_id, w, count(*) AS n, sum(v) AS s FROM e GROUP BY ALL)
+SELECT concat_ws('_', CAST(g.user_id AS VARCHAR), CAST((g.w + 1) * {GRID['seconds']} AS VARCHAR)) AS row_id, g.user_id,
+       CAST((g.w + 1) * {GRID['seconds']} AS BIGINT) AS window_end, coalesce(a.n, 0) AS n,
+       CAST(coalesce(a.s, 0) AS DOUBLE) AS value_sum, coalesce(a.n, 0) = 0 AS padded
+FROM g LEFT JOIN a ON a.user_id = g.user_id AND a.w = g.w"""
+
+
+@query("fixed_grid", _GRID_SQL)
+def q_fixed_grid(spark, sf):
+    """Every user on one grid of windows; empty ones and the tail padded with zero."""
+    _utc(spark)
+    e = Tables(spark, sf).events.where("user_id IS NOT NULL").withColumn("value", F.expr(_MILLS))
+    return J.fixed_grid(e, "ts", "user_id", "value", **GRID)
+
+
+@query("stream_fixed_grid", _GRID_SQL)
+def q_stream_fixed_grid(spark, sf):
+    """The same windows from event-time timers as the watermark passes them; a last row without a user
+    carries the time on to the grid's end."""
+    _utc(spark)
+    src = _event_chunks(spark, sf)
+    J.heartbeat(spark, src, EVENT_SCHEMA, "ts", GRID["start_s"] + (GRID["n_windows"] + 1) * GRID["seconds"])
+    out, ckpt = scratch_path(spark, "grid_out"), scratch_path(spark, "grid_ckpt")
+    stream = J.read_chunks(spark, src, EVENT_SCHEMA).withColumn("value", F.expr(_MILLS))
+    J.stream_fixed_grid(stream, "ts", "user_id", "value", out, ckpt, **GRID)
+    rows = J.read_latest(spark, out, ["series", "w"]).where("series IS NOT NULL").withColumnRenamed("series", "user_id")
+    return J._grid_rows(rows, "user_id", GRID["seconds"])
