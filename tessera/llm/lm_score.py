@@ -19,7 +19,9 @@ Word counts reach the texts in two ways at every size: words above a frequency a
 at most ``KNOWN`` remain are broadcast; the others, a small share of the tokens, are
 joined by word and added up by document.  Words are addressed by 128-bit hashes.
 
-A null text is empty: one end token.  A null doc_id is scored like any other.  Repeated
+Texts are taken whole: a batch holds ``BYTES`` of text or one text, whose tokens are then
+learned and scored ``TOKENS`` at a time.  Ties of counts go by the words' hashes; other
+columns, whatever their names, are ignored.  A null text is empty: one end token.  A null doc_id is scored like any other.  Repeated
 rows are each learned from and each scored.  With no training text every token has the
 same smoothed probability.  An empty table gives an empty result.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 from . import shingle
-from .arrow import arrow_schema, map_rows, record_batch, small_batches
+from .arrow import arrow_schema, map_rows, record_batch, slices, small_batches
 from .common import keyed, same_document, spread
 
 TOP, SUFFIXES, CONTEXT, DIM = 127, 128, 3, 24
@@ -45,7 +47,8 @@ SMOOTH = 0.1
 END = np.uint64(1)
 BATCH, NOISE = 4096, 128
 CELLS = 1 << 18  # products of contexts and classes held at a time
-ROWS = 64  # texts whose tokens are held at a time
+ROWS, BYTES = 64, 1 << 18  # texts whose tokens are held at a time, and bytes of them (or one text)
+TOKENS = 1 << 16  # tokens of one text that are worked on at a time
 
 
 # -- tokens -------------------------------------------------------------------
@@ -119,10 +122,11 @@ class Trainer:
         self.seen = 0
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        order = self.rng.permutation(len(target))
-        for at in range(0, len(order), BATCH):
-            i = order[at:at + BATCH]
-            self._step(ctx[i], target[i])
+        for first in range(0, len(target), TOKENS):
+            order = first + self.rng.permutation(min(TOKENS, len(target) - first))
+            for at in range(0, len(order), BATCH):
+                i = order[at:at + BATCH]
+                self._step(ctx[i], target[i])
         self.seen += len(target)
 
     def _step(self, ctx: np.ndarray, target: np.ndarray) -> None:
@@ -155,6 +159,9 @@ def log_probabilities(model: dict, ctx: np.ndarray, target: np.ndarray) -> np.nd
     the distinct contexts times the class embeddings."""
     context, weight = model["context"].astype(np.float32), model["weight"].astype(np.float32)
     to, bias = model["target"].astype(np.float32), model["bias"].astype(np.float32)
+    if len(target) > TOKENS:
+        return np.concatenate([log_probabilities(model, ctx[a:a + TOKENS], target[a:a + TOKENS])
+                               for a in range(0, len(target), TOKENS)])
     key = np.zeros(len(ctx), dtype=np.int64)
     for k in range(ctx.shape[1]):
         key = key * len(context) + ctx[:, k] + 1
@@ -182,7 +189,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         word, first, n = np.unique(h1, return_index=True, return_counts=True)
         return {"h1": shingle.signed(word), "h2": shingle.signed(h2[first]), "suffix": suffix[first], "n": n}
 
-    return (map_rows(docs, run, ["text"], "h1 long, h2 long, suffix int, n long", rows=2 * ROWS)
+    return (map_rows(docs, run, ["text"], "h1 long, h2 long, suffix int, n long", rows=8 * ROWS, most_bytes=8 * BYTES)
             .groupBy("h1", "h2").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n")))
 
 
@@ -266,7 +273,7 @@ def fit(train: DataFrame, counts: Counts, start_rows: int = 200) -> dict[str, np
         return {"target": classes[at], "ctx": list(ctx[at])}
 
     warm = start(noise)
-    rows = map_rows(first, sample, ["text"], "target int, ctx array<int>", rows=ROWS).toArrow()
+    rows = map_rows(first, sample, ["text"], "target int, ctx array<int>", rows=ROWS, most_bytes=BYTES).toArrow()
     if not rows.num_rows:
         return warm
     ctx = np.concatenate([c.flatten().to_numpy() for c in rows["ctx"].chunks]).reshape(-1, CONTEXT).astype(np.int64)
@@ -283,8 +290,8 @@ def fit(train: DataFrame, counts: Counts, start_rows: int = 200) -> dict[str, np
     def run(batches):
         trainer = Trainer(warm, noise, seed=2, rate=0.05)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                classes, sizes = classes_of(batch.slice(at, ROWS).column("text").to_pylist())
+            for part in slices(batch, ROWS, BYTES):
+                classes, sizes = classes_of(part.column("text").to_pylist())
                 trainer.learn(contexts(classes, sizes), classes)
         if trainer.seen:
             x = flat(trainer.model)
@@ -337,7 +344,7 @@ def score(docs: DataFrame, learn: Column, known: int = KNOWN) -> DataFrame:
     state = materialize(map_rows(
         whole.select("doc_id", "text_key", "text"), by_text, ["text"],
         f"doc_id {kind}, text_key long, n_tokens long, n_known long, base double, model double, "
-        "others array<struct<h1: long, h2: long, times: long>>", rows=ROWS), "lm-state")
+        "others array<struct<h1: long, h2: long, times: long>>", rows=ROWS, most_bytes=BYTES), "lm-state")
     # rows given several times are added up once and given back as often
     scored = state.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
