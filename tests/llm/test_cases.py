@@ -111,4 +111,4 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))

@@ -233,7 +233,7 @@ def test_tokenizer_matches_the_json_file(corpus):
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert [p.put(n) for n in (4, 7, 5, 8, 6)] == [(0, 0), (1, 0), (0, 4), (2, 0), (3, 0)]
-    assert p.n_open == 2 and p.bins[4] == [3] and p.bins[2] == [2]
+    assert p.n_open == 2 and p.bins[4] == [3] and p.bins[3] == [1]
 
 
 def test_two_stage_sort():
@@ -360,3 +360,13 @@ def test_js_distance(spark):
     got = row.select(*[quality_rules.js_distance(a, b).alias(a + b) for a, b in ("pq", "pp", "pr", "pz")]).first()
     m = 0.5 * (np.log2(1 / 0.75) + 0.5 * np.log2(0.5 / 0.75) + 0.5 * np.log2(0.5 / 0.25))
     assert (got["pq"], got["pp"], got["pz"]) == (1, 0, 0) and got["pr"] == pytest.approx(np.sqrt(m))
+
+
+def test_one_id_with_two_texts_ties_their_components(spark):
+    rng = random.Random(31)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(1, a), (2, b), (5, a + " more"), (5, b + " more"), (7, c), (8, c), (7, c)]
+    got = {}
+    for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add((r["component_id"], r["kept"]))
+    assert got == {1: {(1, True)}, 2: {(1, False)}, 5: {(1, False)}, 7: {(7, True)}, 8: {(7, False)}}
