@@ -1,16 +1,22 @@
 """Secret scan: three fixed patterns, and strings that primed zstandard cannot compress.
 
-A candidate is a run of 16 or more key characters with a digit and a letter that follows
-a sensitive word within 48 characters on its line.  Its novelty is what it adds to the
-compressed size of the surrounding text, by a compressor primed with a dictionary of code
-keywords, identifiers and usual placeholders: text of the document, names and
-placeholders match what was seen before and add little, random strings add most of their
-entropy.  Other occurrences of the candidate, and of a value it assigns, are cut out of the
-surrounding text, so a secret that is given twice is as novel as one given once.  At ``least`` bytes a character or more the candidate is reported as ``novel``.
-
-A map over whole texts without a shuffle.  Positions are code points, ends exclusive.  A
-null text is empty; empty texts have no spans; repeated rows give repeated results; spans
-that start together are ordered by kind; an empty table gives an empty result.
+A candidate is a run of 12 or more characters without blanks, quotes, brackets, commas or
+semicolons that has a digit and a letter and follows a sensitive word within 48 characters on its line, or
+holds one itself; of an address with a password (``scheme://user:password@host``) the
+password.  Its novelty is what it adds to the compressed size of the surrounding text, by a
+compressor primed with a dictionary of code keywords, identifiers and usual placeholders:
+text of the document, names and placeholders match what was seen before and add little,
+random strings add most of their entropy.  Other occurrences of the candidate, and of a value it
+assigns, are cut out of the surrounding text, so a secret that is given twice is as novel as
+one given once.  Every base span's value is measured alike.  A candidate that touches no base
+span is reported as ``novel`` at ``least`` bytes a character or more; base spans stay,
+whatever theirs is.
+
+A map over whole texts without a shuffle; surroundings are ``CONTEXT`` characters, so texts
+of any length cost in proportion.  Positions are code points, ends exclusive.  A null text is
+empty; empty texts have no spans; repeated rows give repeated results; spans that start
+together are ordered by kind; a null doc_id passes through; other columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,9 @@ KINDS = ["assign", "access", "hex", "novel"]
 
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|access|signature", re.I | re.A)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"""[^\s"'`<>(){}\[\],;]{12,}""")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]*:([^\s@/]{6,})@")
+EDGES = ".:!?=&|-"
 REACH, CONTEXT = 48, 512
 
 # What candidates are primed with: keywords, identifiers, placeholders.
@@ -46,6 +54,9 @@ your_api_key_here your-secret-key my_secret_password changeme placeholder exampl
 xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXXXXXXXXXX 00000000000000000000000000000000
 1234567890123456789012345678901234567890 0123456789abcdef0123456789abcdef abcdefghijklmnopqrstuvwxyz
 ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 aaaaaaaaaaaaaaaaaaaa -----BEGIN PRIVATE KEY----- -----END PRIVATE KEY-----
+Manager Handler Factory Service Controller Provider Settings Account Client Server User Request Response Session
+Config Context Builder Listener Repository Exception Element Document Component Template Resource Registry Helper
+docs documentation authentication reference guide index.html images static assets src lib bin usr local node_modules
 getInstance initialize connection_string database_url http https www getElementById addEventListener
 """
 
@@ -93,44 +104,83 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
-    if not any(len(w) >= 16 and not w.isalpha() for w in text.split()):
+def measured(text: str, at: int, end: int) -> float:
+    """Novelty of ``text[at:end]`` amid its surroundings."""
+    c = text[at:end]
+    parts = [c, *(x for x in re.split("[=:]", c) if 8 <= len(x) < len(c))]
+    before = without(text, max(0, at - CONTEXT), at, parts)
+    return novelty(before, c, without(text, end, min(len(text), end + CONTEXT), parts))
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings in a sensitive context."""
+    if not any(len(w) >= 12 and any(x.isdigit() for x in w) for w in text.split()):
         return []
-    spans, base = [], sorted(base)
+    out = []
     for m in CANDIDATE.finditer(text):
-        c, at, end = m[0], m.start(), m.end()
-        if not (any(x.isdigit() for x in c) and any(x.isalpha() for x in c)):
+        at, end = m.start(), m.end()
+        while at < end and text[at] in EDGES:
+            at += 1
+        while end > at and text[end - 1] in EDGES:
+            end -= 1
+        if address := ADDRESS.match(text, at, end):
+            out.append(address.span(1))
             continue
+        c = text[at:end]
         line = text.rfind("\n", 0, at) + 1
-        if not SENSITIVE.search(text, max(line, at - REACH), at) or any(a < end and at < b for a, _, b in base):
-            continue
-        parts = [c, *(x for x in c.split("=") if 16 <= len(x) < len(c))]
-        before = without(text, max(0, at - CONTEXT), at, parts)
-        if novelty(before, c, without(text, end, min(len(text), end + CONTEXT), parts)) >= least:
-            spans.append((at, 3, end))
-    return spans
+        found = SENSITIVE.search(text, max(line, at - REACH), at)
+        if not found and (inner := SENSITIVE.search(c)) and (cut := re.search("[=:]", c[inner.end():])):
+            at += inner.end() + cut.end()  # the value that the word is given
+            c, found = text[at:end], inner
+        if found and len(c) >= 12 and any(x.isdigit() for x in c) and any(x.isalpha() for x in c):
+            out.append((at, end))
+    return out
+
+
+def strangers(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, novelty) of the candidates that touch no base span; those that do are
+    measured as the span."""
+    return [(at, end, measured(text, at, end)) for at, end in candidates(text)
+            if not any(a < end and at < b for a, _, b in base)]
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    return [(at, 3, end) for at, end, new in strangers(text, base) if new >= least]
+
+
+def scan(text: str, least: float) -> tuple[list[tuple], int]:
+    """(start, kind number, end, novelty) of all spans in order, and how many strings were measured."""
+    base = base_spans(text)
+    values = [ASSIGN.match(text, a, b).start(2) if k == 0 else a for a, k, b in base]
+    out = [(a, k, b, round(measured(text, v, b), 4)) for (a, k, b), v in zip(base, values)]
+    others = strangers(text, base)
+    out += [(at, 3, end, round(new, 4)) for at, end, new in others if new >= least]
+    return sorted(out), len(base) + len(others)
 
 
-def find_secrets(docs: DataFrame, least: float = 0.45) -> DataFrame:
-    """doc_id, spans: array of (kind, start, end, base) in order of start and kind."""
+def find_secrets(docs: DataFrame, least: float = 0.72) -> DataFrame:
+    """doc_id, spans: array of (kind, start, end, base, novelty) in order of start and kind, and
+    n_measured: the strings whose novelty was measured."""
     def run(texts):
-        out = []
+        out, measures = [], []
         for text in texts:
-            base = base_spans(text or "")
-            found = sorted(base + novel_spans(text or "", base, least))
-            out.append([{"kind": KINDS[k], "start": a, "end": b, "base": k < 3} for a, k, b in found])
-        return {"spans": out}
+            found, n = scan(text or "", least)
+            out.append([{"kind": KINDS[k], "start": a, "end": b, "base": k < 3, "novelty": x} for a, k, b, x in found])
+            measures.append(n)
+        return {"spans": out, "n_measured": measures}
 
     kind = dict(docs.dtypes)["doc_id"]
     return map_rows(spread(docs.select("doc_id", "text")), run, ["text"],
-                    f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint, base: boolean>>")
+                    f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint, base: boolean, "
+                    "novelty: double>>, n_measured long")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind, the hash of the base spans, and all spans as text."""
+    """Counts by kind, the hash of the base spans, all spans as text, and what novelty says of them."""
     joined = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     of = lambda k: F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}")
     return found.select(
         "doc_id", *[of(k) for k in KINDS],
         F.sha2(F.expr(joined.format("filter(spans, s -> s.base)")).cast("binary"), 256).alias("base_sha256"),
-        F.expr(joined.format("spans")).alias("spans"))
+        F.expr(joined.format("spans")).alias("spans"), "n_measured",
+        F.array_max(F.transform("spans", lambda x: x["novelty"])).alias("most_novel"))

@@ -93,6 +93,54 @@ def test_secret_given_twice_is_novel():
         "ab--", "ab--", "", "ab--"]
 
 
+def test_secrets_of_a_labelled_set():
+    """Keys, tokens with dots and addresses against names, placeholders, paths and copies of the text."""
+    rng = random.Random(41)
+    pick = lambda n, s: "".join(rng.choice(s) for _ in range(n))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    good, bad = [], []
+    for i in range(60):
+        key = pick(rng.randrange(20, 44), base62) + "7x"
+        dotted = ".".join(pick(rng.randrange(12, 30), base62) + "3q" for _ in range(3))
+        good += [(f"Authorization: Bearer {key}", key), (f"signature {dotted} of the request", dotted),
+                 (f"credentials: postgres://app:{key[:18]}@db.example.com/main", key[:18]),
+                 (f"the private one is <{key}>, keep it", key)]
+        name = rng.choice(["getElementById", "clientSecretManager", "userAccountSettings", "requestHandlerFactory"])
+        bad += [f"auth {name}{rng.randrange(9)}Handler{name}", f"see /usr/local/lib/python3/{name}/credentials/index{i}.html",
+                f"private your_api_key_here_{rng.randrange(10)}{rng.randrange(10)}", "key xxxxxxxxxxxxxxxxxxxx1",
+                f"access https://www.example.com/docs/authentication/v2/{name}.html", f"credential {name}_test_example_{i % 7}",
+                "auth 0123456789abcdef0123456789", f"signature of words without{i} anything secret"]
+    hits = wrong = 0
+    for line, secret in good:
+        text = f"some text of a page before it\n{line}\nand some after it"
+        found = [text[a:b] for a, k, b, _ in secret_scan.scan(text, 0.72)[0]]
+        hits += any(secret in x for x in found)
+        wrong += sum(secret not in x for x in found)
+    for line in bad:
+        found, n = secret_scan.scan(f"some text of a page before it\n{line}\nand some after it", 0.72)
+        wrong += len(found)
+    assert hits >= 0.9 * len(good) and hits >= 0.9 * (hits + wrong), (hits, len(good), wrong)
+
+
+def test_base_spans_equal_a_plain_scan(spark, corpus):
+    """Base spans by the patterns alone; each is measured, whatever its novelty."""
+    rng = random.Random(42)
+    bits = ["token=", "Passwd: ", "secret' = '", "api_key", ":", "abc123DEF", "AKIA" + "Z9" * 9, "0123456789abcdef" * 2, "é", "\n", " ", "=", "x.y-z/"]
+    texts = [r[1] for r in corpus] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for r in secret_scan.find_secrets(docs).collect():
+        text, want = texts[r["doc_id"]] or "", []
+        for kind, pattern, ok in (("assign", secret_scan.ASSIGN, lambda m: len(m[2]) >= 6), ("access", secret_scan.ACCESS, lambda m: len(m[0]) >= 20),
+                                  ("hex", secret_scan.HEX, lambda m: len(m[0]) >= 24)):
+            want += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if ok(m)]
+        own = [s for s in r["spans"] if s["base"]]
+        assert sorted((s["start"], s["kind"], s["end"]) for s in own) == sorted(want)
+        assert r["n_measured"] >= len(own) and all(s["novelty"] is not None for s in own)
+        n += len(own)
+    assert n > 200
+
+
 def test_secret_digest(spark):
     docs = spark.createDataFrame([(1, "api_key=abcdef12"), (2, None), (3, "")], "doc_id long, text string")
     got = by_id(secret_scan.digest(secret_scan.find_secrets(docs)), "n_assign", "n_access", "n_hex", "spans")
@@ -316,7 +364,7 @@ def test_items_are_aligned_wherever_the_score_can_be_reached():
         items = decontaminate.Items([(0, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12))))], 3)
         passage = shingle.word_hashes(" ".join(text).encode())[0]
         score = decontaminate.align(items.words[0], passage)[0] / (2 * len(items.words[0]))
-        assert all(items.may_reach(0, passage, least) for least in (0.3, 0.5, 0.8) if score >= least)
+        assert all(decontaminate.may_reach(items.words[0], items.vocabulary[0], passage, least) for least in (0.3, 0.5, 0.8) if score >= least)
 
 
 def test_alignment_is_smith_waterman():
@@ -370,3 +418,34 @@ def test_one_id_with_two_texts_ties_their_components(spark):
     for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r["doc_id"], set()).add((r["component_id"], r["kept"]))
     assert got == {1: {(1, True)}, 2: {(1, False)}, 5: {(1, False)}, 7: {(7, True)}, 8: {(7, False)}}
+
+
+def test_leaks_equal_a_search_by_every_seed_and_a_plain_alignment(spark):
+    """Rare seeds, the exact way and a plain alignment of all pairs find the same; common runs are no seeds."""
+    rng = random.Random(21)
+    common = ["of", "the", "and", "in"]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.4 else w for w in words(rng, 24))) for i in range(12)]
+    items += [(50, "of the and in of the and in of the and"), (51, "two words"), (52, "of the and"), (53, None), (None, items[0][1])]
+    rows, planted = [], set()
+    for i in range(260):
+        w = [rng.choice(common) if rng.random() < 0.6 else x for x in words(rng, 90)]
+        if i % 4 == 0:
+            item = rng.choice([x for x in items[:12]] + [items[0]] * 20)  # one item is copied very often
+            copy = item[1].split()
+            for p in rng.sample(range(len(copy)), rng.choice([0, 5, 7])):  # up to three words of ten edited
+                copy[p:p + 1] = rng.choice([["edited"], [copy[p], "more"]])
+            w[40:40] = copy
+            planted.add((i, item[0]))
+        rows.append((i, " ".join(w)))
+    rows += [(None, items[2][1]), (3, items[3][1]), (3, items[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items + items[:1], "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.find_leaks(docs, bench).collect()), key=repr)
+    exact = sorted((tuple(r) for r in decontaminate.find_leaks(docs, bench, rare_enough=2.0).collect()), key=repr)
+    pairs = {(d, i) for d, i, *_ in got}
+    assert len(planted & pairs) >= 0.95 * len(planted)
+    assert pairs <= {(d, i) for d, i, *_ in exact} and len(got) >= 0.98 * len(exact)
+    hashed = lambda t: shingle.word_hashes(shingle.lower(t))[0]
+    plain = {(d, i) for d, t in rows for i, x in items if x and decontaminate.align(hashed(x), hashed(t))[0] >= len(x.split())}
+    share3 = {(d, i) for d, i in plain if d is not None and i is not None}
+    assert pairs <= plain and len([p for p in share3 & planted if p not in pairs]) <= 0.05 * len(planted)
