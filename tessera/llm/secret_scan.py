@@ -3,10 +3,10 @@
 A candidate is a run of 12 or more characters without blanks, quotes, brackets, commas or
 semicolons that has a digit and a letter and follows a sensitive word within 48 characters on its line, or
 holds one itself; of an address with a password (``scheme://user:password@host``) the
-password.  Its novelty is what it adds to the compressed size of the surrounding text, by a
-compressor primed with a dictionary of code keywords, identifiers and usual placeholders:
-text of the document, names and placeholders match what was seen before and add little,
-random strings add most of their entropy.  Other occurrences of the candidate, and of a value it
+password.  Its novelty is the compressed bytes that it adds, by a compressor primed with a
+dictionary of code keywords, identifiers and usual placeholders and with the surrounding
+text: text of the document, names and placeholders match what was seen before and add
+little, random strings nearly their length.  Other occurrences of the candidate, and of a value it
 assigns, are cut out of the surrounding text, so a secret that is given twice is as novel as
 one given once.  Every base span's value is measured alike.  A candidate that touches no base
 span is reported as ``novel`` at ``least`` bytes a character or more; base spans stay,
@@ -22,7 +22,6 @@ names, are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,18 +60,15 @@ getInstance initialize connection_string database_url http https www getElementB
 """
 
 
-@lru_cache(1)
-def _compressor():
+def novelty(before: str, candidate: str, after: str) -> float:
+    """Bytes that a character of ``candidate`` adds to its surroundings: its compressed size by
+    a compressor that has just seen the dictionary and them."""
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primed)
-
-
-def novelty(before: str, candidate: str, after: str) -> float:
-    """Marginal compressed bytes of a character of ``candidate`` amid its surroundings."""
-    size = lambda s: len(_compressor().compress(s.encode("utf-8", "surrogatepass")))
-    return (size(before + after + candidate) - size(before + after)) / len(candidate)
+    raw = lambda s: s.encode("utf-8", "surrogatepass")
+    seen = zstandard.ZstdCompressionDict(raw(DICTIONARY + before + after), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    press = zstandard.ZstdCompressor(level=19, dict_data=seen, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return (len(press.compress(raw(candidate))) - len(press.compress(b""))) / len(candidate)
 
 
 def without(text: str, start: int, end: int, parts: list[str]) -> str:
@@ -158,7 +154,7 @@ def scan(text: str, least: float) -> tuple[list[tuple], int]:
     return sorted(out), len(base) + len(others)
 
 
-def find_secrets(docs: DataFrame, least: float = 0.72) -> DataFrame:
+def find_secrets(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, spans: array of (kind, start, end, base, novelty) in order of start and kind, and
     n_measured: the strings whose novelty was measured."""
     def run(texts):
