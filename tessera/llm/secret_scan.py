@@ -110,7 +110,7 @@ def measured(text: str, at: int, end: int) -> float:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the strings in a sensitive context."""
-    if not any(len(w) >= 12 and any(x.isdigit() for x in w) for w in text.split()):
+    if not any(len(w) >= 12 and (any(x.isdigit() for x in w) or "://" in w) for w in text.split()):
         return []
     out = []
     for m in CANDIDATE.finditer(text):

@@ -118,7 +118,7 @@ def test_secrets_of_a_labelled_set():
         wrong += sum(secret not in x for x in found)
     for line in bad:
         found, n = secret_scan.scan(f"some text of a page before it\n{line}\nand some after it", 0.8)
-        wrong += len(found)
+        wrong += sum(k == 3 for _, k, _, _ in found)  # base spans are reported whatever their novelty
     assert hits >= 0.9 * len(good) and hits >= 0.9 * (hits + wrong), (hits, len(good), wrong)
 
 
