@@ -1,7 +1,7 @@
 """Token-array functions: encoding, truncation, padding, label suffixes, masking.
 
 All run as Spark higher-order functions (``transform``/``slice``/``concat``)
-inside whole-stage codegen; the only Python is the n-gram masker, whose greedy
+inside whole-stage codegen; the only Python is the older n-gram masker, whose greedy
 cover is sequential within a row (an Arrow-batched pandas UDF).
 """
 
@@ -177,6 +177,51 @@ def mask_ngrams(ids, key, vocab_size: int, seed: int = 42) -> Column:
     return _udf(_c(ids), F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"))))
 
 
+def mask_ngrams_keyed(ids, key, vocab_size, seed: int = 42, budget: float = 0.15, max_n: int = 3) -> Column:
+    """N-gram masking as a fold, without Python: struct(input_ids, labels).
+
+    Positions that are not special are visited in the order of ``md5(seed|key|position)``; each
+    that is not covered yet covers itself and up to ``max_n - 1`` positions behind it (n with
+    chance ~ 1/n), until ``budget`` of them are covered.  A covered id becomes the mask (80 %),
+    stays (10 %) or becomes any vocabulary id (10 %).  For rows cut to a model's length: a
+    row costs its length times its covered positions."""
+    a, total = _c(ids), sum(1 / n for n in range(1, max_n + 1))
+
+    def u(h, at):
+        return F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+    def draw(i):
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), i.cast("string")))
+        n, below = F.lit(max_n), total
+        for k in range(max_n, 1, -1):  # from the largest chance down
+            below -= 1 / k
+            n = F.when(u(h, 9) < below / total, F.lit(k - 1)).otherwise(n)
+        return F.struct(F.substring(h, 1, 8).alias("order"), i.alias("i"), n.alias("n"), u(h, 17).alias("r"), u(h, 25).alias("v"))
+    free = lambda i: ~F.get(a, i).isin(*SPECIAL_IDS)
+    draws = F.transform(F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i < F.size(a)) & (i >= 0) & free(i)), draw)
+
+    def covered(d):
+        most = F.greatest(F.lit(1), F.rint(F.lit(budget) * F.size(d)).cast("int"))
+
+        def visit(have, x):
+            more = F.filter(F.sequence(x["i"], x["i"] + x["n"] - 1),
+                            lambda j: (j < F.size(a)) & free(j) & ~F.array_contains(have, j))
+            return F.when((F.size(have) >= most) | F.array_contains(have, x["i"]), have).otherwise(F.concat(have, more))
+        return F.aggregate(F.array_sort(d), F.array().cast("array<int>"), visit)
+
+    def result(d, hit):
+        own = F.map_from_entries(F.transform(d, lambda x: F.struct(x["i"], x)))
+
+        def new(x, i):
+            r = F.try_element_at(own, i)
+            any_id = (F.lit(VOCAB_BASE) + F.floor(r["v"] * (F.lit(vocab_size) - VOCAB_BASE))).cast("int")
+            return F.when(~F.array_contains(hit, i), x).when(r["r"] < 0.8, F.lit(MASK_ID)).when(r["r"] < 0.9, x).otherwise(any_id)
+        return F.struct(F.transform(a, new).alias("input_ids"),
+                        F.transform(a, lambda x, i: F.when(F.array_contains(hit, i), x).otherwise(F.lit(IGNORE_LABEL))).alias("labels"))
+    bound = F.transform(F.array(draws), lambda d: F.struct(d.alias("d"), covered(d).alias("hit")))  # worked out once
+    return F.transform(bound, lambda x: result(x["d"], x["hit"]))[0]
+
+
 def sample_positions(n: Column, k: int) -> Column:
     """Evenly spaced positions of ``k`` samples among ``n`` items: ``rint(j * n / k)``
     while below ``n``; all positions when ``k >= n``."""

@@ -80,5 +80,5 @@ def q_group_partition_write(spark, sf):
     """Rows appended by group into a bounded number of hash-bucket directories."""
     path = scratch_path(spark, "by_group")
     p = Tables(spark, sf).part.select("p_partkey", "p_brand", "p_size")
-    files.write_by_group(p, path, "p_brand", n_buckets=8)
+    files.write_by_group(p, path, "p_brand", n_buckets=8, file_rows=200)
     return spark.read.parquet(path).select("p_partkey", "p_brand", "p_size")

@@ -98,6 +98,24 @@ def q_kde_grid(spark, sf):
     return _r6(k.withColumn("gi", F.col("gi").cast("int")), ["g", "density"])
 
 
+@query("kde_2d", """
+WITH l AS (SELECT l_returnflag, l_linestatus, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+st AS (SELECT l_returnflag, l_linestatus, count(*) AS n, min(x) AS lox, (max(x) - min(x)) / 23 AS wx, stddev_samp(x) * power(count(*), -1 / 6.0) AS bwx,
+              min(y) AS loy, (max(y) - min(y)) / 23 AS wy, stddev_samp(y) * power(count(*), -1 / 6.0) AS bwy FROM l GROUP BY ALL),
+c AS (SELECT l_returnflag, l_linestatus, CAST(round_even((x - lox) / wx, 0) AS INT) AS bx, CAST(round_even((y - loy) / wy, 0) AS INT) AS by_,
+             count(*) AS c FROM l JOIN st USING (l_returnflag, l_linestatus) GROUP BY ALL),
+g AS (SELECT CAST(unnest(range(24)) AS INT) AS g)
+SELECT st.l_returnflag, st.l_linestatus, gx.g AS gx, gy.g AS gy, round(lox + gx.g * wx, 4) AS x, round(loy + gy.g * wy, 4) AS y,
+       round(1e6 * sum(c * exp(-0.5 * (power((gx.g - bx) * wx / bwx, 2) + power((gy.g - by_) * wy / bwy, 2)))) / (n * 2 * pi() * bwx * bwy), 6) AS density
+FROM c JOIN st USING (l_returnflag, l_linestatus), g gx, g gy
+GROUP BY st.l_returnflag, st.l_linestatus, gx.g, gy.g, lox, loy, wx, wy, bwx, bwy, n""")
+def q_kde_2d(spark, sf):
+    """Density of price and quantity in every return flag and status (in millionths)."""
+    k = PR.kde_2d(Tables(spark, sf).lineitem, "l_quantity", "l_extendedprice", ["l_returnflag", "l_linestatus"], points=24)
+    return k.select("l_returnflag", "l_linestatus", "gx", "gy", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"),
+                    F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
 @query("impute_mean", """
 SELECT d.doc_id, round(coalesce(CAST(l.quality AS DOUBLE), avg(l.quality) OVER ()), 6) AS quality,
        round(coalesce(CAST(l.toxic AS DOUBLE), avg(l.toxic) OVER ()), 6) AS toxic

@@ -11,6 +11,8 @@ from tessera.plans.common import cells_frame
 from tessera.plans.q_pairs import members_frame
 from tessera.plans.registry import query
 from tessera.operators.pairs import positive_pairs
+from tessera.operators.vocab import build_vocab, encode, top_tokens
+from tessera.session import materialize
 from tessera.sources.tables import Tables
 
 N_SAMPLE = 3
@@ -130,6 +132,102 @@ def q_encode_pairs(spark, sf):
                     A.ones_mask(core, PAIR_LEN).alias("attention_mask"))
 
 
+# ---- the same on ids ---------------------------------------------------------------------
+
+def _vocab(words):
+    """Ids of the 2000 most frequent words of an array column."""
+    return build_vocab(top_tokens(words, "w", 2000))
+
+
+def _vocab_sql(src: str) -> str:
+    return f"""
+cnt AS (SELECT tok AS token, count(*) AS c FROM (SELECT unnest(w) AS tok FROM {src}) GROUP BY tok),
+vocab AS (SELECT token, CAST({A.VOCAB_BASE} + row_number() OVER (ORDER BY token) - 1 AS INT) AS id
+          FROM (SELECT token FROM cnt ORDER BY c DESC, token LIMIT 2000))"""
+
+
+def _side_sql(src: str, keys: str, size: int) -> str:
+    """``keys``, ids and mask of every row of ``src`` (w): looked up, cut, with specials, padded to ``size``."""
+    return f"""
+SELECT {keys}, list_resize([{A.CLS_ID}] || ids || [{A.SEP_ID}], {size}, {A.PAD_ID}) AS ids,
+       list_resize(list_transform(range(len(ids) + 2), lambda i: 1), {size}, 0) AS mask
+FROM (SELECT {keys}, coalesce(list(coalesce(v.vid, {A.UNK_ID}) ORDER BY pos) FILTER (t.token IS NOT NULL), []::INT[]) AS ids
+      FROM (SELECT {keys}, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE list_slice(w, 1, {size - 2}) END) AS token,
+                   unnest(range(greatest(1, least(len(w), {size - 2})))) AS pos FROM {src}) t
+      LEFT JOIN (SELECT token, id AS vid FROM vocab) v USING (token) GROUP BY {keys})"""
+
+
+def encode_side(df, key, words: str, vocab, size: int):
+    """(key, ids, mask): a side's words cut to ``size - 2``, looked up, with specials, padded to ``size``."""
+    cut = df.select(key, F.slice(words, 1, size - 2).alias("w"))
+    core = A.with_specials("input_ids")
+    return encode(cut, key, "w", vocab).select(key, A.pad_right(core, size).alias("ids"), A.ones_mask(core, size).alias("mask"))
+
+
+SIDE_LEN, BOTH_LEN = 6, 10
+
+
+@query("encode_pairs_ids", f"""
+WITH {S.PAIR_CTES},
+w AS (SELECT p_partkey AS fid, list_filter(string_split({S.clean('p_name')}, ' '), lambda x: x <> '') AS w FROM part),
+{_vocab_sql('w')},
+side AS ({_side_sql('w', 'fid', SIDE_LEN)})
+SELECT pos.a, pos.b, list_resize(list_slice([{A.CLS_ID}] || x.ids || y.ids, 1, {BOTH_LEN}), {BOTH_LEN}, {A.PAD_ID}) AS input_ids,
+       list_resize(list_slice([1] || x.mask || y.mask, 1, {BOTH_LEN}), {BOTH_LEN}, 0) AS attention_mask, 1 AS target
+FROM pos JOIN side x ON pos.a = x.fid JOIN side y ON pos.b = y.fid""")
+def q_encode_pairs_ids(spark, sf):
+    """Pairs on ids: each side looked up, given its specials, cut and padded by itself; a start token and both
+    sides, cut to one length, with the mask."""
+    t = Tables(spark, sf)
+    w = t.part.select(F.col("p_partkey").alias("fid"), _words("p_name").alias("w"))
+    side = materialize(encode_side(w, "fid", "w", _vocab(w), SIDE_LEN), "pair-sides")
+    a, b = (side.select(F.col("fid").alias(n), F.col("ids").alias(f"i{n}"), F.col("mask").alias(f"m{n}")) for n in "ab")
+    e = positive_pairs(members_frame(t)).join(a, "a").join(b, "b")
+    ids = F.slice(F.concat(F.array(F.lit(A.CLS_ID)), "ia", "ib"), 1, BOTH_LEN)
+    mask = F.slice(F.concat(F.array(F.lit(1)), "ma", "mb"), 1, BOTH_LEN)
+    return e.select("a", "b", A.pad_right(ids, BOTH_LEN).alias("input_ids"), A.pad_right(mask, BOTH_LEN, 0).alias("attention_mask"),
+                    F.lit(1).alias("target"))
+
+
+MD_LEN, CODE_LEN, CELLS_LEN = 16, 9, 64
+
+
+@query("concat_segments_ids", f"""
+WITH {_sample_ctes(4)},
+k AS (SELECT p.id, p.sample_rank, list_filter(string_split({S.clean('src')}, ' '), lambda x: x <> '') AS w FROM (
+        SELECT p.*, CASE WHEN p.len <= 4 THEN substr(c.source, 1, {CUT}) ELSE c.source END AS src
+        FROM p JOIN c ON p.id = c.id AND p.pos = c.pos) p),
+md AS (SELECT id, cell_id, list_filter(string_split({S.clean('source')}, ' '), lambda x: x <> '') AS w FROM cells WHERE cell_type = 'markdown'),
+alltok AS (SELECT w FROM md UNION ALL SELECT w FROM k),
+{_vocab_sql('alltok')},
+mds AS ({_side_sql('md', 'id, cell_id', MD_LEN)}),
+ks AS ({_side_sql('k', 'id, sample_rank', CODE_LEN)}),
+s AS (SELECT id, flatten(list(list_slice(ids, 1, {CODE_LEN - 1}) ORDER BY sample_rank)) AS ids,
+             flatten(list(list_slice(mask, 1, {CODE_LEN - 1}) ORDER BY sample_rank)) AS mask FROM ks GROUP BY id)
+SELECT m.id, m.cell_id, list_resize(list_slice(m.ids || coalesce(s.ids, []::INT[]), 1, {CELLS_LEN}), {CELLS_LEN}, {A.PAD_ID}) AS input_ids,
+       list_resize(list_slice(m.mask || coalesce(s.mask, []::INT[]), 1, {CELLS_LEN}), {CELLS_LEN}, 0) AS attention_mask
+FROM mds m LEFT JOIN s USING (id)""")
+def q_concat_segments_ids(spark, sf):
+    """Markdown cells on ids, padded, followed by the ids of four evenly spaced code cells, each padded and
+    less its last place; cut to one length, padded, with the mask."""
+    t = Tables(spark, sf)
+    code = materialize(sampled_cells(t, 4).select("id", "sample_rank", F.struct("id", "sample_rank").alias("key"),
+                                                  _words("source").alias("w")), "code-cells")
+    md = (cells_frame(t).where(F.col("cell_type") == "markdown")
+          .select(F.struct("id", "cell_id").alias("key"), _words("source").alias("w")))
+    vocab = materialize(_vocab(md.select("w").unionByName(code.select("w"))), "cell-vocab")
+    c = encode_side(code, "key", "w", vocab, CODE_LEN).select("key.id", "key.sample_rank", "ids", "mask")
+    # four cells of a few ids each: a bounded list
+    side = c.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
+        "sample_rank", F.slice("ids", 1, CODE_LEN - 1).alias("i"), F.slice("mask", 1, CODE_LEN - 1).alias("m")))).alias("s"))
+    side = side.select("id", F.flatten(F.transform("s", lambda x: x["i"])).alias("si"), F.flatten(F.transform("s", lambda x: x["m"])).alias("sm"))
+    m = encode_side(md, "key", "w", vocab, MD_LEN).select("key.id", "key.cell_id", "ids", "mask").join(side, "id", "left")
+    none = F.array().cast("array<int>")
+    ids = F.slice(F.concat("ids", F.coalesce("si", none)), 1, CELLS_LEN)
+    mask = F.slice(F.concat("mask", F.coalesce("sm", none)), 1, CELLS_LEN)
+    return m.select("id", "cell_id", A.pad_right(ids, CELLS_LEN).alias("input_ids"), A.pad_right(mask, CELLS_LEN, 0).alias("attention_mask"))
+
+
 def _py_quote(c):
     """A string column as Python writes it: double quotes if it has single ones only."""
     t = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))

@@ -160,6 +160,37 @@ def q_mask_ngrams(spark, sf):
     return e.select("doc_id", m.alias("m")).select("doc_id", "m.input_ids", "m.labels")
 
 
+MASK_LEN = 128
+_U = "(('0x' || substr(h, {0}, 8))::BIGINT / 4294967296.0)"
+
+
+@query("mask_ngrams_keyed", f"""
+WITH {S.VOCAB_CTES},
+m AS (SELECT max(id) + 1 AS size FROM vocab),
+c AS (SELECT doc_id, [{A.CLS_ID}] || list_slice(input_ids, 1, {MASK_LEN - 2}) || [{A.SEP_ID}] AS ids FROM enc),
+p AS (SELECT doc_id, ids, unnest(ids) AS x, unnest(range(0, len(ids))) AS i FROM c),
+d AS (SELECT *, md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), CAST(i AS VARCHAR))) AS h FROM p),
+e AS (SELECT *, CASE WHEN {_U.format(9)} < 6.0 / 11 THEN 1 WHEN {_U.format(9)} < 9.0 / 11 THEN 2 ELSE 3 END AS n,
+             {_U.format(17)} AS r, {_U.format(25)} AS v FROM d),
+f AS (SELECT doc_id, any_value(ids) AS ids, greatest(1, CAST(round_even(0.15 * count(*), 0) AS INT)) AS most,
+             list([i, n] ORDER BY substr(h, 1, 8), i) AS visits FROM e WHERE NOT list_contains({SPECIALS_SQL}, x) GROUP BY doc_id),
+g AS (SELECT doc_id, list_reduce(visits, lambda have, x: CASE WHEN len(have) >= most OR list_contains(have, x[1]) THEN have
+        ELSE list_concat(have, list_filter(range(x[1], x[1] + x[2]), lambda j: j < len(ids)
+             AND NOT list_contains({SPECIALS_SQL}, ids[j + 1]) AND NOT list_contains(have, j))) END, CAST([] AS BIGINT[])) AS hit FROM f)
+SELECT e.doc_id,
+       list(CAST(CASE WHEN NOT coalesce(list_contains(hit, i), FALSE) THEN x WHEN r < 0.8 THEN {A.MASK_ID} WHEN r < 0.9 THEN x
+                      ELSE {A.VOCAB_BASE} + floor(v * (m.size - {A.VOCAB_BASE})) END AS INT) ORDER BY i) AS input_ids,
+       list(CASE WHEN coalesce(list_contains(hit, i), FALSE) THEN x ELSE {A.IGNORE_LABEL} END ORDER BY i) AS labels
+FROM e LEFT JOIN g USING (doc_id), m GROUP BY e.doc_id""")
+def q_mask_ngrams_keyed(spark, sf):
+    """N-gram masking as a fold over keyed draws, for the first 126 tokens of every document."""
+    e, vocab = encoded_docs(Tables(spark, sf), cut=lambda c: F.slice(c, 1, MASK_LEN - 2), with_vocab=True)
+    size = int(vocab.agg(F.max("id").alias("m")).first()["m"] or A.VOCAB_BASE) + 1
+    ids = e.select("doc_id", A.with_specials("input_ids").alias("ids"))
+    m = ids.select("doc_id", A.mask_ngrams_keyed("ids", "doc_id", size).alias("m"))
+    return m.select("doc_id", "m.input_ids", "m.labels")
+
+
 @query("distinct_texts", r"""
 SELECT DISTINCT trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g')) AS text FROM conversations""")
 def q_distinct_texts(spark, sf):

@@ -135,11 +135,24 @@ def write_ragged_groups(pairs: DataFrame, path: str, gid="gid", fid="fid") -> No
 # ---- partitioned / cached tables --------------------------------------------------------
 
 def write_by_group(df: DataFrame, path: str, group_col: str, n_buckets: int = 64,
-                   bucket_col: str = "group_bucket", mode: str = "append") -> None:
+                   bucket_col: str = "group_bucket", mode: str = "append", file_rows: int = 1_000_000) -> None:
     """Append rows grouped by ``group_col`` hash buckets: a bounded number of
-    directories however many groups exist; each bucket holds whole groups."""
+    directories however many groups exist; each bucket holds whole groups.
+
+    A count first tells each bucket's size; its rows are dealt by a hash of the whole row
+    over as many writers as keep a file at about ``file_rows`` rows, so a hot group has
+    several files and no writer has a bucket to itself that grows with the data."""
     out = df.withColumn(bucket_col, F.pmod(F.xxhash64(F.col(group_col)), F.lit(n_buckets)).cast("int"))
-    out.repartition(bucket_col).write.mode(mode).partitionBy(bucket_col).parquet(path)
+    sizes = {r[bucket_col]: r["n"] for r in out.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        out.write.mode(mode).partitionBy(bucket_col).parquet(path)
+        return
+    parts = {b: -(-n // file_rows) for b, n in sizes.items()}  # a row a bucket
+    salts = F.create_map(*[F.lit(v) for b in sorted(parts) for v in (b, parts[b])])
+    row = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    salt = F.pmod(row, F.element_at(salts, F.col(bucket_col)).cast("long"))
+    (out.withColumn("_salt", salt).repartition(sum(parts.values()), bucket_col, "_salt").drop("_salt")
+     .write.mode(mode).partitionBy(bucket_col).parquet(path))
 
 
 def read_group(spark: SparkSession, path: str, group_col: str, value, n_buckets: int = 64,
