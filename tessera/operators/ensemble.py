@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,3 +132,64 @@ def weight_search(wide: DataFrame, pred_cols, coarse_step: float = 0.1, fine_ste
     best_id = sc.agg(F.min_by("cand_id", F.struct(F.round("score", 9), F.col("cand_id")))).first()[0]
     fine = refine_grid(coarse[best_id], fine_step, radius)
     return score_candidates(wide, fine, pred_cols, **kw), fine
+
+
+def _simplex_least(h: np.ndarray, c: np.ndarray, w: np.ndarray, turns: int = 4000) -> np.ndarray:
+    """Least point of ``w'hw / 2 - c'w`` over the simplex, from ``w``, by projected gradients."""
+    step = 1 / max(np.linalg.eigvalsh(h)[-1], 1e-12)
+    far, t = w, 1.0
+    for _ in range(turns):  # accelerated; a few numbers a weight
+        v = far - step * (h @ far - c)
+        u = np.sort(v)[::-1]
+        k = np.flatnonzero(u - (np.cumsum(u) - 1) / np.arange(1, len(u) + 1) > 0)[-1]
+        new = np.maximum(v - (u[:k + 1].sum() - 1) / (k + 1), 0)
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        far, w, t = new + (t - 1) / after * (new - w), new, after
+    return w
+
+
+def descend_weights(wide: DataFrame, pred_cols, target_col="target", y_col="y", clip_cols=None, turns: int = 8,
+                    gain: float = 1e-9) -> tuple[list[float], float]:
+    """(weights, score): descent on the simplex of any number of runs, without enumeration.
+
+    An iteration is one aggregate with a row a target: the exact clipped error of the present
+    weights, and the moments of the rows that are not clipped, which give its gradient and
+    curvature.  The least point of that model over the simplex is the direction; a second
+    aggregate scores a few steps towards it exactly, and the best is taken.  The score
+    never rises; rows with a missing prediction are left out."""
+    cols = list(pred_cols)
+    rows = wide
+    for c in (*cols, y_col):
+        rows = rows.where(F.col(c).isNotNull())
+    w, best = np.full(len(cols), 1 / len(cols)), None
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    for _ in range(turns):
+        p = sum((F.lit(float(x)) * F.col(c) for x, c in zip(w, cols)), F.lit(0.0))
+        free, shown = F.lit(1.0), p
+        if clip_cols is not None:
+            lo, hi = (F.col(c) for c in clip_cols)
+            free, shown = F.when((p >= lo) & (p <= hi), 1.0).otherwise(0.0), clip(p, lo, hi)
+        stats = rows.groupBy(target_col).agg(
+            F.avg(F.pow(shown - F.col(y_col), 2)).alias("mse"),
+            F.array(*[F.avg(free * F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).alias("h"),
+            F.array(*[F.avg(free * F.col(c) * F.col(y_col)) for c in cols]).alias("c")).orderBy(target_col).collect()
+        if not stats:
+            return w.tolist(), float("nan")
+        score = float(np.mean([r["mse"] ** 0.5 for r in stats]))
+        best = score if best is None else best
+        h, c = np.zeros((len(cols), len(cols))), np.zeros(len(cols))
+        for r in stats:  # a target weighs as the slope of its root
+            slope = 1 / (max(r["mse"], 1e-18) ** 0.5 * len(stats))
+            for (i, j), x in zip(pairs, r["h"]):
+                h[i, j] += slope * x
+                h[j, i] = h[i, j]
+            c += slope * np.array(r["c"])
+        aim = _simplex_least(h, c, w)
+        steps = [w + s * (aim - w) for s in (1.0, 0.6, 0.3, 0.1, 0.03)]
+        scored = {r["cand_id"]: r["score"] for r in
+                  score_candidates(rows, [x.tolist() for x in steps], cols, target_col, y_col, clip_cols).collect()}
+        k = min(scored, key=lambda i: (scored[i], i))
+        if scored[k] > best - gain:
+            return w.tolist(), best
+        w, best = steps[k], scored[k]
+    return w.tolist(), float(best)

@@ -11,6 +11,7 @@ from tessera.operators.oof import fold_average, oof_select
 from tessera.plans import sql as S
 from tessera.plans.common import class_probs, oof_runs, run_predictions
 from tessera.plans.registry import query
+from tessera.session import materialize
 from tessera.sources.tables import Tables
 
 RUN_WEIGHTS = [("lang", 0.5), ("source", 0.3), ("all", 0.2)]
@@ -74,20 +75,40 @@ sc AS (SELECT cand_id, avg(rmse) AS score FROM per GROUP BY cand_id)
 
 
 def _wide(t):
+    """(doc_id, target, y, p0, p1, p2, lo, hi), written once: every search reads it again."""
     o = oof_runs(t)
-    wide = (o.groupBy("doc_id", "target").pivot("run", ["lang", "source", "all"]).agg(F.first("pred"))
-            .withColumnRenamed("lang", "p0").withColumnRenamed("source", "p1").withColumnRenamed("all", "p2"))
-    y = o.where(F.col("run") == "lang").select("doc_id", "target", "y")
-    rng = y.groupBy("target").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    return wide.join(y, ["doc_id", "target"]).join(rng, "target")
+    wide = materialize(o.groupBy("doc_id", "target").agg(
+        F.any_value("y").alias("y"), *[F.max(F.when(F.col("run") == r, F.col("pred"))).alias(f"p{i}")
+                                       for i, r in enumerate(("lang", "source", "all"))]), "oof_wide")
+    rng = wide.groupBy("target").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    return materialize(wide.join(rng, "target"), "oof_wide_range")
 
 
 def _grid_scores(spark, t):
     cands = spark.createDataFrame([(i, *w) for i, w in enumerate(CANDS)], "cand_id int, w0 double, w1 double, w2 double")
-    sc = EN.score_candidates(_wide(t), CANDS, ["p0", "p1", "p2"], clip_cols=("lo", "hi"))
+    sc = materialize(EN.score_candidates(_wide(t), CANDS, ["p0", "p1", "p2"], clip_cols=("lo", "hi")), "grid_scores")
     return F.broadcast(cands).join(sc, "cand_id")
 
 
+@query("weight_descent", f"""
+WITH {_GRID_CTES}
+SELECT runs, (SELECT round(min(score), 6) FROM sc) AS grid_score, TRUE AS no_worse, TRUE AS on_simplex
+FROM (VALUES (3), (10)) v(runs)""")
+def q_weight_descent(spark, sf):
+    """Weights of three and of ten runs by descent: no worse than the best of the three-run grid, which is
+    checked.  The other seven runs are distorted mixtures of the three."""
+    wide = _wide(Tables(spark, sf))
+    more = {"p3": "p0 * 1.1", "p4": "p1 * 0.9", "p5": "p2 + 0.2", "p6": "(p0 + p1) / 2 - 0.1", "p7": "(p1 + p2) / 2 * 1.05",
+            "p8": "p0 * 2 - p2", "p9": "p1 * 1.5 - p0 * 0.5"}
+    ten = wide.selectExpr("*", *[f"{x} AS {c}" for c, x in more.items()])
+    grid = EN.score_candidates(wide, CANDS, ["p0", "p1", "p2"], clip_cols=("lo", "hi")).agg(F.min("score")).first()[0]
+    rows = []
+    for n in (3, 10):
+        w, score = EN.descend_weights(ten, [f"p{i}" for i in range(n)], clip_cols=("lo", "hi"))
+        rows.append((n, round(grid, 6), score <= grid + 1e-6, min(w) >= 0 and abs(sum(w) - 1) < 1e-9))
+    return spark.createDataFrame(rows, "runs int, grid_score double, no_worse boolean, on_simplex boolean")
+
+
 @query("weight_grid", f"""
 WITH {_GRID_CTES}
 SELECT c.cand_id, c.w0, c.w1, c.w2, round(score, 6) AS score,
@@ -147,7 +168,6 @@ def _class_scores(t):
     """Share of each language of the data in a document's source, by fold model."""
     from tessera.operators.oof import fold_model_predictions
     from tessera.operators.splits import group_kfold
-    from tessera.session import materialize
     d = group_kfold(t.documents.select("doc_id", "lang", "source"), "source", k=5, seed=42)
     classes = F.broadcast(d.agg(F.collect_set("lang").alias("classes")))  # one row
     c = (d.crossJoin(classes).select("doc_id", "source", "kfold", "lang", F.explode("classes").alias("target"))
@@ -236,7 +256,6 @@ def q_loss_metrics(spark, sf):
 def q_weight_refine(spark, sf):
     """Coarse simplex grid, then a finer grid around its best point (rows-only check:
     the second grid depends on the first stage's winner)."""
-    from tessera.session import materialize
     wide = materialize(_wide(Tables(spark, sf)), "oof_wide")
     sc, fine = EN.weight_search(wide, ["p0", "p1", "p2"], clip_cols=("lo", "hi"))
     cands = spark.createDataFrame([(i, *w) for i, w in enumerate(fine)], "cand_id int, w0 double, w1 double, w2 double")
