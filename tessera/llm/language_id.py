@@ -7,23 +7,25 @@ Embeddings and layer are trained together by minibatch stochastic gradient desce
 numpy.  A part of the sample is held back to calibrate: a temperature for the
 probabilities, then the probability under which a prediction is rejected.
 
-The classifier is fitted on a bounded sample of labelled rows: ``max_rows`` in all,
-shared evenly by the languages and chosen by a hash of the id.  Prediction is a map over
-whole texts, without a shuffle.  Nulls: a null text, like one without a letter, is
+The classifier is fitted on a bounded sample of labelled rows, in one task: ``max_rows``
+in all, shared evenly by all languages (8 rows of each at least), chosen by a hash of the
+id; ties go by id and text.  Prediction is a map over whole texts, at any length, without a
+shuffle.  Other columns, whatever their names, pass through or are ignored.  Nulls: a null text, like one without a letter, is
 ``und`` with score 0 and rejected; null labels are not learned from.  Repeated rows give
 repeated results; an empty table, or one without labels, gives ``und`` everywhere.
 """
 
 from __future__ import annotations
 
+import io
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_rows, small_batches
+from .arrow import arrow_schema, map_rows, record_batch, small_batches
 from .common import spread
 
 BITS, DIM, CHUNK = 12, 16, 1 << 20
@@ -111,46 +113,54 @@ def calibrate(logits: np.ndarray, y: np.ndarray, most_rejected: float = 0.001) -
     return float(best), float(min(0.5, np.quantile(right, most_rejected))) if len(right) else 0.5
 
 
+def fit_sample(rows: list[tuple]) -> dict[str, np.ndarray] | None:
+    """Weights, biases, languages and least probability from rows of (id, text, lang), in any order."""
+    found = [(str(i), lang, c) for i, text, lang in rows if (c := subword_counts(text)) is not None]
+    if not found:
+        return None
+    found.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+    langs = sorted({r[1] for r in found})
+    x = np.stack([(r[2] / r[2].sum()).astype(np.float32) for r in found])
+    y = np.array([langs.index(r[1]) for r in found])
+    held = np.arange(len(y)) % 5 == 0
+    weights, bias = fit(x[~held], y[~held], len(langs))
+    heat, least = calibrate(x[held] @ weights + bias, y[held])
+    return {"langs": np.array(langs), "weights": weights.astype(np.float64) / heat,
+            "bias": bias.astype(np.float64) / heat, "least": np.array(least)}
+
+
 def train(docs: DataFrame, learn: Column | None = None, max_rows: int = 2400) -> dict | None:
-    """Model from labelled rows of ``docs`` (``text``, ``lang``, ``doc_id``) where ``learn`` holds."""
+    """Model from labelled rows of ``docs`` (``text``, ``lang``, ``doc_id``) where ``learn`` holds.
+    One task fits the bounded sample; the driver gets the weights alone."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if learn is None else rows.filter(learn)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(max_rows // 8).collect()}  # a class needs 8 rows or more of the sample
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
-    share = max(8, max_rows // len(sizes))
+    share = max(8, max_rows // len(sizes))  # a class needs 8 rows or more
     draw = (F.xxhash64(F.lit("sample"), F.col("doc_id")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
-    chance = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, 1.2 * share / n)])
-    picked = (rows.select("doc_id", "text", "lang", draw.alias("draw"))
-              .filter(F.col("draw") < F.element_at(chance, F.col("lang")))
-              .orderBy("draw", "doc_id", "text").limit(max_rows).select("doc_id", "text", "lang"))
-
-    def counts(ids, texts, langs):
-        found = [subword_counts(t) for t in texts]
-        keep = [i for i, c in enumerate(found) if c is not None]
-        at = [np.flatnonzero(found[i]) for i in keep]
-        return {"doc_id": [str(ids[i]) for i in keep], "lang": [langs[i] for i in keep],
-                "at": [a.astype(np.int32) for a in at],
-                "n": [(found[i][a] / found[i].sum()).astype(np.float32) for i, a in zip(keep, at)]}
-
-    # as an Arrow table: rows of Python numbers would take ten times the memory
-    sample = map_rows(picked, counts, ["doc_id", "text", "lang"],
-                      "doc_id string, lang string, at array<int>, n array<float>").toArrow().combine_chunks()
-    if not sample.num_rows:
+    chance = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, 1.5 * share / n + 0.001 * (n < 10_000))])
+    near = (rows.select("doc_id", "text", "lang", draw.alias("draw"))
+            .filter(F.col("draw") < F.element_at(chance, F.col("lang"))))
+    each = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    picked = (near.withColumn("nth", F.row_number().over(each)).filter(F.col("nth") <= share)
+              .select("doc_id", "text", "lang").repartition(1))
+    schema = "model binary"
+    kind = arrow_schema(schema)
+
+    def run(batches):
+        sample = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "lang")))]
+        model = fit_sample(sample)
+        if model is not None:
+            out = io.BytesIO()
+            np.savez(out, **model)
+            yield record_batch(kind, {"model": [out.getvalue()]})
+
+    found = small_batches(picked).mapInArrow(run, schema).collect()
+    if not found:
         return None
-    label = sample.column("lang").to_pylist()
-    langs = sorted(set(label))
-    order = sorted(range(len(label)), key=lambda i: (sample.column("doc_id")[i].as_py(), label[i]))
-    x, y = np.zeros((len(label), BUCKETS), np.float32), np.array([langs.index(label[i]) for i in order])
-    at, n = sample.column("at"), sample.column("n")
-    for row, i in enumerate(order):
-        x[row, at[i].values.to_numpy()] = n[i].values.to_numpy()
-    held = np.arange(len(y)) % 5 == 0
-    weights, bias = fit(x[~held], y[~held], len(langs))
-    heat, least = calibrate(x[held] @ weights + bias, y[held])
-    return {"langs": langs, "weights": weights.astype(np.float64) / heat, "bias": bias.astype(np.float64) / heat,
-            "least": least}
+    with np.load(io.BytesIO(found[0]["model"])) as f:
+        return {"langs": f["langs"].tolist(), "weights": f["weights"], "bias": f["bias"], "least": float(f["least"])}
 
 
 def _classify(texts: list[str | None], model: dict | None) -> list[tuple[str, float, bool]]:
