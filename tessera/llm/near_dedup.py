@@ -27,8 +27,10 @@ connected components of the links.
 
 Only texts of candidate documents are kept for confirmation.  Nulls: a null text is
 empty; empty sets are linked with nothing; a null doc_id is linked with nothing and kept.
-Rows that repeat a doc_id are one document: it has the links of each of them, and they
-are kept or dropped together.  An empty table gives an empty result.
+Rows that repeat a doc_id are one document: it has the links of each of them, so what they
+are linked with is one component, and they are kept or dropped together.  Very long texts
+are taken whole, a chunk of hashes at a time.  Ties go to the smaller id; other columns,
+whatever their names, are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -205,6 +207,16 @@ def _further(pairs: DataFrame, checked: DataFrame, links: DataFrame, found: Data
     return checked.unionByName(new), links.unionByName(more), connected(links.unionByName(more))
 
 
+def _same_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of the rows that repeat a doc_id with another set."""
+    sets = F.struct("set_a", "set_b", "n_shingles")
+    several = (full.groupBy("doc_id").agg(F.min(sets).alias("x"), F.max(sets).alias("y")).filter("x <> y").select("doc_id"))
+    own = (full.join(several, "doc_id", "left_semi").select("doc_id", "set_a", "set_b", "n_shingles").distinct()
+           .join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"]))
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return own.join(least, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), kept: a row a row."""
     made = materialize(sketches(docs, words), "near-sketches")
@@ -228,7 +240,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     texts = materialize(keyed(docs).select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "near-texts")
     checked = materialize(_confirm(best, texts, words, percent), "near-checked")
-    links = checked.filter("linked").select("a", "b")
+    links = materialize(checked.filter("linked").select("a", "b").unionByName(_same_ids(full, classes)), "near-links")
     found = connected(links)
 
     now = _mixed(members.select("bucket", "doc"), found)
