@@ -103,14 +103,15 @@ def fit(x: np.ndarray, y: np.ndarray, n_classes: int, epochs: int = 30, batch: i
 
 def calibrate(logits: np.ndarray, y: np.ndarray, most_rejected: float = 0.001) -> tuple[float, float]:
     """Temperature of least log loss, and the least probability that is accepted: at most
-    ``most_rejected`` of the right predictions lie under it, and it is 0.5 at most."""
+    ``most_rejected`` of the right predictions lie under it, and it is a third at most, so
+    that texts in two languages stay."""
     if not len(y):
-        return 1.0, 0.5
+        return 1.0, 1 / 3
     best = min((-np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean(), t)
                for t in np.geomspace(0.25, 8, 36))[1]
     p = _softmax(logits / best)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    return float(best), float(min(0.5, np.quantile(right, most_rejected))) if len(right) else 0.5
+    return float(best), float(min(1 / 3, np.quantile(right, most_rejected))) if len(right) else 1 / 3
 
 
 def fit_sample(rows: list[tuple]) -> dict[str, np.ndarray] | None:
