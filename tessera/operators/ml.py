@@ -8,6 +8,7 @@ fit and every score is a distributed Spark job.
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -191,6 +192,79 @@ def config_search(df: DataFrame, feature_cols, label_col: str, space: dict, fold
     return df.sparkSession.createDataFrame(rows, "trial int, kind string, config string, cv_accuracy double")
 
 
+class Gene:
+    """One place of a genome: a real number or an integer between two bounds."""
+
+    def __init__(self, low: float, high: float, integer: bool = False):
+        self.low, self.high, self.integer = low, high, integer
+
+    def between(self, rng, low: float, high: float):
+        """Any value from ``low`` to ``high``."""
+        return rng.randint(int(low), int(high)) if self.integer else low + rng.random() * (high - low)
+
+    def any(self, rng):
+        return self.between(rng, self.low, self.high)
+
+
+def cross(rng, a: list, b: list, kind: str) -> tuple[list, list]:
+    """Two children: ``one_point`` and ``two_point`` exchange a stretch, ``uniform`` single places."""
+    n = len(a)
+    if kind == "uniform":
+        swap = [rng.random() < 0.5 for _ in range(n)]
+    elif kind == "one_point":
+        cut = rng.randrange(n + 1)
+        swap = [i < cut for i in range(n)]
+    elif kind == "two_point":
+        low, high = sorted((rng.randrange(n + 1), rng.randrange(n + 1)))
+        swap = [low <= i < high for i in range(n)]
+    else:
+        raise ValueError(f"unknown crossover {kind}")
+    return [y if s else x for x, y, s in zip(a, b, swap)], [x if s else y for x, y, s in zip(a, b, swap)]
+
+
+def evolve(score_fn, genes: list[Gene], population: int = 20, generations: int = 50, mutation: float = 0.1,
+           elite_frac: float = 0.05, parents_frac: float = 0.3, crossover_chance: float = 0.5, crossover: str = "uniform",
+           patience: int | None = None, repair=None, seed: int = 42) -> list[tuple[int, int, list, float]]:
+    """Evolutionary search that minimizes ``score_fn(genomes) -> {index: score}``: every genome
+    scored, as (generation, index, genome, score).
+
+    A generation is one call, so one Spark job over all rows; the driver holds the population
+    alone.  Parents are the elite and a draw by ``max - score + 1``; they stay in the next
+    population, and children of two of them (each parent is picked for crossing with
+    ``crossover_chance``) fill it.  The first child's places mutate to any value, the
+    second's to one between its parents' (any value where these agree).  Integers stay
+    integers and all places in their bounds; ``repair`` may map a genome to a valid one.
+    Stops after ``patience`` generations without gain."""
+    rng, fix = random.Random(seed), repair or (lambda g: g)
+    pop = [fix([g.any(rng) for g in genes]) for _ in range(population)]
+    history, best, still = [], None, 0
+    for turn in range(generations):
+        scores = score_fn(pop)
+        ranked = sorted(range(len(pop)), key=lambda i: (scores[i], i))
+        history += [(turn, i, pop[i], scores[i]) for i in range(len(pop))]
+        still = 0 if best is None or scores[ranked[0]] < best else still + 1
+        best = scores[ranked[0]] if still == 0 else best
+        if patience is not None and still >= patience:
+            break
+        n_parents = max(2, int(parents_frac * population))
+        parents = [pop[i] for i in ranked[:max(1, min(n_parents, int(elite_frac * population)))]]
+        worst = max(scores[i] for i in ranked)
+        fit = [worst - scores[i] + 1 for i in range(len(pop))]
+        parents += [pop[i] for i in rng.choices(range(len(pop)), weights=fit, k=n_parents - len(parents))]
+        able = [p for p in parents if rng.random() < crossover_chance]
+        able = able if len(able) >= 2 else parents[:2]
+        following = list(parents)
+        while len(following) < population:
+            a, b = rng.sample(able, 2)
+            one, two = cross(rng, a, b, crossover)
+            one = [g.any(rng) if rng.random() < mutation else x for g, x in zip(genes, one)]
+            two = [(g.between(rng, min(x, y), max(x, y)) if x != y else g.any(rng)) if rng.random() < mutation else z
+                   for g, x, y, z in zip(genes, a, b, two)]
+            following += [fix(one), fix(two)]
+        pop = following[:population]
+    return history
+
+
 def evolve_weights(score_fn, n_weights: int, population: int = 20, generations: int = 5, mutation: float = 0.1,
                    elite_frac: float = 0.01, crossover: float = 0.5, parents_frac: float = 0.3, seed: int = 42):
     """Elitist evolutionary search minimizing ``score_fn(candidates) -> {cand_id: score}``.
@@ -237,3 +311,55 @@ def evolve_weights(score_fn, n_weights: int, population: int = 20, generations:
             nxt += [norm(c1), norm(c2)]
         pop = nxt[:population]
     return history
+
+
+def sampled_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
+    """``n`` configurations drawn by keyed hashes, so that trial i is the same in every order and
+    number of trials.  An axis is a list (one of it), ``("range", low, high)`` or ``("log", low, high)``."""
+    out = []
+    for i in range(n):
+        trial = {}
+        for axis, values in sorted(space.items()):
+            u = int(hashlib.md5(f"{seed}|{i}|{axis}".encode()).hexdigest()[:13], 16) / 16 ** 13
+            if isinstance(values, tuple):
+                kind, low, high = values
+                trial[axis] = low + u * (high - low) if kind == "range" else low * (high / low) ** u
+            else:
+                trial[axis] = values[int(u * len(values))]
+        out.append(trial)
+    return out
+
+
+def halving_search(score_fn, trials: list[dict], k: int, keep: float = 0.5) -> list[tuple[int, int, float]]:
+    """Successive halving by fold: every trial is scored on fold 0, the better ``keep`` of them on
+    fold 1 too, and so on.  ``score_fn(trials, fold) -> [score]`` (higher is better).  Returns
+    (trial, folds scored, mean score), the best first: more folds, then the mean, then the number."""
+    alive, scores = list(range(len(trials))), {i: [] for i in range(len(trials))}
+    mean = lambda i: sum(scores[i]) / len(scores[i])
+    for fold in range(k):
+        for i, x in zip(alive, score_fn([trials[i] for i in alive], fold)):
+            scores[i].append(x)
+        if fold < k - 1:
+            alive = sorted(sorted(alive, key=lambda i: (-mean(i), i))[:max(1, -(-int(len(alive) * keep * 1000) // 1000))])
+    return sorted(((i, len(s), mean(i)) for i, s in scores.items() if s), key=lambda r: (-r[1], -r[2], r[0]))
+
+
+def trial_search(df: DataFrame, feature_cols, label_col: str, space: dict, n_trials: int = 8, fold_col: str = "kfold",
+                 k: int = 3, seed: int = 42) -> DataFrame:
+    """Sampled trials of a logistic regression with successive halving: (trial, config, folds, accuracy).
+    A round prepares its fold's rows once and fits every remaining trial on them."""
+    cols = list(feature_cols)
+    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    d = materialize(asm.transform(df).select(F.col(label_col).alias("label"), fold_col, "features"), "trials")
+    trials = sampled_trials(space, n_trials, seed)
+
+    def score(some, fold):
+        train, valid = d.where(F.col(fold_col) != fold), d.where(F.col(fold_col) == fold)
+        out = []
+        for cfg in some:
+            model = LogisticRegression(maxIter=20, predictionCol="pred", **cfg).fit(train)
+            acc = model.transform(valid).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+            out.append(acc if acc is not None else 0.0)
+        return out
+    rows = [(i, ", ".join(f"{a}={v:.6g}" for a, v in sorted(trials[i].items())), n, float(x)) for i, n, x in halving_search(score, trials, k)]
+    return df.sparkSession.createDataFrame(rows, "trial int, config string, folds int, accuracy double")

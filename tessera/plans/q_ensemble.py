@@ -15,7 +15,6 @@ from tessera.session import materialize
 from tessera.sources.tables import Tables
 
 RUN_WEIGHTS = [("lang", 0.5), ("source", 0.3), ("all", 0.2)]
-LANGS = ["de", "en", "es", "fr"]
 
 
 def _r6(df, cols):
@@ -187,11 +186,11 @@ def q_fold_argmax(spark, sf):
 
 @query("model_mean_pivot", f"""
 WITH {_CLASS_CTES}
-SELECT doc_id, """ + ", ".join(f"round(avg(pred) FILTER (WHERE target = '{x}'), 6) AS {x}" for x in LANGS) + """
-FROM fm_cls GROUP BY doc_id""")
+SELECT * FROM (PIVOT fm_cls ON target USING round(avg(pred), 6) GROUP BY doc_id)""")
 def q_model_mean_pivot(spark, sf):
-    p = EN.model_mean_pivot(_class_scores(Tables(spark, sf)), "doc_id", "cls", "score", LANGS)
-    return _r6(p, LANGS)
+    scores = _class_scores(Tables(spark, sf))
+    langs = [r["cls"] for r in scores.select("cls").distinct().orderBy("cls").collect()]  # a column each
+    return _r6(EN.model_mean_pivot(scores, "doc_id", "cls", "score", langs), langs)
 
 
 @query("classification_report", f"""

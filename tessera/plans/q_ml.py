@@ -14,10 +14,11 @@ from tessera.operators.splits import group_kfold, holdout_split, random_kfold
 from tessera.plans import sql as S
 from tessera.plans.common import ESSAY_TARGETS, essay_frame
 from tessera.plans.registry import query
+from tessera.session import materialize
 from tessera.sources.tables import Tables
 
 NUMERIC = ["n_lines"]
-CLS_FEATURES = ["n_chars", "t_ari", "t_wlen", "t_loglen", "lang_de", "lang_en", "lang_es", "lang_fr"]
+CLS_NUMERIC = ["n_chars", "t_ari", "t_wlen", "t_loglen"]
 
 
 def essay_ml(t, k: int = 5):
@@ -29,11 +30,16 @@ def essay_ml(t, k: int = 5):
 
 def cls_frame(t):
     e = essay_frame(t).join(t.documents.select("doc_id", F.col("n_chars").cast("double").alias("n_chars")), "doc_id")
-    e = one_hot(e, "lang", prefix="lang", lvls=["de", "en", "es", "fr"])
+    e = one_hot(e, "lang", prefix="lang")
     d = e.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     return random_kfold(d, "doc_id", k=3, seed=42)
 
 
+def _features(d):
+    """The numeric features and a flag for every language of the data."""
+    return [*CLS_NUMERIC, *sorted(c for c in d.columns if c.startswith("lang_"))]
+
+
 def _oof(spark, sf):
     return ML.cv_regression(essay_ml(Tables(spark, sf)), "doc_id", ESSAY_TARGETS, "tokens", NUMERIC, k=5)
 
@@ -65,7 +71,7 @@ def q_test_inference_text(spark, sf):
 @query("classifier_bakeoff")
 def q_classifier_bakeoff(spark, sf):
     d = holdout_split(cls_frame(Tables(spark, sf)), "doc_id", frac=0.7, seed=3)
-    return ML.classifier_bakeoff(d.where("is_train"), d.where(~F.col("is_train")), CLS_FEATURES, "label")
+    return ML.classifier_bakeoff(d.where("is_train"), d.where(~F.col("is_train")), _features(d), "label")
 
 
 @query("knn_vote")
@@ -79,25 +85,27 @@ def q_knn_vote(spark, sf):
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
-    return ML.feature_importance(cls_frame(Tables(spark, sf)), CLS_FEATURES, "label")
+    d = materialize(cls_frame(Tables(spark, sf)), "classes")
+    return ML.feature_importance(d, _features(d), "label")
 
 
 @query("rfe_cv")
 def q_rfe_cv(spark, sf):
-    return ML.rfe_cv(cls_frame(Tables(spark, sf)), CLS_FEATURES, "label", k=3, min_features=4)
+    d = cls_frame(Tables(spark, sf))
+    return ML.rfe_cv(d, _features(d), "label", k=3, min_features=4)
 
 
 @query("config_search")
 def q_config_search(spark, sf):
     space = {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}
-    return ML.config_search(cls_frame(Tables(spark, sf)), CLS_FEATURES, "label", space, k=3, n_random=2)
+    d = cls_frame(Tables(spark, sf))
+    return ML.config_search(d, _features(d), "label", space, k=3, n_random=2)
 
 
 @query("evolve_weights")
 def q_evolve_weights(spark, sf):
     """Evolutionary search of run weights; every generation is one Spark scoring job."""
     from tessera.plans.q_ensemble import _wide
-    from tessera.session import materialize
     wide = materialize(_wide(Tables(spark, sf)))
 
     def score_fn(pop):
@@ -127,3 +135,35 @@ def q_knn_exact(spark, sf):
     rows = near.groupBy("id").agg(F.array_join(ids, " ").alias("nearest"), F.round(F.max("dist"), 6).alias("farthest"))
     return (rows.join(vote(near), "id").join(q.select(F.col("vec_id").alias("id"), "label"), "id")
             .select(F.col("id").alias("vec_id"), "label", "pred", "nearest", "farthest"))
+
+
+@query("trial_search")
+def q_trial_search(spark, sf):
+    """Trials over a log range and a range, halved fold by fold."""
+    d = cls_frame(Tables(spark, sf))
+    space = {"regParam": ("log", 1e-4, 1.0), "elasticNetParam": ("range", 0.0, 1.0)}
+    return ML.trial_search(d, _features(d), "label", space, n_trials=6, k=3)
+
+
+@query("evolve_mixed")
+def q_evolve_mixed(spark, sf):
+    """Weights of the runs and a rounding step (an integer) evolve together: real and integer places."""
+    from tessera.plans.q_ensemble import _wide
+    wide = _wide(Tables(spark, sf))
+
+    def score_fn(pop):
+        # the step rounds predictions to its tenths: one aggregate for the whole population
+        def loss(g):
+            p = sum((F.lit(float(w)) * F.col(c) for w, c in zip(g, ("p0", "p1", "p2"))), F.lit(0.0))
+            p = F.least(F.greatest(F.round(p * 10 / g[3]) * g[3] / 10, F.col("lo")), F.col("hi"))
+            return F.avg(F.pow(p - F.col("y"), 2))
+        per = wide.groupBy("target").agg(*[loss(g).alias(f"s{i}") for i, g in enumerate(pop)]).collect()
+        return {i: sum(r[f"s{i}"] ** 0.5 for r in per) / len(per) for i in range(len(pop))}
+
+    def unit(g):
+        total = sum(g[:3]) or 1.0
+        return [x / total for x in g[:3]] + [g[3]]
+    genes = [ML.Gene(0, 1)] * 3 + [ML.Gene(1, 9, integer=True)]
+    hist = ML.evolve(score_fn, genes, population=16, generations=6, patience=3, crossover="two_point", repair=unit)
+    return spark.createDataFrame([(t, i, *map(float, g[:3]), int(g[3]), float(s)) for t, i, g, s in hist],
+                                 "generation int, cand int, w0 double, w1 double, w2 double, step int, score double")

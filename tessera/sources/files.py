@@ -43,18 +43,19 @@ def read_tsv_lenient(spark: SparkSession, path: str, columns, sep: str = "\t") -
     """Tab-separated rows: rows with *more* fields than columns are dropped, short rows
     are kept with nulls (what a lenient pandas read does).
 
-    Read as plain lines, so the field count of the raw line decides; no header handling
-    beyond dropping a first line equal to the header.
+    Read as plain lines, so the field count of the raw line decides.  Of a file that has lines
+    equal to the header one is dropped, so data rows that equal it stay.
     """
     cols = list(columns)
     lines = spark.read.text(path)
     parts = F.split(F.col("value"), sep, -1)
-    out = lines.where(F.size(parts) <= len(cols)).select(
-        *[F.try_element_at(parts, F.lit(i + 1)).alias(c) for i, c in enumerate(cols)])
-    header = F.lit(True)
-    for i, c in enumerate(cols):
-        header = header & (F.col(c) == c)
-    return out.where(~F.coalesce(header, F.lit(False)))
+    fields = [F.try_element_at(parts, F.lit(i + 1)).alias(c) for i, c in enumerate(cols)]
+    header = F.col("value") == sep.join(cols)
+    rows = lines.where(~header & (F.size(parts) <= len(cols))).select(*fields)
+    # equal lines are interchangeable: all but one of each file are data
+    again = (lines.where(header).groupBy(F.col("value"), F.input_file_name().alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+             .where("_n > 1").withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("_n")))).select(*fields))
+    return rows.unionByName(again)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, sep: str = "\t") -> None:

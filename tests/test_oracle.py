@@ -28,7 +28,7 @@ def test_matches_oracle(spark, con, name):
 
 
 FAST_ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES) - {
-    "cv_regression_text", "oof_score_text", "test_inference_text", "classifier_bakeoff", "rfe_cv", "config_search"})
+    "cv_regression_text", "oof_score_text", "test_inference_text", "classifier_bakeoff", "rfe_cv", "config_search", "trial_search"})
 
 
 @pytest.mark.parametrize("name", FAST_ROWS_ONLY)
