@@ -12,7 +12,9 @@ from tessera.plans.q_pairs import members_frame
 from tessera.plans.registry import query
 from tessera.operators.pairs import positive_pairs
 from tessera.operators.vocab import build_vocab, encode, top_tokens
-from tessera.session import materialize
+from tessera.operators.ordering import md_ratio
+from tessera.session import materialize, scratch_path
+from tessera.sources import files
 from tessera.sources.tables import Tables
 
 N_SAMPLE = 3
@@ -228,6 +230,40 @@ def q_concat_segments_ids(spark, sf):
     return m.select("id", "cell_id", A.pad_right(ids, CELLS_LEN).alias("input_ids"), A.pad_right(mask, CELLS_LEN, 0).alias("attention_mask"))
 
 
+N_FEATURE_CELLS = 20
+
+
+def _typed_sql(cell_type: str, name: str) -> str:
+    """``name`` (id, texts): the sampled cells of a type, as a list per notebook."""
+    ctes = _sample_ctes(N_FEATURE_CELLS).replace("cell_type = 'code'", f"cell_type = '{cell_type}'")
+    return f"""{name} AS (
+WITH {ctes}
+SELECT p.id, list(CASE WHEN p.len <= {N_FEATURE_CELLS} THEN substr(c.source, 1, {CUT}) ELSE c.source END ORDER BY p.sample_rank) AS texts
+FROM p JOIN c ON p.id = c.id AND p.pos = c.pos GROUP BY p.id)"""
+
+
+@query("features_json_cells", f"""
+WITH {_typed_sql('code', 'codes')}, {_typed_sql('markdown', 'mds')},
+f AS (SELECT id, count_if(cell_type <> 'markdown') AS total_code, count_if(cell_type = 'markdown') AS total_md
+      FROM ({S.CELLS}) GROUP BY id)
+SELECT f.id, total_code, total_md, coalesce(codes.texts, []::VARCHAR[]) AS codes, coalesce(mds.texts, []::VARCHAR[]) AS mds
+FROM f LEFT JOIN codes ON codes.id = f.id LEFT JOIN mds ON mds.id = f.id""")
+def q_features_json_cells(spark, sf):
+    """Features of every notebook as JSON: counts, and up to twenty evenly spaced code and markdown cells;
+    written, and read back with a schema."""
+    t = Tables(spark, sf)
+    path = scratch_path(spark, "features_cells")
+    feats = md_ratio(cells_frame(t), "id").select("id", "total_code", "total_md")
+    for kind, name in (("code", "codes"), ("markdown", "mds")):
+        cells = sampled_cells(t, N_FEATURE_CELLS, kind)
+        # twenty cells a notebook and a little more: a bounded list
+        lists = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sample_rank", "source"))).alias("s"))
+        feats = feats.join(lists.select("id", F.transform("s", lambda x: x["source"]).alias(name)), "id", "left") \
+            .withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    files.write_features_json(feats, path)
+    return files.read_features_json(spark, path, feats.schema)
+
+
 def _py_quote(c):
     """A string column as Python writes it: double quotes if it has single ones only."""
     t = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
