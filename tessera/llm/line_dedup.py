@@ -10,7 +10,8 @@ go, so one copy of every passage is left in the corpus.
 
 Lines are addressed by two independent hashes (96 bits).  Nulls: a null text has no
 lines, a null site counts as no site, a null doc_id sorts first.  Blank and short lines
-always stay.  Repeated rows give repeated results, an empty table an empty one.
+always stay.  Texts are split whole, at any length; columns of any further names pass through.
+Repeated rows give repeated results, an empty table an empty one.
 """
 
 from __future__ import annotations

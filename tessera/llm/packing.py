@@ -11,7 +11,9 @@ Pieces are dealt by a hash over tasks of about ``task_pieces`` pieces, in a fixe
 so a task that runs again packs alike.  What each task leaves unfilled is packed a second
 time, as one item a bin, by fewer tasks.
 
-Nulls: a null text is the end id alone; a null doc_id is packed like any other.  Empty
+Texts are tokenized whole, at any length; pieces that tie in the deal go by length, and of
+bins with equal free space the one opened last is filled.  Other columns, whatever their
+names, are ignored.  Nulls: a null text is the end id alone; a null doc_id is packed like any other.  Empty
 texts give a piece of one token.  Repeated rows are packed each.  An empty table gives an
 empty result.
 """

@@ -11,7 +11,8 @@ One pass reads the texts; the reference is a sum of counts, so a hot language is
 summed up before its rows are shuffled.
 
 Nulls: a null text has no words (base rules fail it); a null language is measured
-against the sum of all languages.  Ties do not arise.  Repeated rows give repeated
+against the sum of all languages.  Ties do not arise.  Texts are read whole, at
+any length; other columns, whatever their names, are ignored.  Repeated rows give repeated
 results.  An empty table gives an empty result.
 """
 

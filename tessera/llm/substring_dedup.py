@@ -21,7 +21,9 @@ window holds one), so the graph has about a twelfth of the tokens' edges.
 Texts are shuffled once, and those with windows to verify a second time.  Keys with very
 many rows are pre-aggregated; the joins back are plain ones that AQE splits.  Nulls: a null
 text has no words; documents with a null doc_id neither lose words nor are a source.  Rows
-that repeat a doc_id are one document.  An empty table gives an empty result.
+that repeat a doc_id are one document.  Texts are taken whole, hashes a chunk at a time; of
+windows that start in several documents the smallest doc_id keeps its own.  Other columns,
+whatever their names, are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

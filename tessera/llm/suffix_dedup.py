@@ -22,7 +22,8 @@ and the others are dealt to tasks so that equal strings meet:
 
 Texts are shuffled once, those with something to sort a second time.  A null text is
 empty, as is the result of an empty table.  A null doc_id is an ordinary one.  Repeated rows
-are texts like any others, and so repeat each other.
+are texts like any others, and so repeat each other.  Texts are taken whole, at any length;
+equal strings all go, so there are no ties.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
