@@ -5,7 +5,8 @@ All but the last return the columns of ``docs``; what a stage returns is written
 again before the next one, so a lost executor repeats no earlier stage.  A null text is
 rejected by the first stage; a row with a null doc_id passes the near-duplicate and the
 benchmark stage; rows that repeat a doc_id stay or go together; an empty table passes
-through as one.
+through as one.  Texts are taken whole, at any length; of near copies the smallest doc_id
+stays; columns of any further names pass through all stages but the last.
 """
 
 from __future__ import annotations
