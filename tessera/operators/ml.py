@@ -11,11 +11,13 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        NaiveBayes, RandomForestClassifier)
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,24 +104,85 @@ def classifier_bakeoff(train: DataFrame, valid: DataFrame, feature_cols, label_c
     return spark.createDataFrame(rows, "model string, accuracy double")
 
 
+#: stands for a null id or label in numpy code; sorts first, as nulls do
+NONE = -(1 << 63)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, rank: np.ndarray, k: int, max_dist: float):
+    """(row of x, row of y, distance) of the ``k`` nearest rows of ``y`` to each row of ``x``, ties by ``rank``.
+
+    A matrix product finds all that can be among them; their distances come from the differences."""
+    square, out = (y ** 2).sum(axis=1), []
+    step = max(1, (1 << 22) // len(y))
+    for first in range(0, len(x), step):
+        part = x[first:first + step]
+        own = (part ** 2).sum(axis=1)
+        near = own[:, None] + square[None] - 2 * (part @ y.T)
+        last = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        # far above the product's rounding error
+        most = last + 1e-9 * (own + square.max())
+        for i in range(len(part)):
+            at = np.flatnonzero(near[i] <= most[i])
+            dist = np.sqrt(((y[at] - part[i]) ** 2).sum(axis=1))
+            best = np.lexsort((rank[at], dist))[:k]
+            best = best[dist[best] < max_dist]
+            out.append((np.full(len(best), first + i), at[best], dist[best]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
 def knn_vote(queries: DataFrame, refs: DataFrame, key: str, vec_col: str, label_col: str, k: int = 3,
-             bucket_length: float = 4.0, num_tables: int = 3, max_dist: float = 1e9) -> DataFrame:
+             bucket_length: float = 4.0, num_tables: int = 3, max_dist: float = 1e9, block: int = 8192) -> DataFrame:
     """k nearest reference vectors by Euclidean distance and a majority vote (ties:
-    lowest label).  Candidates come from random-projection LSH buckets: an
-    equi-join on bucket ids, never a cross product."""
-    q = queries.select(F.col(key).alias("qid"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
-    r = refs.select(F.col(key).alias("rid"), F.col(label_col).alias("rlabel"),
-                    array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
+    lowest label).  Candidates come from random-projection LSH buckets: all pairs that share
+    the bucket of one table at least.
+
+    Rows with the same buckets in all tables are dealt to blocks of about ``block`` rows; two blocks meet
+    if they share a bucket, and only the k nearest of a query leave the meeting, so wide buckets
+    cost products of matrices and no row a pair.  Rows without a vector are left out."""
+    def hashed(df, model, names):
+        buckets = F.concat(*[vector_to_array(F.col("_h")[i]) for i in range(num_tables)])
+        df = model.transform(df.withColumn("v", array_to_vector("vec"))).select(*names, "vec", buckets.cast("array<long>").alias("sig"))
+        parts = df.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+        df = df.join(parts, "sig").withColumn("part", F.pmod(F.xxhash64(*names, "vec"), F.col("_n"))).drop("_n")
+        return materialize(df, "vote-blocks")
+
+    def clean(df, *cols):  # a row given several times is one
+        vec = F.col(vec_col).cast("array<double>")
+        return df.where(vec.isNotNull()).select(*cols, vec.alias("vec")).distinct()
+
+    def or_none(c):
+        return F.coalesce(F.col(c).cast("long"), F.lit(NONE))
+    q = clean(queries, or_none(key).alias("qid"))
+    r = clean(refs, or_none(key).alias("rid"), or_none(label_col).alias("rlabel"))
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=42).fit(r)
-    pairs = lsh.approxSimilarityJoin(q, r, max_dist, distCol="dist").select(
-        F.col("datasetA.qid").alias("qid"), F.col("datasetB.rid").alias("rid"),
-        F.col("datasetB.rlabel").alias("rlabel"), "dist")
+                                      numHashTables=num_tables, seed=42).fit(r.select(array_to_vector("vec").alias("v")))
+    q, r = hashed(q, lsh, ["qid"]), hashed(r, lsh, ["rid", "rlabel"])
+
+    def buckets(df, side):
+        blocks = df.select("sig", "part").distinct()
+        return blocks.select(F.col("sig").alias(f"{side}_sig"), F.col("part").alias(f"{side}_part"),
+                             F.posexplode("sig").alias("table", "bucket"))
+    meet = materialize(buckets(q, "q").join(buckets(r, "r"), ["table", "bucket"]).drop("table", "bucket").distinct(), "vote-meetings")
+
+    def sent(df, side):
+        return df.withColumnsRenamed({"sig": f"{side}_sig", "part": f"{side}_part"}).join(meet, [f"{side}_sig", f"{side}_part"])
+
+    def run(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], "rid": [], "rlabel": [], "dist": []})
+        x, y = (np.stack(c.to_numpy()).astype(np.float64) for c in (a["vec"], b["vec"]))
+        i, j, dist = _nearest(x, y, b["rid"].to_numpy(), k, max_dist)
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[i], "rid": b["rid"].to_numpy()[j],
+                             "rlabel": b["rlabel"].to_numpy()[j], "dist": dist})
+    by = ["q_sig", "q_part", "r_sig", "r_part"]
+    found = sent(q, "q").groupBy(*by).cogroup(sent(r, "r").groupBy(*by)).applyInPandas(
+        run, "qid long, rid long, rlabel long, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "rid")
-    near = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    near = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    near = near.withColumn("rlabel", F.nullif("rlabel", F.lit(NONE)).cast(refs.schema[label_col].dataType))
     votes = near.groupBy("qid", "rlabel").agg(F.count(F.lit(1)).alias("_v"))
-    return votes.groupBy("qid").agg(F.min_by("rlabel", F.struct(-F.col("_v"), F.col("rlabel"))).alias("pred")) \
-        .withColumnRenamed("qid", key)
+    return votes.groupBy(F.nullif("qid", F.lit(NONE)).cast(queries.schema[key].dataType).alias(key)) \
+        .agg(F.min_by("rlabel", F.struct(-F.col("_v"), F.col("rlabel"))).alias("pred"))
 
 
 def feature_importance(df: DataFrame, feature_cols, label_col: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Evolution, sampled trials, and readers that keep every data row."""
 
+import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from tessera.operators import ml
+from tessera.operators import ml, neighbors
 from tessera.sources import files
 
 
@@ -63,3 +66,42 @@ def test_rows_equal_to_the_header_stay(spark, tmp_path):
     (path / "3.tsv").write_text("7\t8\n")
     got = sorted((r["a"], r["b"]) for r in files.read_tsv_lenient(spark, str(path), ["a", "b"]).collect() if r["b"])
     assert got == [("1", "2"), ("7", "8"), ("a", "b"), ("a", "b"), ("a", "b")]
+
+
+def test_vote_of_buckets_equals_that_of_all_pairs(spark, monkeypatch):
+    """Pairs that share a bucket, without a row for each of them."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+
+    monkeypatch.setattr(BucketedRandomProjectionLSHModel, "approxSimilarityJoin", None)  # gave a row a pair
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 3) for _ in range(4)], i % 3) for i in range(90)]
+    rows += [(100 + i, rows[i][1], 2) for i in range(20)] + rows[:9]  # copies, and rows given twice
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    q, r = df.where("id % 4 = 0"), df.where("id % 4 <> 0")
+    got = {x["id"]: x["pred"] for x in ml.knn_vote(q, r, "id", "v", "label", bucket_length=1e6, num_tables=8, block=16).collect()}
+    want = {}
+    refs = {(i, tuple(v), c) for i, v, c in rows if i % 4}
+    for i, v, _ in rows:
+        if i % 4 == 0:
+            near = [c for _, _, c in sorted((math.dist(v, u), j, c) for j, u, c in refs)[:3]]
+            want[i] = min(set(near), key=lambda c: (-near.count(c), c))
+    assert got == want
+
+
+def test_visits_are_held_a_bounded_number_at_a_time(monkeypatch):
+    class Frame:
+        def mapInPandas(self, fn, schema):
+            return list(fn([pd.DataFrame({"id": range(300), "vec": [np.array([i / 10, 1.0]) for i in range(300)], "q_part": 0})]))
+    monkeypatch.setattr(neighbors, "VISITS", 64, raising=False)
+    cells = {c: (50, 1.0) for c in range(4)}  # five blocks each
+    frames = neighbors._visits(Frame(), np.array([[float(c), 0.0] for c in range(4)]), cells, True, 120, 10)
+    assert sum(map(len, frames)) == 300 * 3 * 5 and max(map(len, frames)) <= 64
+
+
+def test_a_ragged_line_is_split_once_for_all_its_members(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    files.write_ragged_groups(spark.createDataFrame([(g, f) for g in (1, 2) for f in range(40)] + [(None, 5)], "gid long, fid long"), path)
+    back = files.read_ragged_groups(spark, path)
+    assert sorted((r["gid"], r["fid"]) for r in back.where("gid IS NOT NULL").collect()) == [(g, f) for g in (1, 2) for f in range(40)]
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "split(" not in plan.split("Generate")[0]
