@@ -120,15 +120,17 @@ def read_ragged_groups(spark: SparkSession, path: str) -> DataFrame:
     """Variable-width CSV rows ``gid,f1,f2,...`` -> (gid, fid)."""
     parts = F.split(F.trim(F.col("value")), ",", -1)
     rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.select(F.try_element_at(parts, F.lit(1)).cast("bigint").alias("gid"),
-                       F.explode(F.slice(parts, 2, F.size(parts) - 1)).alias("fid")) \
+    # the line is split once a group, below the explode, and not again for each member
+    groups = rows.select(F.try_element_at(parts, F.lit(1)).cast("bigint").alias("gid"),
+                         F.slice(parts, 2, F.size(parts) - 1).alias("fids"))
+    return groups.select("gid", F.explode("fids").alias("fid")) \
         .select("gid", F.trim("fid").cast("bigint").alias("fid"))
 
 
 def write_ragged_groups(pairs: DataFrame, path: str, gid="gid", fid="fid") -> None:
     """(gid, fid) -> one text line per group.  Each line is one group's member list,
     the format itself; the members are sorted for a stable layout."""
-    lines = pairs.groupBy(gid).agg(F.array_sort(F.collect_list(F.col(fid).cast("string"))).alias("_m"))
+    lines = pairs.groupBy(gid).agg(F.sort_array(F.collect_list(F.col(fid).cast("string"))).alias("_m"))
     lines.select(F.concat_ws(",", F.col(gid).cast("string"), F.array_join("_m", ",")).alias("value")) \
         .write.mode("overwrite").text(path)
 
