@@ -25,6 +25,9 @@ from tessera.session import materialize
 #: bounds are widened by this share, far above the error of double sums
 SLACK = 1e-9
 
+#: visits that a worker holds at a time, each with its query's vector
+VISITS = 1 << 14
+
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances from the differences themselves: equal vectors are at 0 exactly."""
@@ -53,10 +56,11 @@ def _visits(queries: DataFrame, centers: np.ndarray, cells: dict, first: bool, k
     n, radius = np.array([cells[c][0] for c in ids]), np.array([cells[c][1] for c in ids])
     parts = -(-n // block)
 
+    # queries whose visits are held at a time: a query meets every block at most
+    step = max(1, VISITS // int(parts.sum()))
+
     def run(batches):
-        for q in batches:
-            if not len(q):
-                continue
+        for q in (b.iloc[a:a + step] for b in batches for a in range(0, len(b), step)):
             d = _distances(_matrix(q["vec"]), centers[ids])
             order = np.argsort(d, axis=1, kind="stable")
             # how many references stand in the cells before each, by distance of the pivot
@@ -86,10 +90,10 @@ def _meet(visits: DataFrame, refs: DataFrame, k: int, q_parts: DataFrame) -> Dat
         if not len(q) or not len(r):
             return pd.DataFrame({"id": [], "rid": [], "rlabel": [], "dist": [], "scored": []})
         x, y, t = _matrix(q["vec"]), _matrix(r["vec"]), q["t"].to_numpy() * (1 + SLACK)
-        near = np.abs(q["d"].to_numpy()[:, None] - r["d"].to_numpy()[None]) <= t[:, None]
+        q_far, r_far = q["d"].to_numpy(), r["d"].to_numpy()
         rid, label, out = r["rid"].to_numpy(), r["rlabel"].to_numpy(), []
         for i, qid in enumerate(q["id"].to_numpy()):
-            at = np.flatnonzero(near[i])
+            at = np.flatnonzero(np.abs(q_far[i] - r_far) <= t[i])
             dist = _distances(x[i:i + 1], y[at])[0]
             best = np.lexsort((rid[at], dist))[:k]
             out.append(pd.DataFrame({"id": qid, "rid": rid[at][best], "rlabel": label[at][best], "dist": dist[best],
