@@ -120,13 +120,15 @@ def fixed_grid(df: DataFrame, ts_col: str, series_col: str, value_col: str, star
     series' last row too, are padded with zero.  Rows outside of the grid, or without a
     time, only make their series known; a null series is one."""
     place = _grid_place(F.col(ts_col), start_s, seconds)
-    # one row a series and window: sums and the grid meet in one aggregate, without a join
+    place = F.when(place.between(0, n_windows - 1), place)
     sums = df.groupBy(series_col, place.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(value_col).alias("s"))
     zero = F.lit(0).cast(sums.schema["s"].dataType)
-    grid = (df.select(series_col).distinct().select(series_col, F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("w"))
-            .select(series_col, "w", F.lit(0).cast("long").alias("n"), zero.alias("s")))
-    whole = (sums.where(F.col("w").between(0, n_windows - 1)).unionByName(grid).groupBy(series_col, "w")
-             .agg(F.sum("n").alias("n"), F.coalesce(F.sum("s"), zero).alias("s")))
+    # a series is one row of its windows until they are spread out: nothing that is grouped holds the grid
+    own = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "n", F.coalesce("s", zero).alias("s"))))
+    series = sums.groupBy(series_col).agg(own.alias("_own"))
+    empty = F.array_except(F.sequence(F.lit(0), F.lit(n_windows - 1)), F.transform("_own", lambda x: x["w"]))
+    padded = F.transform(empty, lambda w: F.struct(w.alias("w"), F.lit(0).cast("long").alias("n"), zero.alias("s")))
+    whole = series.select(series_col, F.inline(F.concat("_own", padded)))
     return _grid_rows(whole, series_col, seconds)
 
 
