@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,15 +158,15 @@ def _grid_fn(start_s: int, n_windows: int, seconds: int):
         counts, sums = list(counts), list(sums)
         if not state.hasTimedOut:
             for pdf in pdfs:
-                ok = pdf["w"].notna() & (pdf["w"] >= at) & (pdf["w"] < n_windows)
-                for w, n, s in pdf[ok].assign(n=1).groupby("w").agg(n=("n", "sum"), s=("value", "sum")).itertuples():
-                    counts[int(w)] += int(n)
-                    sums[int(w)] += int(s)
+                w, value = (pdf[c].fillna(none).to_numpy().astype(np.int64) for c, none in (("w", -1), ("value", 0)))
+                ok = (w >= at) & (w < n_windows)
+                np.add.at(counts, w[ok], 1)
+                np.add.at(sums, w[ok], value[ok])
         now = state.getCurrentWatermarkMs()
         first = at
         while at < n_windows and end_ms[at] <= now:
             at += 1
-        state.update((counts, sums, at))
+        state.update((counts.tolist(), sums.tolist(), at))
         if at < n_windows:
             state.setTimeoutTimestamp(max(end_ms[at], now + 1))  # wakes when the next window has closed
         if at > first:
