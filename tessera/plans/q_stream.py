@@ -24,10 +24,19 @@ def _utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+#: micro-batches of a job: files arrive in time order, each batch takes an equal share of them
+BATCHES = 4
+
+
+def _stream(spark, path, schema, n_files):
+    """The chunks in about ``BATCHES`` batches however many there are: a batch costs a round over all
+    state and a broadcast of what it is joined with, so their number must not grow with the rows."""
+    return J.read_chunks(spark, path, schema, files_per_trigger=max(1, -(-n_files // BATCHES)))
+
+
 def _event_chunks(spark, sf):
     path = scratch_path(spark, "events_in")
-    J.write_time_chunks(Tables(spark, sf).events, path, "ts", n_chunks=4)
-    return path
+    return path, J.write_time_chunks(Tables(spark, sf).events, path, "ts", n_chunks=BATCHES)
 
 
 def _step_chunks(spark, sf):
@@ -35,8 +44,7 @@ def _step_chunks(spark, sf):
     log = J.step_log_frame(e).select("event_id", "ts", "user_id", "step", "epoch", "score",
                                      (1 + F.col("k") % 4).alias("n"))
     path = scratch_path(spark, "steps_in")
-    J.write_time_chunks(log, path, "ts", n_chunks=4)
-    return path
+    return path, J.write_time_chunks(log, path, "ts", n_chunks=BATCHES)
 
 
 @query("stream_ingest", """
@@ -44,10 +52,10 @@ SELECT e.event_id, e.user_id, e.event_type, e.value, c.c_mktsegment
 FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""")
 def q_stream_ingest(spark, sf):
     """Chunked ingest: file stream, stream-static lookup join, partitioned append."""
-    src = _event_chunks(spark, sf)
+    src, n_files = _event_chunks(spark, sf)
     out, ckpt = scratch_path(spark, "ingest_out"), scratch_path(spark, "ingest_ckpt")
     lookup = Tables(spark, sf).customer.select("c_custkey", "c_mktsegment")
-    stream = J.read_chunks(spark, src, EVENT_SCHEMA).select("event_id", "user_id", "event_type", "value")
+    stream = _stream(spark, src, EVENT_SCHEMA, n_files).select("event_id", "user_id", "event_type", "value")
     J.ingest(stream, lookup, "user_id", "c_custkey", out, ckpt, "c_mktsegment")
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value", "c_mktsegment")
 
@@ -70,9 +78,9 @@ def q_tumbling_5s(spark, sf):
 def q_stream_tumbling_5s(spark, sf):
     """Five-second windows with a watermark, update mode into an idempotent sink."""
     _utc(spark)
-    src = _event_chunks(spark, sf)
+    src, n_files = _event_chunks(spark, sf)
     out, ckpt = scratch_path(spark, "win_out"), scratch_path(spark, "win_ckpt")
-    J.stream_window_5s(J.read_chunks(spark, src, EVENT_SCHEMA).withColumn("value", F.expr(_THIRD)), "ts", "user_id", "value", out, ckpt)
+    J.stream_window_5s(_stream(spark, src, EVENT_SCHEMA, n_files).withColumn("value", F.expr(_THIRD)), "ts", "user_id", "value", out, ckpt)
     return J.read_latest(spark, out, ["row_id"]).select("row_id", "user_id", "window_end", "n", "value_sum")
 
 
@@ -82,9 +90,9 @@ c AS (SELECT user_id, CAST(CAST(score AS DECIMAL(18,2)) * 100 AS BIGINT) AS cent
 r AS (SELECT user_id, sum(cents * n) AS sc, sum(n) AS run_count FROM c GROUP BY user_id)
 SELECT user_id, CAST(sc AS DOUBLE) / 100 AS run_sum, CAST(run_count AS BIGINT) AS run_count, {_avg6('sc', 'run_count')} AS run_avg FROM r""")
 def q_stream_running_mean(spark, sf):
-    src = _step_chunks(spark, sf)
+    src, n_files = _step_chunks(spark, sf)
     out, ckpt = scratch_path(spark, "rm_out"), scratch_path(spark, "rm_ckpt")
-    log = J.read_chunks(spark, src, STEP_SCHEMA).withColumn("score", F.col("score").cast("decimal(18,2)"))
+    log = _stream(spark, src, STEP_SCHEMA, n_files).withColumn("score", F.col("score").cast("decimal(18,2)"))
     J.stream_running_mean(log, "user_id", "score", "n", out, ckpt)
     r = J.read_latest(spark, out, ["user_id"])
     return r.select("user_id", F.col("run_sum").cast("double").alias("run_sum"),
@@ -100,9 +108,9 @@ SELECT g.user_id AS run, g.best, CAST(g.best_epoch AS BIGINT) AS best_epoch, fs.
 FROM g JOIN fs ON g.user_id = fs.user_id AND g.step = coalesce(fs.stop_step, fs.last_step)""")
 def q_stream_early_stop(spark, sf):
     """Per-run patience state machine (applyInPandasWithState) over streamed step logs."""
-    src = _step_chunks(spark, sf)
+    src, n_files = _step_chunks(spark, sf)
     out, ckpt = scratch_path(spark, "es_out"), scratch_path(spark, "es_ckpt")
-    J.stream_early_stop(J.read_chunks(spark, src, STEP_SCHEMA), "user_id", out, ckpt, patience=6)
+    J.stream_early_stop(_stream(spark, src, STEP_SCHEMA, n_files), "user_id", out, ckpt, patience=6)
     return J.read_latest(spark, out, ["run"]).select("run", "best", "best_epoch", "stopped", "stop_step")
 
 
@@ -133,10 +141,10 @@ def q_stream_fixed_grid(spark, sf):
     """The same windows from event-time timers as the watermark passes them; a last row without a user
     carries the time on to the grid's end."""
     _utc(spark)
-    src = _event_chunks(spark, sf)
+    src, n_files = _event_chunks(spark, sf)
     J.heartbeat(spark, src, EVENT_SCHEMA, "ts", GRID["start_s"] + (GRID["n_windows"] + 1) * GRID["seconds"])
     out, ckpt = scratch_path(spark, "grid_out"), scratch_path(spark, "grid_ckpt")
-    stream = J.read_chunks(spark, src, EVENT_SCHEMA).withColumn("value", F.expr(_MILLS))
+    stream = _stream(spark, src, EVENT_SCHEMA, n_files).withColumn("value", F.expr(_MILLS))
     J.stream_fixed_grid(stream, "ts", "user_id", "value", out, ckpt, **GRID)
     rows = J.read_latest(spark, out, ["series", "w"]).where("series IS NOT NULL").withColumnRenamed("series", "user_id")
     return J._grid_rows(rows, "user_id", GRID["seconds"])

@@ -16,32 +16,39 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
+from tessera.session import materialize, scratch_path
 from tessera.sources.files import TS_FORMATS
 
 
 # ---- inputs: files arriving in chunks ----------------------------------------------------
 
-def write_time_chunks(df: DataFrame, path: str, ts_col: str, n_chunks: int = 4, chunk_rows: int = 100_000) -> None:
+def write_time_chunks(df: DataFrame, path: str, ts_col: str, n_chunks: int = 4, chunk_rows: int = 500_000) -> int:
     """Simulate arrival: split a table into time ranges of about equal counts, each appended as one
     JSON file in time order (so a file source sees chunks in arrival order); at least
-    ``n_chunks``, and as many as keep a file at about ``chunk_rows`` rows."""
+    ``n_chunks``, and as many as keep a file at about ``chunk_rows`` rows.  Returns the number of files.
+
+    The table is worked out once and dealt by time range, so a file reads its own rows only."""
+    df = materialize(df, "arrivals")
     ts = F.unix_micros(F.col(ts_col).cast("timestamp"))
     n = df.count()
     if not n:
-        return
+        return 0
     n_chunks = max(n_chunks, -(-n // chunk_rows))
     shares = [i / n_chunks for i in range(1, n_chunks)]
-    cuts = df.agg(F.percentile_approx(ts, shares, 10_000).alias("c")).first()["c"] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        cond = F.lit(True) if lo is None else ts > lo
-        if hi is not None:
-            cond = (cond & (ts <= hi)) if lo is not None else ts <= hi
-        elif lo is not None:
-            cond = cond | ts.isNull()  # rows without a time arrive last
-        df.where(cond).coalesce(1).write.mode("append").options(**TS_FORMATS).json(path)
+    cuts = sorted(set(df.agg(F.percentile_approx(ts, shares, 10_000).alias("c")).first()["c"] or []))
+    # the number of cuts before a row; rows without a time arrive last
+    before = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < ts)) if cuts else F.lit(0)
+    dealt = scratch_path(df.sparkSession, "dealt")
+    df.withColumn("_chunk", F.when(ts.isNull(), F.lit(len(cuts))).otherwise(before)) \
+        .write.partitionBy("_chunk").parquet(dealt)
+    dealt = df.sparkSession.read.schema(T.StructType([*df.schema, T.StructField("_chunk", T.IntegerType())])).parquet(dealt)
+    for chunk in range(len(cuts) + 1):
+        dealt.where(F.col("_chunk") == chunk).select(*df.columns).coalesce(1) \
+            .write.mode("append").options(**TS_FORMATS).json(path)
+    return len(cuts) + 1
 
 
 def read_chunks(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -65,7 +72,8 @@ def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:
     return latest.select(*keys, "_r.*")
 
 
-def run_available_now(stream_writer, timeout_s: int = 600):
+def run_available_now(stream_writer, timeout_s: int | None = None):
+    """Runs a job until all input is worked off; with ``timeout_s`` it is given up after that time."""
     q = stream_writer.trigger(availableNow=True).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
@@ -155,7 +163,7 @@ def _grid_fn(start_s: int, n_windows: int, seconds: int):
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         counts, sums, at = state.get if state.exists else ([0] * n_windows, [0] * n_windows, 0)
-        counts, sums = list(counts), list(sums)
+        counts, sums = np.array(counts, dtype=np.int64), np.array(sums, dtype=np.int64)
         if not state.hasTimedOut:
             for pdf in pdfs:
                 w, value = (pdf[c].fillna(none).to_numpy().astype(np.int64) for c, none in (("w", -1), ("value", 0)))

@@ -116,3 +116,30 @@ def test_order_masks_of_cells_without_an_id(spark):
     got = {r["id"]: r for r in ordering.order_masks(spark.createDataFrame(rows, "id string, cell_id string, rank int, cell_type string")).collect()}
     assert sorted(got[None]["permutation"]) == sorted(got["a"]["permutation"]) == [0, 1, 2]
     assert got[None]["cell_shuffle"] == got["a"]["cell_shuffle"]
+
+
+def test_the_feeder_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+    df = spark.range(200).select(F.udf(note, "long")("id").alias("id"), F.timestamp_seconds("id").alias("ts"))
+    assert J.write_time_chunks(df, str(tmp_path / "once"), "ts", n_chunks=8) == 8
+    assert seen.value == 200
+
+
+def test_batches_do_not_grow_with_the_files(spark):
+    from tessera.plans.q_stream import BATCHES, _stream
+    path, out, ckpt = (scratch_path(spark, x) for x in ("many", "out", "ckpt"))
+    df = spark.range(200).selectExpr("id % 3 AS k", "timestamp_seconds(id) AS ts", "id AS value", "1 AS n")
+    n_files = J.write_time_chunks(df, path, "ts", chunk_rows=10)
+    J.stream_running_mean(_stream(spark, path, df.schema, n_files), "k", "value", "n", out, ckpt)
+    assert n_files > 3 * BATCHES and spark.read.parquet(out).select("_batch").distinct().count() <= BATCHES
+    got = {r["k"]: r["run_sum"] for r in J.read_latest(spark, out, ["k"]).collect()}
+    assert got == {k: sum(range(k, 200, 3)) for k in range(3)}
+
+
+def test_no_aggregate_holds_the_whole_grid(spark, events):
+    plan = J.fixed_grid(events[1], "ts", "k", "value", 1000, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
