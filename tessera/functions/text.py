@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NON_WORD = r"[^\p{L}\p{N}_]"
 # Java's \s, spelled out so the same class runs in RE2 (DuckDB)
 WS = r"[\t\n\x0B\f\r ]"
 
@@ -22,14 +21,23 @@ def _c(c) -> Column:
 def clean_text(c) -> Column:
     """Non-word -> space, '_' -> space, lone ASCII letters -> space, collapse spaces, lower.
 
-    No trim, matching the original cleaning.  After the first step the only
-    whitespace left is the plain space, so ``\\s`` is spelled ``' '``.
+    No trim, matching the original cleaning.  Runs of non-word characters and ``_`` become one
+    space in one step, so lone letters stand between single spaces and nothing is left to collapse.
     """
-    t = F.regexp_replace(_c(c).cast("string"), NON_WORD, " ")
-    t = F.regexp_replace(t, "_", " ")
-    t = F.regexp_replace(t, " +[a-zA-Z] +", " ")
-    t = F.regexp_replace(t, " +", " ")
-    return F.lower(t)
+    t = F.regexp_replace(_c(c).cast("string"), r"[^\p{L}\p{N}]+", " ")
+    return F.lower(F.regexp_replace(t, " [a-zA-Z] ", " "))
+
+
+def clean_words(c) -> Column:
+    """The non-empty words of the cleaned text."""
+    return F.array_remove(F.split(clean_text(c), " ", -1), "")
+
+
+def first_clean_word(c) -> Column:
+    """The first of :func:`clean_words` (empty if there is none), from the beginning of the text alone:
+    the cleaning drops a lone letter only behind a non-word character, and never two in a row."""
+    lone = r"(?:[^\p{L}\p{N}]+[a-zA-Z](?=[^\p{L}\p{N}]))?+"
+    return F.lower(F.regexp_extract(_c(c).cast("string"), "^" + lone + r"[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1))
 
 
 def collapse_ws(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ari_parts, clean_text, readability_ari
+from tessera.functions.text import ari_parts, clean_text, clean_words, first_clean_word, readability_ari
 from tessera.operators.metrics import to_long
 from tessera.operators.oof import oof_group_mean
 from tessera.operators.splits import group_kfold
@@ -61,15 +61,13 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 
 def doc_tokens(t: Tables) -> DataFrame:
     """(doc_id, tokens): non-empty words of the cleaned text."""
-    return t.documents.select("doc_id", F.filter(F.split(clean_text("text"), " ", -1),
-                                                 lambda x: x != F.lit("")).alias("tokens"))
+    return t.documents.select("doc_id", clean_words("text").alias("tokens"))
 
 
 def line_first_words(t: Tables) -> DataFrame:
     """First cleaned word of every text line (the 'command' field of each instruction)."""
     lines = t.documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    w = F.filter(F.split(clean_text("line"), " ", -1), lambda x: x != F.lit(""))
-    return lines.select(F.try_element_at(w, F.lit(1)).alias("token")).where(F.col("token").isNotNull())
+    return lines.select(first_clean_word("line").alias("token")).where(F.col("token") != "")
 
 
 def vocab_frame(t: Tables, k: int = 2000) -> DataFrame:
