@@ -7,6 +7,9 @@ cover is sequential within a row (an Arrow-batched pandas UDF).
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -136,26 +139,28 @@ def _mask_ngrams_row(ids: np.ndarray, seed: int, vocab_size: int, budget_frac=0.
         return out, labels
     budget = max(1, int(round(budget_frac * len(cand))))
     ns = np.arange(1, max_n + 1)
-    pn = (1.0 / ns) / (1.0 / ns).sum()
-    covered = np.zeros(len(ids), dtype=bool)
-    n_cov = 0
-    for s in rng.permutation(cand):
+    # what ``rng.choice`` of these chances does, without its checks at every draw
+    cdf = ((1.0 / ns) / (1.0 / ns).sum()).cumsum()
+    cdf = (cdf / cdf[-1]).tolist()
+    free, was, top = (~protected).tolist(), ids.tolist(), max(vocab_size, VOCAB_BASE + 1)
+    n_cov, draw = 0, rng.random
+    for s in rng.permutation(cand).tolist():
         if n_cov >= budget:
             break
-        if covered[s]:
+        if not free[s]:
             continue
-        n = int(rng.choice(ns, p=pn))
-        for j in range(s, min(s + n, len(ids))):
-            if protected[j] or covered[j]:
+        n = bisect_right(cdf, draw()) + 1
+        for j in range(s, min(s + n, len(was))):
+            if not free[j]:
                 continue
-            covered[j] = True
+            free[j] = False
             n_cov += 1
-            labels[j] = ids[j]
-            r = rng.random()
+            labels[j] = was[j]
+            r = draw()
             if r < 0.8:
                 out[j] = MASK_ID
             elif r >= 0.9:
-                out[j] = int(rng.integers(VOCAB_BASE, max(vocab_size, VOCAB_BASE + 1)))
+                out[j] = int(rng.integers(VOCAB_BASE, top))
     return out, labels
 
 
@@ -187,18 +192,23 @@ def mask_ngrams_keyed(ids, key, vocab_size, seed: int = 42, budget: float = 0.15
     row costs its length times its covered positions."""
     a, total = _c(ids), sum(1 / n for n in range(1, max_n + 1))
 
-    def u(h, at):
-        return F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    def hashed(i):
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), i.cast("string")))
+
+    def below(h, at, chance):
+        # eight digits as a share of 2^32, compared as digits
+        return F.substring(h, at, 8) < F.lit(f"{math.ceil(chance * 2 ** 32):08x}")
 
-    def draw(i):
-        h = F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), i.cast("string")))
-        n, below = F.lit(max_n), total
+    def draw(h, i):
+        n, least = F.lit(max_n), total
         for k in range(max_n, 1, -1):  # from the largest chance down
-            below -= 1 / k
-            n = F.when(u(h, 9) < below / total, F.lit(k - 1)).otherwise(n)
-        return F.struct(F.substring(h, 1, 8).alias("order"), i.alias("i"), n.alias("n"), u(h, 17).alias("r"), u(h, 25).alias("v"))
+            least -= 1 / k
+            n = F.when(below(h, 9, least / total), F.lit(k - 1)).otherwise(n)
+        return F.struct(F.substring(h, 1, 8).alias("order"), i.alias("i"), n.alias("n"))
     free = lambda i: ~F.get(a, i).isin(*SPECIAL_IDS)
-    draws = F.transform(F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i < F.size(a)) & (i >= 0) & free(i)), draw)
+    places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i < F.size(a)) & (i >= 0) & free(i))
+    # an array of one hash binds it: it is worked out once a place
+    draws = F.transform(places, lambda i: F.transform(F.array(hashed(i)), lambda h: draw(h, i))[0])
 
     def covered(d):
         most = F.greatest(F.lit(1), F.rint(F.lit(budget) * F.size(d)).cast("int"))
@@ -207,19 +217,20 @@ def mask_ngrams_keyed(ids, key, vocab_size, seed: int = 42, budget: float = 0.15
             more = F.filter(F.sequence(x["i"], x["i"] + x["n"] - 1),
                             lambda j: (j < F.size(a)) & free(j) & ~F.array_contains(have, j))
             return F.when((F.size(have) >= most) | F.array_contains(have, x["i"]), have).otherwise(F.concat(have, more))
-        return F.aggregate(F.array_sort(d), F.array().cast("array<int>"), visit)
+        return F.aggregate(F.sort_array(d), F.array().cast("array<int>"), visit)
 
-    def result(d, hit):
-        own = F.map_from_entries(F.transform(d, lambda x: F.struct(x["i"], x)))
+    def result(hit):
+        def new(h, x):
+            v = F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+            any_id = (F.lit(VOCAB_BASE) + F.floor(v * (F.lit(vocab_size) - VOCAB_BASE))).cast("int")
+            return F.when(below(h, 17, 0.8), F.lit(MASK_ID)).when(below(h, 17, 0.9), x).otherwise(any_id)
 
-        def new(x, i):
-            r = F.try_element_at(own, i)
-            any_id = (F.lit(VOCAB_BASE) + F.floor(r["v"] * (F.lit(vocab_size) - VOCAB_BASE))).cast("int")
-            return F.when(~F.array_contains(hit, i), x).when(r["r"] < 0.8, F.lit(MASK_ID)).when(r["r"] < 0.9, x).otherwise(any_id)
-        return F.struct(F.transform(a, new).alias("input_ids"),
+        def one(x, i):  # only a covered place is hashed again
+            return F.when(~F.array_contains(hit, i), x).otherwise(F.transform(F.array(hashed(i)), lambda h: new(h, x))[0])
+        return F.struct(F.transform(a, one).alias("input_ids"),
                         F.transform(a, lambda x, i: F.when(F.array_contains(hit, i), x).otherwise(F.lit(IGNORE_LABEL))).alias("labels"))
-    bound = F.transform(F.array(draws), lambda d: F.struct(d.alias("d"), covered(d).alias("hit")))  # worked out once
-    return F.transform(bound, lambda x: result(x["d"], x["hit"]))[0]
+    bound = F.transform(F.array(draws), covered)  # worked out once
+    return F.transform(bound, result)[0]
 
 
 def sample_positions(n: Column, k: int) -> Column:
