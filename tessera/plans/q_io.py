@@ -66,9 +66,8 @@ SELECT CAST(doc_id AS VARCHAR) AS id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]
 def q_src_text_dir(spark, sf):
     """One text file per document (id from its folder), whitespace collapsed on read."""
     path = scratch_path(spark, "texts")
-    Tables(spark, sf).documents.select("doc_id", F.col("text").alias("value")) \
-        .write.mode("overwrite").partitionBy("doc_id").text(path)
-    return files.read_text_dir(spark, path + "/*/*.txt", id_pattern=r"doc_id=([^/]+)/", id_group=1)
+    files.write_text_dir(Tables(spark, sf).documents, path, "doc_id")
+    return files.read_text_dir(spark, path, id_pattern=r"doc_id=([^/]+)/", id_group=1, name_glob="*.txt")
 
 
 @query("fold_cache", f"""

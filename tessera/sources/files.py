@@ -6,8 +6,12 @@ writer is a distributed Spark write; nothing is staged through the driver.
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,10 +110,62 @@ def read_notebook_dir(spark: SparkSession, glob: str, id_pattern: str = r"([^/=]
 
 # ---- text files, one per id -------------------------------------------------------------
 
+def _folder_name(value) -> str:
+    """An id as Spark names its folder."""
+    text = "" if value is None else str(value)
+    return re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", text) or "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_dir(df: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
+    """One folder ``<id_col>=<id>`` an id; a task writes its texts of an id, a line end behind each, as one file.
+
+    On a mounted folder that all machines share, the tasks make the files themselves (Hadoop's local
+    file system starts processes for the rights of every file and folder); a repeated task
+    replaces its files whole.  Elsewhere Spark's writer does it, whose tasks put their files in
+    place when they commit: by default the driver alone moves all folders, one by one."""
+    d = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    scheme, _, rest = path.rpartition(":")
+    if scheme != "file":
+        (d.select(F.col("id").alias(id_col), F.col("text").alias("value")).write.mode("overwrite")
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(id_col).text(path))
+        return
+    base = "/" + rest.lstrip("/")
+
+    def put(at: str, name: str, lines: list[str]) -> None:
+        folder = f"{base}/{id_col}={_folder_name(at)}"
+        os.makedirs(folder, exist_ok=True)
+        part = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
+        with open(part, "w", encoding="utf-8", newline="") as f:
+            f.writelines(x + "\n" for x in lines)
+        os.replace(part, f"{folder}/{name}.txt")
+
+    def run(batches):
+        name, n, last, lines = f"part-{TaskContext.get().partitionId():05d}", 0, None, []
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lines and at != last:
+                    put(last, name, lines)
+                    lines = []
+                last = at
+                lines.append(text or "")
+                n += 1
+        if lines:
+            put(last, name, lines)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    os.makedirs(base, exist_ok=True)
+    d.sortWithinPartitions("id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_text_dir(spark: SparkSession, glob: str, id_pattern: str = r"([^/]+)\.[^./]+$",
-                  id_group: int = 1) -> DataFrame:
-    """(id, text) per whole file; id = file name without extension; whitespace collapsed."""
-    raw = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+                  id_group: int = 1, name_glob: str | None = None) -> DataFrame:
+    """(id, text) per whole file; id = file name without extension; whitespace collapsed.
+
+    ``glob`` is expanded by the driver, a folder after the other.  With ``name_glob`` it is a
+    folder instead: the files of these names anywhere below it, listed by a Spark job."""
+    below = {"recursiveFileLookup": True, "pathGlobFilter": name_glob} if name_glob else {}
+    raw = (spark.read.options(**below).text(glob, wholetext=True)
+           .select("value", F.col("_metadata.file_path").alias("_path")))
     return raw.select(F.regexp_extract("_path", id_pattern, id_group).alias("id"),
                       F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
 

@@ -70,3 +70,18 @@ def test_keyed_masks_hash_a_place_once(spark):
     df = spark.createDataFrame([(1, [101, 1500, 1600, 102])], "id long, ids array<int>")
     plan = df.select(A.mask_ngrams_keyed("ids", "id", 1900).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") <= 2  # for the draws, and for covered places; before: once a use
+
+
+def test_text_dir_written_by_the_tasks(spark, tmp_path):
+    from tessera.sources import files
+    rows = [(1, "a\n b"), (2, None), (None, "x"), (3, ""), (1, "c"), (-4, "é 😀\r\n\tz ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for path in (f"file:{tmp_path}/own", f"{tmp_path}/spark"):  # by the tasks, by Spark's writer
+        files.write_text_dir(df, path, "doc_id")
+        got = files.read_text_dir(spark, path, id_pattern=r"doc_id=([^/]+)/", name_glob="*.txt")
+        got = {r["id"]: r["text"] for r in got.collect()}
+        assert got.pop("1") in ("a b c", "c a b")
+        assert got == {"2": "", "__HIVE_DEFAULT_PARTITION__": "x", "3": "", "-4": "é 😀 z"}
+    odd = spark.createDataFrame([("a/b%:é", "t"), ("..", "u")], "id string, text string")
+    files.write_text_dir(odd, f"file:{tmp_path}/odd")
+    assert sorted(p.name for p in (tmp_path / "odd").iterdir()) == ["id=..", "id=a%2Fb%25%3Aé"]
