@@ -13,71 +13,158 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        NaiveBayes, RandomForestClassifier)
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, StandardScaler, VectorAssembler
+from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.session import materialize
 
 
-def text_feature_pipeline(tokens_col: str, numeric_cols, num_features: int = 1024):
-    """Hashed term frequencies + IDF + numeric columns -> ``features``."""
-    return [HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            VectorAssembler(inputCols=["_tfidf", *numeric_cols], outputCol="features", handleInvalid="keep")]
+NUM_FEATURES = 1024
+#: rows whose dense features a task holds at a time
+BLOCK_ROWS = 512
+
+
+def _text_rows(df: DataFrame, keep, tokens_col: str, numeric_cols) -> DataFrame:
+    """Columns ``keep`` and, written once for all folds, ``_x``: hashed term frequencies and the numeric columns."""
+    df = df.withColumn("_t", F.coalesce(tokens_col, F.array().cast("array<string>")))
+    tf = HashingTF(inputCol="_t", outputCol="_tf", numFeatures=NUM_FEATURES).transform(df)
+    numeric = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in numeric_cols]
+    rows = materialize(tf.select(*keep, "_tf", F.array(*numeric).cast("array<double>").alias("_n")), "text-rows")
+    return rows.select(*keep, F.concat(vector_to_array("_tf"), "_n").alias("_x"))
+
+
+def _blocks(batches, width: int):
+    """Parts of Arrow batches whose first column is ``_x``, with it as a matrix."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(at, BLOCK_ROWS)
+            yield part, part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _fold_moments(rows: DataFrame, targets, fold_col: str, width: int):
+    """{fold: (products, documents with each feature)}: sums over a fold's rows of the products of the
+    features, a one and the targets, from one pass.  Rows without a fold or a number are left out."""
+    size = width + 1 + len(targets)
+
+    def run(batches):
+        sums: dict = {}
+        for part, x in _blocks(batches, width):
+            y = np.column_stack([part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(targets))]).astype(float)
+            folds = part.column(1).fill_null(-1).to_numpy()
+            whole = np.column_stack([x, np.ones(len(x)), y])
+            fine = np.isfinite(whole).all(axis=1) & (folds >= 0)
+            for f in np.unique(folds[fine]):
+                own = whole[fine & (folds == f)]
+                have = sums.setdefault(int(f), np.zeros((size + 1, size)))
+                have[:size] += own.T @ own
+                have[size] += (own != 0).sum(axis=0)
+        for f, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()),
+                                              pa.array(list(m), pa.list_(pa.float64()))], names=["fold", "i", "v"])
+
+    def add(part):  # a row of one fold's products, from every task
+        v = np.sum(part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size), axis=0)
+        return pa.table({"fold": part.column("fold")[:1], "i": part.column("i")[:1], "v": pa.array([v], pa.list_(pa.float64()))})
+
+    schema = "fold int, i int, v array<double>"
+    given = rows.select("_x", F.col(fold_col).cast("int").alias("_f"), *[F.col(t).cast("double").alias(t) for t in targets])
+    got = given.mapInArrow(run, schema).groupBy("fold", "i").applyInArrow(add, schema).toArrow()
+    out: dict = {}
+    for f, i, v in zip(got["fold"].to_pylist(), got["i"].to_pylist(), got["v"]):
+        out.setdefault(f, np.zeros((size + 1, size)))[i] = v.values.to_numpy()
+    return out
+
+
+def _ridge(moments: np.ndarray, width: int, target: int, reg: float) -> tuple[np.ndarray, float]:
+    """Weights of the raw features and intercept of a ridge regression on TF-IDF and numeric features,
+    standardized features and target as in Spark ML's normal solver."""
+    m, seen = moments[:-1], moments[-1]
+    n, y = m[width, width], width + 1 + target
+    if not n:
+        return np.full(width, np.nan), float("nan")
+    idf = np.ones(width)
+    idf[:NUM_FEATURES] = np.log((n + 1) / (seen[:NUM_FEATURES] + 1))
+    mean, mean_y = m[width, :width] / n, m[width, y] / n
+    cov = (m[:width, :width] / n - np.outer(mean, mean)) * np.outer(idf, idf)
+    cov_y, var_y = (m[:width, y] / n - mean * mean_y) * idf, m[y, y] / n - mean_y ** 2
+    var = np.diag(cov).copy()
+    var[var <= 1e-12 * (mean * idf) ** 2] = 0
+    if var_y <= 1e-14 * mean_y ** 2:
+        return np.zeros(width), mean_y
+    some = np.flatnonzero(var)
+    std, std_y = np.sqrt(var[some]), var_y ** 0.5
+    a = cov[np.ix_(some, some)] / np.outer(std, std) + reg / std_y * np.eye(len(some))
+    b = cov_y[some] / (std * std_y)
+    w = np.zeros(width)
+    w[some] = (np.linalg.solve(a, b) if reg else np.linalg.lstsq(a, b, rcond=None)[0]) * std_y / std * idf[some]
+    return w, mean_y - float(w @ mean)
+
+
+def _fit(rows: DataFrame, targets, fold_col: str, width: int, folds, reg: float) -> dict:
+    """{(fold, target): (weights, intercept)} of the models fitted on the other folds: one pass over the rows
+    gives each fold's sums, the driver holds a matrix of the features a fold."""
+    parts = _fold_moments(rows, targets, fold_col, width)
+    size = width + 1 + len(targets)
+    total = sum(parts.values(), np.zeros((size + 1, size)))
+    return {(f, t): _ridge(total - parts.get(f, 0), width, i, reg) for f in folds for i, t in enumerate(targets)}
 
 
 def cv_regression(df: DataFrame, key: str, targets, tokens_col: str, numeric_cols, k: int = 5,
                   fold_col: str = "kfold", reg: float = 0.1, max_folds: int | None = None):
     """Train one regressor per fold and target; return the long OOF table
     (key, kfold, target, y, pred).  ``max_folds`` stops early after n folds."""
-    df = materialize(df.select(key, fold_col, tokens_col, *numeric_cols, *targets))
-    outs = []
-    for f in range(k if max_folds is None else min(k, max_folds)):
-        train, valid = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        # the text features of a fold are fitted once, for all targets
-        text = Pipeline(stages=text_feature_pipeline(tokens_col, numeric_cols)).fit(train)
-        train, valid = materialize(text.transform(train).select("features", *targets)), text.transform(valid)
-        for t in targets:
-            lr = LinearRegression(featuresCol="features", labelCol=t, predictionCol="pred", regParam=reg,
-                                  solver="normal")
-            outs.append(lr.fit(train).transform(valid).select(
-                key, fold_col, F.lit(t).alias("target"), F.col(t).cast("double").alias("y"), "pred"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    folds, width = range(k if max_folds is None else min(k, max_folds)), NUM_FEATURES + len(numeric_cols)
+    rows = _text_rows(df, [key, fold_col, *targets], tokens_col, numeric_cols)
+    models = _fit(rows, targets, fold_col, width, folds, reg)
+
+    def run(batches):
+        for part, x in _blocks(batches, width):
+            at, pred = part.column(1).to_numpy(), np.empty((len(x), len(targets)))
+            for f in np.unique(at):
+                own = at == f
+                w, c = zip(*[models[int(f), t] for t in targets])
+                pred[own] = x[own] @ np.column_stack(w) + np.array(c)
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(list(pred), pa.list_(pa.float64()))], schema=kind)
+
+    given = rows.where(F.col(fold_col).isin(list(folds))).select(
+        "_x", F.col(fold_col).cast("int").alias("_f"), key, fold_col, *[F.col(t).cast("double").alias(t) for t in targets])
+    schema = T.StructType([*given.schema.fields[2:], T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    kind = to_arrow_schema(schema)
+    per = [F.struct(F.lit(t).alias("target"), F.col(t).alias("y"), F.col("_p")[i].alias("pred")) for i, t in enumerate(targets)]
+    return given.mapInArrow(run, schema).select(key, fold_col, F.inline(F.array(*per)))
 
 
 def fit_fold_models(df: DataFrame, targets, tokens_col: str, numeric_cols, k: int = 5, fold_col: str = "kfold",
                     reg: float = 0.1):
-    """{(fold, target): PipelineModel} trained on the other folds."""
-    df = materialize(df.select(fold_col, tokens_col, *numeric_cols, *targets))
-    models = {}
-    for f in range(k):
-        train = df.where(F.col(fold_col) != f)
-        text = Pipeline(stages=text_feature_pipeline(tokens_col, numeric_cols)).fit(train)
-        train = materialize(text.transform(train).select("features", *targets))
-        for t in targets:
-            lr = LinearRegression(featuresCol="features", labelCol=t, predictionCol="pred", regParam=reg,
-                                  solver="normal")
-            models[(f, t)] = PipelineModel(stages=[*text.stages, lr.fit(train)])
-    return models
-
-
-def fold_inference(models: dict, test: DataFrame, key: str) -> DataFrame:
-    """Every fold model scores the test rows; predictions averaged per key and target."""
-    outs = [m.transform(test).select(key, F.lit(t).alias("target"), F.lit(f).alias("model_fold"), "pred")
-            for (f, t), m in models.items()]
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    return u.groupBy(key, "target").agg(F.avg("pred").alias("pred"))
+    """The models trained on the other folds, {(fold, target): (weights, intercept)}, with the columns they read."""
+    rows = _text_rows(df, [fold_col, *targets], tokens_col, numeric_cols)
+    models = _fit(rows, targets, fold_col, NUM_FEATURES + len(numeric_cols), range(k), reg)
+    return {"tokens": tokens_col, "numeric": list(numeric_cols), "models": models}
+
+
+def fold_inference(fitted: dict, test: DataFrame, key: str) -> DataFrame:
+    """Every fold model scores the test rows in one pass; predictions averaged per key and target."""
+    names, width = list(fitted["models"]), NUM_FEATURES + len(fitted["numeric"])
+    weights = np.column_stack([fitted["models"][n][0] for n in names])
+    intercepts = np.array([fitted["models"][n][1] for n in names])
+    given = _text_rows(test, [key], fitted["tokens"], fitted["numeric"]).select("_x", key)
+    schema = T.StructType([given.schema[key], T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    kind = to_arrow_schema(schema)
+
+    def run(batches):
+        for part, x in _blocks(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(x @ weights + intercepts), pa.list_(pa.float64()))], schema=kind)
+
+    per = [F.struct(F.lit(t).alias("target"), F.lit(f).alias("model_fold"), F.col("_p")[i].alias("pred")) for i, (f, t) in enumerate(names)]
+    return given.mapInArrow(run, schema).select(key, F.inline(F.array(*per))).groupBy(key, "target").agg(F.avg("pred").alias("pred"))
 
 
 CLASSIFIERS = {

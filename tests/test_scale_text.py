@@ -85,3 +85,40 @@ def test_text_dir_written_by_the_tasks(spark, tmp_path):
     odd = spark.createDataFrame([("a/b%:é", "t"), ("..", "u")], "id string, text string")
     files.write_text_dir(odd, f"file:{tmp_path}/odd")
     assert sorted(p.name for p in (tmp_path / "odd").iterdir()) == ["id=..", "id=a%2Fb%25%3Aé"]
+
+
+@pytest.mark.parametrize("reg", [0.1, 2.0])
+def test_text_models_of_one_pass_equal_spark_ml(spark, reg):
+    """Fold sums give the models that IDF and LinearRegression would, each fitted by itself."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from tessera.operators import ml as ML
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, int(i % 3), ["all", *rng.choice(words, rng.integers(0, 30)).tolist()], float(rng.integers(1, 9)), float(rng.normal()),
+             float(rng.normal() * 5 + 3), 4.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, kfold int, tokens array<string>, n double, a double, b double, same double")
+    targets = ["a", "b", "same"]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-pass", "models")
+    got = {(r["id"], r["target"]): r["pred"] for r in ML.cv_regression(df, "id", targets, "tokens", ["n"], k=3, reg=reg).collect()}
+    n_jobs = len(jobs.getJobIdsForGroup("one-pass"))
+    spark.sparkContext.setJobGroup("others", "others")
+    assert len(got) == 270 and n_jobs < 9  # a fit a fold and target before
+    fitted = ML.fit_fold_models(df, targets, "tokens", ["n"], k=3, reg=reg)
+    mean = {(r["id"], r["target"]): r["pred"] for r in ML.fold_inference(fitted, df, "id").collect()}
+    want = {}
+    for f in range(3):
+        stages = [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1024), IDF(inputCol="tf", outputCol="x"),
+                  VectorAssembler(inputCols=["x", "n"], outputCol="features")]
+        train = df.where(f"kfold <> {f}")
+        text = Pipeline(stages=stages).fit(train)
+        for t in targets:
+            lr = LinearRegression(labelCol=t, predictionCol="pred", regParam=reg, solver="normal").fit(text.transform(train))
+            for r in lr.transform(text.transform(df)).select("id", "kfold", "pred").collect():
+                want.setdefault((r["id"], t), []).append(r["pred"])
+                if r["kfold"] == f:
+                    assert abs(got[r["id"], t] - r["pred"]) < 1e-7
+    assert all(abs(mean[k] - sum(v) / 3) < 1e-7 for k, v in want.items())
