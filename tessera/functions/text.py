@@ -89,8 +89,8 @@ def line_count(c) -> Column:
 def ari_parts(c):
     """(characters, words, sentences) as used by the automated readability index."""
     t = _c(c)
-    chars = F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    words = F.size(F.filter(F.split(t, WS + "+", -1), lambda w: w != F.lit("")))
+    chars = F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", ""))
+    words = F.size(F.array_remove(F.split(t, WS + "+", -1), ""))
     sents = F.greatest(F.size(F.filter(F.split(t, r"[.!?]+", -1), lambda s: F.trim(s) != F.lit(""))), F.lit(1))
     return chars, words, sents
 

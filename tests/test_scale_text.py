@@ -122,3 +122,16 @@ def test_text_models_of_one_pass_equal_spark_ml(spark, reg):
                 if r["kfold"] == f:
                     assert abs(got[r["id"], t] - r["pred"]) < 1e-7
     assert all(abs(mean[k] - sum(v) / 3) < 1e-7 for k, v in want.items())
+
+
+def test_sources_of_folds_without_the_targets(spark):
+    """The folds' sources come from one column: no text is read for them."""
+    from tessera.plans import common
+    from tessera.sources.tables import Tables
+
+    from .conftest import SF_SMALL
+    plan = common.essay_folds(Tables(spark, SF_SMALL), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate stack") == 1  # before: once more for the sources
+    words = spark.createDataFrame([(" a, b\n\nc.é1!? ",), ("",), (None,)], "t string")
+    from tessera.functions.text import ari_parts
+    assert [tuple(r) for r in words.select(*ari_parts("t")).collect()][:2] == [(5, 3, 2), (0, 0, 1)]
