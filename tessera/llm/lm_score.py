@@ -12,15 +12,18 @@ probabilities are normalised over all words, unseen ones included.
 Training is numpy in the tasks: from a common start (fitted in the driver on a bounded
 sample of ``start_rows`` texts) every task runs minibatch noise-contrastive estimation
 over all its training texts, and Spark averages the parameters, weighted by tokens.
-Scoring multiplies the predicted embeddings of the distinct contexts of some texts with all
-class embeddings.  Both make these products in float32; parameters are float64.
+Scoring sums the softmax of the distinct contexts of some texts over all classes.  The
+exponential of a sum is the product of the context tokens' own exponentials: these are worked
+out once a class and position for the texts, and multiplied for each context.  Contexts whose
+factors leave the safe range of float32, or that are few, go by the products of embeddings.
+Training and scoring multiply in float32; parameters are float64.
 
 Word counts reach the texts in two ways at every size: words above a frequency at which
 at most ``KNOWN`` remain are broadcast; the others, a small share of the tokens, are
 joined by word and added up by document.  Words are addressed by 128-bit hashes.
 
-Texts are taken whole: a batch holds ``BYTES`` of text or one text, whose tokens are then
-learned and scored ``TOKENS`` at a time.  Ties of counts go by the words' hashes; other
+Texts are taken whole: a batch holds ``BYTES`` of text (scoring: 8 times that) or one text, whose tokens are then
+learned ``TOKENS`` and scored ``SCORED`` at a time.  Ties of counts go by the words' hashes; other
 columns, whatever their names, are ignored.  A null text is empty: one end token.  A null doc_id is scored like any other.  Repeated
 rows are each learned from and each scored.  With no training text every token has the
 same smoothed probability.  An empty table gives an empty result.
@@ -49,6 +52,10 @@ BATCH, NOISE = 4096, 128
 CELLS = 1 << 18  # products of contexts and classes held at a time
 ROWS, BYTES = 64, 1 << 18  # texts whose tokens are held at a time, and bytes of them (or one text)
 TOKENS = 1 << 16  # tokens of one text that are worked on at a time
+SCORED = 1 << 19  # tokens whose contexts are scored together
+WIDTH, BLOCK = 512, 512  # classes whose factors are held at a time; contexts multiplied at a time
+FAR, STEEP = 20.0, 40.0  # the largest exponents of a factor and of a class's own share that are multiplied
+LEAST, MOST = 1e-28, 1e30  # sums outside may have lost terms to float32
 
 
 # -- tokens -------------------------------------------------------------------
@@ -106,9 +113,26 @@ def unflat(x: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _rows_sum(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    place = index[:, None] * DIM + np.arange(DIM)
-    return np.bincount(place.ravel(), weights=rows.ravel(), minlength=n * DIM).reshape(n, DIM)
+class RowSums:
+    """Sums of rows by index, in arrays that are kept: new ones of a batch cost more than the sums."""
+
+    def __init__(self):
+        self.places, self.doubles = np.empty((BATCH, DIM), dtype=np.int64), np.empty((BATCH, DIM))
+
+    def __call__(self, index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        places, doubles = self.places[:len(index)], self.doubles[:len(index)]
+        np.add((index * DIM)[:, None], np.arange(DIM), out=places)
+        doubles[:] = rows
+        return np.bincount(places.ravel(), weights=doubles.ravel(), minlength=n * DIM).reshape(n, DIM)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place: copies of a batch's products cost more than the arithmetic."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -119,6 +143,7 @@ class Trainer:
         self.squares = {k: np.full_like(v, 0.1) for k, v in model.items()}
         self.noise, self.rate, self.rng = noise, rate, np.random.default_rng(seed)
         self.log_noise = np.log(noise) + np.log(NOISE)
+        self.rows_sum, self.fake = RowSums(), np.empty((BATCH, NOISE), dtype=np.float32)
         self.seen = 0
 
     def learn(self, ctx: np.ndarray, target: np.ndarray) -> None:
@@ -132,21 +157,21 @@ class Trainer:
     def _step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         m, n, classes = {k: v.astype(np.float32) for k, v in self.model.items()}, len(target), len(self.noise)
         drawn = self.rng.choice(classes, NOISE, p=self.noise)  # shared by the batch
-        given = [m["context"][ctx[:, k] + 1] for k in range(CONTEXT)]
+        given = [m["context"].take(ctx[:, k] + 1, axis=0) for k in range(CONTEXT)]
         guess = sum(given[k] * m["weight"][k] for k in range(CONTEXT))
         hit, wrong = m["target"][target], m["target"][drawn]
         level = (self.model["bias"] - self.log_noise).astype(np.float32)
         data = (guess * hit).sum(axis=1) + level[target]
-        fake = guess @ wrong.T + level[drawn]
-        up = 1 / (1 + np.exp(-np.clip(data, -30, 30))) - 1
-        down = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+        fake = np.matmul(guess, wrong.T, out=self.fake[:n])
+        fake += level[drawn]
+        up, down = _sigmoid(data) - 1, _sigmoid(fake)
         back = up[:, None] * hit + down @ wrong
         grads = {
-            "target": _rows_sum(target, up[:, None] * guess, classes) + _rows_sum(drawn, down.T @ guess, classes),
+            "target": self.rows_sum(target, up[:, None] * guess, classes) + self.rows_sum(drawn, down.T @ guess, classes),
             "bias": np.bincount(target, weights=up, minlength=classes)
             + np.bincount(drawn, weights=down.sum(axis=0), minlength=classes),
             "weight": np.stack([(back * g).sum(axis=0, dtype=np.float64) for g in given]),
-            "context": sum(_rows_sum(ctx[:, k] + 1, back * m["weight"][k], classes + 1) for k in range(CONTEXT)),
+            "context": sum(self.rows_sum(ctx[:, k] + 1, back * m["weight"][k], classes + 1) for k in range(CONTEXT)),
         }
         for name, g in grads.items():
             g = g / n * classes ** 0.5
@@ -154,30 +179,88 @@ class Trainer:
             self.model[name] -= self.rate * g / np.sqrt(self.squares[name])
 
 
+def _guesses(context: np.ndarray, weight: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """The predicted embedding of each context."""
+    guess = np.zeros((len(ctx), DIM), dtype=np.float32)
+    for k in range(ctx.shape[1]):
+        given = context.take(ctx[:, k] + 1, axis=0)
+        given *= weight[k]
+        guess += given
+    return guess
+
+
+def _sums_by_factors(context: np.ndarray, weight: np.ndarray, to: np.ndarray, bias: np.ndarray, ctx: np.ndarray,
+                     rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over all classes of the exponentials for each context, and whether it is to be trusted.
+    ``rows``: the distinct context embeddings at each position, and each context's among them."""
+    total = np.zeros(len(ctx))
+    far = [np.zeros(len(r), dtype=bool) for r, _ in rows]
+    held = np.empty((3, BLOCK * WIDTH), dtype=np.float32)
+    blocks = []  # neighbours that differ in the last position alone share the product of the others
+    for at in range(0, len(ctx), BLOCK):
+        part = ctx[at:at + BLOCK, :-1]
+        new = np.ones(len(part), dtype=bool)
+        new[1:] = (part[1:] != part[:-1]).any(axis=1)
+        blocks.append(([w[at:at + BLOCK][new] for _, w in rows[:-1]], np.cumsum(new) - 1, rows[-1][1][at:at + BLOCK]))
+
+    def take(table, index, at):
+        return table.take(index, axis=0, mode="clip", out=held[at, :len(index) * table.shape[1]].reshape(len(index), -1))
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a in range(0, len(to), WIDTH):
+            across, factors = np.ascontiguousarray(to[a:a + WIDTH].T), []
+            for k, (r, _) in enumerate(rows):
+                part = (context[r] * weight[k]) @ across
+                far[k] |= ~((part.max(axis=1) <= FAR) & (part.min(axis=1) >= -FAR))
+                if k == 0:
+                    part += bias[a:a + WIDTH]
+                factors.append(np.exp(part, out=part))
+            for at, (heads, shared, last) in zip(range(0, len(ctx), BLOCK), blocks):
+                head = take(factors[0], heads[0], 0)
+                for k in range(1, len(heads)):
+                    head *= take(factors[k], heads[k], 1)
+                total[at:at + BLOCK] += np.vecdot(take(head, shared, 1), take(factors[-1], last, 2))
+    trusted = (total > LEAST) & (total < MOST)
+    for f, (_, which) in zip(far, rows):
+        trusted &= ~f[which]
+    return total, trusted
+
+
+def _log_sums(context: np.ndarray, weight: np.ndarray, to: np.ndarray, bias: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over all classes of the exponentials, for each of some distinct contexts."""
+    out, left = np.empty(len(ctx)), np.arange(len(ctx))
+    rows = [np.unique(ctx[:, k] + 1, return_inverse=True) for k in range(ctx.shape[1])]
+    if len(rows) > 1 and 2 * sum(len(r) for r, _ in rows) < len(ctx) and np.abs(bias).max() <= STEEP:
+        total, trusted = _sums_by_factors(context, weight, to, bias, ctx, rows)
+        out[trusted], left = np.log(total[trusted]), np.flatnonzero(~trusted)
+    step, across = max(1, CELLS // len(to)), np.ascontiguousarray(to.T)
+    for at in range(0, len(left), step):
+        i = left[at:at + step]
+        logits = _guesses(context, weight, ctx[i]) @ across
+        logits += bias
+        most = logits.max(axis=1)
+        logits -= most[:, None]
+        out[i] = most + np.log(np.exp(logits, out=logits).sum(axis=1))
+    return out
+
+
 def log_probabilities(model: dict, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Normalised log10 probability of each class in its context, by batched matrix products:
-    the distinct contexts times the class embeddings."""
+    """Normalised log10 probability of each class in its context; each distinct context is summed once."""
     context, weight = model["context"].astype(np.float32), model["weight"].astype(np.float32)
     to, bias = model["target"].astype(np.float32), model["bias"].astype(np.float32)
-    if len(target) > TOKENS:
-        return np.concatenate([log_probabilities(model, ctx[a:a + TOKENS], target[a:a + TOKENS])
-                               for a in range(0, len(target), TOKENS)])
+    if len(target) > SCORED:
+        return np.concatenate([log_probabilities(model, ctx[a:a + SCORED], target[a:a + SCORED])
+                               for a in range(0, len(target), SCORED)])
     key = np.zeros(len(ctx), dtype=np.int64)
     for k in range(ctx.shape[1]):
         key = key * len(context) + ctx[:, k] + 1
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    guess = np.zeros((len(first), DIM), dtype=np.float32)
-    for k in range(ctx.shape[1]):
-        guess += context[ctx[first, k] + 1] * weight[k]
-    whole, step, across = np.empty(len(first)), max(1, CELLS // len(to)), np.ascontiguousarray(to.T)
-    for at in range(0, len(first), step):
-        logits = guess[at:at + step] @ across
-        logits += bias
-        most = logits.max(axis=1)
-        logits -= most[:, None]
-        whole[at:at + step] = most + np.log(np.exp(logits, out=logits).sum(axis=1))
-    own = np.einsum("bd,bd->b", guess[which], to[target]) + bias[target]
-    return (own - whole[which]) / np.log(10)
+    out = -_log_sums(context, weight, to, bias, ctx[first])[which]
+    for at in range(0, len(target), BATCH):
+        mine = target[at:at + BATCH]
+        guess = _guesses(context, weight, ctx[at:at + BATCH])
+        out[at:at + BATCH] += np.einsum("bd,bd->b", guess, to.take(mine, axis=0)) + bias[mine]
+    return out / np.log(10)
 
 
 # -- counts -------------------------------------------------------------------
@@ -344,7 +427,7 @@ def score(docs: DataFrame, learn: Column, known: int = KNOWN) -> DataFrame:
     state = materialize(map_rows(
         whole.select("doc_id", "text_key", "text"), by_text, ["text"],
         f"doc_id {kind}, text_key long, n_tokens long, n_known long, base double, model double, "
-        "others array<struct<h1: long, h2: long, times: long>>", rows=ROWS, most_bytes=BYTES), "lm-state")
+        "others array<struct<h1: long, h2: long, times: long>>", rows=8 * ROWS, most_bytes=8 * BYTES), "lm-state")
     # rows given several times are added up once and given back as often
     scored = state.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])

@@ -208,6 +208,34 @@ def test_lm_model_is_not_shrunk_and_grows_with_the_vocabulary(spark):
         assert np.array(p).T == pytest.approx(plain, abs=1e-4)
 
 
+def test_lm_exponentials_are_worked_out_by_class_not_by_context(monkeypatch):
+    rng, classes = np.random.default_rng(5), 300
+    model = lm_score.start(rng.dirichlet(np.ones(classes)) + 1e-6)
+    ctx, target = rng.integers(-1, classes, (20_000, 3)), rng.integers(0, classes, 20_000)
+    exp, made = np.exp, []
+    for name, times in (("context", 1), ("context", 400), ("bias", 30)):  # the last two leave float32's safe range
+        model[name][8:20] *= times
+        logits = (model["context"][ctx + 1] * model["weight"]).sum(axis=1) @ model["target"].T + model["bias"]
+        most = logits.max(axis=1)
+        plain = logits[np.arange(len(ctx)), target] - most - np.log(exp(logits - most[:, None]).sum(axis=1))
+        with monkeypatch.context() as m:
+            m.setattr(np, "exp", lambda x, **kw: made.append(np.size(x)) or exp(x, **kw))
+            got = lm_score.log_probabilities(model, ctx, target)
+        assert got == pytest.approx(plain / np.log(10), rel=1e-5, abs=1e-4)
+        if times == 1:
+            assert sum(made) <= 3 * (classes + 1) * classes < len(ctx) * classes / 20
+    assert sum(made) > len(ctx) * classes  # what is not safe is summed as before
+
+
+def test_lm_row_sums_of_batches_of_any_size():
+    rng, sums = np.random.default_rng(6), lm_score.RowSums()
+    for n in (lm_score.BATCH, 3, 700, 0):
+        index, rows = rng.integers(0, 40, n), rng.normal(size=(n, lm_score.DIM)).astype(np.float32)
+        want = np.zeros((50, lm_score.DIM))
+        np.add.at(want, index, rows.astype(float))
+        assert sums(index, rows, 50) == pytest.approx(want)
+
+
 def test_near_dedup(docs, corpus):
     for k, percent in ((4, 80), (5, 80), (3, 50)):
         got = by_id(near_dedup.components(docs, k, percent), "n_shingles", "component_id", "kept")
