@@ -126,6 +126,12 @@ class RowSums:
         return np.bincount(places.ravel(), weights=doubles.ravel(), minlength=n * DIM).reshape(n, DIM)
 
 
+def _keep_memory() -> None:
+    """The C library hands arrays of some MB back to the system and fetches them anew for every batch,
+    until an array of this size was freed once; it then keeps up to twice that."""
+    np.empty(24 << 20, dtype=np.uint8)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place: copies of a batch's products cost more than the arithmetic."""
     np.clip(x, -30, 30, out=x)
@@ -371,6 +377,7 @@ def fit(train: DataFrame, counts: Counts, start_rows: int = 200) -> dict[str, np
     kind = arrow_schema(schema)
 
     def run(batches):
+        _keep_memory()
         trainer = Trainer(warm, noise, seed=2, rate=0.05)
         for batch in batches:
             for part in slices(batch, ROWS, BYTES):
@@ -399,6 +406,7 @@ def score(docs: DataFrame, learn: Column, known: int = KNOWN) -> DataFrame:
     class_below = np.where(single, 0, np.log10(counts.class_n + SMOOTH * (counts.class_words + 1)))
 
     def by_text(texts):
+        _keep_memory()
         h1, h2, suffix, sizes = tokens(texts)
         classes, n, found = counts.find(h1, h2, suffix)
         ends = np.cumsum(sizes)
