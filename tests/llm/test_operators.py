@@ -256,6 +256,46 @@ def test_near_dedup_of_a_chain_in_shared_buckets(spark):
     assert got == brute.components(rows, 4, 80)
 
 
+def test_near_dedup_of_copies_just_below_the_limit(spark, monkeypatch):
+    """Copies of one text that are too far apart share buckets by the hundred: the pairs are ruled out before
+    their texts meet, in blocks of any size, and the links among them are found."""
+    rng = random.Random(4)
+    text, rows = words(rng, 300), []
+    for i in range(70):
+        mine = list(text)
+        for p in rng.sample(range(len(text)), 6):
+            mine[p] = f"v{i}x{p}"
+        rows.append((i, " ".join(mine)))
+        if i % 9 == 0:
+            rows.append((1000 + i, " ".join([*mine[:-1], "end"])))
+    want, made, confirm = brute.components(rows, 4, 80), [], near_dedup._confirm
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return confirm(pairs, *more)
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for side in (near_dedup.SIDE_ROWS, 5):
+        made.clear()
+        monkeypatch.setattr(near_dedup, "SIDE_ROWS", side)
+        assert by_id(near_dedup.components(df, 4, 80), "n_shingles", "component_id") == want
+        assert len(made) == 3 and sum(made[1:]) < 40  # before: 388 and 1573
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(8)
+    for size in (1, 40, 300, 5000):
+        for more in (0, 1, size // 9, size):
+            x = rng.integers(0, 2 ** 64, size, dtype=np.uint64)
+            y = np.unique(np.concatenate([x[:size - more // 2], rng.integers(0, 2 ** 64, more, dtype=np.uint64)]))
+            marks = [near_dedup.parities(x), near_dedup.parities(y)]
+            p, q = (near_dedup._folded([m], min(map(len, marks))) for m in marks)
+            differ = len(np.setxor1d(x, y))
+            got = int(near_dedup._differing(p, q.T)[0, 0])
+            assert got <= differ and (got or not differ) and got % 2 == differ % 2
+            assert got >= 0.7 * differ or differ > size / 2
+
+
 def test_odd_sketch_estimates_similarity(spark):
     rng, rows = np.random.default_rng(3), []
     for size in (40, 150, 3000, 40_000):
