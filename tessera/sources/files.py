@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from fnmatch import fnmatchcase
 from functools import reduce
 
 import pyarrow as pa
@@ -116,6 +118,12 @@ def _folder_name(value) -> str:
     return re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", text) or "__HIVE_DEFAULT_PARTITION__"
 
 
+def _mounted(path: str) -> str | None:
+    """The folder of a ``file:`` path, which tasks open by themselves."""
+    scheme, _, rest = path.rpartition(":")
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
 def write_text_dir(df: DataFrame, path: str, id_col: str = "id", text_col: str = "text") -> None:
     """One folder ``<id_col>=<id>`` an id; a task writes its texts of an id, a line end behind each, as one file.
 
@@ -124,12 +132,11 @@ def write_text_dir(df: DataFrame, path: str, id_col: str = "id", text_col: str =
     replaces its files whole.  Elsewhere Spark's writer does it, whose tasks put their files in
     place when they commit: by default the driver alone moves all folders, one by one."""
     d = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scheme, _, rest = path.rpartition(":")
-    if scheme != "file":
+    base = _mounted(path)
+    if not base:
         (d.select(F.col("id").alias(id_col), F.col("text").alias("value")).write.mode("overwrite")
          .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(id_col).text(path))
         return
-    base = "/" + rest.lstrip("/")
 
     def put(at: str, name: str, lines: list[str]) -> None:
         folder = f"{base}/{id_col}={_folder_name(at)}"
@@ -157,15 +164,87 @@ def write_text_dir(df: DataFrame, path: str, id_col: str = "id", text_col: str =
     d.sortWithinPartitions("id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+#: file names that tasks can match and read as Spark does: no other wildcards, nothing compressed
+_PLAIN_NAMES = re.compile(r"[\w*?.-]*\.txt", re.ASCII)
+#: rows and bytes of texts that a task hands on at once
+_BATCH_ROWS, _BATCH_BYTES = 512, 4 << 20
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _as_uri(path: str) -> str:
+    """A path as Spark's file metadata has it: spaces, controls and ASCII without a place in URIs as %XX."""
+    def quoted(m):
+        c = m[0]
+        return c if c > "\x7f" and unicodedata.category(c) not in ("Cc", "Zs", "Zl", "Zp") else "".join(f"%{x:02X}" for x in os.fsencode(c))
+    return "file://" + re.sub(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=@/]", quoted, path)
+
+
+def _read_mounted(spark: SparkSession, base: str, name_glob: str) -> DataFrame:
+    """(value, _path) of the files of these names below a mounted folder, empty ones left out.
+
+    One task names the entries of the folder, a batch at a time, and the tasks they are dealt to
+    list and read what is below: no process holds a list of the files."""
+    def entries(_):
+        with os.scandir(base) as found:
+            names = []
+            for e in found:
+                if not _hidden(e.name):
+                    names.append(os.fsencode(e.name))
+                if len(names) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary())], names=["name"])
+                    names = []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary())], names=["name"])
+
+    def below(path: str):
+        if not os.path.isdir(path):
+            if fnmatchcase(os.path.basename(path), name_glob) and os.path.getsize(path):
+                yield path
+            return
+        with os.scandir(path) as found:
+            for e in found:
+                if not _hidden(e.name):
+                    yield from below(e.path)
+
+    def rows(texts, paths):
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(paths, pa.binary())], names=["value", "_path"])
+
+    def read(batches):
+        texts, paths, size = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for path in below(os.path.join(base, os.fsdecode(name))):
+                    with open(path, "rb") as f:
+                        texts.append(f.read())
+                    paths.append(os.fsencode(_as_uri(path)))
+                    size += len(texts[-1])
+                    if size >= _BATCH_BYTES or len(texts) >= _BATCH_ROWS:
+                        yield rows(texts, paths)
+                        texts, paths, size = [], [], 0
+        yield rows(texts, paths)
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = spark.range(0, 1, 1, 1).mapInArrow(entries, "name binary").repartition(tasks, "name")
+    return names.mapInArrow(read, "value binary, _path binary").select(F.col("value").cast("string"), F.col("_path").cast("string"))
+
+
 def read_text_dir(spark: SparkSession, glob: str, id_pattern: str = r"([^/]+)\.[^./]+$",
                   id_group: int = 1, name_glob: str | None = None) -> DataFrame:
     """(id, text) per whole file; id = file name without extension; whitespace collapsed.
 
     ``glob`` is expanded by the driver, a folder after the other.  With ``name_glob`` it is a
-    folder instead: the files of these names anywhere below it, listed by a Spark job."""
-    below = {"recursiveFileLookup": True, "pathGlobFilter": name_glob} if name_glob else {}
-    raw = (spark.read.options(**below).text(glob, wholetext=True)
-           .select("value", F.col("_metadata.file_path").alias("_path")))
+    folder instead: the files of these names anywhere below it.  On a mounted folder the tasks list
+    and read them; elsewhere a Spark job lists them for the driver, whose memory bounds their number."""
+    base = _mounted(glob)
+    if base and name_glob and _PLAIN_NAMES.fullmatch(name_glob) and os.path.isdir(base):
+        raw = _read_mounted(spark, base, name_glob)
+    else:
+        below = {"recursiveFileLookup": True, "pathGlobFilter": name_glob} if name_glob else {}
+        raw = (spark.read.options(**below).text(glob, wholetext=True)
+               .select("value", F.col("_metadata.file_path").alias("_path")))
     return raw.select(F.regexp_extract("_path", id_pattern, id_group).alias("id"),
                       F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
 

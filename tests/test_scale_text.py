@@ -87,6 +87,25 @@ def test_text_dir_written_by_the_tasks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "odd").iterdir()) == ["id=..", "id=a%2Fb%25%3Aé"]
 
 
+def test_text_dir_read_by_the_tasks(spark, tmp_path):
+    """No process lists the files of a mounted folder: few tasks, no file index; the rows are those of Spark's reader."""
+    from tessera.sources import files
+    rows = [(str(i), f" text\n {i} ") for i in range(300)] + [("a/b%:é", "t"), ("..", "u"), ("x y", "\u00a0v\u3000 w"), (None, "z")]
+    files.write_text_dir(spark.createDataFrame(rows, "id string, text string"), f"file:{tmp_path}/in")
+    for name, body in (("_h=1/deep/k.txt", b"bad \xff\xe2( bytes"), ("_off/n.txt", b"n"), (".n.txt", b"n"), ("dir.txt/in.txt", b"in"),
+                       ("top.txt", b"top"), ("empty.txt", b""), ("n.csv", b"n")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    for pattern in (r"id=([^/]+)/", r"([^/]+)\.[^./]+$"):
+        got = files.read_text_dir(spark, f"file:{tmp_path}/in", id_pattern=pattern, name_glob="*.txt")
+        assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()  # before: an index of every file in the driver
+        want = files.read_text_dir(spark, f"{tmp_path}/in", id_pattern=pattern, name_glob="*.txt")
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    (tmp_path / "none").mkdir()
+    assert files.read_text_dir(spark, f"file:{tmp_path}/none", name_glob="*.txt").collect() == []
+
+
 @pytest.mark.parametrize("reg", [0.1, 2.0])
 def test_text_models_of_one_pass_equal_spark_ml(spark, reg):
     """Fold sums give the models that IDF and LinearRegression would, each fitted by itself."""
