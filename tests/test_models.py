@@ -71,6 +71,41 @@ def test_neighbours_equal_a_full_scan_and_prune_clusters(spark, block):
         assert votes[i] == min(set(labels), key=lambda v: (-labels.count(v), v))
 
 
+@pytest.mark.parametrize("kind, shift, scale", [("float", 0, 1), ("double", 1e6, 1), ("double", 0, 1e-25), ("double", 0, 1e18), ("float", 3, 1e-3)])
+def test_neighbours_at_any_scale_of_the_numbers(spark, kind, shift, scale):
+    """Products are rounded, far from zero above all: what they leave is compared by the differences; equal distances by id."""
+    rng = np.random.default_rng(5)
+    x = (shift + scale * rng.normal(size=(260, 8))).astype(np.float32 if kind == "float" else float).astype(float)
+    x[40:60] = x[20:40]
+    refs = [(1000 - i, v.tolist(), i) for i, v in enumerate(x[:200])]
+    queries = [(i, v.tolist()) for i, v in enumerate(x[180:])] + [(7, x[7].tolist())]
+    r = spark.createDataFrame(refs, f"id long, v array<{kind}>, y int")
+    q = spark.createDataFrame(queries, f"id long, v array<{kind}>")
+    got = {}
+    for n in knn(q, r, "id", "v", "y", k=4, pivots=5, block=9)[0].where("id <> 7").orderBy("id", "nth").collect():
+        got.setdefault(n["id"], []).append(n["rid"])
+    assert got == brute_knn([z for z in queries if z[0] != 7], refs, 4)
+    near = [(n["dist"], n["rid"]) for n in knn(q, r, "id", "v", "y", k=4)[0].where("id = 7").orderBy("nth").collect()]
+    both = [(float(np.sqrt(((np.array(v) - np.array(y)) ** 2).sum())), j) for i, v in queries if i == 7 for j, y, _ in refs]
+    assert near == sorted(both)[:4]  # rows of one id have their neighbours in common
+
+
+def test_neighbours_are_sent_by_group_not_by_visit(spark, monkeypatch):
+    from tessera.operators import neighbors
+    written, write = {}, neighbors.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(neighbors, "materialize", counted)
+    x = np.random.default_rng(6).normal(size=(500, 32))
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, v array<double>, y int")
+    near, scored = knn(rows.where("id < 200"), rows.where("id >= 200"), "id", "v", "y", k=3, pivots=40)
+    assert near.count() == 600 and scored.where("scored > 200").count() == 200
+    assert sum(written.values()) < 2000  # before: over 8000, a row a query and cell
+
+
 def test_neighbours_of_few_or_no_references(spark):
     r = spark.createDataFrame([(1, [0.0], 5), (2, [1.0], 6)], "id long, v array<double>, y int")
     q = spark.createDataFrame([(9, [0.9])], "id long, v array<double>")
