@@ -56,9 +56,9 @@ BINS, BITS = 1024, 2048
 #: pairs whose estimate is so many standard errors below the limit are not confirmed
 ERRORS = 6
 #: least and most bits of the parities of a whole set
-LEAST, MOST = 1 << 10, 1 << 20
-#: members of a mixed bucket, and bytes of their parities, that one side of a block has
-SIDE_ROWS, SIDE_BYTES = 2048, 32 << 20
+LEAST, MOST = 1 << 10, 1 << 17
+#: members of a mixed bucket that one side of a block has (32 MB of parities at most)
+SIDE_ROWS = 2048
 #: rows of small blocks that are worked on together
 TOGETHER = 128
 
@@ -99,8 +99,8 @@ def odd_sketch(x: np.ndarray) -> np.ndarray:
 
 
 def parities(x: np.ndarray) -> bytes:
-    """Odd sketch of a whole set, four to eight bits a value: two differ in at most as many
-    bits as their sets in values.  Halves folded by XOR give the sketch of half the bits."""
+    """Odd sketch of a whole set, four to eight bits a value up to MOST: two differ in at most as
+    many bits as their sets in values.  Halves folded by XOR give the sketch of half the bits."""
     bits = LEAST
     while bits < min(4 * len(x), MOST):
         bits *= 2
@@ -302,16 +302,14 @@ def _across(now: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> Da
     """Pairs (a, b) of ``now``'s members (bucket, doc, component) that share a bucket, stand in different components
     and may be linked; of a member outside its bucket's largest component only the nearest one, if that is asked.
     A large bucket is cut into blocks: the members outside the largest component by ``i``, all by ``j``."""
-    loads = now.join(marks.select("doc", F.length("marks").alias("bytes")), "doc")
-    main = (loads.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-            .groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"),
-                                   F.ceil(F.greatest(F.sum("n") / SIDE_ROWS, F.sum("bytes") / SIDE_BYTES)).alias("parts")))
+    main = (now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
+            .agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / SIDE_ROWS).alias("parts")))
     # in a block a member is met (0), meets the others (1), or both (2)
     places = """filter(if(parts = 1, array(named_struct('i', 0L, 'j', 0L, 'role', if(component <> main, 2, 0))), concat(
         transform(sequence(0L, parts - 1), x -> named_struct('i', x, 'j', own, 'role', 0)),
         transform(sequence(0L, parts - 1), x -> named_struct('i', own, 'j', x, 'role', 1)))),
         x -> x.role <> 1 OR component <> main)"""
-    dealt = (now.join(materialize(main, "near-main"), "bucket").withColumn("own", F.expr("pmod(xxhash64(doc), parts)"))
+    dealt = (now.join(main, "bucket").withColumn("own", F.expr("pmod(xxhash64(doc), parts)"))
              .select("bucket", "doc", "component", F.explode(F.expr(places)).alias("at")).select("bucket", "at.*", "doc", "component")
              .join(marks, "doc").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
     schema = "me long, a long, b long, differ double"
@@ -327,7 +325,7 @@ def _across(now: DataFrame, marks: DataFrame, percent: int, nearest: bool) -> Da
                 if len(me):
                     yield record_batch(kind, {"me": me, "a": np.minimum(me, other), "b": np.maximum(me, other), "differ": differ})
 
-    pairs = small_batches(dealt, 4096).mapInArrow(run, schema)
+    pairs = small_batches(dealt).mapInArrow(run, schema)
     if nearest:
         pairs = pairs.groupBy("me").agg(F.min(F.struct("differ", "a", "b")).alias("x")).select("x.*")
     return pairs.select("a", "b").distinct()
@@ -337,7 +335,7 @@ def _further(pairs: DataFrame, checked: DataFrame, links: DataFrame, found: Data
              percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Confirms some more pairs and joins components."""
     new = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    new = materialize(_confirm(materialize(new, "near-pairs"), texts, words, percent), "near-checked")
+    new = materialize(_confirm(new, texts, words, percent), "near-checked")
     more = new.filter("linked").select("a", "b")
     if more.isEmpty():
         return checked.unionByName(new), links, found
