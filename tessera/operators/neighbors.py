@@ -1,7 +1,7 @@
 """Exact k nearest neighbours by pivot cells and triangle-inequality bounds.
 
 References are dealt to the nearest of at most ``pivots`` pivots.  A query first meets its
-own cell; the k-th distance found there, t, bounds the rest: a cell of radius R about a pivot
+nearest cells, which hold k references at least; the k-th distance found there, t, bounds the rest: a cell of radius R about a pivot
 at distance d can hold a nearer reference only if ``d - R <= t``, and a run of references at
 distances r to s from the pivot only if ``r - t <= d <= s + t``.  What remains is compared by
 matrix products of the differences from the pivot, whose rounding is bounded, so only
@@ -17,6 +17,7 @@ meets, not once a pair.  The driver sees the pivots and a row for each.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -28,6 +29,9 @@ from tessera.session import materialize
 #: bounds are widened by this share, far above the error of double sums
 SLACK = 1e-9
 
+#: visits that a worker holds at a time, each with its query's vector
+VISITS = 1 << 14
+
 #: blocks of references and of queries that one task has
 REF_BLOCKS, QUERY_BLOCKS = 8, 4
 
@@ -67,10 +71,6 @@ def _with_columns(batch: pa.RecordBatch, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more.values())], names=[*batch.schema.names, *more])
 
 
-def _schema(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"{n} {t}" for n, t in df.dtypes), more])
-
-
 def _groups(cells: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
     """First group and number of groups of each cell (cell: its rows): neighbouring small cells share one."""
     out, at, room = {}, -1, 0
@@ -85,10 +85,57 @@ def _groups(cells: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _group(groups: dict[int, tuple[int, int]], *by: str):
+def _of_cell(groups: dict[int, tuple[int, int]], i: int):
+    return F.element_at(F.create_map(*[F.lit(v) for c, g in groups.items() for v in (c, g[i])]), F.col("cell"))
+
+
+def _group(groups: dict[int, tuple[int, int]], by: str):
     """The group of a row by its cell; rows of a cut cell are dealt by a hash of ``by``."""
-    first, parts = (F.element_at(F.create_map(*[F.lit(v) for c, g in groups.items() for v in (c, g[i])]), F.col("cell")) for i in (0, 1))
-    return (first + F.pmod(F.xxhash64(*by), parts)).cast("int")
+    return (_of_cell(groups, 0) + F.pmod(F.xxhash64(by), _of_cell(groups, 1))).cast("int")
+
+
+def _visits(queries: DataFrame, centers: np.ndarray, cells: dict, first: bool, k: int, block: int) -> DataFrame:
+    """A row for each query, cell and part of ``block`` references that it meets: (id, vec, t, cell, part, q_part, d).
+
+    ``first``: the nearest cells that hold k references together, with the bound that their
+    radii give; else (``t`` is set) all within the bound, of cells that share a group the first."""
+    ids = np.array(sorted(cells))
+    n, radius = np.array([cells[c][0] for c in ids]), np.array([cells[c][1] for c in ids])
+    parts, groups = -(-n // block), _groups({c: cells[c][0] for c in cells}, block)
+    member = np.zeros((len(ids), max(sum(g) for g in groups.values())), dtype=bool)  # the groups of each cell
+    for i, c in enumerate(ids):
+        member[i, groups[c][0]:sum(groups[c])] = True
+    lead = member.argmax(axis=0)
+
+    # queries whose visits are held at a time: a query meets every part at most
+    step = max(1, VISITS // int(parts.sum()))
+
+    def run(batches):
+        for q in (b.iloc[a:a + step] for b in batches for a in range(0, len(b), step)):
+            x = np.stack(q["vec"].to_numpy()).astype(np.float64)
+            d = _distances(x, centers[ids])
+            if first:
+                order = np.argsort(d, axis=1, kind="stable")
+                # how many references stand in the cells before each, by distance of the pivot
+                before = np.cumsum(n[order], axis=1) - n[order]
+                home = np.zeros_like(d, dtype=bool)
+                np.put_along_axis(home, order, before < k, axis=1)
+                reach = np.sort(np.where(home, d + radius, -np.inf), axis=1)[:, -1]
+                t = np.where(n.sum() >= k, reach * (1 + SLACK), np.inf)
+                row, col = np.nonzero(home)
+                rep = parts[col]
+                row, col = np.repeat(row, rep), np.repeat(col, rep)
+                part = np.arange(len(col)) - np.repeat(np.cumsum(rep) - rep, rep)
+            else:
+                t = q["t"].to_numpy()
+                far = d - radius > (t * (1 + SLACK))[:, None] + SLACK * d  # nan is not ruled out
+                row, group = np.nonzero(~far @ member)
+                col = lead[group]
+                part = group - np.array([groups[c][0] for c in ids])[col]
+            yield pd.DataFrame({"id": q["id"].to_numpy()[row], "vec": list(x[row]), "t": t[row], "cell": ids[col],
+                                "part": part, "q_part": q["q_part"].to_numpy()[row], "d": d[row, col]})
+
+    return queries.mapInPandas(run, "id long, vec array<double>, t double, cell long, part long, q_part long, d double")
 
 
 class _Nearest:
@@ -188,7 +235,7 @@ def knn(queries: DataFrame, refs: DataFrame, key: str, vec_col: str, label_col:
                     cell = d.argmin(axis=1)
                     yield _with_columns(b, cell=ids[cell], d=d[np.arange(len(d)), cell])
 
-        dealt = materialize(df.mapInArrow(run, _schema(df, "cell long, d double")), name)
+        dealt = materialize(df.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in df.dtypes), "cell long, d double"])), name)
         rows = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()  # a row a pivot
         return dealt, {x["cell"]: (x["n"], x["radius"]) for x in rows}
 
@@ -197,49 +244,35 @@ def knn(queries: DataFrame, refs: DataFrame, key: str, vec_col: str, label_col:
     q, q_cells = deal(q, ids, "knn-queries")
     if not q_cells:
         return none
-    radius = np.array([cells[c][1] for c in ids])  # nan: some vector has no distance, every query meets the cell
     groups = _groups({c: n for c, (n, _) in cells.items()}, block * REF_BLOCKS)
-    n_groups = max(a + n for a, n in groups.values())
-    member = np.zeros((len(ids), n_groups), dtype=bool)  # the groups of each cell
-    for i, c in enumerate(ids):
-        member[i, groups[c][0]:sum(groups[c])] = True
     dealt = dealt.withColumn("grp", _group(groups, "rid"))
-    q = q.withColumn("q_grp", _group(_groups({c: n for c, (n, _) in q_cells.items()}, block * QUERY_BLOCKS), "id"))
+    q = q.withColumn("q_part", _group(_groups({c: n for c, (n, _) in q_cells.items()}, block * QUERY_BLOCKS), "id"))
 
-    def meet(visits, pairs, fn, schema):
-        """``fn`` of each query group and the references of each reference group that it meets (``pairs``)."""
-        right = dealt.join(materialize(pairs.distinct(), "knn-pairs"), "grp")
-        return materialize(visits.groupBy("grp", "q_grp").cogroup(right.groupBy("grp", "q_grp")).applyInArrow(fn, schema), "knn-found")
+    def meet(q, is_first, fn, schema):
+        """``fn`` of each query group and the references of each group that it meets."""
+        visits = _visits(q, centers, cells, is_first, k, block * REF_BLOCKS).withColumn(
+            "grp", (_of_cell(groups, 0) + F.col("part")).cast("int"))
+        right = dealt.join(materialize(visits.select("grp", "q_part").distinct(), "knn-pairs"), "grp")
+        found = visits.groupBy("grp", "q_part").cogroup(right.groupBy("grp", "q_part")).applyInArrow(fn, schema)
+        return materialize(found, "knn-found")
 
     def first(q, r):
-        """The bound of each query by the references of its cell, or of the group if these are less than k."""
-        x, home, found = _matrix(q.column("vec")), q.column("cell").to_numpy(), _by_cell(r) if q.num_rows and r.num_rows else []
+        """The bound of each query by the references of a cell that it meets, or of the group if these are less than k."""
+        x, home, t = _matrix(q.column("vec")), q.column("cell").to_numpy(), q.column("t").to_numpy()
+        # any k distances are a closer bound than the radii
         near = _Nearest(x, np.full(len(x), np.inf), _matrix(r.column("vec")), r.column("rid").to_numpy(), k)
+        found = _by_cell(r) if q.num_rows and r.num_rows else []
         for c in np.unique(home):
             rows, own = np.flatnonzero(home == c), [z for z in found if z[0] == c and len(z[1]) >= k]
             for cell, places, far in own or found:
                 near.meet(centers[cell], places, far, rows)
-        return pa.table({"id": q.column("id"), "t": near.dist[:, -1], "scored": near.scored})
+        return pa.table({"id": q.column("id"), "t": np.fmin(near.dist[:, -1], t), "scored": near.scored})
 
-    home = q.withColumn("grp", _group(groups, "id"))
-    found = meet(home, home.select("grp", "q_grp"), first, "id long, t double, scored long")
+    found = meet(q.select("id", "vec", "q_part"), True, first, "id long, t double, scored long")
     # rows that repeat an id have their neighbours in common: the least bound holds for all
     bound = found.groupBy("id").agg(F.min("t").alias("t"), F.sum("scored").alias("scored"))
     bound = materialize(bound, "knn-bounds")
-    q = q.drop("cell", "d").join(bound.select("id", "t"), "id", "left")
-
-    def visits(batches, keys):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d, t = _distances(_matrix(b.column("vec")), centers[ids]), b.column("t").to_numpy()[:, None]
-            row, grp = np.nonzero(~(d - radius > t * (1 + SLACK) + SLACK * d) @ member)
-            if keys:
-                both = np.unique(np.stack([grp, b.column("q_grp").to_numpy()[row]]), axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, both)), names=["grp", "q_grp"])
-            else:
-                for a in range(0, len(row), 1 << 14):
-                    yield _with_columns(b.take(pa.array(row[a:a + (1 << 14)])), grp=grp[a:a + (1 << 14)].astype(np.int32))
+    q = q.select("id", "vec", "q_part").join(bound.select("id", "t"), "id", "left")
 
     def rest(q, r):
         x, rid, label = _matrix(q.column("vec")), r.column("rid"), r.column("rlabel")
@@ -256,9 +289,7 @@ def knn(queries: DataFrame, refs: DataFrame, key: str, vec_col: str, label_col:
                          "dist": np.concatenate([near.dist[i, nth], np.full(len(no), np.inf)]),
                          "scored": np.where(np.concatenate([nth, gap]) == 0, near.scored[at], 0)})
 
-    pairs = q.mapInArrow(lambda b: visits(b, True), "grp int, q_grp int")
-    found = meet(q.mapInArrow(lambda b: visits(b, False), _schema(q, "grp int")), pairs, rest,
-                 "id long, rid long, rlabel long, dist double, scored long")
+    found = meet(q, False, rest, "id long, rid long, rlabel long, dist double, scored long")
     scored = found.select("id", "scored").unionByName(bound.select("id", "scored")).groupBy("id").agg(F.sum("scored").alias("scored"))
     each = Window.partitionBy("id").orderBy("dist", "rid")
     best = found.where("rid IS NOT NULL").withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= k)
